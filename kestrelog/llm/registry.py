@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, simhash, toxicity
 
-MODULES = [simhash]
+MODULES = [langid, simhash, toxicity]
 
 
 def queries() -> dict:
