@@ -1,7 +1,7 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the presence of words, word pairs and pairs with one or two words between, hashed
-to 2^20 buckets; those in fewer than min_rows training texts are not admitted. FTRL goes from
+Features are the presence of words, word beginnings (which stand for inflected words), word
+pairs and pairs with one or two words between, hashed to 2^20 buckets; those in fewer than min_rows training texts are not admitted. FTRL goes from
 row to row, so training runs in one task, on a bounded sample of labelled rows in the order of
 a hash of the id. L1 keeps a few thousand weights at most, which go to the tasks as a broadcast.
 """
@@ -35,15 +35,19 @@ class Settings:
 
     max_rows: int = 8_000
     min_rows: int = 4
-    epochs: int = 4
+    epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.1
 
 
-def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each word its row. A text's end ends a word."""
+#: Bytes of a word's beginning that make a feature of their own.
+BEGINNINGS = (4, 5)
+
+
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all words and of their beginnings, and for each word its row. A text's end ends a word."""
     kind = _KIND[raw]
     is_word = kind > 0
     begins = is_word.copy()
@@ -52,20 +56,29 @@ def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins[inner] = is_word[inner]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return [np.empty(0, np.uint64)] * (1 + len(BEGINNINGS)), np.empty(0, np.int64)
     at = np.flatnonzero(is_word)
     first = np.flatnonzero(begins[at])
     lengths = np.diff(np.append(first, len(at)))
     position = np.arange(len(at)) - np.repeat(first, lengths)
-    hashes = np.add.reduceat(kind[at].astype(np.uint64) * _POWERS[position & 63], first)
+    terms = kind[at].astype(np.uint64) * _POWERS[position & 63]
+    hashes = [np.add.reduceat(terms, first)]
+    padded = np.append(terms, np.zeros(max(BEGINNINGS), np.uint64))
+    for n in BEGINNINGS:  # a shorter word's beginning is the whole word
+        begun = np.zeros(len(first), np.uint64)
+        for k in range(n):
+            begun += np.where(lengths > k, padded[first + k], np.uint64(0))
+        hashes.append(begun)
     return hashes, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def _buckets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) arrays of each kind of feature; repeats are kept."""
-    h, row = _word_hashes(raw, offsets)
+    (h, *begun), row = _word_hashes(raw, offsets)
     shift = np.uint64(64 - BITS)
     yield row, ((h * _ODD[0]) >> shift).astype(np.int64)
+    for k, b in enumerate(begun):
+        yield row, (((b ^ _ODD[k + 1]) * _ODD[3]) >> shift).astype(np.int64)
     for gap in (1, 2, 3):
         if len(h) > gap:
             same = row[gap:] == row[:-gap]
