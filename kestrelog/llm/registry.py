@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, toxicity
+from . import langid, simhash, tokencount, tokenids, toxicity
 
-MODULES = [langid, simhash, toxicity]
+MODULES = [langid, simhash, tokencount, tokenids, toxicity]
 
 
 def queries() -> dict:
