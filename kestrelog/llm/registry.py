@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, tokencount, tokenids, toxicity
+from . import decontaminate, langid, licenses, simhash, tokencount, tokenids, toxicity
 
-MODULES = [langid, simhash, tokencount, tokenids, toxicity]
+MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids]
 
 
 def queries() -> dict:
