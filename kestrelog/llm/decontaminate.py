@@ -30,8 +30,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item; rows with a null doc_id stay."""
-    leaks = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = common.stored(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return docs.join(containment.checked(leaks), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

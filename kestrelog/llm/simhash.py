@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .containment import checked
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -228,6 +229,20 @@ def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each component stays, the one with the least doc_id, with its own columns.
+
+    Rows with a null doc_id stay; of several rows with one doc_id one stays.
+    """
+    groups = near_duplicates(docs.where("doc_id is not null"))
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(checked(common.stored(gone, "simhash-gone")), "doc_id", "left_anti").select(docs.columns)
+    twice = checked(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if not twice.limit(1).count():
+        return left
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).union(left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 

@@ -139,35 +139,57 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return dealt.select("text", "toxic").mapInArrow(_ftrl(settings), "bucket int, weight double")
 
 
-def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, score), over whole texts; null and empty texts get the bias alone.
-
-    weights has at most 2^20 + 1 rows and is gathered to one array for the tasks.
-    """
+def _share(spark: SparkSession, weights: DataFrame):
+    """The weights as a broadcast; they are 2^20 + 1 rows at most."""
     fitted = weights.toPandas()
     dense = np.zeros(BIAS + 1)
     dense[fitted["bucket"].to_numpy()] = fitted["weight"].to_numpy()
     at = np.flatnonzero(dense[:BIAS])
-    shared = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), dense[at], float(dense[BIAS])))
+    return spark.sparkContext.broadcast((at.astype(np.int32), dense[at], float(dense[BIAS])))
+
+
+def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, score), over whole texts; null and empty texts get the bias alone."""
+    shared = _share(docs.sparkSession, weights)
     return docs.select("doc_id", "text").mapInArrow(_scorer(shared), "doc_id long, score double")
 
 
+def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    shared, column = _share(docs.sparkSession, weights), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, bias = _dense(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(column), dense, bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _dense(shared: tuple) -> tuple[np.ndarray, float]:
+    at, w, bias = shared
+    dense = np.zeros(BIAS, np.float32)
+    dense[at] = w
+    return dense, bias
+
+
+def _scores(texts: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
+    total = np.full(len(texts), bias)
+    for first, end, raw, offsets in common.text_blocks(texts):
+        keys = []
+        for row, bucket in _buckets(raw, offsets):
+            hit = dense[bucket] != 0
+            keys.append(row[hit] << BITS | bucket[hit])
+        keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        total[first:end] += np.bincount(keys >> BITS, dense[keys & (BIAS - 1)], end - first)
+    return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, bias = shared.value
-        dense = np.zeros(BIAS, np.float32)
-        dense[at] = w
-        used = dense != 0
+        dense, bias = _dense(shared.value)
         for batch in batches:
-            total = np.full(batch.num_rows, bias)
-            for first, end, raw, offsets in common.text_blocks(batch.column(1)):
-                keys = []
-                for row, bucket in _buckets(raw, offsets):
-                    hit = used[bucket]
-                    keys.append(row[hit] << BITS | bucket[hit])
-                keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-                total[first:end] += np.bincount(keys >> BITS, dense[keys & (BIAS - 1)], end - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), dense, bias))], ["doc_id", "score"])
 
     return run
 
