@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, mixing, simhash, tokencount, tokenids, toxicity
+from . import decontaminate, langid, licenses, mixing, secrets, simhash, tokencount, tokenids, toxicity
 
-MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids, mixing]
+MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids, secrets, mixing]
 
 
 def queries() -> dict:
