@@ -11,6 +11,7 @@ A second table has the ranks' ids. A null doc_id stands for the first place in t
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,9 +30,18 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Pieces whose ids a worker remembers in each of two generations.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 450_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
 #: White space that a blank may touch, and white space outside ASCII: texts with these are not cut at blanks.
 _RUNS = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 
@@ -48,18 +58,42 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.encoder.model
         self.width = "H" if self.encoder.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.young: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        # the short way to the model is taken only where it gives what the library's own way gives
+        samples = ["word", "Straße", "ciónñado,", "e", "naïveté...", "日本", "don!?", "œuvre)"]
+        self.direct = all(self.simple(x) == self.whole([" " + x])[0] for x in samples)
         self.old: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.width, e.ids).tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def one(self, pretoken: str) -> bytes:
+        """A string that the pre-tokenizer keeps whole, straight to the library's model."""
+        return array(self.width, [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def simple(self, text: str) -> bytes | None:
+        """Letters, or letters and then ASCII punctuation, after a blank: one or two pre-tokens. None for anything else."""
+        letters = text.rstrip(string.punctuation)
+        if not letters.isalpha():
+            return None
+        ids = self.one(" " + letters)
+        if len(letters) < len(text):
+            marks = text[len(letters) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.one(marks)
+            ids += self.marks[marks]
+        return ids
+
     def learn(self, missing: list[bytes]) -> None:
         """Pieces as split: those after a blank lack it, those after a line break begin with it."""
         new = []
         for piece in missing:
             ids = self.old.get(piece)
+            if ids is None and self.direct:
+                ids = self.simple(piece.decode())
             if ids is None:
                 new.append(piece)
             else:
@@ -80,7 +114,7 @@ class PieceEncoder:
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         firsts = self.whole([first.decode() for _, first, _ in cut])
-        missing = {piece for _, _, rest in cut for piece in rest if piece not in self.young}
+        missing = set().union(*[rest for _, _, rest in cut]).difference(self.young)
         if missing:
             self.learn(list(missing))
         get = self.young.__getitem__
@@ -135,8 +169,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    width = int(extra.max(initial=0)) + 1
+    keep = np.arange(width, dtype=np.uint8) <= extra[:, None]
+    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][keep].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -183,7 +218,7 @@ class Files:
 def write(docs: DataFrame, path: str, name: str = TOKENIZER) -> Files:
     """Encodes docs and writes the two tables under path. Copies keep an entry each; order among equal doc_ids is by ids."""
     spark = docs.sparkSession
-    ids = common.stored(encoded(docs, name), "token-ids")
+    ids = common.stored(encoded(docs, name), "token-ids", "zstd")
     from tokenizers import Tokenizer
 
     dtype = "<u2" if Tokenizer.from_file(public_tokenizers.path(name)).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
