@@ -30,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Pieces whose ids a worker remembers in each of two generations.
-CACHE_PIECES = 450_000
+CACHE_PIECES = 220_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
