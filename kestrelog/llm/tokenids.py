@@ -62,6 +62,7 @@ class PieceEncoder:
         self.width = "H" if self.encoder.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.young: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.met = bytearray(1 << 21)  # a bit per hash of the pieces met so far
         # the short way to the model is taken only where it gives what the library's own way gives
         samples = ["word", "Straße", "ciónñado,", "e", "naïveté...", "日本", "don!?", "œuvre)"]
         self.direct = all(self.simple(x) == self.whole([" " + x])[0] for x in samples)
@@ -87,11 +88,19 @@ class PieceEncoder:
             ids += self.marks[marks]
         return ids
 
-    def learn(self, missing: list[bytes]) -> None:
-        """Pieces as split: those after a blank lack it, those after a line break begin with it."""
-        new = []
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        """Pieces as split: those after a blank lack it, those after a line break begin with it.
+
+        Returns those that were met for the first time, which are not kept beyond the block.
+        """
+        new, once = [], []
         for piece in missing:
             ids = self.old.get(piece)
+            if ids is None:
+                at = hash(piece) & 0xFFFFFF
+                if not self.met[at >> 3] >> (at & 7) & 1:
+                    self.met[at >> 3] |= 1 << (at & 7)
+                    once.append(piece)
             if ids is None and self.direct:
                 ids = self.simple(piece.decode())
             if ids is None:
@@ -101,6 +110,7 @@ class PieceEncoder:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             self.young.update(zip(part, self.whole([(p if p[:1] == b"\n" else b" " + p).decode() for p in part])))
+        return once
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -115,11 +125,12 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         firsts = self.whole([first.decode() for _, first, _ in cut])
         missing = set().union(*[rest for _, _, rest in cut]).difference(self.young)
-        if missing:
-            self.learn(list(missing))
+        once = self.learn(list(missing))
         get = self.young.__getitem__
         for (i, _, rest), head in zip(cut, firsts):
             out[i] = head + b"".join(map(get, rest))
+        for piece in once:
+            del self.young[piece]
         return out
 
 
