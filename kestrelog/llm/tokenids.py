@@ -30,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Pieces whose ids a worker remembers in each of two generations.
-CACHE_PIECES = 220_000
+CACHE_PIECES = 350_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -88,29 +88,30 @@ class PieceEncoder:
             ids += self.marks[marks]
         return ids
 
-    def learn(self, missing: list[bytes]) -> list[bytes]:
-        """Pieces as split: those after a blank lack it, those after a line break begin with it.
+    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces as split: those after a blank lack it, those after a line break begin with it.
 
-        Returns those that were met for the first time, which are not kept beyond the block.
+        Pieces that are met for the first time are not remembered.
         """
-        new, once = [], []
+        found, late, met = {}, [], self.met
         for piece in missing:
             ids = self.old.get(piece)
-            if ids is None:
-                at = hash(piece) & 0xFFFFFF
-                if not self.met[at >> 3] >> (at & 7) & 1:
-                    self.met[at >> 3] |= 1 << (at & 7)
-                    once.append(piece)
             if ids is None and self.direct:
                 ids = self.simple(piece.decode())
             if ids is None:
-                new.append(piece)
+                late.append(piece)
             else:
+                found[piece] = ids
+        for i in range(0, len(late), 4096):
+            part = late[i : i + 4096]
+            found.update(zip(part, self.whole([(p if p[:1] == b"\n" else b" " + p).decode() for p in part])))
+        for piece, ids in found.items():
+            at = hash(piece) & 0xFFFFFF
+            if met[at >> 3] >> (at & 7) & 1:
                 self.young[piece] = ids
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.young.update(zip(part, self.whole([(p if p[:1] == b"\n" else b" " + p).decode() for p in part])))
-        return once
+            else:
+                met[at >> 3] |= 1 << (at & 7)
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -121,16 +122,15 @@ class PieceEncoder:
             else:
                 first, *rest = text.replace(b"\n", b" \n").split(b" ")
                 cut.append((i, first, rest))
+        firsts = self.whole([first.decode() for _, first, _ in cut])
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        firsts = self.whole([first.decode() for _, first, _ in cut])
-        missing = set().union(*[rest for _, _, rest in cut]).difference(self.young)
-        once = self.learn(list(missing))
-        get = self.young.__getitem__
+        pieces = list(set().union(*[rest for _, _, rest in cut]))
+        here = dict(zip(pieces, map(self.young.get, pieces)))  # small, so that its lookups stay near
+        here.update(self.learn([p for p, ids in here.items() if ids is None]))
+        get = here.__getitem__
         for (i, _, rest), head in zip(cut, firsts):
             out[i] = head + b"".join(map(get, rest))
-        for piece in once:
-            del self.young[piece]
         return out
 
 
