@@ -1,0 +1,146 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from sample_texts import prose
+
+from kestrelog.llm import common, containment, decontaminate, licenses, mixing, secrets
+
+
+def slow_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def slow_leaks(docs, items):
+    out = {}
+    for i, item in items:
+        w = slow_words(item)
+        k = min(5, len(w))
+        want = {" ".join(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+        for d, text in docs:
+            v = slow_words(text)
+            have = {" ".join(v[j : j + k]) for j in range(len(v) - k + 1)} if k else set()
+            n = len(want & have)
+            if want and 10 * n >= 8 * len(want):
+                out[d, i] = (n, len(want))
+    return out
+
+
+@pytest.fixture(scope="module")
+def leaky():
+    rng = random.Random(11)
+    items = [(i, prose(rng, rng.choice([2, 5, 9, 14, 40, 90]))) for i in range(30)] + [(98, ""), (99, None)]
+    docs = []
+    for d in range(120):
+        words = prose(rng, rng.randint(0, 300)).split()
+        if d % 3 == 0:
+            item = (rng.choice(items[:30])[1]).split()
+            if d % 2:
+                item[rng.randrange(len(item))] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = item
+        docs.append((d, "\n".join(words).upper() if d % 5 == 0 else " ".join(words)))
+    return docs + [(500, None), (501, "  ")], items
+
+
+def test_leaks_against_brute_force(spark, leaky):
+    docs, items = leaky
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == slow_leaks(docs, items) and len(got) > 20
+    kept = {r.doc_id for r in decontaminate.decontaminate(d, b).collect()}
+    assert kept == {x for x, _ in docs} - {x for x, _ in got}
+
+
+def test_search_past_the_broadcast_bound(spark, leaky, monkeypatch):
+    monkeypatch.setattr(containment.checked, "__defaults__", (3,))
+    docs, items = leaky
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == set(slow_leaks(docs, items))
+
+
+def test_leaks_of_odd_and_empty_tables(spark, odd_docs, no_docs):
+    items = spark.createDataFrame([(1, "word word word word word word", "x"), (1, "", "x"), (None, "a b c d e f", "x"), (2, "A b c d e f", "x")], "item_id long, text string, doc_id string")
+    rows = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd_docs, items).collect()}
+    assert rows == {(9, 1)}  # document 5 begins with no-break spaces, which do not part words
+    assert decontaminate.decontaminate(odd_docs, items).columns == odd_docs.columns
+    assert decontaminate.contaminated(no_docs, items).count() == 0
+    assert decontaminate.decontaminate(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_license_notices(spark, odd_docs, no_docs):
+    rng = random.Random(12)
+    texts, want = [], set()
+    for d in range(60):
+        words = prose(rng, rng.randint(0, 200)).split()
+        if d % 2:
+            i = rng.randrange(len(licenses.TEMPLATES))
+            notice = licenses.TEMPLATES[i][1].split()
+            at = rng.randint(0, len(words))
+            words[at:at] = [w.upper() for w in notice]
+            want.add((d, i))
+        texts.append((d, "  ".join(words)))
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), licenses.templates(spark)).collect()
+    found = {(r.doc_id, r.template_id): r for r in got}
+    assert want <= set(found) and {d for d, _ in found} == {d for d, _ in want}
+    assert all(r.containment >= 0.8 and r.windows >= 1 for r in got)
+    assert licenses.scan(odd_docs, licenses.templates(spark)).count() == 0
+    assert licenses.scan(no_docs, licenses.templates(spark)).count() == 0
+
+
+def test_raked_weights_meet_the_targets(spark):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(5, 60)) + rng.choice(["", " | x", " a@b"]), rng.choice(["en", "de", None]), f"s{min(rng.randrange(9), 4)}") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    rows = mixing.calibrated(docs).cache()
+    cells = mixing.keyed(docs).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    targets, total = mixing.tempered_targets(cells), rows.agg(F.sum("tokens")).first()[0]
+    assert rows.count() == 4000
+    for c in mixing.DIMENSIONS:
+        want = {r.value: r.share for r in targets[c].collect()}
+        got = {r[c]: r.x / total for r in rows.groupBy(c).agg(F.sum(F.col("tokens") * F.col("probability") * F.col("weight")).alias("x")).collect()}
+        assert want.keys() == got.keys() and all(abs(got[v] - want[v]) < 1e-3 for v in want)
+    kept = mixing.sample(docs)
+    for c in mixing.DIMENSIONS:
+        want = {r.value: r.share for r in targets[c].collect()}
+        held = {r[c]: r.x for r in kept.groupBy(c).agg(F.sum(F.col("tokens") * F.col("weight")).alias("x")).collect()}
+        assert all(abs(held[v] / sum(held.values()) - want[v]) < 0.05 for v in want)
+    assert {r.doc_id for r in mixing.mixed(docs).collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_mixing_odd_and_empty(spark, odd_docs, no_docs):
+    assert mixing.calibrated(odd_docs).count() == odd_docs.count()
+    assert mixing.mixed(odd_docs).columns == odd_docs.columns
+    assert mixing.sample(no_docs).count() == 0
+
+
+def test_secrets_are_found_and_false_ones_go(spark, odd_docs, no_docs):
+    rng = random.Random(14)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts, truth = [], set()
+    for d in range(300):
+        w = prose(rng, 30).split()
+        kind = d % 5
+        add = [f'token = "{hexes(40)}"', "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), f"see /var/log/build-2024-01-{d:03d}-nightly", f"card {rng.randrange(10**15, 10**16)}", "password=example12345"][kind]
+        w[10:10] = add.split()
+        texts.append((d, " ".join(w)))
+        if kind < 2:
+            truth.add(d)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = secrets.scan(docs)
+    assert {r.doc_id for r in rows.where("is_secret").collect()} == truth
+    by = dict(texts)
+    assert all(by[r.doc_id][r.start : r.start + len(r.value)] == r.value for r in rows.collect())
+    labelled = secrets.weak_labels(secrets.find(docs))
+    model = secrets.train(labelled.where("doc_id < 200"))
+    held = secrets.classify(secrets.find(docs.where("doc_id >= 200")), model)
+    assert {r.doc_id for r in held.where("is_secret").collect()} == {d for d in truth if d >= 200}
+    assert secrets.scan(no_docs).count() == 0 and secrets.scan(odd_docs).count() == 0
+    assert secrets.train(labelled.where("label = 0")) is None
+
+
+def test_words_and_folds(spark, odd_docs):
+    for r in odd_docs.select("text", common.words(F.col("text")).alias("w")).collect():
+        assert r.w == slow_words(r.text)
