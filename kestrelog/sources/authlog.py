@@ -100,9 +100,9 @@ def write_days(events: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(part, rows, first, last) of a written log."""
+    """(part, rows, first, last) of a written log; part is the day's folder and the file."""
     df = spark.read.parquet(path)
-    return df.groupBy(F.col("_metadata.file_name").alias("part")).agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    return df.groupBy(F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("part")).agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
 
 
 def profile(parsed: DataFrame, last_day: int) -> DataFrame:
