@@ -30,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Pieces whose ids a worker remembers in each of two generations.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 450_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -42,6 +42,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
+_BLANK = _BYTES[32]
 #: White space that a blank may touch, and white space outside ASCII: texts with these are not cut at blanks.
 _RUNS = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 
@@ -64,29 +65,35 @@ class PieceEncoder:
         self.marks: dict[str, bytes] = {}
         self.met = bytearray(1 << 21)  # a bit per hash of the pieces met so far
         # the short way to the model is taken only where it gives what the library's own way gives
-        samples = ["word", "Straße", "ciónñado,", "e", "naïveté...", "日本", "don!?", "œuvre)"]
-        self.direct = all(self.simple(x) == self.whole([" " + x])[0] for x in samples)
+        samples = ["word", "Straße", "ciónñado,", "e", "naïveté...", "日本", "don!?", "œuvre)", "\nNew", "\nÉtat."]
+        self.direct = all(self.simple(x.encode()) == self.whole([x if x[0] == "\n" else " " + x])[0] for x in samples)
         self.old: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.width, e.ids).tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def one(self, pretoken: str) -> bytes:
+    def one(self, pretoken: str, blank: str = "") -> bytes:
         """A string that the pre-tokenizer keeps whole, straight to the library's model."""
-        return array(self.width, [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-
-    def simple(self, text: str) -> bytes | None:
-        """Letters, or letters and then ASCII punctuation, after a blank: one or two pre-tokens. None for anything else."""
+        spelt = pretoken if pretoken.isascii() and pretoken.isalpha() else pretoken.encode().decode("latin-1").translate(_BYTES)
+        return array(self.width, [t.id for t in self.model.tokenize(blank + spelt)]).tobytes()
+
+    def simple(self, piece: bytes) -> bytes | None:
+        """Letters, or letters and then ASCII punctuation, after a blank or a line break: up to three pre-tokens. None for anything else."""
+        text = piece.decode()
+        ids, blank = b"", _BLANK
+        if text[:1] == "\n":
+            ids, blank, text = self.mark("\n"), "", text[1:]
+        if text.isalpha():
+            return ids + self.one(text, blank)
         letters = text.rstrip(string.punctuation)
         if not letters.isalpha():
             return None
-        ids = self.one(" " + letters)
-        if len(letters) < len(text):
-            marks = text[len(letters) :]
-            if marks not in self.marks:
-                self.marks[marks] = self.one(marks)
-            ids += self.marks[marks]
-        return ids
+        return ids + self.one(letters, blank) + self.mark(text[len(letters) :])
+
+    def mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self.one(text)
+        return self.marks[text]
 
     def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """The ids of pieces as split: those after a blank lack it, those after a line break begin with it.
@@ -97,7 +104,7 @@ class PieceEncoder:
         for piece in missing:
             ids = self.old.get(piece)
             if ids is None and self.direct:
-                ids = self.simple(piece.decode())
+                ids = self.simple(piece)
             if ids is None:
                 late.append(piece)
             else:
