@@ -82,16 +82,17 @@ def _rolling(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             times.append(int(t))
             fails.append(int(failed))
     state.update((times, fails))
-    state.setTimeoutDuration(6 * 3_600_000)
+    forget = (max(times) - 1 + ROLLING_SECONDS) * 1000
+    state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["acting_user", "source_line", "timestamp", "prior_auth_count_1h", "prior_failure_count_1h", "has_recent"])
 
 
-def rolling_features(events: DataFrame) -> DataFrame:
-    """Rolling counts of an hour per user, with state that holds the last hour; idle users are forgotten.
+def rolling_features(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Rolling counts of an hour per user, with state that holds the last hour; users are forgotten an hour of event time after their last event.
 
     Rows must come in time order per user, as the log is written.
     """
-    rows = events.select("acting_user", "source_line", "timestamp", (F.col("authentication_result") == "Fail").cast("int").alias("failed"))
+    rows = with_event_time(events).withWatermark("event_time", lateness).select("acting_user", "event_time", "source_line", "timestamp", (F.col("authentication_result") == "Fail").cast("int").alias("failed"))
     return rows.groupBy("acting_user").applyInPandasWithState(
-        _rolling, "acting_user string, source_line long, timestamp long, prior_auth_count_1h long, prior_failure_count_1h long, has_recent boolean", "times array<long>, fails array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        _rolling, "acting_user string, source_line long, timestamp long, prior_auth_count_1h long, prior_failure_count_1h long, has_recent boolean", "times array<long>, fails array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
