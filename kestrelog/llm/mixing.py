@@ -102,11 +102,18 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: f
 
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
-    """docs, sampled, with its own columns."""
+    """docs with its own columns, each row as often as its factor asks, so that the rows themselves meet the targets.
+
+    A row comes floor(rate * factor) times, and once more with the remainder's probability. The
+    ids are those of sample(), which keeps a row once and carries the rest as a weight.
+    """
     factors = cell_factors(keyed(docs), targets)
     chance = containment.checked(factors.select(*[F.col(c).alias(f"__{c}") for c in DIMENSIONS], (F.col("factor") * rate).alias("__chance")))
     named = docs.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topic_of(F.col("text"))})
-    return named.join(chance, ["__source", "__lang", "__topic"]).where(uniform(F.col("doc_id")) < F.col("__chance")).select(docs.columns)
+    whole = F.floor("__chance").cast("int")
+    times = whole + (uniform(F.col("doc_id")) < F.col("__chance") - whole).cast("int")
+    joined = named.join(chance, ["__source", "__lang", "__topic"]).withColumn("__times", times).where("__times > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

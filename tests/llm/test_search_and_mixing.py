@@ -110,6 +110,19 @@ def test_raked_weights_meet_the_targets(spark):
     assert {r.doc_id for r in mixing.mixed(docs).collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_mixed_rows_meet_the_targets_themselves(spark):
+    rng = random.Random(21)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(20, 60)) + (" | x" if i % 50 == 0 else ""), "en" if i % 10 else "de", "web" if i % 20 else "wiki") for i in range(6000)], "doc_id long, text string, lang string, source string")
+    cells = mixing.keyed(docs).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    targets, kept = mixing.tempered_targets(cells), mixing.mixed(docs)
+    assert mixing.cell_factors(mixing.keyed(docs)).agg(F.max("factor")).first()[0] > 2
+    for c in mixing.DIMENSIONS:
+        want = {r.value: r.share for r in targets[c].collect()}
+        held = {r[c]: r.x for r in mixing.keyed(kept).groupBy(c).agg(F.sum("tokens").alias("x")).collect()}
+        assert want.keys() == held.keys()
+        assert all(abs(held[v] / sum(held.values()) - want[v]) < 0.06 * want[v] + 0.005 for v in want)
+
+
 def test_mixing_odd_and_empty(spark, odd_docs, no_docs):
     assert mixing.calibrated(odd_docs).count() == odd_docs.count()
     assert mixing.mixed(odd_docs).columns == odd_docs.columns
