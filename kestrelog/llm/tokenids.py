@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,7 +31,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Pieces whose ids a worker remembers in each of two generations.
-CACHE_PIECES = 450_000
+CACHE_PIECES = 300_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -41,10 +42,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BYTES = _byte_letters()
-_BLANK = _BYTES[32]
+_LETTERS = _byte_letters()
+_BLANK = _LETTERS[32]
+#: UTF-16 units of the bytes' stand-ins; a blank stays one, since it separates the pieces.
+_SPELT = np.array([32 if b == 32 else ord(_LETTERS[b]) for b in range(256)], "<u2")
 #: White space that a blank may touch, and white space outside ASCII: texts with these are not cut at blanks.
-_RUNS = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+_RUNS = [
+    b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e",
+    b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+]
+#: Marks the first piece of a text; texts that hold it are not cut.
+_MARK = b"\x01"
+#: 1 for a blank or line break, 2 for bytes that are in or begin other white space, or are the mark.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, 10]] = 1
+_KIND[[1, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = 2
+
+
+def _plain(raw: np.ndarray) -> bool:
+    """Whether text bytes surely hold none of _RUNS and no mark."""
+    kind = _KIND[raw]
+    return not (kind[1:] & kind[:-1] & 1).any() and not (kind == 2).any()
 
 
 class PieceEncoder:
@@ -59,86 +77,127 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(public_tokenizers.path(name))
-        self.model = self.encoder.model
+        self.tokenize = self.encoder.model.tokenize
         self.width = "H" if self.encoder.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.young: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks: dict[str, list[int]] = {}
         self.met = bytearray(1 << 21)  # a bit per hash of the pieces met so far
         # the short way to the model is taken only where it gives what the library's own way gives
         samples = ["word", "Straße", "ciónñado,", "e", "naïveté...", "日本", "don!?", "œuvre)", "\nNew", "\nÉtat."]
-        self.direct = all(self.simple(x.encode()) == self.whole([x if x[0] == "\n" else " " + x])[0] for x in samples)
-        self.old: dict[bytes, bytes] = {}
+        straight, ends, late = self.simple([x.encode() for x in samples])
+        self.direct = not late and [straight[a:b] for a, b in zip([0, *ends], ends)] == self.whole([x if x[0] == "\n" else " " + x for x in samples])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.width, e.ids).tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def one(self, pretoken: str, blank: str = "") -> bytes:
-        """A string that the pre-tokenizer keeps whole, straight to the library's model."""
-        spelt = pretoken if pretoken.isascii() and pretoken.isalpha() else pretoken.encode().decode("latin-1").translate(_BYTES)
-        return array(self.width, [t.id for t in self.model.tokenize(blank + spelt)]).tobytes()
-
-    def simple(self, piece: bytes) -> bytes | None:
-        """Letters, or letters and then ASCII punctuation, after a blank or a line break: up to three pre-tokens. None for anything else."""
-        text = piece.decode()
-        ids, blank = b"", _BLANK
-        if text[:1] == "\n":
-            ids, blank, text = self.mark("\n"), "", text[1:]
-        if text.isalpha():
-            return ids + self.one(text, blank)
-        letters = text.rstrip(string.punctuation)
-        if not letters.isalpha():
-            return None
-        return ids + self.one(letters, blank) + self.mark(text[len(letters) :])
-
-    def mark(self, text: str) -> bytes:
+    def mark(self, text: str) -> list[int]:
+        """The ids of a run of ASCII punctuation or a line break."""
         if text not in self.marks:
-            self.marks[text] = self.one(text)
+            self.marks[text] = [t.id for t in self.tokenize("".join(_LETTERS[b] for b in text.encode()))]
         return self.marks[text]
 
-    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+    def simple(self, pieces: list[bytes]) -> tuple[bytes, list[int], list[int]]:
+        """Pieces straight to the library's model -> (all ids, the bytes of them where each piece's end, places of pieces that can't go this way).
+
+        A piece can if it has letters, or letters and then ASCII punctuation, after a blank or a
+        line break: up to three pre-tokens, each of which the pre-tokenizer keeps whole.
+        """
+        joined = b" ".join(pieces)
+        spelt = _SPELT[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le").split(" ")
+        ids: list[int] = []
+        ends: list[int] = []
+        late: list[int] = []
+        tokenize, mark = self.tokenize, self.mark
+        for text, letters in zip(joined.decode().split(" "), spelt):
+            if text.isalpha():
+                ids += [t.id for t in tokenize(_BLANK + letters)]
+            else:
+                blank = _BLANK
+                if text[:1] == "\n":
+                    ids += mark("\n")
+                    blank, text, letters = "", text[1:], letters[1:]
+                stem = text.rstrip(string.punctuation)
+                tail = len(text) - len(stem)
+                if stem.isalpha():
+                    ids += [t.id for t in tokenize(blank + letters[: len(letters) - tail])]
+                    if tail:
+                        ids += mark(text[len(stem) :])
+                else:
+                    late.append(len(ends))
+            ends.append(len(ids))
+        size = array(self.width).itemsize
+        return array(self.width, ids).tobytes(), [n * size for n in ends], late
+
+    def learn(self, missing: list[bytes]) -> list[bytes]:
         """The ids of pieces as split: those after a blank lack it, those after a line break begin with it.
 
         Pieces that are met for the first time are not remembered.
         """
-        found, late, met = {}, [], self.met
-        for piece in missing:
-            ids = self.old.get(piece)
-            if ids is None and self.direct:
-                ids = self.simple(piece)
-            if ids is None:
-                late.append(piece)
-            else:
-                found[piece] = ids
-        for i in range(0, len(late), 4096):
-            part = late[i : i + 4096]
-            found.update(zip(part, self.whole([(p if p[:1] == b"\n" else b" " + p).decode() for p in part])))
-        for piece, ids in found.items():
+        out: list = list(map(self.old.get, missing))
+        todo = [i for i, ids in enumerate(out) if ids is None]
+        if todo and self.direct:
+            raw, ends, late = self.simple([missing[i] for i in todo])
+            first = 0
+            for i, end in zip(todo, ends):
+                out[i] = raw[first:end]
+                first = end
+            todo = [todo[i] for i in late]
+        for k in range(0, len(todo), 4096):
+            part = [missing[i] for i in todo[k : k + 4096]]
+            for i, ids in zip(todo[k : k + 4096], self.whole([(p if p[:1] == b"\n" else b" " + p).decode() for p in part])):
+                out[i] = ids
+        met, young = self.met, self.young
+        for piece, ids in zip(missing, out):
             at = hash(piece) & 0xFFFFFF
             if met[at >> 3] >> (at & 7) & 1:
-                self.young[piece] = ids
+                young[piece] = ids
             else:
                 met[at >> 3] |= 1 << (at & 7)
-        return found
+        return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut = []
-        for i, text in enumerate(texts):
-            if not text or text[:1] in b" \n" or text[-1:] in b" \n" or any(x in text for x in _RUNS):
-                out[i] = self.whole([text.decode()])[0] if text else b""
-            else:
-                first, *rest = text.replace(b"\n", b" \n").split(b" ")
-                cut.append((i, first, rest))
-        firsts = self.whole([first.decode() for _, first, _ in cut])
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces as split."""
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        pieces = list(set().union(*[rest for _, _, rest in cut]))
-        here = dict(zip(pieces, map(self.young.get, pieces)))  # small, so that its lookups stay near
-        here.update(self.learn([p for p, ids in here.items() if ids is None]))
-        get = here.__getitem__
-        for (i, _, rest), head in zip(cut, firsts):
-            out[i] = head + b"".join(map(get, rest))
-        return out
+        ids: list = list(map(self.young.get, pieces))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(missing, self.learn([pieces[i] for i in missing])):
+            ids[i] = x
+        return ids
+
+    def encode(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, memoryview]:
+        """Texts -> (offsets, data): where each text's ids begin and the last ones end in data; end follows each text's ids.
+
+        All texts are split at once and each distinct piece is looked up once. A text's first
+        piece, and a text that can't be cut, is marked by a byte 1 in front, and brings the end
+        of the text before it.
+        """
+        joined = b" \x00".join(texts)
+        bare = _plain(np.frombuffer(joined, np.uint8)) or not any(x in joined for x in (*_RUNS, _MARK))
+        parts, first = [], {}
+        for i, text in enumerate(texts):
+            if not text or text[:1] in b" \n" or text[-1:] in b" \n" or not bare and any(x in text for x in (*_RUNS, _MARK)):
+                parts.append(_MARK * 2 + b"%d" % i)
+                first[parts[-1]] = text
+            else:
+                parts.append(_MARK + text)
+        joined = b" ".join([*parts, _MARK]).replace(b"\n", b" \n")
+        pieces = pc.split_pattern(pa.array([joined], pa.large_binary()), b" ").values.dictionary_encode()
+        place, spelt = pieces.indices, pieces.dictionary
+        cuts = np.frombuffer(spelt.buffers()[1], np.int64).tolist()
+        text = spelt.buffers()[2].to_pybytes()
+        distinct = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        is_first = np.zeros(len(distinct), bool)
+        is_first[[i for i, p in enumerate(distinct) if p[:1] == _MARK]] = True
+        ids: list = self.ids_of([p for p in distinct if p[:1] != _MARK])
+        heads = np.flatnonzero(is_first).tolist()
+        for i, x in zip(heads, self.whole([first.get(distinct[i], distinct[i][1:]).decode() for i in heads])):
+            ids.insert(i, end + x)  # few, and in ascending order
+        values = pa.array(ids, pa.large_binary()).take(place)
+        starts = np.flatnonzero(is_first[place.to_numpy()])
+        offsets = np.frombuffer(values.buffers()[1], np.int64)[starts] + len(end)
+        return offsets, memoryview(values.buffers()[2] or b"")
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -149,34 +208,39 @@ def _encode(name: str):
         if name not in _ENCODERS:
             _ENCODERS[name] = PieceEncoder(name)
         encoder = _ENCODERS[name]
-        end = array(encoder.width, [END_ID]).tobytes()
+        end, kind, total = array(encoder.width, [END_ID]).tobytes(), np.dtype(encoder.width), np.zeros(0, np.int64)
+        names = ["doc_id", "ids", "tally"]
         for batch in batches:
-            for first, last, raw, offsets in common.text_blocks(batch.column(1)):
-                data = raw.tobytes()
-                cuts = offsets.tolist()
-                ids = [x + end for x in encoder.encode([data[a:b] for a, b in zip(cuts, cuts[1:])])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for first, last, raw, offsets in common.text_blocks(batch.column(1), 1 << 20):
+                data, cuts = raw.tobytes(), offsets.tolist()
+                where, ids = encoder.encode([data[a:b] for a, b in zip(cuts, cuts[1:])], end)
+                used = ids[where[0] : where[-1]]
+                n = np.bincount(np.frombuffer(used, kind), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), column, pa.nulls(last - first, pa.binary())], names)
+        at = np.flatnonzero(total)
+        tally = np.stack([at, total[at]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([tally], pa.binary())], names)
 
     return run
 
 
 def encoded(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, ids): the ids with the end id, as unsigned 16-bit (32-bit for larger vocabularies)."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(name), "doc_id long, ids binary")
+    """docs (doc_id, text) -> (doc_id, ids, tally).
 
+    ids are those of the text with the end id, as unsigned 16-bit (32-bit for larger
+    vocabularies). Each task adds a row without ids whose tally has the ids that it met and, after them, how often.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_encode(name), "doc_id long, ids binary, tally binary")
 
-def _frequencies(dtype: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for _, _, raw, _ in common.text_blocks(batch.column(0)):
-                n = np.bincount(raw.copy().view(dtype), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for tally in batch.column(0):
+            ids, n = np.frombuffer(tally.as_buffer(), "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -234,20 +298,21 @@ class Files:
 
 
 def write(docs: DataFrame, path: str, name: str = TOKENIZER) -> Files:
-    """Encodes docs and writes the two tables under path. Copies keep an entry each; order among equal doc_ids is by ids."""
+    """Encodes docs and writes the two tables under path. Copies keep an entry each; order among equal doc_ids is by a hash of the ids."""
     spark = docs.sparkSession
-    ids = common.stored(encoded(docs, name), "token-ids", "zstd")
+    found = common.stored(encoded(docs, name), "token-ids", "zstd")
     from tokenizers import Tokenizer
 
     dtype = "<u2" if Tokenizer.from_file(public_tokenizers.path(name)).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    counts = ids.select("ids").mapInArrow(_frequencies(dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = found.where("tally is not null").select("tally").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ordered = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # a row for each id of the vocabulary at most
     files = Files(f"{path}/blocks", f"{path}/ranks")
     spark.createDataFrame(ordered.assign(rank=np.arange(len(ordered)))[["rank", "id", "n"]], "rank long, id long, n long").write.parquet(files.ranks)
     ranks = np.zeros(int(ordered["id"].max()) + 1 if len(ordered) else 1, np.uint32)
     ranks[ordered["id"].to_numpy()] = np.arange(len(ordered))
     shared = spark.sparkContext.broadcast(ranks)
-    placed = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ids = found.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("mark"))
+    placed = ids.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "ids").select("doc_id", "ids")
     placed.mapInArrow(_blocks(dtype, shared), BLOCKS).write.parquet(files.blocks)
     return files
 

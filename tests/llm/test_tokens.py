@@ -11,7 +11,7 @@ from kestrelog.llm import tokencount, tokenids
 
 from sample_texts import ODD, prose
 
-PIECES = [" ", "\n", "  ", "a", "bc", "'s", "don't", "é", " ", "<|endoftext|>", "1", "!!", "\t", "日本", "B,", "x", "|", " ", " ", "word.", "\n\n", "\r\n"]
+PIECES = [" ", "\n", "\x01", "\x01\x010", "  ", "a", "bc", "'s", "don't", "é", " ", "<|endoftext|>", "1", "!!", "\t", "日本", "B,", "x", "|", " ", " ", "word.", "\n\n", "\r\n"]
 
 
 def plain_ids(texts):
@@ -26,8 +26,11 @@ def test_pieces_give_the_librarys_ids(monkeypatch):
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [prose(rng, 50) for _ in range(50)]
     encoder = tokenids.PieceEncoder(tokenids.TOKENIZER)
     assert encoder.direct
-    got = [x for i in range(0, len(texts), 100) for x in encoder.encode([t.encode() for t in texts[i : i + 100]])]
-    assert got == [np.array(x, "<u2").tobytes() for x in plain_ids(texts)]
+    end, got = np.array([0], "<u2").tobytes(), []
+    for i in range(0, len(texts), 100):
+        where, ids = encoder.encode([t.encode() for t in texts[i : i + 100]], end)
+        got += [bytes(ids[a:b]) for a, b in zip(where.tolist(), where.tolist()[1:])]
+    assert got == [np.array([*x, 0], "<u2").tobytes() for x in plain_ids(texts)]
 
 
 def test_packing_round_trip():
@@ -59,6 +62,8 @@ def test_token_id_files(spark, odd_docs, no_docs, tmp_path):
     assert blocks.agg(F.sum("n_tokens")).first()[0] == sum(r.n for r in ranks.values())
     check_ids(odd_docs, tokenids.token_ids(odd_docs).collect())
     assert tokenids.token_ids(no_docs).count() == 0
+    copies = spark.createDataFrame([(5, "the same")] * 40 + [(None, "none")] * 40 + [(6, prose(rng, 20))], "doc_id long, text string").repartition(4)
+    check_ids(copies, tokenids.token_ids(copies).collect())
 
 
 def test_token_counts_and_cache(spark, odd_docs, no_docs, tmp_path):
@@ -80,3 +85,17 @@ def test_token_counts_and_cache(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(r.digest, r.version, 777) for r in spark.read.parquet(cache).where("n_tokens = 0").collect()], tokencount.CACHE_SCHEMA).write.mode("append").parquet(cache)
     assert 777 in {r.n_tokens for r in tokencount.token_counts(odd_docs, cache).collect()}  # counts come from the cache
     assert tokencount.token_counts(no_docs, str(tmp_path / "other")).count() == 0
+
+
+def test_token_counts_with_a_hot_text_and_many_misses(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, "hot text" if i % 3 else prose(rng, 3 + i % 5)) for i in range(300)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in tokencount.token_counts(docs, str(tmp_path / "a")).collect())
+    assert len(want) == 300
+    monkeypatch.setattr(tokencount, "HOT_PARTS", 10**9)  # every digest's counts are broadcast
+    assert sorted(tuple(r) for r in tokencount.token_counts(docs, str(tmp_path / "a")).collect()) == want
+    monkeypatch.setattr(tokencount, "HOT_PARTS", 0)  # none are
+    few = docs.where("doc_id < 100")
+    tokencount.token_counts(few, str(tmp_path / "b")).count()
+    monkeypatch.setattr(tokencount, "MISSES", 0)  # misses go by a shuffle
+    assert sorted(tuple(r) for r in tokencount.token_counts(docs, str(tmp_path / "b")).collect()) == want
