@@ -21,6 +21,10 @@ from . import common
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
+#: A digest with more than one HOT_PARTS-th of the rows is hot; there are fewer than HOT_PARTS of them, whatever the data.
+HOT_PARTS = 1000
+#: Missing digests up to which they are broadcast to the texts.
+MISSES = 200_000
 _LOADED: dict[str, object] = {}
 
 
@@ -65,15 +69,29 @@ def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return held.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two jobs may have appended the same
 
 
-def fill_cache(docs: DataFrame, cache: str, model: str = MODEL) -> None:
-    """Encodes the distinct texts of docs that the cache lacks and appends their counts.
+def _texts(docs: DataFrame) -> DataFrame:
+    """(digest, text), each task sending a content on once, so that a text with many copies does not gather."""
+    return docs.groupBy("digest").agg(F.min("text").alias("text"))
 
-    Copies meet once: each task sends a content on once, so that a text with many copies
-    does not gather.
+
+def fill_cache(docs: DataFrame, digests: DataFrame, cache: str, model: str = MODEL) -> None:
+    """Encodes the texts of docs whose digests the cache lacks, once each, and appends their counts.
+
+    digests are asked of the cache first, so that only missing texts move. Where nothing is
+    held all texts are missing; where too many are missing to be broadcast, distinct texts meet
+    the missing digests in a shuffle.
     """
     spark, version = docs.sparkSession, tokenizer_version(model)
-    distinct = docs.select(_digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("text")).groupBy("digest").agg(F.min("text").alias("text"))
-    misses = distinct.join(cached_counts(spark, cache, version), "digest", "left_anti")
+    held = cached_counts(spark, cache, version)
+    texts = docs.select(_digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("text"))
+    if held.limit(1).count():
+        missing = common.stored(digests.select("digest").join(held, "digest", "left_anti"), "token-misses")
+        if missing.limit(MISSES + 1).count() <= MISSES:
+            misses = _texts(texts.join(F.broadcast(missing), "digest", "left_semi"))
+        else:
+            misses = _texts(texts).join(missing, "digest", "left_semi")
+    else:
+        misses = _texts(texts)
     counts = misses.select("digest", "text").mapInArrow(_counter(model), "digest binary, n_tokens long")
     counts.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
 
@@ -81,13 +99,22 @@ def fill_cache(docs: DataFrame, cache: str, model: str = MODEL) -> None:
 def token_counts(docs: DataFrame, cache: str, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
     """documents -> (doc_id, n_bytes, n_tokens, over_limit), a row for each row, through the cache.
 
-    A null text counts as empty, which has no tokens. Null and repeated doc_ids keep their rows;
-    other columns are ignored.
+    A null text counts as empty, which has no tokens. Texts are counted whole, however long.
+    Null and repeated doc_ids keep their rows; an empty table gives no rows; other columns are
+    ignored. Rows of hot digests meet their counts by a broadcast, the others by a shuffle.
     """
-    fill_cache(docs, cache, model)
-    keyed = docs.select("doc_id", F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes"), _digest(F.col("text")).alias("digest"))
+    keys = docs.select("doc_id", F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes"), _digest(F.col("text")).alias("digest"))
+    keyed = common.stored(keys, "token-digests")
+    digests = common.stored(keyed.groupBy("digest").agg(F.count("*").alias("rows")), "token-distinct")
+    fill_cache(docs, digests, cache, model)
     counts = cached_counts(docs.sparkSession, cache, tokenizer_version(model))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    total = keyed.count()
+    hot = digests.where(F.col("rows") * HOT_PARTS > total)
+    hot = F.broadcast(common.stored(hot.select("digest").join(counts, "digest").withColumnRenamed("n_tokens", "hot"), "token-hot"))
+    near = keyed.join(hot, "digest", "left")
+    told = near.where("hot is not null").select("doc_id", "n_bytes", F.col("hot").alias("n_tokens"))
+    rest = near.where("hot is null").drop("hot").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    return told.union(rest).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
