@@ -129,12 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """docs (doc_id, text) and labels (doc_id, toxic) -> sparse weights (bucket int, weight double).
 
     Labels other than 0 and 1 and rows without an id are left out; a document with several
-    labels counts as toxic if any says so. At most settings.max_rows labelled rows are used,
-    the first by a hash of the id. Without labelled rows there are no weights.
+    labels counts as toxic if any says so. At most settings.max_rows documents are used, the
+    first by a hash of the id, one row each: of several texts of one id the least. Null and
+    empty texts teach the bias alone; ties of the hash go by id. Without labelled rows there
+    are no weights. Texts are read whole.
     """
     labelled = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = labelled.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(settings.max_rows)  # bounded: it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     dealt = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(13), "doc_id"), F.xxhash64("text"))
     return dealt.select("text", "toxic").mapInArrow(_ftrl(settings), "bucket int, weight double")
 
@@ -155,7 +157,11 @@ def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns; a score of exactly the threshold goes.
+
+    Null and empty texts score by the bias alone. Repeated rows and null ids are judged row by
+    row; an empty table stays empty; other columns, whatever their names, are kept.
+    """
     shared, column = _share(docs.sparkSession, weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
