@@ -11,6 +11,7 @@ A second table has the ranks' ids. A null doc_id stands for the first place in t
 
 from __future__ import annotations
 
+import gc
 import string
 import zlib
 from array import array
@@ -108,8 +109,8 @@ class PieceEncoder:
         ids: list[int] = []
         ends: list[int] = []
         late: list[int] = []
-        tokenize, mark = self.tokenize, self.mark
-        for text, letters in zip(joined.decode().split(" "), spelt):
+        tokenize, mark, known, width = self.tokenize, self.mark, self.young.get, self.width
+        for piece, text, letters in zip(pieces, joined.decode().split(" "), spelt):
             if text.isalpha():
                 ids += [t.id for t in tokenize(_BLANK + letters)]
             else:
@@ -120,7 +121,10 @@ class PieceEncoder:
                 stem = text.rstrip(string.punctuation)
                 tail = len(text) - len(stem)
                 if stem.isalpha():
-                    ids += [t.id for t in tokenize(blank + letters[: len(letters) - tail])]
+                    if blank and tail and (held := known(piece[:-tail])) is not None:  # met without the punctuation
+                        ids += array(width, held)
+                    else:
+                        ids += [t.id for t in tokenize(blank + letters[: len(letters) - tail])]
                     if tail:
                         ids += mark(text[len(stem) :])
                 else:
@@ -167,6 +171,14 @@ class PieceEncoder:
         return ids
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, memoryview]:
+        """encoded() without collecting garbage, since many small objects come and go here and none are in cycles."""
+        gc.disable()
+        try:
+            return self.encoded(texts, end)
+        finally:
+            gc.enable()
+
+    def encoded(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, memoryview]:
         """Texts -> (offsets, data): where each text's ids begin and the last ones end in data; end follows each text's ids.
 
         All texts are split at once and each distinct piece is looked up once. A text's first
@@ -245,15 +257,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Ranks -> control bytes and data bytes."""
-    ranks = ranks.astype("<u4")
-    extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = extra
-    quads = padded.reshape(-1, 4)
+    high = int(ranks.max(initial=0))
+    kind = np.dtype("<u1" if high < 1 << 8 else "<u2" if high < 1 << 16 else "<u4")
+    ranks = ranks.astype(kind)
+    extra = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    for k in range(1, kind.itemsize):
+        extra[: len(ranks)] += ranks >= 1 << 8 * k
+    quads = extra.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    width = int(extra.max(initial=0)) + 1
-    keep = np.arange(width, dtype=np.uint8) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][keep].tobytes()
+    keep = np.empty((len(ranks), kind.itemsize), bool)
+    for k in range(kind.itemsize):
+        keep[:, k] = extra[: len(ranks)] >= k
+    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8)[keep.reshape(-1)].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -308,7 +323,7 @@ def write(docs: DataFrame, path: str, name: str = TOKENIZER) -> Files:
     ordered = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # a row for each id of the vocabulary at most
     files = Files(f"{path}/blocks", f"{path}/ranks")
     spark.createDataFrame(ordered.assign(rank=np.arange(len(ordered)))[["rank", "id", "n"]], "rank long, id long, n long").write.parquet(files.ranks)
-    ranks = np.zeros(int(ordered["id"].max()) + 1 if len(ordered) else 1, np.uint32)
+    ranks = np.zeros(int(ordered["id"].max()) + 1 if len(ordered) else 1, dtype)
     ranks[ordered["id"].to_numpy()] = np.arange(len(ordered))
     shared = spark.sparkContext.broadcast(ranks)
     ids = found.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("mark"))
