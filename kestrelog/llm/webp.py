@@ -1,14 +1,16 @@
-"""Lossless WebP (VP8L): a decoder of the whole format, and an encoder.
+"""Lossless WebP (VP8L): a decoder of the whole format.
 
-The decoder reads prefix codes (simple and normal, with meta prefix groups), back-references,
-the colour cache, and the predictor, cross-colour, subtract-green and palette transforms.
-Images whose every code has one length (as the encoder writes by default) are decoded by
-numpy; all others symbol by symbol. Pixels are (height, width, 4) arrays of R, G, B, A.
+It reads prefix codes (simple and normal, with meta prefix groups), back-references, the colour
+cache, and the predictor, cross-colour, subtract-green and palette transforms. Many images are
+decoded together: every step decodes the next pixel of each of them through lookup tables, so
+that numpy works on whole columns of images. Images with meta prefix groups are decoded one by
+one. Pixels are (height, width, 4) arrays of R, G, B, A.
 """
 
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -25,7 +27,6 @@ DISTANCES = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
-MAX_SIDE = 16384
 _CACHE_FACTOR = 0x1E35A7BD
 
 
@@ -45,82 +46,141 @@ class Bits:
             raise ValueError("the image ends early")
         return value & ((1 << n) - 1)
 
-    def take(self, n: int) -> np.ndarray:
-        """The next n bits as an array."""
-        first, end = self.at >> 3, self.at + n
-        if end > 8 * len(self.data):
-            raise ValueError("the image ends early")
-        raw = np.unpackbits(np.frombuffer(self.data, np.uint8)[first : (end + 7) >> 3], bitorder="little")
-        out = raw[self.at & 7 :][:n]
-        self.at = end
-        return out
+
+_REVERSED = np.zeros(1 << 16, np.int64)
+for _k in range(16):
+    _REVERSED |= (np.arange(1 << 16) >> _k & 1) << (15 - _k)
+
+
+def canonical_codes(lengths: np.ndarray) -> np.ndarray:
+    """(codes, symbols) lengths -> the bits of each symbol, first bit lowest; 0 for those without a length."""
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol].astype(np.int64)
+    counts = np.bincount(row * 16 + n, minlength=len(lengths) * 16).reshape(-1, 16)
+    first = np.zeros_like(counts)
+    for k in range(1, 16):
+        first[:, k] = (first[:, k - 1] + counts[:, k - 1]) << 1
+    group = row * 16 + n
+    order = np.argsort(group, kind="stable")
+    rank = np.empty(len(group), np.int64)
+    rank[order] = np.arange(len(group)) - (np.cumsum(counts.reshape(-1)) - counts.reshape(-1))[group[order]]
+    out = np.zeros(lengths.shape, np.uint64)
+    out[row, symbol] = _REVERSED[(first[row, n] + rank) & 0xFFFF] >> (16 - n)
+    return out
+
+
+def lookup_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, symbols) lengths -> one table of length << 12 | symbol for all codes, where each begins, and its mask.
+
+    A symbol alone takes no bits.
+    """
+    used = (lengths > 0).sum(1)
+    if not used.all():
+        raise ValueError("a prefix code without symbols")
+    kraft = np.where(lengths > 0, 1 << (15 - np.minimum(lengths, 15).astype(np.int64)), 0).sum(1)
+    if ((kraft != 1 << 15) & (used > 1)).any():
+        raise ValueError("a prefix code that is not complete")
+    widest = np.where(used == 1, 0, lengths.max(1)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(1 << widest)])
+    row, symbol = np.nonzero(lengths)
+    n = np.where(used[row] == 1, 0, lengths[row, symbol]).astype(np.int64)
+    code = np.where(n > 0, canonical_codes(lengths)[row, symbol].astype(np.int64), 0)
+    times = 1 << (widest[row] - n)
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    table = np.zeros(int(base[-1]), np.int64)
+    table[np.repeat(base[row] + code, times) + (k << np.repeat(n, times))] = np.repeat(n << 12 | symbol, times)
+    return table, base[:-1], (1 << widest) - 1
+
+
+_SHORT = _REVERSED[:128].tolist()
+
+
+def short_codes(lengths: list[int]) -> list[int]:
+    """canonical_codes of one code of lengths up to 7."""
+    out, code, last = [0] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        out[s] = _SHORT[code & 127] >> (16 - n)
+        code += 1
+    return out
+
+
+def _short_table(lengths: list[int]) -> list[int]:
+    """The lookup table (length << 12 | symbol) of one code of lengths up to 7."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if not used:
+        raise ValueError("a prefix code without symbols")
+    if len(used) == 1:
+        return [used[0]]
+    widest = max(lengths)
+    if sum(1 << (7 - n) for n in lengths if n) != 128:
+        raise ValueError("a prefix code that is not complete")
+    table, codes = [0] * (1 << widest), short_codes(lengths)
+    for s in used:
+        n = lengths[s]
+        table[codes[s] :: 1 << n] = [n << 12 | s] * (1 << (widest - n))
+    return table
 
 
 class Code:
-    """A prefix code by its lengths: symbols looked up by (length, bits from the root)."""
-
-    def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.single = used[0][1] if len(used) == 1 else None
-        self.table: dict[tuple[int, int], int] = {}
-        self.symbols: list[int] = [s for _, s in sorted(used)]
-        self.uniform = 0 if len(used) == 1 else used[0][0] if used and all(n == used[0][0] for n, _ in used) and len(used) == 1 << used[0][0] else None
-        if not used:
-            raise ValueError("a prefix code without symbols")
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            self.table[n, code] = s
-            code += 1
-        if self.single is None and code != 1 << last:
-            raise ValueError("a prefix code that is not complete")
+    """A prefix code by its lengths, read through a table of its longest code."""
+
+    def __init__(self, lengths: np.ndarray):
+        table, _, mask = lookup_tables(np.asarray(lengths)[None])
+        self.table, self.mask = table.tolist(), int(mask[0])
 
     def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        code = n = 0
-        while n < 16:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (found := self.table.get((n, code))) is not None:
-                return found
-        raise ValueError("no such prefix code")
-
-
-def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
+        first = bits.at >> 3
+        entry = self.table[int.from_bytes(bits.data[first : first + 3], "little") >> (bits.at & 7) & self.mask]
+        bits.at += entry >> 12
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the image ends early")
+        return entry & 4095
+
+
+def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
+    """The lengths of a prefix code."""
+    lengths = np.zeros(alphabet, np.uint8)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)]
+        lengths[bits.read(8 if wide else 1)] = 1
         if two:
-            symbols.append(bits.read(8))
-        for s in symbols:
-            lengths[s] = 1
-        return Code(lengths)
+            lengths[bits.read(8)] = 1
+        return lengths
     own = [0] * 19
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
-    code, left = Code(own), alphabet
+    table, left = _short_table(own), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    if code.uniform == 1 and code.symbols[1] < 16:  # plain lengths at a bit each
-        found = np.array(code.symbols)[bits.take(min(left, alphabet))]
-        return Code(found.tolist() + [0] * (alphabet - len(found)))
-    i, previous = 0, 8
-    while i < alphabet and left:
+    mask, data, at = len(table) - 1, bits.data, bits.at
+    out: list[int] = []
+    previous, held, have = 8, 0, 0
+    while len(out) < alphabet and left:
+        if have < 14:  # the longest code and its extra bits
+            held, have = int.from_bytes(data[at >> 3 : (at >> 3) + 32], "little") >> (at & 7), 256 - (at & 7)
+        entry = table[held & mask]
+        n, s = entry >> 12, entry & 4095
         left -= 1
-        s = code.read(bits)
         if s < 16:
-            lengths[i] = s
-            i += 1
-            previous = s or previous
+            out.append(s)
+            if s:
+                previous = s
         else:
-            n, value = (3 + bits.read(2), previous) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-            if i + n > alphabet:
-                raise ValueError("too many code lengths")
-            lengths[i : i + n] = [value] * n
-            i += n
-    return Code(lengths)
+            more, low, value = ((2, 3, previous), (3, 3, 0), (7, 11, 0))[s - 16]
+            out += [value] * (low + (held >> n & ((1 << more) - 1)))
+            n += more
+        held >>= n
+        have -= n
+        at += n
+    if len(out) > alphabet:
+        raise ValueError("too many code lengths")
+    if at > 8 * len(data):
+        raise ValueError("the image ends early")
+    bits.at = at
+    lengths[: len(out)] = out
+    return lengths
 
 
 def _extra(bits: Bits, prefix: int) -> int:
@@ -130,8 +190,21 @@ def _extra(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
 
 
-def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as ARGB numbers, row by row."""
+@dataclass
+class Coded:
+    """An entropy-coded image: its size and codes, and where its bits begin."""
+
+    width: int
+    height: int
+    cache_bits: int
+    groups: list[list[np.ndarray]]
+    meta: np.ndarray | None
+    block: int
+    data: bytes
+    at: int
+
+
+def _coded(bits: Bits, width: int, height: int, main: bool) -> Coded:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -139,30 +212,39 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if main and bits.read(1):
         block = bits.read(3) + 2
         across = (width + (1 << block) - 1) >> block
-        meta = (_image(bits, across, (height + (1 << block) - 1) >> block, False) >> 8 & 0xFFFF).reshape(-1, across)
+        meta = (_image(bits, across, (height + (1 << block) - 1) >> block) >> 8 & 0xFFFF).reshape(-1, across)
         groups = int(meta.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[_read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
-    total = width * height
-    if groups == 1 and all(c.uniform is not None for c in codes[0][:4]) and max(codes[0][0].symbols) < 256:
-        return _uniform(bits, codes[0], total)
+    codes = [[_read_lengths(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
+    return Coded(width, height, cache_bits, codes, meta, block, bits.data, bits.at)
+
+
+def _image(bits: Bits, width: int, height: int) -> np.ndarray:
+    """An image inside another's header, as ARGB numbers row by row."""
+    return _one_by_one(bits, _coded(bits, width, height, False))
+
+
+def _one_by_one(bits: Bits, image: Coded) -> np.ndarray:
+    """The pixels of one image, symbol by symbol; bits ends behind them."""
+    bits.at, width = image.at, image.width
+    codes = [[Code(x) for x in group] for group in image.groups]
+    total = width * image.height
     out = np.zeros(total, np.uint32)
-    cache = [0] * cache_size
-    shift = 32 - cache_bits
+    cache = [0] * (1 << image.cache_bits if image.cache_bits else 0)
+    shift = 32 - image.cache_bits
 
     def remember(pixel: int) -> None:
-        if cache_size:
+        if cache:
             cache[(pixel * _CACHE_FACTOR & 0xFFFFFFFF) >> shift] = pixel
 
     i = 0
     while i < total:
-        group = codes[int(meta[(i // width) >> block, (i % width) >> block])] if meta is not None else codes[0]
+        group = codes[int(image.meta[(i // width) >> image.block, (i % width) >> image.block])] if image.meta is not None else codes[0]
         s = group[0].read(bits)
         if s < 256:
             red, blue, alpha = (group[k].read(bits) for k in (1, 2, 3))
-            pixel = alpha << 24 | red << 16 | s << 8 | blue
-            out[i] = pixel
-            remember(pixel)
+            out[i] = alpha << 24 | red << 16 | s << 8 | blue
+            remember(int(out[i]))
             i += 1
         elif s < 280:
             length = _extra(bits, s - 256)
@@ -185,21 +267,104 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def _uniform(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
-    """Pixels whose four codes have one length each: every pixel takes the same number of bits."""
-    each = [c.uniform for c in codes[:4]]
-    width = sum(each)
-    raw = bits.take(width * total).reshape(total, width)
-    samples, at = [], 0
-    for c, n in zip(codes, each):
-        index = np.packbits(raw[:, at : at + n], axis=1)[:, 0] >> (8 - n) if n else np.zeros(total, np.uint8)
-        samples.append(np.array(c.symbols, np.uint8)[index].astype(np.uint32))
-        at += n
-    green, red, blue, alpha = samples
-    return alpha << 24 | red << 16 | green << 8 | blue
-
-
-def _channels(argb: np.ndarray) -> np.ndarray:
+def hash_of(argb: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The colour cache's slot of pixels, for caches of 2^bits slots."""
+    return ((argb.astype(np.int64) * _CACHE_FACTOR) & 0xFFFFFFFF) >> (32 - bits)
+
+
+_PREFIX = np.arange(40)
+_EXTRA_BITS = np.where(_PREFIX < 4, 0, (_PREFIX - 2) >> 1)
+_EXTRA_BASE = np.where(_PREFIX < 4, _PREFIX + 1, ((2 + (_PREFIX & 1)) << _EXTRA_BITS) + 1)
+_NEAR_X, _NEAR_Y = (np.array([0, *(d[k] for d in DISTANCES)]) for k in (0, 1))
+
+
+def _together(images: list[Coded]) -> list[np.ndarray]:
+    """The pixels of images with one group of codes each, all decoded pixel by pixel at once."""
+    totals = np.array([x.width * x.height for x in images])
+    order = np.argsort(-totals, kind="stable")
+    images, totals = [images[i] for i in order], totals[order]
+    data = [x.data for x in images]
+    begins = np.cumsum([0, *map(len, data)])
+    raw = np.frombuffer(b"".join(data) + bytes(8 * int(totals[0]) + 64), np.uint8)  # damaged images may read on a little
+    windows = np.empty(len(raw) - 15, np.int64)  # the 64 bits from each byte on
+    for k in range(8):
+        part = windows[k::8]
+        part[:] = raw[k : k + 8 * len(part)].view("<i8")
+    pos = 8 * begins[:-1] + np.array([x.at for x in images])
+    span = 280 + max(1 << x.cache_bits if x.cache_bits else 0 for x in images)
+    (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, d0, dm) = (
+        lookup_tables(np.stack([np.pad(x.groups[0][k], (0, n - len(x.groups[0][k]))) for x in images])) for k, n in enumerate((span, 256, 256, 256, 40))
+    )
+    width = np.array([x.width for x in images])
+    out = np.zeros(int(totals.sum()), np.int64)
+    at = np.cumsum(totals) - totals
+    cache_bits = np.array([x.cache_bits for x in images])
+    slots = np.where(cache_bits > 0, 1 << cache_bits, 1)
+    c0, cache, caching = np.cumsum(slots) - slots, np.zeros(int(slots.sum()), np.int64), bool(cache_bits.any())
+    left, back = np.zeros(len(images), np.int64), np.zeros(len(images), np.int64)
+    active = np.searchsorted(-totals, -np.arange(int(totals[0])), side="left")
+    copying = 0
+    for t, m in enumerate(active.tolist()):
+        who = np.flatnonzero(left[:m] == 0) if copying else slice(0, m)
+        p = pos[who]
+        window = windows[p >> 3] >> (p & 7)
+        entry = green[g0[who] + (window & gm[who])]
+        taken, s = entry >> 12, entry & 4095
+        window >>= taken
+        x = red[r0[who] + (window & rm[who])]
+        n = x >> 12
+        window >>= n
+        y = blue[b0[who] + (window & bm[who])]
+        k = y >> 12
+        window >>= k
+        z = alpha[a0[who] + (window & am[who])]
+        pixel = (z & 255) << 24 | (x & 255) << 16 | s << 8 | y & 255
+        literal = s < 256
+        taken += np.where(literal, n + k + (z >> 12), 0)
+        if not literal.all():
+            lanes = np.arange(m) if isinstance(who, slice) else who
+            hit = np.flatnonzero(s >= 280)
+            pixel[hit] = cache[c0[lanes[hit]] + s[hit] - 280]
+            refs = np.flatnonzero((s >= 256) & (s < 280))
+            if len(refs):
+                q = p[refs] + taken[refs]
+                window = windows[q >> 3] >> (q & 7)
+                prefix, mine = s[refs] - 256, lanes[refs]
+                n = _EXTRA_BITS[prefix]
+                length = _EXTRA_BASE[prefix] + (window & ((1 << n) - 1))
+                window >>= n
+                entry = far[d0[mine] + (window & dm[mine])]
+                window >>= entry >> 12
+                k = _EXTRA_BITS[entry & 4095]
+                code = _EXTRA_BASE[entry & 4095] + (window & ((1 << k) - 1))
+                near = np.minimum(code, 120)
+                distance = np.where(code > 120, code - 120, np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[mine]))
+                if (distance > t).any() or (t + length > totals[mine]).any():
+                    raise ValueError("a reference out of the image")
+                taken[refs] += n + (entry >> 12) + k
+                left[mine], back[mine] = length, distance
+                copying += len(refs)
+        pos[who] = p + taken
+        if copying:
+            copied = np.flatnonzero(left[:m])
+            whole = np.empty(m, np.int64)
+            whole[who] = pixel
+            whole[copied] = out[at[copied] + t - back[copied]]
+            left[copied] -= 1
+            copying = int(np.count_nonzero(left[:m]))
+            pixel = whole
+        out[at[:m] + t] = pixel
+        if caching:
+            cache[c0[:m] + (((pixel * _CACHE_FACTOR) & 0xFFFFFFFF) >> (32 - cache_bits[:m]))] = pixel
+    if (pos > 8 * begins[1:]).any():
+        raise ValueError("the image ends early")
+    found: list = [None] * len(images)
+    for i, a, n in zip(order.tolist(), at.tolist(), totals.tolist()):
+        found[i] = out[a : a + n].astype(np.uint32)
+    return found
+
+
+def channels(argb: np.ndarray) -> np.ndarray:
     return np.stack([argb >> 16 & 255, argb >> 8 & 255, argb & 255, argb >> 24], -1).astype(np.uint8)
 
 
@@ -248,7 +413,26 @@ def _neighbours(pixels: np.ndarray, y: int, x: int, modes: np.ndarray, block: in
     return _predicted(int(modes[y >> block, x >> block]), pixels[y, x - 1].tolist(), pixels[y - 1, x].tolist(), pixels[y - 1, x - 1].tolist(), right.tolist())
 
 
-def _color_delta(factors: np.ndarray, samples: np.ndarray) -> np.ndarray:
+def _unpredicted(pixels: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    """Adds the predictions; for images of mode 1 (left) or 2 (above) alone by running sums."""
+    pixels = pixels.copy()
+    height, width, _ = pixels.shape
+    pixels[0, 0] += np.array([0, 0, 0, 255], np.uint8)
+    used = np.unique(modes).tolist()
+    if used == [1]:
+        pixels[:, 0] = np.cumsum(pixels[:, 0], 0, dtype=np.uint8)
+        return np.cumsum(pixels, 1, dtype=np.uint8)
+    if used == [2]:
+        pixels[0] = np.cumsum(pixels[0], 0, dtype=np.uint8)
+        return np.cumsum(pixels, 0, dtype=np.uint8)
+    for y in range(height):
+        for x in range(width):
+            if x or y:
+                pixels[y, x] += np.array(_neighbours(pixels, y, x, modes, block), np.uint8)
+    return pixels
+
+
+def color_delta(factors: np.ndarray, samples: np.ndarray) -> np.ndarray:
     return (factors.astype(np.int8).astype(np.int32) * samples.astype(np.int8).astype(np.int32)) >> 5
 
 
@@ -256,8 +440,18 @@ def _spread(values: np.ndarray, block: int, height: int, width: int) -> np.ndarr
     return np.repeat(np.repeat(values, 1 << block, 0), 1 << block, 1)[:height, :width]
 
 
-def decode_chunk(data: bytes) -> np.ndarray:
-    """The data of a VP8L chunk -> pixels."""
+@dataclass
+class Parsed:
+    """A VP8L chunk's header: its transforms, decoded, and its main image, still coded."""
+
+    height: int
+    transforms: list[tuple]
+    image: Coded
+    features: set[str] = field(default_factory=set)
+
+
+def parsed(data: bytes) -> Parsed:
+    """Reads a chunk up to the pixels of its main image."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless image")
@@ -265,7 +459,7 @@ def decode_chunk(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("an unknown version")
-    transforms, full = [], width
+    transforms: list[tuple] = []
     while bits.read(1):
         kind = bits.read(2)
         if kind in [t[0] for t in transforms]:
@@ -273,17 +467,29 @@ def decode_chunk(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOR):
             block = bits.read(3) + 2
             across, down = (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block
-            transforms.append((kind, width, block, _channels(_image(bits, across, down, False)).reshape(down, across, 4)))
+            transforms.append((kind, width, block, channels(_image(bits, across, down)).reshape(down, across, 4)))
         elif kind == PALETTE:
             size = bits.read(8) + 1
-            colors = np.cumsum(_channels(_image(bits, size, 1, False)), 0, dtype=np.uint8)
+            colors = np.cumsum(channels(_image(bits, size, 1)), 0, dtype=np.uint8)
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             transforms.append((kind, width, packed, colors))
             width = (width + (1 << packed) - 1) >> packed
         else:
             transforms.append((kind, width, 0, None))
-    pixels = _channels(_image(bits, width, height, True)).reshape(height, width, 4)
-    for kind, wide, block, extra in reversed(transforms):
+    image = _coded(bits, width, height, True)
+    features = {("predictor", "cross-colour", "subtract-green", "palette")[t[0]] for t in transforms}
+    features |= {"cache"} if image.cache_bits else set()
+    features |= {"groups"} if image.meta is not None else set()
+    features |= {"matches"} if any(group[0][256:280].any() for group in image.groups) else set()
+    features |= {"prefix codes"} if any(len(np.unique(x[x > 0])) > 1 for group in image.groups for x in group) else set()
+    return Parsed(height, transforms, image, features)
+
+
+def _restored(head: Parsed, argb: np.ndarray) -> np.ndarray:
+    """Undoes the transforms, the last one first."""
+    height = head.height
+    pixels = channels(argb).reshape(height, head.image.width, 4)
+    for kind, wide, block, extra in reversed(head.transforms):
         if kind == PALETTE:
             n = 8 >> block
             index = np.stack([pixels[:, :, 1] >> (n * k) & ((1 << n) - 1) for k in range(1 << block)], -1).reshape(height, -1)[:, :wide]
@@ -295,98 +501,48 @@ def decode_chunk(data: bytes) -> np.ndarray:
         elif kind == CROSS_COLOR:
             factors = _spread(extra, block, height, wide)
             pixels = pixels.copy()
-            red = pixels[:, :, 0] + _color_delta(factors[:, :, 2], pixels[:, :, 1])
-            blue = pixels[:, :, 2] + _color_delta(factors[:, :, 1], pixels[:, :, 1]) + _color_delta(factors[:, :, 0], red.astype(np.uint8))
+            red = pixels[:, :, 0] + color_delta(factors[:, :, 2], pixels[:, :, 1])
+            blue = pixels[:, :, 2] + color_delta(factors[:, :, 1], pixels[:, :, 1]) + color_delta(factors[:, :, 0], red.astype(np.uint8))
             pixels[:, :, 0], pixels[:, :, 2] = red.astype(np.uint8), blue.astype(np.uint8)
         else:
-            pixels = pixels.copy()
-            modes = extra[:, :, 1] & 15
-            for y in range(height):
-                for x in range(wide):
-                    pixels[y, x] += np.array(_neighbours(pixels, y, x, modes, block), np.uint8)
-    return pixels.reshape(height, full, 4)
+            pixels = _unpredicted(pixels, extra[:, :, 1] & 15, block)
+    return pixels
 
 
-def decode(data: bytes) -> list[np.ndarray]:
-    """One or more files, one after the other -> their pixels."""
+def _longest(image: Coded) -> int:
+    """Bits that a literal may take."""
+    return sum(int(x.max()) for x in image.groups[0][:4])
+
+
+def decode_many(chunks: list[bytes]) -> list[np.ndarray]:
+    """The data of VP8L chunks -> their pixels."""
+    heads = [parsed(x) for x in chunks]
+    pixels: list = [None] * len(heads)
+    alike = [i for i, h in enumerate(heads) if h.image.meta is None and _longest(h.image) <= 56]
+    if alike:
+        for i, argb in zip(alike, _together([heads[i].image for i in alike])):
+            pixels[i] = argb
+    for i, h in enumerate(heads):
+        if pixels[i] is None:
+            pixels[i] = _one_by_one(Bits(h.image.data), h.image)
+        pixels[i] = _restored(h, pixels[i])
+    return pixels
+
+
+def chunks_of(data: bytes) -> list[bytes]:
+    """The VP8L chunks of one or more files, one after the other."""
     out, at = [], 0
     while at < len(data):
+        if at + 20 > len(data):
+            raise ValueError("not a lossless WebP file")
         mark, size, kind, tag, length = struct.unpack_from("<4sI4s4sI", data, at)
         if (mark, kind, tag) != (b"RIFF", b"WEBP", b"VP8L") or at + 20 + length > len(data):
             raise ValueError("not a lossless WebP file")
-        out.append(decode_chunk(data[at + 20 : at + 20 + length]))
+        out.append(data[at + 20 : at + 20 + length])
         at += 8 + size + (size & 1)
     return out
 
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-
-
-class Writer:
-    """Collects bits, least significant first."""
-
-    def __init__(self):
-        self.parts: list[np.ndarray] = []
-
-    def put(self, value: int, n: int) -> None:
-        self.parts.append(_BITS[value & 0xFF, :n] if n <= 8 else np.array([value >> k & 1 for k in range(n)], np.uint8))
-
-    def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
-
-
-def container(chunk: bytes) -> bytes:
-    chunk_size, chunk = len(chunk), chunk + b"\0" * (len(chunk) & 1)
-    return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(chunk), b"WEBP", b"VP8L", chunk_size) + chunk
-
-
-def _put_uniform_code(writer: Writer, used: np.ndarray, alphabet: int) -> tuple[int, np.ndarray]:
-    """Writes a code of one length for the used symbols and as many others as make it complete -> (length, symbol -> index)."""
-    n = int(len(used) - 1).bit_length()
-    place = np.zeros(256, np.uint8)
-    if n <= 1:
-        writer.put(1 | (n << 1) | 4, 3)
-        for s in used:
-            writer.put(int(s), 8)
-    else:
-        if len(used) < 1 << n:
-            free = np.ones(256, bool)
-            free[used] = False
-            used = np.sort(np.concatenate([used, np.flatnonzero(free)[: (1 << n) - len(used)]]))
-        own = [0] * 19
-        own[0] = own[n] = 1
-        writer.put(0, 1)
-        writer.put(15, 4)
-        for k in CODE_LENGTH_ORDER:
-            writer.put(own[k], 3)
-        writer.put(0, 1)
-        flags = np.zeros(alphabet, np.uint8)
-        flags[used] = 1
-        writer.parts.append(flags)
-    place[used] = np.arange(len(used))
-    return n, place
-
-
-def _put_header(writer: Writer, width: int, height: int) -> None:
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
-        writer.put(value, n)
-
-
-def encode_uniform(pixels: np.ndarray) -> bytes:
-    """(height, width, 4) pixels -> a file whose codes have one length per channel: log2 of the values in use, rounded up."""
-    height, width, _ = pixels.shape
-    writer = Writer()
-    _put_header(writer, width, height)
-    for _ in range(3):  # no transform, colour cache or meta codes
-        writer.put(0, 1)
-    flat, columns = pixels.reshape(-1, 4), []
-    for channel, alphabet in ((1, 280), (0, 256), (2, 256), (3, 256)):
-        samples = np.ascontiguousarray(flat[:, channel])
-        n, place = _put_uniform_code(writer, np.flatnonzero(np.bincount(samples, minlength=256)), alphabet)
-        if n:
-            columns.append(np.unpackbits((place[samples] << (8 - n))[:, None], axis=1, count=n))
-    writer.put(1, 3)  # the distance code: the symbol 0 alone, in one bit
-    writer.put(0, 1)
-    if columns:
-        writer.parts.append(np.concatenate(columns, axis=1).reshape(-1))
-    return container(writer.bytes())
+def decode(data: bytes) -> list[np.ndarray]:
+    """One or more files, one after the other -> their pixels."""
+    return decode_many(chunks_of(data))

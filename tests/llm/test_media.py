@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
 import webp_writer
-from sample_texts import ODD
+from sample_texts import ODD, prose
 
-from kestrelog.llm import media, webp
+from kestrelog.llm import media, webp, webp_encoder
 
 
 def picture(colors: int, height=23, width=19, seed=1):
@@ -37,17 +38,64 @@ def test_random_modes_and_factors():
 
 
 def test_broken_images_are_refused():
-    good = media.to_media(media.padded(b"some text"))
+    (good,) = media.to_media([media.padded(b"some text, " * 90)])
     for bad in (good[:-5], b"RIFX" + good[4:], good[:20] + b"\x00" + good[21:], good[:24]):
-        with pytest.raises((ValueError, Exception)):
+        with pytest.raises(ValueError):
             webp.decode(bad)
+    chunk = webp.chunks_of(good)[0]
+    with pytest.raises(ValueError):
+        webp.decode_many([chunk[: len(chunk) // 2]])
 
 
-@pytest.mark.parametrize("raw", [b"", b"a", b"x" * 64, b"x" * 65, bytes(range(256)) * 3, b"ab" * 40_000, bytes(1_100_000)])
-def test_payload_round_trip(raw):
-    payload = media.padded(raw)
-    assert len(payload) % 64 == 0 and len(payload) >= 64 and payload.rstrip(b"\0") == raw.rstrip(b"\0")
-    assert media.from_media(media.to_media(payload)).tobytes() == payload
+RAW = [b"", b"a", b"x" * 64, b"x" * 65, bytes(range(256)) * 3, b"ab" * 40_000, bytes(1_100_000), b"one line that comes again and again\n" * 300]
+
+
+def test_payload_round_trip():
+    rng = random.Random(3)
+    raws = RAW + [prose(rng, rng.randint(1, 400)).encode() for _ in range(60)] + [np.random.default_rng(k).integers(0, 256, 50 + 977 * k, dtype=np.uint8).tobytes() for k in range(12)]
+    payloads = [media.padded(x) for x in raws]
+    for raw, payload in zip(raws, payloads):
+        assert len(payload) % 64 == 0 and len(payload) >= 64 and payload.rstrip(b"\0") == raw.rstrip(b"\0")
+    files = media.to_media(payloads)
+    assert [x.tobytes() for x in media.from_media(files)] == payloads
+    alone = [media.to_media([x])[0] for x in payloads]
+    assert alone == files  # a file does not depend on the others of its block
+    assert len(files[-13 - 60]) < 1000  # a line that repeats costs little more than once
+
+
+@pytest.mark.parametrize("colors", [1, 2, 4, 13, 90, 200])
+def test_encoder_on_pictures(colors):
+    shapes = [(23, 19), (1, 1), (1, 16), (128, 16), (40, 16)]
+    images = [picture(colors, h, w, seed) if w == 19 else np.resize(picture(colors, 23, 19, seed), (h, w, 4)) for seed, (h, w) in enumerate(shapes)]
+    for image, file in zip(images, webp_encoder.encode_many(images)):
+        assert (webp.decode(file)[0] == image).all()
+
+
+def test_encoder_uses_every_part():
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:128, 0:16]
+    slope = np.stack([y + 3 * x, y + 3 * x, y + 3 * x, 0 * y + 255], -1).astype(np.uint8)
+    noise = rng.integers(0, 256, (128, 16, 1), dtype=np.uint8)
+    bound = np.concatenate([(noise.view(np.int8) // 2).view(np.uint8), noise, (noise.view(np.int8) // 4).view(np.uint8), 0 * noise + 255], -1)
+    smooth = slope + np.cumsum(rng.integers(-2, 3, (128, 16, 1)), 0).astype(np.uint8) * np.array([1, 2, 3, 0], np.uint8)
+    table = np.resize(np.frombuffer(b"0  1", np.uint8), (128, 16, 4)) ^ np.repeat(rng.integers(0, 2, (128, 16, 1), dtype=np.uint8), 4, -1)
+    text = np.frombuffer(media.padded(prose(random.Random(1), 900).encode())[:4096], np.uint8).reshape(-1, 16, 4)
+    images = [slope, bound, smooth, table, text]
+    seen = set()
+    for image, file in zip(images, webp_encoder.encode_many(images)):
+        assert (webp.decode(file)[0] == image).all()
+        seen |= webp.parsed(webp.chunks_of(file)[0]).features
+    assert {"predictor", "palette", "matches", "cache", "prefix codes"} <= seen and seen & {"subtract-green", "cross-colour"}
+
+
+def test_the_querys_own_images_use_the_formats_parts(spark):
+    """Texts of the given table: normal prefix codes throughout, matches and the colour cache where they pay."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    files = [c for r in media.store(docs).collect() for c in webp.chunks_of(bytes(r.media))]
+    heads = [webp.parsed(c) for c in files]
+    share = lambda name: sum(name in h.features for h in heads) / len(heads)
+    assert share("prefix codes") > 0.95 and share("cache") > 0.3 and share("matches") > 0.1
+    assert sum(map(len, files)) < 0.75 * docs.selectExpr("sum(octet_length(text))").first()[0]
 
 
 def test_media_query_on_odd_rows(spark, odd_docs, no_docs):

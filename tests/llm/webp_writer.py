@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import struct
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,29 @@ import numpy as np
 from kestrelog.llm import webp
 
 
+class Writer:
+    """Collects bits, least significant first."""
+
+    def __init__(self):
+        self.parts: list[int] = []
+
+    def put(self, value: int, n: int) -> None:
+        self.parts += [int(value) >> k & 1 for k in range(n)]
+
+    def bytes(self) -> bytes:
+        return np.packbits(np.array(self.parts, np.uint8), bitorder="little").tobytes()
+
+
+def put_header(w: Writer, width: int, height: int) -> None:
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        w.put(value, n)
+
+
+def container(chunk: bytes) -> bytes:
+    size, chunk = len(chunk), chunk + b"\0" * (len(chunk) & 1)
+    return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(chunk), b"WEBP", b"VP8L", size) + chunk
+
+
 def _lengths(counts: Counter, alphabet: int) -> list[int]:
     heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(counts.items()))]
     out = [0] * alphabet
@@ -35,7 +59,7 @@ def _codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _put_code(w: webp.Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
+def _put_code(w: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) == 1 and used[0] < 256:
         w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(used[0], 8)
@@ -50,7 +74,7 @@ def _put_code(w: webp.Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     return _codes(lengths)
 
 
-def _put_symbol(w: webp.Writer, code: tuple[int, int]) -> None:
+def _put_symbol(w: Writer, code: tuple[int, int]) -> None:
     value, n = code
     for k in reversed(range(n)):
         w.put(value >> k & 1, 1)
@@ -91,7 +115,7 @@ def _tokens(argb: list[int], width: int, cache_bits: int, copies: bool):
     return out
 
 
-def _put_image(w: webp.Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: bool = False, meta: np.ndarray | None = None) -> None:
+def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: bool = False, meta: np.ndarray | None = None) -> None:
     argb = [int(x) for x in argb.reshape(-1)]
     w.put(1 if cache_bits else 0, 1)
     if cache_bits:
@@ -139,8 +163,8 @@ def _argb(p: np.ndarray) -> np.ndarray:
 def write(pixels: np.ndarray, transforms=(), cache_bits: int = 0, copies: bool = False, groups: int = 1, seed: int = 0) -> bytes:
     rng = np.random.default_rng(seed)
     height, width, _ = pixels.shape
-    w = webp.Writer()
-    webp._put_header(w, width, height)
+    w = Writer()
+    put_header(w, width, height)
     pixels = pixels.copy()
     for kind in transforms:
         w.put(1, 1), w.put(kind, 2)
@@ -157,8 +181,8 @@ def write(pixels: np.ndarray, transforms=(), cache_bits: int = 0, copies: bool =
             _put_image(w, _argb(f), across, False)
             s = webp._spread(f, 2, height, width)
             red, green = pixels[:, :, 0].copy(), pixels[:, :, 1]
-            pixels[:, :, 2] -= (webp._color_delta(s[:, :, 1], green) + webp._color_delta(s[:, :, 0], red)).astype(np.uint8)
-            pixels[:, :, 0] -= webp._color_delta(s[:, :, 2], green).astype(np.uint8)
+            pixels[:, :, 2] -= (webp.color_delta(s[:, :, 1], green) + webp.color_delta(s[:, :, 0], red)).astype(np.uint8)
+            pixels[:, :, 0] -= webp.color_delta(s[:, :, 2], green).astype(np.uint8)
         elif kind == webp.SUBTRACT_GREEN:
             pixels = pixels - pixels[:, :, 1:2] * np.array([1, 0, 1, 0], np.uint8)
         else:
@@ -178,4 +202,4 @@ def write(pixels: np.ndarray, transforms=(), cache_bits: int = 0, copies: bool =
     if meta is not None:
         meta.reshape(-1)[:groups] = np.arange(groups)
     _put_image(w, _argb(pixels), width, True, cache_bits, copies, meta)
-    return webp.container(w.bytes())
+    return container(w.bytes())
