@@ -5,7 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from kestrelog.llm import langid, toxicity
@@ -32,24 +31,22 @@ def test_held_out_languages_are_named(spark):
 
 
 def slow_bits(train: dict[str, bytes], text: bytes) -> dict[str, float]:
-    """Method C with frozen counts, context by context; all bytes of the training texts are symbols, the rest are one."""
-    symbols = sorted({b for t in train.values() for b in t})
-    code = lambda b: symbols.index(b) + 1 if b in symbols else 0
-    a, out = len(symbols) + 1, {}
+    """Method C over bytes with frozen counts, context by context; zeros stand before a text."""
+    out = {}
     for lang, t in train.items():
-        counts: dict[tuple, dict[int, int]] = {}
-        s = [0, 0, 0] + [code(b) for b in t]
+        counts: dict[bytes, dict[int, int]] = {}
+        s = bytes(3) + t
         for i in range(3, len(s)):
             for k in range(4):
-                c = counts.setdefault(tuple(s[i - k : i]), {})
+                c = counts.setdefault(s[i - k : i], {})
                 c[s[i]] = c.get(s[i], 0) + 1
-        total, x = 0.0, [0, 0, 0] + [code(b) for b in text]
+        total, x = 0.0, bytes(3) + text
         for i in range(3, len(x)):
             for k in (3, 2, 1, 0, -1):
                 if k < 0:
-                    total += math.log2(a)
+                    total += 8
                     break
-                c = counts.get(tuple(x[i - k : i]))
+                c = counts.get(x[i - k : i])
                 if c is None:
                     continue
                 n, d = sum(c.values()), len(c)
@@ -63,19 +60,28 @@ def slow_bits(train: dict[str, bytes], text: bytes) -> dict[str, float]:
 
 def test_code_lengths_match_a_plain_model():
     rng = random.Random(6)
-    train = {lang: prose(rng, 40, w).encode() for lang, w in TONGUES.items()}
-    grams = []
-    for lang, t in train.items():
-        raw = np.frombuffer(t, np.uint8)
-        keys, n = np.unique(langid._codes(raw, np.array([0, len(raw)])), return_counts=True)
-        grams.append(pd.DataFrame({"lang": lang, "gram": keys.astype(np.int64), "n": n}))
-    model = langid.build(pd.concat(grams, ignore_index=True))
-    texts = [prose(rng, 9, TONGUES["aa"]).encode(), prose(rng, 9, TONGUES["bb"]).encode(), b"", b"zz kata qq", "ñandú".encode()]
+    train = {lang: prose(rng, 40, w).encode() for lang, w in TONGUES.items()} | {"cc": "日本語の文章です。もう一つの文章。".encode()}
+    parts = []
+    for i, t in enumerate(train.values()):
+        keys, n = np.unique(langid._codes(np.frombuffer(t, np.uint8), np.array([0, len(t)])), return_counts=True)
+        parts.append((np.full(len(keys), i), keys.astype(np.int64), n))
+    found = langid.tables(*(np.concatenate(x) for x in zip(*parts)), len(train))
+    texts = [prose(rng, 9, TONGUES["aa"]).encode(), prose(rng, 9, TONGUES["bb"]).encode(), b"", b"zz kata qq", "ñandú 日本 \x00".encode(), bytes(range(256))]
     offsets = np.cumsum([0, *map(len, texts)])
-    got = langid.code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    got = langid.code_lengths(found, np.frombuffer(b"".join(texts), np.uint8), offsets)
     for row, text in zip(got, texts):
-        want = slow_bits(train, text)
-        assert np.allclose(row, [want[x] for x in model.languages], rtol=1e-4, atol=1e-3)
+        assert np.allclose(row, list(slow_bits(train, text).values()), rtol=1e-5, atol=1e-3)
+
+
+def test_every_language_is_learned_whatever_their_number(spark):
+    rng = random.Random(7)
+    letters = [chr(0x100 + 7 * i) for i in range(60)]
+    rows = [(40 * i + k, " ".join("".join(rng.choice(letters[i] + "abc") for _ in range(6)) for _ in range(12)), f"l{i:02}") for i in range(40) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {r[0]: r[2] for r in rows}
+    for group in (16, 7):
+        found = langid.language_id(docs, langid.Settings(group=group)).collect()
+        assert all(r.lang_pred == truth[r.doc_id] for r in found) and len(found) == len(rows)
 
 
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
