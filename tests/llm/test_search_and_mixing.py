@@ -91,6 +91,63 @@ def test_license_notices(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs, licenses.templates(spark)).count() == 0
 
 
+def test_versions_and_families_of_licenses_are_told_apart(spark):
+    by_name = {}
+    for name, text, _ in licenses.TEMPLATES:
+        by_name.setdefault(name, text)
+    gnu = [n for n in by_name if "GPL" in n and n.endswith("later")] + ["BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "MPL-1.1", "MPL-2.0", "BSL-1.0"]
+    docs = spark.createDataFrame([(i, "some words before " + by_name[n] + " and after") for i, n in enumerate(gnu)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs, licenses.templates(spark)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {i: {n} | ({"BSD"} if n.startswith("BSD") else set()) for i, n in enumerate(gnu)} == got
+
+
+def test_whole_license_texts_from_a_folder(spark, tmp_path):
+    rng = random.Random(16)
+    texts = {name: prose(rng, n) for name, n in (("Long-1.0", 3000), ("Short-2.0", 400))}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    known = licenses.templates_from(spark, str(tmp_path))
+    body = texts["Long-1.0"].split()
+    docs = [(1, prose(rng, 5000) + " " + " ".join(body) + " " + prose(rng, 900)), (2, " ".join(body[:2000])), (3, texts["Short-2.0"].upper())]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), known).collect()}
+    assert got == {(1, "Long-1.0"), (3, "Short-2.0")}
+
+
+def test_recall_of_the_candidate_search(spark):
+    """Of pairs whose exact containment is 0.8 or more, how many the search meets, by containment."""
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs, items = [], []
+    for i in range(1200):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([12, 20, 60, 150]))]
+        items.append((i, " ".join(words)))
+        held = words[:]
+        for _ in range(rng.randint(0, max(1, (len(words) - 4) // 25))):  # each change costs up to five shingles
+            held[rng.randrange(len(held))] = "changed"
+        docs.append((i, " ".join([rng.choice(vocabulary) for _ in range(100)] + held + [rng.choice(vocabulary) for _ in range(300)])))
+    want = slow_leaks_of_pairs(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    assert len(want) > 700 and got <= set(want)
+    bounds = [0.8, 0.85, 0.9, 1.0]
+    for low, high in zip(bounds, bounds[1:] + [1.01]):
+        mine = [p for p, share in want.items() if low <= share < high]
+        assert not mine or sum(p in got for p in mine) >= 0.995 * len(mine), (low, len(mine))
+
+
+def slow_leaks_of_pairs(docs, items):
+    """Containment of each item in the document of its own number, where it is 0.8 or more."""
+    out = {}
+    for (d, text), (i, item) in zip(docs, items):
+        sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (text.split(), item.split())]
+        share = len(sets[0] & sets[1]) / len(sets[1])
+        if share >= 0.8:
+            out[d, i] = share
+    return out
+
+
 def test_raked_weights_meet_the_targets(spark):
     rng = random.Random(13)
     docs = spark.createDataFrame([(i, prose(rng, rng.randint(5, 60)) + rng.choice(["", " | x", " a@b"]), rng.choice(["en", "de", None]), f"s{min(rng.randrange(9), 4)}") for i in range(4000)], "doc_id long, text string, lang string, source string")
