@@ -36,16 +36,25 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time:
 def align(sequence: DataFrame, graph: DataFrame, units: DataFrame | None = None, seq_threshold: float = 0.5, graph_threshold: float = 0.5) -> DataFrame:
     """Sequence rows (user, hour, seq_score, seq_status) and graph rows (user, available_at, graph_score, graph_status, tie) -> aligned units.
 
-    A unit sees only graph rows that were available by its end; one older than a day is stale
-    and its score is null.
+    A unit sees only graph rows that were available by its end; one older than a day is stale.
+    Scores and alert flags of rows that are stale or whose status is not available are null.
+    A row's own flag (seq_alert, graph_alert, where such a column is there) counts; without one
+    the score is held against the threshold.
     """
     base = (units if units is not None else universe(sequence)).join(sequence, ["user", "hour"], "left").withColumn("window_end", F.col("hour") + 3600)
-    found = asof(base, graph, "user", "window_end", "available_at", ["graph_score", "graph_status"], "tie")
-    stale = F.col("window_end") - F.col("available_at") > STALE
-    found = found.withColumns({"stale": F.coalesce(stale, F.lit(False)), "graph_score": F.when(~stale, F.col("graph_score"))})
-    found = found.withColumns({"is_seq_alert": F.col("seq_score") >= seq_threshold, "is_graph_alert": F.col("graph_score") >= graph_threshold})
+    own = ["graph_alert"] if "graph_alert" in graph.columns else []
+    found = asof(base, graph, "user", "window_end", "available_at", ["graph_score", "graph_status", *own], "tie")
+    stale = F.coalesce(F.col("window_end") - F.col("available_at") > STALE, F.lit(False))
+    found = found.withColumn("stale", stale)
+    seq_ok, graph_ok = F.col("seq_status") == "available", (F.col("graph_status") == "available") & ~F.col("stale")
+    found = found.withColumns({"seq_score": F.when(seq_ok, F.col("seq_score")), "graph_score": F.when(graph_ok, F.col("graph_score"))})
+    flag = lambda name, default: F.coalesce(F.col(name), default) if name in found.columns else default
+    found = found.withColumns({
+        "is_seq_alert": F.when(seq_ok, flag("seq_alert", F.col("seq_score") >= seq_threshold)),
+        "is_graph_alert": F.when(graph_ok, flag("graph_alert", F.col("graph_score") >= graph_threshold)),
+    })
     seq, gra = F.col("seq_score").isNotNull(), F.col("graph_score").isNotNull()
-    warm = (F.col("window_end") <= WARMUP_END) | (F.col("seq_status") == "warmup") | (F.col("graph_status") == "warmup")
+    warm = (F.col("window_end") <= WARMUP_END) | (F.col("seq_status") == "warmup") | ((F.col("graph_status") == "warmup") & ~F.col("stale"))
     status = F.when(F.coalesce(warm, F.lit(False)), "insufficient_history").when(seq & gra, "both").when(seq & F.col("stale"), "stale_graph").when(seq, "sequence_only").when(gra, "graph_only").otherwise("no_activity")
     return found.withColumn("alignment_status", status)
 
@@ -91,7 +100,8 @@ def temporal(fused: DataFrame, lookback: int = 86_400, weight: float = 0.15, tau
     lead = F.when(first_s.isNull() | first_g.isNull(), None).when(first_s < first_g, "sequence").when(first_g < first_s, "graph").otherwise("simultaneous")
     boost = F.coalesce(weight * F.exp(-gap / tau), F.lit(0.0))
     out = held.withColumns({"boost": boost, "lead": lead, "lead_seconds": F.abs(first_s - first_g)}).drop("__s", "__g")
-    return out.withColumn("fused", F.least(F.col("base") + F.col("boost"), F.lit(CAP))).withColumn("is_alert", F.col("fused") >= alert)
+    total = F.when(F.col("base").isNotNull(), F.least(F.col("base") + F.col("boost"), F.lit(CAP)))  # without a score there is nothing to alert on
+    return out.withColumn("fused", total).withColumn("is_alert", F.col("fused") >= alert)
 
 
 def day_temporal(days: DataFrame) -> DataFrame:

@@ -48,9 +48,10 @@ def edges(windowed: DataFrame, width: int = WINDOW) -> DataFrame:
     return out.join(seen, EDGE).withColumn("is_new", F.col("first_seen") >= F.col("window_end") - width).drop("first_seen")
 
 
-def degrees(edge_rows: DataFrame) -> DataFrame:
-    """Per user and window: computers in the window, computers known before it, growth."""
-    return edge_rows.groupBy("acting_user", "window_end").agg(F.count("*").alias("degree"), F.count_if("is_new").alias("growth"))
+def degrees(edge_rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """Per user and window: computers in the window, computers known before it (prior_degrees), and the one less the other."""
+    current = edge_rows.groupBy("acting_user", "window_end").agg(F.count("*").alias("degree"))
+    return current.join(prior.select("acting_user", "window_end", "prior_degree"), ["acting_user", "window_end"]).withColumn("growth", F.col("degree") - F.col("prior_degree"))
 
 
 def prior_degrees(events: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -73,15 +74,16 @@ def bursts(windowed: DataFrame) -> DataFrame:
     return here.groupBy(*keys).agg(F.max("c60").alias("peak_60s"), F.max("c300").alias("peak_300s"), F.max("d300").alias("peak_destinations_300s"))
 
 
-def node_features(edge_rows: DataFrame, peaks: DataFrame) -> DataFrame:
-    """(window_end, node, is_user, log degree, strength, failures, growth and peaks) for users and computers."""
+def node_features(edge_rows: DataFrame, peaks: DataFrame, prior: DataFrame) -> DataFrame:
+    """Nine features of users and computers: both types, log degree, strength, failures, growth (at least 0) and peaks; growth and peaks of computers are 0."""
     log = lambda c: F.log1p(c.cast("double"))
-    users = edge_rows.groupBy("window_end", "acting_user").agg(F.count("*").alias("d"), F.sum("weight").alias("s"), F.sum("failures").alias("f"), F.count_if("is_new").alias("g")).join(peaks, ["window_end", "acting_user"])
-    computers = edge_rows.groupBy("window_end", "destination_computer").agg(F.count("*").alias("d"), F.sum("weight").alias("s"), F.sum("failures").alias("f"), F.count_if("is_new").alias("g"))
-    shared = [log(F.col("d")).alias("log_degree"), log(F.col("s")).alias("log_strength"), log(F.col("f")).alias("log_failures"), log(F.col("g")).alias("log_growth")]
+    users = edge_rows.groupBy("window_end", "acting_user").agg(F.count("*").alias("d"), F.sum("weight").alias("s"), F.sum("failures").alias("f")).join(peaks, ["window_end", "acting_user"]).join(prior, ["window_end", "acting_user"])
+    computers = edge_rows.groupBy("window_end", "destination_computer").agg(F.count("*").alias("d"), F.sum("weight").alias("s"), F.sum("failures").alias("f"))
+    shared = [log(F.col("d")).alias("log_degree"), log(F.col("s")).alias("log_strength"), log(F.col("f")).alias("log_failures")]
+    growth = log(F.greatest(F.col("d") - F.col("prior_degree"), F.lit(0))).alias("log_growth")
     names = {"peak_60s": "log_60s", "peak_300s": "log_300s", "peak_destinations_300s": "log_destinations_300s"}
-    left = users.select("window_end", F.col("acting_user").alias("node"), F.lit(1.0).alias("is_user"), *shared, *[log(F.col(c)).alias(n) for c, n in names.items()])
-    right = computers.select("window_end", F.col("destination_computer").alias("node"), F.lit(0.0).alias("is_user"), *shared, *[F.lit(0.0).alias(n) for n in names.values()])
+    left = users.select("window_end", F.col("acting_user").alias("node"), F.lit(1.0).alias("is_user"), F.lit(0.0).alias("is_computer"), *shared, growth, *[log(F.col(c)).alias(n) for c, n in names.items()])
+    right = computers.select("window_end", F.col("destination_computer").alias("node"), F.lit(0.0).alias("is_user"), F.lit(1.0).alias("is_computer"), *shared, F.lit(0.0).alias("log_growth"), *[F.lit(0.0).alias(n) for n in names.values()])
     return left.union(right)
 
 
@@ -104,15 +106,30 @@ def propagate(adjacency: DataFrame, features: DataFrame, columns: list[str], ste
     return features
 
 
+def _draw(seed: int, column: str) -> Column:
+    return F.md5(F.concat(F.lit(str(seed)), F.col(column)).cast("binary"))
+
+
 def negative_sample(edge_rows: DataFrame, per_user: int, seed: int = 7) -> DataFrame:
-    """Pairs without an edge, per window: each user is paired with computers at seeded places of the window's list."""
+    """Pairs without an edge, per window: for each user per_user computers, or all that it has no edge with if they are fewer.
+
+    A window's computers are put in a seeded order, and each user walks it from a place of its
+    own. Of degree + per_user places at most degree are edges, so that many suffice, and no more
+    pairs than edges and wanted ones together are looked at.
+    """
+    keys = ["window_end", "acting_user"]
     computers = edge_rows.select("window_end", "destination_computer").distinct()
-    numbered = computers.withColumn("n", F.row_number().over(Window.partitionBy("window_end").orderBy(F.xxhash64(F.lit(seed), "destination_computer"), "destination_computer")))
-    size = numbered.groupBy("window_end").agg(F.max("n").alias("size"))
-    users = edge_rows.select("window_end", "acting_user").distinct().join(size, "window_end")
-    picked = users.select("window_end", "acting_user", F.explode(F.transform(F.sequence(F.lit(1), F.lit(per_user)), lambda i: (F.pmod(F.xxhash64(F.lit(seed), "acting_user", i), F.col("size")) + 1).cast("int"))).alias("n"))
-    pairs = picked.join(numbered, ["window_end", "n"]).select("window_end", *EDGE).distinct()
-    return pairs.join(edge_rows.select("window_end", *EDGE), ["window_end", *EDGE], "left_anti")
+    order = Window.partitionBy("window_end").orderBy(_draw(seed, "destination_computer"), "destination_computer")
+    numbered = computers.withColumn("n", F.row_number().over(order).cast("long") - 1)
+    size = numbered.groupBy("window_end").agg(F.count("*").alias("size"))
+    users = edge_rows.groupBy(*keys).agg(F.count("*").alias("degree")).join(size, "window_end")
+    start = F.conv(F.substring(_draw(seed, "acting_user"), 1, 8), 16, 10).cast("long") % F.col("size")
+    last = F.least(F.col("size"), F.col("degree") + per_user) - 1
+    walked = users.select(*keys, "size", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
+    met = walked.select(*keys, "step", ((F.col("start") + F.col("step")) % F.col("size")).alias("n")).join(numbered, ["window_end", "n"])
+    free = met.join(edge_rows.select("window_end", *EDGE), ["window_end", *EDGE], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("step"))
+    return free.withColumn("place", place).where(F.col("place") <= per_user).select("window_end", *EDGE)
 
 
 def edge_anomaly(train: DataFrame, scored: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:
@@ -179,8 +196,13 @@ def hybrid_rows(graph_days: DataFrame, matches: DataFrame, threshold: float) ->
     return out.withColumns({"reason": reason, "is_alert": known_hit | F.col("graph_alert")})
 
 
-def collapse_report(a: DataFrame, b: DataFrame, drop: float = 0.5) -> DataFrame:
-    """Two one-row metric tables (f1, precision, recall) -> the relative loss from a to b and whether it is a collapse."""
-    both = a.select(F.col("f1").alias("f1_before")).join(b.select(F.col("f1").alias("f1_after")), F.lit(True))  # one row each
-    loss = (F.col("f1_before") - F.col("f1_after")) / F.nullif(F.col("f1_before"), F.lit(0.0))
-    return both.withColumns({"loss": loss, "collapsed": F.coalesce(loss > drop, F.lit(False))})
+def collapse_report(a: DataFrame, b: DataFrame, absolute: float = 0.10, relative: float = 0.50, positives: int = 30) -> DataFrame:
+    """Two one-row metric tables (f1, tp, fn), of development and of a later holdout -> the loss of F1 and whether it is a collapse.
+
+    It is one if the loss exceeds both limits, or if the holdout has too few positives to tell.
+    """
+    both = a.select(F.coalesce("f1", F.lit(0.0)).alias("f1_before")).join(b.select(F.coalesce("f1", F.lit(0.0)).alias("f1_after"), (F.col("tp") + F.col("fn")).alias("holdout_positives")), F.lit(True))  # one row each
+    loss = F.greatest(F.lit(0.0), F.col("f1_before") - F.col("f1_after"))
+    out = both.withColumns({"absolute_loss": loss, "relative_loss": F.when(F.col("f1_before") == 0, 0.0).otherwise(loss / F.col("f1_before"))})
+    out = out.withColumn("dropped", (F.col("absolute_loss") > absolute) & (F.col("relative_loss") > relative))
+    return out.withColumn("collapsed", F.col("dropped") | (F.col("holdout_positives") < positives))

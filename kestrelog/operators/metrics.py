@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KNOTS = 1001
@@ -14,35 +17,83 @@ def log_score(raw: Column) -> Column:
     return F.log(F.greatest(raw, F.lit(0.0)) + 1e-12)
 
 
+def order_statistics(values: DataFrame, probabilities: list[float], ranges: int = 200) -> list[float | None]:
+    """Exact percentiles (linear between neighbours) of column x, which has no nulls; None for each without values.
+
+    Values are cut into ranges of about equal numbers by a sketch, counted per distinct value and
+    numbered within their range after the sizes of the ranges before, so no task holds all values.
+    """
+    bounds = sorted(set(values.stat.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.002)))
+    splits = [-math.inf, *(b for b in bounds if math.isfinite(b)), math.inf]
+    each = values.groupBy("x").agg(F.count("*").alias("n"))
+    each = Bucketizer(splits=splits, inputCol="x", outputCol="part", handleInvalid="keep").transform(each)
+    sizes = each.groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each range
+    total, before = 0, {}
+    for r in sorted(sizes, key=lambda r: r.part):
+        before[r.part], total = total, total + r.n
+    if not total:
+        return [None] * len(probabilities)
+    wanted = sorted({f(p * (total - 1)) for p in probabilities for f in (math.floor, math.ceil)})
+    offsets = F.create_map(*[F.lit(x) for part, n in before.items() for x in (float(part), n)])
+    inside = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = each.withColumn("to", F.sum("n").over(inside) + offsets[F.col("part")])
+    places = F.array(*[F.lit(int(w)) for w in wanted])
+    held = {part: [w for w in wanted if before[part] <= w < before[part] + n] for part, n in sizes}
+    busy = [part for part, ws in held.items() if ws]
+    hit = ended.where(F.col("part").isin(busy)).withColumn("at", F.explode(F.filter(places, lambda w: (w < F.col("to")) & (w >= F.col("to") - F.col("n")))))
+    value = {r["at"]: r["x"] for r in hit.select("at", "x").collect()}  # two values a probability
+    out = []
+    for p in probabilities:
+        at = p * (total - 1)
+        low, high = value[math.floor(at)], value[math.ceil(at)]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
 def fit_calibrator(scores: DataFrame, column: str = "score") -> DataFrame:
-    """(x, p, scale, x_top): quantile knots of the log scores on [0, 0.999], with the tail's scale on every row.
+    """(x, p, scale): quantile knots of the log scores on [0, 0.999], with the tail's scale on every row.
 
     Equal knots keep the highest probability. Exact percentiles; needs 100 finite references.
     """
     x = scores.where(F.col(column).isNotNull() & ~F.isnan(column)).select(log_score(F.col(column)).alias("x"))
-    grid = [i * P_TOP / (KNOTS - 1) for i in range(KNOTS)]
-    row = x.agg(F.count("*").alias("n"), F.percentile("x", grid).alias("q"), F.percentile("x", [0.99, P_TOP]).alias("tail"), F.stddev_pop("x").alias("std"))
-    if row.select("n").first().n < MIN_REFERENCES:
+    n, std = x.agg(F.count("*"), F.stddev_pop("x")).first()
+    if n < MIN_REFERENCES:
         raise ValueError("too few references")
-    spread = (F.col("tail")[1] - F.col("tail")[0]) / F.log(F.lit(10.0))
-    scale = F.when(spread > 0, spread).otherwise(F.greatest("std", F.lit(1e-6)) / 10)
-    each = row.select(scale.alias("scale"), F.posexplode("q").alias("i", "x"))
-    return each.groupBy("x", "scale").agg((F.max("i") * (P_TOP / (KNOTS - 1))).alias("p"))
+    grid = [i * P_TOP / (KNOTS - 1) for i in range(KNOTS)]
+    *knots, low, high = order_statistics(x, [*grid, 0.99, P_TOP])
+    spread = (high - low) / math.log(10.0)
+    scale = spread if spread > 0 else max(std, 1e-6) / 10
+    highest = {q: i * (P_TOP / (KNOTS - 1)) for i, q in enumerate(knots)}  # the last of equal knots
+    return scores.sparkSession.createDataFrame([(q, float(scale), p) for q, p in highest.items()], "x double, scale double, p double")
+
+
+def save_calibrator(knots: DataFrame, path: str) -> None:
+    knots.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_calibrator(spark: SparkSession, path: str) -> DataFrame:
+    """A saved calibrator; fails unless its knots ascend with their probabilities and share one positive scale."""
+    knots = spark.read.schema("x double, scale double, p double").parquet(path)
+    rows = sorted((r.x, r.p, r.scale) for r in knots.collect())
+    if not rows or any(a[1] >= b[1] for a, b in zip(rows, rows[1:])) or {r[2] for r in rows} != {rows[0][2]} or rows[0][2] <= 0:
+        raise ValueError("not a calibrator")
+    return knots
 
 
 def calibrate(scores: DataFrame, knots: DataFrame, column: str = "score", name: str = "calibrated") -> DataFrame:
-    """Adds the calibrated score: 0 below the first knot, linear between knots, a tail above. knots has 1,001 rows at most."""
-    rows = sorted((r.x, r.p) for r in knots.select("x", "p").collect())
-    scale = knots.first().scale
-    xs, ps = F.array(*[F.lit(x) for x, _ in rows]), F.array(*[F.lit(p) for _, p in rows])
-    x = log_score(F.col(column))
-    width = F.greatest(F.lit(0), F.size(F.filter(xs, lambda k: k <= x)))
-    held = scores.withColumns({"__x": x, "__i": width})
-    low, high, a, b = F.get(xs, F.col("__i") - 1), F.get(xs, F.col("__i")), F.get(ps, F.col("__i") - 1), F.get(ps, F.col("__i"))
-    inside = a + (b - a) * (F.col("__x") - low) / (high - low)
-    top = 1 - (1 - F.lit(rows[-1][1])) / (1 + (F.col("__x") - F.lit(rows[-1][0])) / F.lit(scale))
-    value = F.when(F.col(column).isNull(), None).when(F.col("__x") < F.lit(rows[0][0]), 0.0).when(F.col("__x") >= F.lit(rows[-1][0]), top).otherwise(inside)
-    return held.withColumn(name, value).drop("__x", "__i")
+    """Adds the calibrated score: 0 below the first knot, linear between knots, a tail above. knots has 1,001 rows at most.
+
+    The knots' interval is found by binary search in the JVM, its line by a broadcast join.
+    """
+    rows = sorted((r.x, r.p, r.scale) for r in knots.collect())
+    xs, ps, scale = [r[0] for r in rows], [r[1] for r in rows], rows[0][2]
+    lines = [(0.0, 0.0, 0.0, 0.0)] + [(i + 1.0, a, p, (q - p) / (b - a)) for i, (a, b, p, q) in enumerate(zip(xs, xs[1:], ps, ps[1:]))] + [(float(len(xs)), xs[-1], ps[-1], None)]
+    lines = F.broadcast(scores.sparkSession.createDataFrame(lines, "__i double, __a double, __p double, __slope double"))
+    held = scores.withColumn("__x", F.coalesce(log_score(F.col(column)), F.lit(math.nan)))
+    held = Bucketizer(splits=[-math.inf, *xs, math.inf], inputCol="__x", outputCol="__i", handleInvalid="keep").transform(held).join(lines, "__i", "left")
+    over = F.col("__x") - F.col("__a")
+    value = F.when(F.col(column).isNull(), None).when(F.col("__slope").isNull(), 1 - (1 - F.col("__p")) / (1 + over / F.lit(scale))).otherwise(F.col("__p") + F.col("__slope") * over)
+    return held.withColumn(name, value).drop("__x", "__i", "__a", "__p", "__slope")
 
 
 def confusion(scored: DataFrame, threshold: Column, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -61,7 +112,8 @@ def cumulative(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B
     the ranges above, so no task holds all scores.
     """
     by = scored.where("score is not null").groupBy(*keys, "score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    ranged = by.withColumn("__r", F.floor(F.log2(F.abs("score") + 1e-12) * 8) * F.when(F.col("score") < 0, -1).otherwise(1))
+    size = F.floor(F.log2(F.abs("score") + 1e-12) * 8) + 1000  # positive: log2 of the least is -40
+    ranged = by.withColumn("__r", F.when(F.col("score") < 0, -size).otherwise(size))  # by sign and size, so that ranges do not overlap
     inner = Window.partitionBy(*keys, "__r").orderBy(F.desc("score"))
     totals = ranged.groupBy(*keys, "__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"), F.max("score").alias("__m"))
     above = Window.partitionBy(*keys).orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1)  # a few hundred ranges a key

@@ -45,9 +45,12 @@ def _(spark, sf_dir):
     return e.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), " "))
 
 
-@query("graph_degrees", f"WITH {EDGES} SELECT acting_user, window_end, count(*) AS degree, count(*) FILTER (is_new) AS growth FROM ed GROUP BY ALL")
+PRIOR = "pd AS (SELECT a.acting_user, a.window_end, (SELECT count(*) FROM fs WHERE fs.acting_user = a.acting_user AND fs.first_seen < a.window_end - 86400) AS prior_degree FROM (SELECT DISTINCT acting_user, window_end FROM w) a)"
+
+
+@query("graph_degrees", f"WITH {EDGES}, {PRIOR} SELECT acting_user, window_end, count(*) AS degree, any_value(prior_degree) AS prior_degree, count(*) - any_value(prior_degree) AS growth FROM ed JOIN pd USING (acting_user, window_end) GROUP BY ALL")
 def _(spark, sf_dir):
-    return graph.degrees(edge_rows(spark, sf_dir))
+    return graph.degrees(edge_rows(spark, sf_dir), graph.prior_degrees(auth(spark, sf_dir)))
 
 
 @query("graph_prior_degrees", f"WITH {EDGES}, a AS (SELECT DISTINCT acting_user, window_end FROM w) SELECT acting_user, window_end, (SELECT count(*) FROM fs WHERE fs.acting_user = a.acting_user AND fs.first_seen < a.window_end - 86400) AS prior_degree, (SELECT count(*) FROM fs WHERE fs.acting_user = a.acting_user AND fs.first_seen >= a.window_end - 86400 AND fs.first_seen < a.window_end) AS fresh FROM a")
@@ -65,12 +68,12 @@ def _(spark, sf_dir):
     return graph.bursts(windowed(spark, sf_dir))
 
 
-_LOGS = "round(ln(1 + count(*)), 5) AS log_degree, round(ln(1 + sum(weight)), 5) AS log_strength, round(ln(1 + sum(failures)), 5) AS log_failures, round(ln(1 + count(*) FILTER (is_new)), 5) AS log_growth"
+_LOGS = "round(ln(1 + count(*)), 5) AS log_degree, round(ln(1 + sum(weight)), 5) AS log_strength, round(ln(1 + sum(failures)), 5) AS log_failures"
 
 
-@query("graph_node_features", f"WITH {EDGES}, {BURSTS} SELECT window_end, acting_user AS node, 1.0::DOUBLE AS is_user, {_LOGS}, round(ln(1 + any_value(peak_60s)), 5) AS log_60s, round(ln(1 + any_value(peak_300s)), 5) AS log_300s, round(ln(1 + any_value(peak_destinations_300s)), 5) AS log_destinations_300s FROM ed JOIN pk USING (acting_user, window_end) GROUP BY window_end, acting_user UNION ALL SELECT window_end, destination_computer, 0.0, {_LOGS}, 0.0, 0.0, 0.0 FROM ed GROUP BY window_end, destination_computer")
+@query("graph_node_features", f"WITH {EDGES}, {BURSTS}, {PRIOR} SELECT window_end, acting_user AS node, 1.0::DOUBLE AS is_user, 0.0::DOUBLE AS is_computer, {_LOGS}, round(ln(1 + greatest(count(*) - any_value(prior_degree), 0)), 5) AS log_growth, round(ln(1 + any_value(peak_60s)), 5) AS log_60s, round(ln(1 + any_value(peak_300s)), 5) AS log_300s, round(ln(1 + any_value(peak_destinations_300s)), 5) AS log_destinations_300s FROM ed JOIN pk USING (acting_user, window_end) JOIN pd USING (acting_user, window_end) GROUP BY window_end, acting_user UNION ALL SELECT window_end, destination_computer, 0.0, 1.0, {_LOGS}, 0.0, 0.0, 0.0, 0.0 FROM ed GROUP BY window_end, destination_computer")
 def _(spark, sf_dir):
-    n = graph.node_features(edge_rows(spark, sf_dir), graph.bursts(windowed(spark, sf_dir)))
+    n = graph.node_features(edge_rows(spark, sf_dir), graph.bursts(windowed(spark, sf_dir)), graph.prior_degrees(auth(spark, sf_dir)))
     return n.withColumns({c: F.round(c, 5) for c in n.columns if c.startswith("log_")})
 
 
@@ -91,7 +94,10 @@ def _(spark, sf_dir):
     return graph.propagate(graph.normalised_adjacency(e), start, ["x"]).withColumn("x", F.round("x", 5))
 
 
-@query("graph_negative_sample")
+@query("graph_negative_sample", f"""WITH {EDGES}, dc AS (SELECT DISTINCT window_end, destination_computer FROM ed), nu AS (SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY md5('7' || destination_computer), destination_computer) - 1 AS n, count(*) OVER (PARTITION BY window_end) AS size FROM dc),
+us AS (SELECT DISTINCT window_end, acting_user FROM ed), wk AS (SELECT us.window_end, acting_user, nu.destination_computer, (n - CAST('0x' || substr(md5('7' || acting_user), 1, 8) AS BIGINT) % size + size) % size AS step FROM us JOIN nu ON nu.window_end = us.window_end),
+no AS (SELECT wk.* FROM wk ANTI JOIN ed ON ed.window_end = wk.window_end AND ed.acting_user = wk.acting_user AND ed.destination_computer = wk.destination_computer)
+SELECT window_end, acting_user, destination_computer FROM (SELECT *, row_number() OVER (PARTITION BY window_end, acting_user ORDER BY step) AS r FROM no) WHERE r <= 2""")
 def _(spark, sf_dir):
     return graph.negative_sample(edge_rows(spark, sf_dir), 2)
 
@@ -173,7 +179,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """User-day counts of the graph, logged, fitted on days up to 16 with balanced weights; average precision per model on later days."""
     e = edge_rows(spark, sf_dir)
-    days = graph.degrees(e).join(graph.bursts(windowed(spark, sf_dir)), ["acting_user", "window_end"]).join(e.groupBy("acting_user", "window_end").agg(F.sum("weight").alias("strength"), F.sum("failures").alias("failed")), ["acting_user", "window_end"])
+    days = graph.degrees(e, graph.prior_degrees(auth(spark, sf_dir))).withColumn("growth", F.greatest("growth", F.lit(0))).join(graph.bursts(windowed(spark, sf_dir)), ["acting_user", "window_end"]).join(e.groupBy("acting_user", "window_end").agg(F.sum("weight").alias("strength"), F.sum("failures").alias("failed")), ["acting_user", "window_end"])
     days = days.withColumns({"user": F.col("acting_user"), "day": (F.floor((F.col("window_end") - 2) / 86_400) + 1).cast("int")})
     columns = ["degree", "growth", "peak_60s", "peak_300s", "peak_destinations_300s", "strength", "failed"]
     labels = adapters.red_team(spark, sf_dir).select("user", splits.day_of(F.col("timestamp")).alias("day"))
@@ -189,22 +195,25 @@ def _(spark, sf_dir):
     return metrics.average_precision(out, ["model"]).withColumn("ap", F.round("ap", 6))
 
 
-@query("graph_collapse_report", f"WITH {SCORES}{RED_PART}, y AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS hour FROM red), l AS (SELECT hs.*, y.user IS NOT NULL AS label FROM hs LEFT JOIN y USING (user, hour)), c AS (SELECT day <= 16 AS early, 2.0 * count(*) FILTER (graph_score >= 0.6 AND label) / nullif(2 * count(*) FILTER (graph_score >= 0.6 AND label) + count(*) FILTER (graph_score >= 0.6 AND NOT label) + count(*) FILTER (graph_score < 0.6 AND label), 0) AS f1 FROM l GROUP BY 1) SELECT round(a.f1, 6) AS f1_before, round(b.f1, 6) AS f1_after, round((a.f1 - b.f1) / nullif(a.f1, 0), 6) AS loss, coalesce((a.f1 - b.f1) / nullif(a.f1, 0) > 0.5, false) AS collapsed FROM c a, c b WHERE a.early AND NOT b.early")
+@query("graph_collapse_report", f"""WITH {SCORES}{RED_PART}, y AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS hour FROM red), l AS (SELECT hs.*, y.user IS NOT NULL AS label FROM hs LEFT JOIN y USING (user, hour)),
+c AS (SELECT day <= 16 AS early, count(*) FILTER (graph_score >= 0.6 AND label) AS tp, count(*) FILTER (graph_score >= 0.6 AND NOT label) AS fp, count(*) FILTER (graph_score < 0.6 AND label) AS fn FROM l GROUP BY 1), f AS (SELECT *, 2.0 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c),
+d AS (SELECT a.f1 AS f1_before, b.f1 AS f1_after, greatest(0.0, a.f1 - b.f1) AS absolute_loss, CASE WHEN a.f1 = 0 THEN 0.0 ELSE greatest(0.0, a.f1 - b.f1) / a.f1 END AS relative_loss, b.tp + b.fn AS holdout_positives FROM f a, f b WHERE a.early AND NOT b.early)
+SELECT round(f1_before, 6) AS f1_before, round(f1_after, 6) AS f1_after, round(absolute_loss, 6) AS absolute_loss, round(relative_loss, 6) AS relative_loss, holdout_positives, absolute_loss > 0.1 AND relative_loss > 0.5 AS dropped, (absolute_loss > 0.1 AND relative_loss > 0.5) OR holdout_positives < 30 AS collapsed FROM d""")
 def _(spark, sf_dir):
     rows = metrics.label_units(adapters.hour_scores(spark, sf_dir).withColumn("score", F.col("graph_score")), splits.label_hours(adapters.red_team(spark, sf_dir)), ["user", "hour"])
     report = graph.collapse_report(metrics.confusion(rows.where("day <= 16"), F.lit(0.6)), metrics.confusion(rows.where("day > 16"), F.lit(0.6)))
-    return report.withColumns({c: F.round(c, 6) for c in ("f1_before", "f1_after", "loss")})
+    return report.withColumns({c: F.round(c, 6) for c in ("f1_before", "f1_after", "absolute_loss", "relative_loss")})
 
 
 # ---- alignment and fusion ----
 
 ALIGN = SCORES + """,
-sq AS (SELECT user, hour, CASE WHEN tie % 11 = 0 THEN NULL ELSE seq_score END AS seq_score, CASE WHEN hour < 86401 THEN 'warmup' ELSE 'available' END AS seq_status FROM hs),
-gr AS (SELECT user, CAST(day * 86400 + 1 AS BIGINT) AS available_at, max(graph_score) AS graph_score, CASE WHEN day = 1 THEN 'warmup' ELSE 'available' END AS graph_status, min(tie) AS tie FROM hs WHERE day % 4 <> 3 GROUP BY user, day),
+sq AS (SELECT user, hour, CASE WHEN tie % 11 = 0 THEN NULL ELSE seq_score END AS s0, CASE WHEN hour < 86401 OR tie % 23 = 0 THEN 'warmup' ELSE 'available' END AS seq_status, CASE WHEN tie % 17 = 0 THEN true WHEN tie % 19 = 0 THEN false END AS seq_alert FROM hs),
+gr AS (SELECT user, CAST(day * 86400 + 1 AS BIGINT) AS available_at, max(graph_score) AS graph_score, CASE WHEN day = 1 OR min(tie) % 7 = 0 THEN 'warmup' ELSE 'available' END AS graph_status, min(tie) AS tie FROM hs WHERE day % 4 <> 3 GROUP BY user, day),
 b AS (SELECT *, hour + 3600 AS window_end FROM sq),
 al0 AS (SELECT b.*, g.available_at, g.graph_score AS g0, g.graph_status, coalesce(b.window_end - g.available_at > 86400, false) AS stale FROM b ASOF LEFT JOIN gr g ON b.user = g.user AND b.window_end >= g.available_at),
-al1 AS (SELECT * EXCLUDE (g0), CASE WHEN NOT stale THEN g0 END AS graph_score FROM al0),
-al AS (SELECT *, seq_score >= 0.4 AS is_seq_alert, graph_score >= 0.7 AS is_graph_alert, CASE WHEN coalesce(window_end <= 86401 OR seq_status = 'warmup' OR graph_status = 'warmup', false) THEN 'insufficient_history' WHEN seq_score IS NOT NULL AND graph_score IS NOT NULL THEN 'both' WHEN seq_score IS NOT NULL AND stale THEN 'stale_graph' WHEN seq_score IS NOT NULL THEN 'sequence_only' WHEN graph_score IS NOT NULL THEN 'graph_only' ELSE 'no_activity' END AS alignment_status FROM al1)"""
+al1 AS (SELECT * EXCLUDE (g0, s0), CASE WHEN seq_status = 'available' THEN s0 END AS seq_score, CASE WHEN NOT stale AND graph_status = 'available' THEN g0 END AS graph_score FROM al0),
+al AS (SELECT *, CASE WHEN seq_status = 'available' THEN coalesce(seq_alert, seq_score >= 0.4) END AS is_seq_alert, graph_score >= 0.7 AS is_graph_alert, CASE WHEN coalesce(window_end <= 86401 OR seq_status = 'warmup' OR (graph_status = 'warmup' AND NOT stale), false) THEN 'insufficient_history' WHEN seq_score IS NOT NULL AND graph_score IS NOT NULL THEN 'both' WHEN seq_score IS NOT NULL AND stale THEN 'stale_graph' WHEN seq_score IS NOT NULL THEN 'sequence_only' WHEN graph_score IS NOT NULL THEN 'graph_only' ELSE 'no_activity' END AS alignment_status FROM al1)"""
 FUSE = ALIGN + """,
 fw AS (SELECT *, CASE WHEN seq_score IS NOT NULL AND graph_score IS NOT NULL THEN 0.5 WHEN seq_score IS NOT NULL THEN 1.0 WHEN graph_score IS NOT NULL THEN 0.0 END AS weight_seq FROM al),
 fu AS (SELECT *, CASE WHEN seq_score IS NULL AND graph_score IS NULL THEN NULL ELSE coalesce(seq_score, 0) * weight_seq + coalesce(graph_score, 0) * (1 - weight_seq) END AS base,
@@ -213,9 +222,9 @@ fu AS (SELECT *, CASE WHEN seq_score IS NULL AND graph_score IS NULL THEN NULL E
 
 def aligned(spark, sf_dir):
     hs = adapters.hour_scores(spark, sf_dir)
-    seq = hs.select("user", "hour", F.when(F.col("tie") % 11 != 0, F.col("seq_score")).alias("seq_score"), F.when(F.col("hour") < 86_401, "warmup").otherwise("available").alias("seq_status"))
+    seq = hs.select("user", "hour", F.when(F.col("tie") % 11 != 0, F.col("seq_score")).alias("seq_score"), F.when((F.col("hour") < 86_401) | (F.col("tie") % 23 == 0), "warmup").otherwise("available").alias("seq_status"), F.when(F.col("tie") % 17 == 0, True).when(F.col("tie") % 19 == 0, False).alias("seq_alert"))
     gra = hs.where("day % 4 <> 3").groupBy("user", "day").agg(F.max("graph_score").alias("graph_score"), F.min("tie").alias("tie"))
-    gra = gra.select("user", (F.col("day").cast("long") * 86_400 + 1).alias("available_at"), "graph_score", F.when(F.col("day") == 1, "warmup").otherwise("available").alias("graph_status"), "tie")
+    gra = gra.select("user", (F.col("day").cast("long") * 86_400 + 1).alias("available_at"), "graph_score", F.when((F.col("day") == 1) | (F.col("tie") % 7 == 0), "warmup").otherwise("available").alias("graph_status"), "tie")
     return fusion.align(seq, gra, seq_threshold=0.4, graph_threshold=0.7)
 
 
@@ -233,9 +242,9 @@ def _(spark, sf_dir):
     return aligned(spark, sf_dir).groupBy("alignment_status").agg(F.count("*").alias("n"))
 
 
-@query("fusion_universe", f"WITH {SCORES} SELECT user, hour FROM hs WHERE day <= 3 UNION SELECT user, CAST((day - 1) * 86400 + 1 AS BIGINT) FROM hs WHERE day <= 3")
+@query("fusion_universe", f"WITH {SCORES} SELECT user, hour FROM hs UNION SELECT user, CAST((day - 1) * 86400 + 1 AS BIGINT) FROM hs")
 def _(spark, sf_dir):
-    hs = adapters.hour_scores(spark, sf_dir).where("day <= 3")
+    hs = adapters.hour_scores(spark, sf_dir)
     return fusion.universe(hs, hs.select("user", ((F.col("day").cast("long") - 1) * 86_400 + 1).alias("hour")))
 
 
@@ -259,7 +268,7 @@ tf AS (SELECT *, CASE WHEN base IS NOT NULL THEN least(base + boost, 0.9999) END
 @query("fusion_temporal", f"WITH {TEMPORAL} SELECT user, hour, round(boost, 6) AS boost, lead, lead_seconds, round(fused, 6) AS fused, fused >= 0.7 AS is_alert FROM tf")
 def _(spark, sf_dir):
     t = fusion.temporal(fused(spark, sf_dir), alert=0.7)
-    return t.withColumn("fused", F.when(F.col("base").isNotNull(), F.col("fused"))).select("user", "hour", F.round("boost", 6).alias("boost"), "lead", "lead_seconds", F.round("fused", 6).alias("fused"), F.when(F.col("base").isNotNull(), F.col("is_alert")).alias("is_alert"))
+    return t.select("user", "hour", F.round("boost", 6).alias("boost"), "lead", "lead_seconds", F.round("fused", 6).alias("fused"), "is_alert")
 
 
 @query("fusion_day_temporal", f"WITH {SCORES}, d AS (SELECT user, day, max(seq_score) AS seq_score, min(hour) FILTER (seq_score >= 0.4) AS seq_first_alert, max(graph_score) AS graph_score FROM hs GROUP BY ALL) SELECT d.user, d.day, d.seq_score, p.graph_score AS graph_before, CASE WHEN d.seq_first_alert IS NOT NULL AND p.graph_score >= 0.5 THEN d.seq_first_alert - ((d.day - 1) * 86400 + 1) END AS lead_seconds FROM d LEFT JOIN d p ON p.user = d.user AND p.day = d.day - 1")
@@ -338,7 +347,7 @@ inc AS (SELECT *, format('INC-TEST-D{{:02d}}-{{}}-{{:03d}}', day, {_CLEAN}, inci
 
 def built(spark, sf_dir):
     t = fusion.temporal(fused(spark, sf_dir))
-    alerts = t.where("base is not null and fused >= 0.55").select("user", "hour", splits.day_of(F.col("hour")).alias("day"), F.col("fused").alias("score"), "disagreement", "boost", "seq_score", "graph_score")
+    alerts = t.where("fused >= 0.55").select("user", "hour", splits.day_of(F.col("hour")).alias("day"), F.col("fused").alias("score"), "disagreement", "boost", "seq_score", "graph_score")
     return incidents.build(alerts, "test")
 
 
@@ -366,9 +375,10 @@ def _(spark, sf_dir):
     return incidents.queue_view(built(spark, sf_dir), None, ["CRITICAL", "HIGH"], 864_001, 1_382_401).select("incident_id", "priority", "start")
 
 
-@query("incidents_unresolved_references", f"WITH {RECORDS} SELECT incident_id, source_line FROM (SELECT '' AS incident_id, CAST(0 AS BIGINT) AS source_line) WHERE false")
+@query("incidents_unresolved_references", f"WITH {RECORDS}, x AS (SELECT format('INC-VALIDATION-D{{:02d}}-{{}}-{{:03d}}', day, {_CLEAN}, CAST(incident_seq AS BIGINT)) AS incident_id, CAST(regexp_extract(r, '[0-9]+$') AS BIGINT) AS source_line FROM (SELECT *, unnest(string_split(refs, ' ')) AS r FROM rc JOIN rf USING (user, incident_seq))) SELECT incident_id, source_line FROM x WHERE source_line % 10 = 3")
 def _(spark, sf_dir):
-    return incidents.unresolved(records(spark, sf_dir), auth(spark, sf_dir))
+    """References of the day's records into a log that lacks every tenth line."""
+    return incidents.unresolved(records(spark, sf_dir), auth(spark, sf_dir).where("source_line % 10 <> 3"))
 
 
 @query("incidents_package_counts", f"WITH {RECORDS} SELECT (SELECT count(*) FROM q) AS alerts, (SELECT count(DISTINCT user) FROM q) AS users, (SELECT count(DISTINCT day) FROM q) AS days, (SELECT count(*) FROM al) AS events, (SELECT count(*) FROM rc) AS incidents, (SELECT count(*) FROM rc) AS distinct_ids")
