@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Authentication types that texts may name.
+AUTHENTICATION_TYPES = ["NTLM", "Kerberos", "Negotiate", "MICROSOFT_AUTHENTICATION_PACKAGE_V1_0"]
+
+
 def is_machine(user: Column) -> Column:
     """The part before @ ends with $."""
     return F.substring_index(user, "@", 1).endswith("$")
@@ -26,6 +30,7 @@ def reference_line(ref: Column, prefix: str = "auth.txt") -> Column:
 
 
 def mentioned(text: Column) -> Column:
-    """Entities named in a text: computers, users, clock times and authentication types, each once, sorted."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (r"\bC[0-9]+\b", r"\b[UC][0-9]+\$?@[A-Z0-9]+", r"\b[0-2][0-9]:[0-5][0-9]:[0-5][0-9]\b", r"\b(?:NTLM|Kerberos|Negotiate)\b")]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    """Entities named in a text: computers, users, clock times and authentication types (in any case), each once, sorted."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (r"\bC\d+\b", r"\bU\d+@DOM\d+\b", r"\b\d{2}:\d{2}:\d{2}\b")]
+    types = F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{t}\b"), t) for t in AUTHENTICATION_TYPES]))
+    return F.array_sort(F.array_distinct(F.concat(*found, types)))

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 REFERENCES = 20
 RULE_EVENTS, PACKAGE_EVENTS = 40, 60
-RULES = ["failed_logons", "ntlm_logon_to_new_destination", "network_logon_to_new_destination", "first_time_host_connection"]
+RULES = ["failed_logons", "ntlm_logon_to_new_destination", "network_logon_to_new_destination", "logon_from_new_source"]
+
+
+def not_logoff() -> Column:
+    """Log-offs are recorded on the machine being left, so they never count as new."""
+    return F.col("authentication_orientation") != "LogOff"
 
 
 def rule_columns() -> dict[str, Column]:
-    """The behaviour rules as conditions on events; log-offs never count as new."""
-    on = F.col("authentication_orientation") == "LogOn"
-    fresh = on & F.col("is_new_user_destination")
+    """The behaviour rules as conditions on events; a destination is new to the user or to the source computer."""
+    network = (F.col("logon_type") == "Network") & (F.col("is_new_user_destination") | F.col("is_new_host_connection")) & not_logoff()
     return {
         "failed_logons": F.col("authentication_result") == "Fail",
-        "ntlm_logon_to_new_destination": fresh & (F.col("authentication_type") == "NTLM"),
-        "network_logon_to_new_destination": fresh & (F.col("logon_type") == "Network"),
-        "first_time_host_connection": (F.col("authentication_orientation") != "LogOff") & F.col("is_new_host_connection"),
+        "ntlm_logon_to_new_destination": (F.col("authentication_type") == "NTLM") & network,
+        "network_logon_to_new_destination": network,
+        "logon_from_new_source": F.col("is_new_user_source") & not_logoff(),
     }
 
 
@@ -38,9 +42,10 @@ def observed(events: DataFrame, limit: int = REFERENCES) -> DataFrame:
 
 def event_flags() -> Column:
     """Plain-language flags of an event."""
+    new = lambda c: F.col(c) & not_logoff()
     return F.concat_ws("; ", F.array_compact(F.array(
-        F.when(F.col("authentication_result") == "Fail", "failed"), F.when(F.col("is_new_user_destination"), "first time this user reached this computer"),
-        F.when(F.col("is_new_user_source"), "first time this user came from this computer"), F.when(F.col("is_new_host_connection"), "first connection between these computers"),
+        F.when(new("is_new_user_destination"), "user is new at this computer"), F.when(new("is_new_host_connection"), "computers are new to each other"),
+        F.when(new("is_new_user_source"), "user is new at this source"), F.when(F.col("authentication_result") == "Fail", "failed"),
     )))
 
 
@@ -62,27 +67,45 @@ def select_events(events: DataFrame, rule_limit: int = RULE_EVENTS, total: int =
     return taken.union(sampled.select("incident_id", "source_line", F.lit("sample").alias("why")))
 
 
+def value_counts(events: DataFrame, column: str, name: str) -> DataFrame:
+    """Per incident the values of a column with their counts, as value:n, the most frequent first. Few values are expected."""
+    n = events.groupBy("incident_id", F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "v")))
+    return n.groupBy("incident_id").agg(F.concat_ws(" ", F.transform(order, lambda x: F.concat_ws(":", x["v"], (-x["n"]).cast("string")))).alias(name))
+
+
 def event_counts(events: DataFrame, top: int = 5) -> DataFrame:
-    """Per incident: events, failures, distinct hosts, first-time sums, and the top destinations (ties by first seen)."""
+    """Per incident: events by type, failures, distinct hosts, first times, and the top destinations (ties by first seen). Log-offs are neither first times nor destinations reached."""
+    new = lambda c: F.count_if(F.col(c) & not_logoff())
     g = events.groupBy("incident_id").agg(
         F.count("*").alias("events"), F.count_if(F.col("authentication_result") == "Fail").alias("failures"), F.countDistinct("source_computer").alias("sources"), F.countDistinct("destination_computer").alias("destinations"),
-        F.count_if("is_new_user_destination").alias("new_destinations"), F.count_if("is_new_host_connection").alias("new_hosts"),
+        new("is_new_user_destination").alias("new_destinations"), new("is_new_host_connection").alias("new_hosts"), new("is_new_user_source").alias("new_sources"),
     )
-    d = events.groupBy("incident_id", "destination_computer").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "source_line")).alias("first"))
+    d = events.where(not_logoff()).groupBy("incident_id", "destination_computer").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "source_line")).alias("first"))
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("n"), "first"))).where(F.col("r") <= top)
     listed = d.groupBy("incident_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("r", "destination_computer", "n"))), lambda x: F.concat_ws(":", x["destination_computer"], x["n"].cast("string")))).alias("top_destinations"))
-    return g.join(listed, "incident_id")
+    for column, name in (("authentication_type", "by_auth_type"), ("logon_type", "by_logon_type"), ("authentication_orientation", "by_orientation")):
+        g = g.join(value_counts(events, column, name), "incident_id")
+    return g.join(listed, "incident_id", "left").withColumn("top_destinations", F.coalesce("top_destinations", F.lit("")))
 
 
 def host_pairs(events: DataFrame) -> DataFrame:
-    """Per incident and host pair: events, failures, novelty, NTLM use, first time; novel pairs first."""
-    return events.groupBy("incident_id", "source_computer", "destination_computer").agg(
-        F.count("*").alias("events"), F.count_if(F.col("authentication_result") == "Fail").alias("failures"), F.bool_or("is_new_host_connection").alias("novel"), F.bool_or(F.col("authentication_type") == "NTLM").alias("ntlm"), F.min("timestamp").alias("first")
-    ).orderBy("incident_id", F.desc("novel"), "first", "source_computer", "destination_computer")
+    """Per incident and host pair: events, failures, authentication types, the three kinds of novelty (log-offs aside), first line and time; novel pairs first."""
+    new = lambda c: F.bool_or(F.col(c) & not_logoff())
+    known = F.when(F.col("authentication_type") == "?", "unknown").otherwise(F.col("authentication_type"))
+    g = events.groupBy("incident_id", "source_computer", "destination_computer").agg(
+        F.count("*").alias("events"), F.count_if(F.col("authentication_result") == "Fail").alias("failures"), F.array_join(F.array_sort(F.collect_set(known)), ", ").alias("types"),
+        new("is_new_user_destination").alias("new_destination"), new("is_new_host_connection").alias("new_pair"), new("is_new_user_source").alias("new_source"),
+        F.min_by("source_line", F.struct("timestamp", "source_line")).alias("first_line"), F.min("timestamp").alias("first"),
+    )
+    g = g.withColumn("novel", F.col("new_destination") | F.col("new_pair") | F.col("new_source"))
+    return g.orderBy("incident_id", F.desc("novel"), "first", "source_computer", "destination_computer")
 
 
 def first_time_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("incident_id").agg(F.count_if("novel").alias("first_time_pairs"), F.count_if(F.col("novel") & F.col("ntlm")).alias("with_ntlm"), F.countDistinct(F.when(F.col("novel"), F.col("destination_computer"))).alias("first_time_destinations"))
+    """Per incident: pairs with any novelty, how many of them used NTLM, and all destinations."""
+    ntlm = F.col("types").contains("NTLM")
+    return pairs.groupBy("incident_id").agg(F.count_if("novel").alias("first_time_pairs"), F.count_if(F.col("novel") & ntlm).alias("with_ntlm"), F.countDistinct(F.when(F.col("novel"), F.col("destination_computer"))).alias("first_time_destinations"), F.countDistinct("destination_computer").alias("destinations"))
 
 
 def histogram(events: DataFrame, incidents: DataFrame, width: int) -> DataFrame:
@@ -93,10 +116,18 @@ def histogram(events: DataFrame, incidents: DataFrame, width: int) -> DataFrame:
 
 
 def anchored_groups(items: DataFrame, seconds: int) -> DataFrame:
-    """(id, times array sorted) -> groups: an item joins while within `seconds` of the group's first item."""
-    start = F.array().cast("array<array<bigint>>")
-    step = lambda acc, t: F.when((F.size(acc) > 0) & (t - F.get(F.get(acc, F.size(acc) - 1), F.lit(0)) <= seconds), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.get(acc, F.size(acc) - 1), F.array(t))))).otherwise(F.concat(acc, F.array(F.array(t))))
-    return items.withColumn("groups", F.aggregate("times", start, step))
+    """(id, times array sorted) -> groups, arrays of times: an item joins while within `seconds` of the group's first item.
+
+    One pass over the array: the anchors are folded first (a number each), then every anchor takes
+    the slice of times up to the next.
+    """
+    zero = F.array().cast("array<struct<at:int,t:bigint>>")
+    placed = F.transform("times", lambda t, i: F.struct(i.alias("at"), t.cast("long").alias("t")))
+    start = F.struct(zero.alias("anchors"), F.lit(None).cast("long").alias("last"))
+    step = lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] > seconds), F.struct(F.array_append(acc["anchors"], x).alias("anchors"), x["t"].alias("last"))).otherwise(acc)
+    anchors = F.aggregate(placed, start, step, lambda acc: F.transform(acc["anchors"], lambda a: a["at"]))
+    ends = lambda a, i: F.coalesce(F.get(a, i + 1), F.size("times"))
+    return items.withColumn("__a", anchors).withColumn("groups", F.transform("__a", lambda at, i: F.slice("times", at + 1, ends(F.col("__a"), i) - at))).drop("__a")
 
 
 # ---- text retrieval ----
@@ -159,30 +190,6 @@ def validate_replies(replies: DataFrame) -> DataFrame:
     return checked.select("incident_id", "mode", F.array_join(F.array_compact(tests), ",").alias("problems"))
 
 
-def technique_verdicts(cited: DataFrame, needs: DataFrame) -> DataFrame:
-    """cited (incident_id, technique, source_line, rule or null if the line is not in the package) against needs (technique, rule, minimum).
-
-    Rejected: a broken citation, or no cited event meets a needed rule. Uncertain: fewer such
-    events than the minimum. Supported otherwise.
-    """
-    j = cited.join(F.broadcast(needs), "technique", "left")
-    g = j.groupBy("incident_id", "technique").agg(F.count_if(F.col("found").isNull()).alias("broken"), F.countDistinct(F.when(F.col("found") == F.col("rule"), F.col("source_line"))).alias("meeting"), F.max("minimum").alias("minimum"))
-    verdict = F.when(F.col("minimum").isNull(), "Rejected").when(F.col("broken") > 0, "Rejected").when(F.col("meeting") == 0, "Rejected").when(F.col("meeting") < F.col("minimum"), "Uncertain").otherwise("Supported")
-    reason = F.when(F.col("minimum").isNull(), "unknown_technique").when(F.col("broken") > 0, "broken_citation").when(F.col("meeting") == 0, "no_matching_event").when(F.col("meeting") < F.col("minimum"), "too_few_events").otherwise("rule_met")
-    return g.withColumns({"verdict": verdict, "reason": reason})
-
-
-def claim_verdicts(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """claims (incident_id, claim, entities, lines) against facts (incident_id, source_line, entities): in cited facts, elsewhere, or nowhere."""
-    everything = facts.groupBy("incident_id").agg(F.flatten(F.collect_set("entities")).alias("all"))
-    cited = claims.select("incident_id", "claim", F.explode_outer("lines").alias("source_line")).join(facts, ["incident_id", "source_line"], "left").groupBy("incident_id", "claim").agg(F.flatten(F.collect_list("entities")).alias("near"))
-    j = claims.join(cited, ["incident_id", "claim"]).join(everything, "incident_id", "left")
-    missing = F.array_except("entities", F.coalesce("near", F.array().cast("array<string>")))
-    nowhere = F.array_except(missing, F.coalesce("all", F.array().cast("array<string>")))
-    verdict = F.when(F.size(nowhere) > 0, "unsupported").when(F.size(missing) > 0, "supported_elsewhere").otherwise("supported")
-    return j.select("incident_id", "claim", verdict.alias("verdict"), F.array_join(F.sort_array(missing), ",").alias("missing"))
-
-
 def answer_key_leaks(packages: DataFrame, names: list[str]) -> DataFrame:
     """Columns whose name, and rows whose text, tells the answer: both counts must be 0."""
     pattern = "(?i)" + "|".join(names)

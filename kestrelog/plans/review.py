@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kestrelog.functions.accounts import mentioned
 from kestrelog.operators import behaviours, graph, history, incidents, metrics, sequences, splits, timing
+from kestrelog.operators import verdicts as verdict_rules
 from kestrelog.sources import adapters
 
 from .base import AUTH, SCORES, query
@@ -16,9 +18,9 @@ from .units import LABELLED, MODELS, labelled, models
 _ID = f"format('INC-VALIDATION-D{{:02d}}-{{}}-{{:03d}}', rc.day, {_CLEAN.replace('user', 'rc.user')}, CAST(rc.incident_seq AS BIGINT))"
 RULES_SQL = {
     "failed_logons": "authentication_result = 'Fail'",
-    "ntlm_logon_to_new_destination": "authentication_orientation = 'LogOn' AND is_new_user_destination AND authentication_type = 'NTLM'",
-    "network_logon_to_new_destination": "authentication_orientation = 'LogOn' AND is_new_user_destination AND logon_type = 'Network'",
-    "first_time_host_connection": "authentication_orientation <> 'LogOff' AND is_new_host_connection",
+    "ntlm_logon_to_new_destination": "authentication_type = 'NTLM' AND logon_type = 'Network' AND (is_new_user_destination OR is_new_host_connection) AND authentication_orientation <> 'LogOff'",
+    "network_logon_to_new_destination": "logon_type = 'Network' AND (is_new_user_destination OR is_new_host_connection) AND authentication_orientation <> 'LogOff'",
+    "logon_from_new_source": "is_new_user_source AND authentication_orientation <> 'LogOff'",
 }
 IE = RECORDS + f""",
 ie AS (SELECT {_ID} AS incident_id, rc.day, nov.* FROM ig JOIN rc ON rc.user = ig.user AND rc.incident_seq = ig.incident_seq JOIN nov ON nov.acting_user = ig.user AND nov.hour = ig.hour),
@@ -44,7 +46,7 @@ def _(spark, sf_dir):
     return behaviours.observed(incident_events(spark, sf_dir), 2)
 
 
-@query("behaviours_event_flags", f"WITH {IE} SELECT source_line, concat_ws('; ', CASE WHEN authentication_result = 'Fail' THEN 'failed' END, CASE WHEN is_new_user_destination THEN 'first time this user reached this computer' END, CASE WHEN is_new_user_source THEN 'first time this user came from this computer' END, CASE WHEN is_new_host_connection THEN 'first connection between these computers' END) AS flags FROM ie")
+@query("behaviours_event_flags", f"WITH {IE} SELECT source_line, concat_ws('; ', CASE WHEN is_new_user_destination AND authentication_orientation <> 'LogOff' THEN 'user is new at this computer' END, CASE WHEN is_new_host_connection AND authentication_orientation <> 'LogOff' THEN 'computers are new to each other' END, CASE WHEN is_new_user_source AND authentication_orientation <> 'LogOff' THEN 'user is new at this source' END, CASE WHEN authentication_result = 'Fail' THEN 'failed' END) AS flags FROM ie")
 def _(spark, sf_dir):
     return incident_events(spark, sf_dir).select("source_line", behaviours.event_flags().alias("flags"))
 
@@ -59,13 +61,24 @@ def _(spark, sf_dir):
     return behaviours.select_events(e, 8, 12)
 
 
-@query("evidence_counts", f"""WITH {IE}, d AS (SELECT incident_id, destination_computer, count(*) AS n, min((timestamp, source_line)) AS f FROM ie GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, f) AS r FROM d), tl AS (SELECT incident_id, string_agg(destination_computer || ':' || n, ' ' ORDER BY r) AS top_destinations FROM r WHERE r <= 5 GROUP BY 1)
-SELECT incident_id, count(*) AS events, count(*) FILTER (authentication_result = 'Fail') AS failures, count(DISTINCT source_computer) AS sources, count(DISTINCT destination_computer) AS destinations, count(*) FILTER (is_new_user_destination) AS new_destinations, count(*) FILTER (is_new_host_connection) AS new_hosts, any_value(top_destinations) AS top_destinations FROM ie JOIN tl USING (incident_id) GROUP BY incident_id""")
+def _values_sql(column: str, name: str) -> str:
+    return f"{name} AS (SELECT incident_id, string_agg(v || ':' || n, ' ' ORDER BY n DESC, v) AS {name} FROM (SELECT incident_id, {column} AS v, count(*) AS n FROM ie GROUP BY ALL) GROUP BY 1)"
+
+
+ON = "authentication_orientation <> 'LogOff'"
+
+
+@query("evidence_counts", f"""WITH {IE}, d AS (SELECT incident_id, destination_computer, count(*) AS n, min((timestamp, source_line)) AS f FROM ie WHERE {ON} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, f) AS r FROM d),
+tl AS (SELECT incident_id, string_agg(destination_computer || ':' || n, ' ' ORDER BY r) AS top_destinations FROM r WHERE r <= 5 GROUP BY 1), {_values_sql("authentication_type", "by_auth_type")}, {_values_sql("logon_type", "by_logon_type")}, {_values_sql("authentication_orientation", "by_orientation")},
+c AS (SELECT incident_id, count(*) AS events, count(*) FILTER (authentication_result = 'Fail') AS failures, count(DISTINCT source_computer) AS sources, count(DISTINCT destination_computer) AS destinations, count(*) FILTER (is_new_user_destination AND {ON}) AS new_destinations,
+ count(*) FILTER (is_new_host_connection AND {ON}) AS new_hosts, count(*) FILTER (is_new_user_source AND {ON}) AS new_sources FROM ie GROUP BY incident_id)
+SELECT * REPLACE (coalesce(top_destinations, '') AS top_destinations) FROM c JOIN by_auth_type USING (incident_id) JOIN by_logon_type USING (incident_id) JOIN by_orientation USING (incident_id) LEFT JOIN tl USING (incident_id)""")
 def _(spark, sf_dir):
     return behaviours.event_counts(incident_events(spark, sf_dir))
 
 
-PAIRS = IE + ", hp AS (SELECT incident_id, source_computer, destination_computer, count(*) AS events, count(*) FILTER (authentication_result = 'Fail') AS failures, bool_or(is_new_host_connection) AS novel, bool_or(authentication_type = 'NTLM') AS ntlm, min(timestamp) AS first FROM ie GROUP BY ALL)"
+PAIRS = IE + f""", hp AS (SELECT incident_id, source_computer, destination_computer, count(*) AS events, count(*) FILTER (authentication_result = 'Fail') AS failures, string_agg(DISTINCT CASE authentication_type WHEN '?' THEN 'unknown' ELSE authentication_type END, ', ' ORDER BY CASE authentication_type WHEN '?' THEN 'unknown' ELSE authentication_type END) AS types,
+ bool_or(is_new_user_destination AND {ON}) AS new_destination, bool_or(is_new_host_connection AND {ON}) AS new_pair, bool_or(is_new_user_source AND {ON}) AS new_source, arg_min(source_line, (timestamp, source_line)) AS first_line, min(timestamp) AS first, bool_or((is_new_user_destination OR is_new_host_connection OR is_new_user_source) AND {ON}) AS novel FROM ie GROUP BY ALL)"""
 
 
 @query("evidence_host_pairs", f"WITH {PAIRS} SELECT * FROM hp")
@@ -73,7 +86,7 @@ def _(spark, sf_dir):
     return behaviours.host_pairs(incident_events(spark, sf_dir))
 
 
-@query("evidence_first_time_pairs", f"WITH {PAIRS} SELECT incident_id, count(*) FILTER (novel) AS first_time_pairs, count(*) FILTER (novel AND ntlm) AS with_ntlm, count(DISTINCT destination_computer) FILTER (novel) AS first_time_destinations FROM hp GROUP BY 1")
+@query("evidence_first_time_pairs", f"WITH {PAIRS} SELECT incident_id, count(*) FILTER (novel) AS first_time_pairs, count(*) FILTER (novel AND contains(types, 'NTLM')) AS with_ntlm, count(DISTINCT destination_computer) FILTER (novel) AS first_time_destinations, count(DISTINCT destination_computer) AS destinations FROM hp GROUP BY 1")
 def _(spark, sf_dir):
     return behaviours.first_time_counts(behaviours.host_pairs(incident_events(spark, sf_dir)))
 
@@ -85,7 +98,8 @@ def _(spark, sf_dir):
     return behaviours.histogram(incident_events(spark, sf_dir), spans, 900)
 
 
-@query("evidence_anchored_groups")
+@query("evidence_anchored_groups", f"""WITH RECURSIVE {AUTH}, an AS (SELECT acting_user, min(timestamp) AS a, 1 AS g FROM auth GROUP BY acting_user UNION ALL SELECT an.acting_user, (SELECT min(timestamp) FROM auth x WHERE x.acting_user = an.acting_user AND x.timestamp > an.a + 86400), g + 1 FROM an WHERE a IS NOT NULL)
+SELECT an.acting_user, CAST(max(g) FILTER (a IS NOT NULL) AS BIGINT) AS n_groups, (SELECT max(timestamp) FROM auth x WHERE x.acting_user = an.acting_user AND x.timestamp <= min(an.a) + 86400) AS first_group_end FROM an GROUP BY an.acting_user""")
 def _(spark, sf_dir):
     times = adapters.auth_events(spark, sf_dir).groupBy("acting_user").agg(F.sort_array(F.collect_list("timestamp")).alias("times"))
     return behaviours.anchored_groups(times, 86_400).select("acting_user", F.size("groups").cast("long").alias("n_groups"), F.element_at(F.element_at("groups", 1), -1).alias("first_group_end"))
@@ -115,10 +129,12 @@ def _(spark, sf_dir):
     return docs.select("doc_id", F.length(behaviours.clean_description(F.concat("text", F.lit(" (Citation: X) [page](http://x)")))).cast("long").alias("n"))
 
 
-@query("retrieval_mentions", f"WITH {AUTH}, t AS (SELECT source_line, acting_user || ' used ' || authentication_type || ' from ' || source_computer || ' at 10:20:30 to ' || destination_computer || '.' AS text FROM auth) SELECT source_line, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\\bC[0-9]+\\b'), regexp_extract_all(text, '\\b[UC][0-9]+\\$?@[A-Z0-9]+')), list_concat(regexp_extract_all(text, '\\b[0-2][0-9]:[0-5][0-9]:[0-5][0-9]\\b'), regexp_extract_all(text, '\\b(?:NTLM|Kerberos|Negotiate)\\b'))))), ',') AS entities FROM t")
+@query("retrieval_mentions", f"""WITH {AUTH}, t AS (SELECT source_line, acting_user || ' used ' || CASE WHEN source_line % 2 = 0 THEN lower(authentication_type) ELSE authentication_type END || ' from ' || source_computer || ' at 10:20:30 to ' || destination_computer || '.' AS text FROM auth)
+SELECT source_line, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\\bC\\d+\\b'), regexp_extract_all(text, '\\bU\\d+@DOM\\d+\\b')), list_concat(regexp_extract_all(text, '\\b\\d{{2}}:\\d{{2}}:\\d{{2}}\\b'), list_filter(['NTLM', 'Kerberos', 'Negotiate'], lambda x: regexp_matches(text, '(?i)\\b' || x || '\\b')))))), ',') AS entities FROM t""")
 def _(spark, sf_dir):
     a = adapters.auth_events(spark, sf_dir)
-    text = F.concat("acting_user", F.lit(" used "), "authentication_type", F.lit(" from "), "source_computer", F.lit(" at 10:20:30 to "), "destination_computer", F.lit("."))
+    kind = F.when(F.col("source_line") % 2 == 0, F.lower("authentication_type")).otherwise(F.col("authentication_type"))
+    text = F.concat("acting_user", F.lit(" used "), kind, F.lit(" from "), "source_computer", F.lit(" at 10:20:30 to "), "destination_computer", F.lit("."))
     return a.select("source_line", F.array_join(mentioned(text), ",").alias("entities"))
 
 
@@ -141,34 +157,60 @@ def _(spark, sf_dir):
     return behaviours.latest(adapters.table(spark, sf_dir, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", "role")
 
 
-NEEDS = [("T1110", "failed_logons", 2), ("T1021.002", "ntlm_logon_to_new_destination", 1), ("T1021", "network_logon_to_new_destination", 1), ("T1078", "first_time_host_connection", 2)]
-_NV = ", ".join(f"('{t}', '{r}', {m})" for t, r, m in NEEDS)
-CITED = IE + f""", ne AS (SELECT * FROM (VALUES {_NV}) v(technique, rule, minimum)), ci0 AS (SELECT DISTINCT incident_id, technique, rm.source_line, rm.rule AS found FROM rm JOIN ne USING (rule)),
-ci AS (SELECT * FROM ci0 UNION ALL SELECT incident_id, technique, source_line + 10000000, NULL FROM ci0 WHERE source_line % 9 = 0), vg AS (SELECT incident_id, technique, count(*) FILTER (found IS NULL) AS broken, count(DISTINCT source_line) FILTER (found = rule) AS meeting, max(minimum) AS minimum FROM ci LEFT JOIN ne USING (technique) GROUP BY ALL),
-vd AS (SELECT *, CASE WHEN minimum IS NULL OR broken > 0 OR meeting = 0 THEN 'Rejected' WHEN meeting < minimum THEN 'Uncertain' ELSE 'Supported' END AS verdict, CASE WHEN minimum IS NULL THEN 'unknown_technique' WHEN broken > 0 THEN 'broken_citation' WHEN meeting = 0 THEN 'no_matching_event' WHEN meeting < minimum THEN 'too_few_events' ELSE 'rule_met' END AS reason FROM vg)"""
+def user_events(spark, sf_dir):
+    """Alerted events with a user's all taken as one incident, so that packages have several events."""
+    return incident_events(spark, sf_dir).drop("incident_id").withColumn("incident_id", F.col("acting_user"))
+
+
+_TECHNIQUES = [*[t for t, _, _ in verdict_rules.CATALOGUE], "T9999"]
+_MET = {
+    "T1110": "authentication_result = 'Fail'", "T1110.001": "authentication_result = 'Fail'", "T1110.003": "authentication_result = 'Fail'", "T1110.004": "authentication_result = 'Fail'",
+    "T1550": "authentication_type IN ('NTLM', 'Kerberos') AND logon_type = 'Network' AND fresh", "T1550.002": "authentication_type = 'NTLM' AND logon_type = 'Network' AND fresh", "T1550.003": "authentication_type = 'Kerberos' AND logon_type = 'Network' AND fresh",
+    "T1021": "logon_type = 'Network' AND fresh", "T1021.001": "logon_type = 'RemoteInteractive' AND fresh", "T1078": "authentication_result = 'Success' AND lg AND (is_new_user_source OR fresh)", "T1558": "authentication_orientation IN ('TGS', 'TGT')",
+}
+_PART = {"T1550.002": "authentication_type = 'NTLM' AND lg", "T1021": "logon_type = 'Network' AND lg", "T1021.001": "logon_type = 'RemoteInteractive' AND lg", "T1078": "authentication_result = 'Success' AND lg"}
+_CAT = ", ".join(f"('{t}', {'NULL' if p is None else repr(p)}, {str(o).lower()})" for t, p, o in verdict_rules.CATALOGUE)
+CITED = IE + f""", ue AS (SELECT * EXCLUDE (incident_id), acting_user AS incident_id, authentication_orientation <> 'LogOff' AS lg, authentication_orientation <> 'LogOff' AND (is_new_user_destination OR is_new_host_connection) AS fresh FROM ie), tq AS (SELECT unnest({_TECHNIQUES!r}) AS technique, unnest(range({len(_TECHNIQUES)})) AS i),
+ci0 AS (SELECT incident_id, technique, i, source_line FROM ue, tq WHERE (source_line + i) % 4 = 0), ci AS (SELECT incident_id, technique, CASE WHEN i % 5 = 3 AND source_line % 6 < 5 THEN source_line + 10000000 ELSE source_line END AS source_line FROM ci0 UNION SELECT incident_id, technique, source_line + 10000000 FROM ci0 WHERE source_line % 13 = 0 AND i % 2 = 0),
+ct AS (SELECT * FROM (VALUES {_CAT}) v(technique, parent, observable)), cj AS (SELECT ci.*, ct.technique IS NOT NULL AS listed, observable, CASE WHEN ci.technique IN {tuple(_MET)!r} THEN ci.technique WHEN parent IN {tuple(_MET)!r} THEN parent END AS rule FROM ci LEFT JOIN ct USING (technique)),
+ck AS (SELECT cj.incident_id, cj.technique, rule, listed, observable, ue.source_line IS NOT NULL AS held, CASE rule {" ".join(f"WHEN '{t}' THEN {c}" for t, c in _MET.items())} END AS met, CASE rule {" ".join(f"WHEN '{t}' THEN {c}" for t, c in _PART.items())} END AS part FROM cj LEFT JOIN ue ON ue.incident_id = cj.incident_id AND ue.source_line = cj.source_line),
+cg AS (SELECT incident_id, technique, any_value(rule) AS rule, bool_or(listed) AS listed, coalesce(bool_or(observable), false) AS observable, count(*) FILTER (NOT held) AS broken, count(*) FILTER (held) AS cited, count(*) FILTER (held AND met) AS matching, coalesce(bool_or(held AND part), false) AS partly FROM ck GROUP BY ALL),
+cr AS (SELECT *, CASE WHEN NOT listed THEN 'unknown_technique' WHEN cited = 0 THEN 'no_cited_event' WHEN technique IN ('T1556.004', 'T1110.002') THEN 'known_false' WHEN NOT observable THEN 'no_data_source' WHEN rule IS NULL THEN 'no_rule' WHEN matching >= CASE WHEN rule IN ('T1110', 'T1110.001') THEN 3 ELSE 1 END THEN 'rule_met' WHEN matching > 0 THEN 'too_few_events' WHEN partly THEN 'weaker_form' ELSE 'no_matching_event' END AS reason FROM cg),
+vd AS (SELECT incident_id, technique, broken, cited, matching, CASE WHEN reason IN ('no_rule', 'too_few_events', 'weaker_form') THEN 'Uncertain' WHEN reason <> 'rule_met' THEN 'Rejected' WHEN rule <> technique OR broken > 0 OR rule IN ('T1110.003', 'T1110.004', 'T1550', 'T1550.003', 'T1558') THEN 'Uncertain' ELSE 'Supported' END AS verdict, reason FROM cr)"""
+
+
+def cited(spark, sf_dir):
+    """Each event is cited for about every fourth technique; some citations are broken."""
+    techniques = F.array(*[F.struct(F.lit(t).alias("technique"), F.lit(i).alias("i")) for i, t in enumerate(_TECHNIQUES)])
+    c = user_events(spark, sf_dir).select("incident_id", "source_line", F.explode(techniques).alias("x")).select("incident_id", "x.technique", "x.i", "source_line").where((F.col("source_line") + F.col("i")) % 4 == 0)
+    broken = F.col("source_line") + 10_000_000
+    moved = c.select("incident_id", "technique", F.when((F.col("i") % 5 == 3) & (F.col("source_line") % 6 < 5), broken).otherwise(F.col("source_line")).alias("source_line"))
+    return moved.union(c.where("source_line % 13 = 0 and i % 2 = 0").select("incident_id", "technique", broken)).distinct()
 
 
 def verdicts(spark, sf_dir):
-    needs = spark.createDataFrame(NEEDS, "technique string, rule string, minimum int")
-    m = behaviours.rule_matches(incident_events(spark, sf_dir)).join(F.broadcast(needs.select("technique", "rule")), "rule").select("incident_id", "technique", "source_line", F.col("rule").alias("found")).distinct()
-    broken = m.where("source_line % 9 = 0").select("incident_id", "technique", F.col("source_line") + 10_000_000, F.lit(None).cast("string"))
-    return behaviours.technique_verdicts(m.union(broken), needs)
+    return verdict_rules.technique_verdicts(cited(spark, sf_dir), user_events(spark, sf_dir), verdict_rules.catalogue(spark))
 
 
-@query("replies_technique_verdicts", f"WITH {CITED} SELECT incident_id, technique, broken, meeting, minimum, verdict, reason FROM vd")
+@query("replies_technique_verdicts", f"WITH {CITED} SELECT * FROM vd")
 def _(spark, sf_dir):
     return verdicts(spark, sf_dir)
 
 
+@query("replies_outcomes", f"WITH {CITED}, o AS (SELECT incident_id, count(*) FILTER (verdict = 'Supported') AS supported, count(*) FILTER (verdict = 'Uncertain') AS uncertain, count(*) FILTER (verdict = 'Rejected') AS removed FROM vd GROUP BY 1) SELECT *, CASE WHEN supported > 0 THEN 'supported_mapping' WHEN uncertain > 0 THEN 'uncertain_mapping' ELSE 'no_supported_mapping' END AS outcome, removed > 0 AND supported + uncertain = 0 AS emptied FROM o")
+def _(spark, sf_dir):
+    return verdict_rules.outcomes(verdicts(spark, sf_dir))
+
+
 @query("replies_verdict_counts", f"WITH {CITED} SELECT technique, count(*) FILTER (verdict = 'Supported') AS supported, count(*) FILTER (verdict = 'Uncertain') AS uncertain, count(*) FILTER (verdict = 'Rejected') AS rejected FROM vd GROUP BY 1")
 def _(spark, sf_dir):
     p = verdicts(spark, sf_dir).groupBy("technique").pivot("verdict", ["Supported", "Uncertain", "Rejected"]).agg(F.count(F.lit(1)))
     return p.select("technique", *[F.coalesce(c, F.lit(0)).alias(c.lower()) for c in ("Supported", "Uncertain", "Rejected")])
 
 
-@query("replies_mode_scores", f"WITH {CITED}, jd AS (SELECT CASE WHEN length(incident_id) % 2 = 0 THEN 'a' ELSE 'b' END AS mode, incident_id, technique, verdict, CASE WHEN meeting > 1 THEN 'T1021.001' ELSE technique END AS label FROM vd) SELECT mode, count(*) AS given, count(*) FILTER (verdict <> 'Rejected' AND technique = label) AS valid, count(*) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) = split_part(label, '.', 1) AND technique <> label) AS parent_only, count(*) FILTER (verdict = 'Uncertain') AS uncertain, count(*) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) <> split_part(label, '.', 1)) AS false_mappings, count(DISTINCT incident_id) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) = split_part(label, '.', 1)) AS incidents_hit, count(DISTINCT incident_id) AS incidents, round(count(DISTINCT incident_id) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) = split_part(label, '.', 1)) / count(DISTINCT incident_id), 6) AS recall FROM jd GROUP BY mode")
+@query("replies_mode_scores", f"WITH {CITED}, jd AS (SELECT CASE WHEN length(incident_id) % 2 = 0 THEN 'a' ELSE 'b' END AS mode, incident_id, technique, verdict, CASE WHEN matching > 1 THEN 'T1021.001' ELSE technique END AS label FROM vd) SELECT mode, count(*) AS given, count(*) FILTER (verdict <> 'Rejected' AND technique = label) AS valid, count(*) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) = split_part(label, '.', 1) AND technique <> label) AS parent_only, count(*) FILTER (verdict = 'Uncertain') AS uncertain, count(*) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) <> split_part(label, '.', 1)) AS false_mappings, count(DISTINCT incident_id) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) = split_part(label, '.', 1)) AS incidents_hit, count(DISTINCT incident_id) AS incidents, round(count(DISTINCT incident_id) FILTER (verdict <> 'Rejected' AND split_part(technique, '.', 1) = split_part(label, '.', 1)) / count(DISTINCT incident_id), 6) AS recall FROM jd GROUP BY mode")
 def _(spark, sf_dir):
-    judged = verdicts(spark, sf_dir).select(F.when(F.length("incident_id") % 2 == 0, "a").otherwise("b").alias("mode"), "incident_id", "technique", "verdict", F.when(F.col("meeting") > 1, "T1021.001").otherwise(F.col("technique")).alias("label"))
+    judged = verdicts(spark, sf_dir).select(F.when(F.length("incident_id") % 2 == 0, "a").otherwise("b").alias("mode"), "incident_id", "technique", "verdict", F.when(F.col("matching") > 1, "T1021.001").otherwise(F.col("technique")).alias("label"))
     return behaviours.mode_scores(judged).withColumn("recall", F.round("recall", 6))
 
 
@@ -179,27 +221,33 @@ def _(spark, sf_dir):
     return behaviours.agreement(sets(v), sets(v.where("verdict <> 'Rejected'"))).withColumn("agreement", F.round("agreement", 6))
 
 
-@query("replies_claim_verdicts", f"""WITH {IE}, fa AS (SELECT incident_id, source_line, [acting_user, destination_computer] AS ents FROM ie), n AS (SELECT incident_id, source_line, destination_computer, lead(source_line, 1, source_line) OVER (PARTITION BY incident_id ORDER BY source_line) AS cited FROM ie),
-cl AS (SELECT incident_id, source_line AS claim, CASE WHEN source_line % 7 = 0 THEN ['C9999'] ELSE [destination_computer] END AS e, cited FROM n), al2 AS (SELECT incident_id, flatten(list(ents)) AS a FROM fa GROUP BY 1), j AS (SELECT cl.*, fa.ents AS near, a FROM cl JOIN fa ON fa.incident_id = cl.incident_id AND fa.source_line = cl.cited JOIN al2 ON al2.incident_id = cl.incident_id)
-SELECT incident_id, claim, CASE WHEN NOT list_contains(a, e[1]) THEN 'unsupported' WHEN NOT list_contains(near, e[1]) THEN 'supported_elsewhere' ELSE 'supported' END AS verdict, CASE WHEN list_contains(near, e[1]) THEN '' ELSE e[1] END AS missing FROM j""")
+@query("replies_claim_verdicts", f"""WITH {CITED}, fa AS (SELECT incident_id, source_line, list_transform([source_user, destination_user, source_computer, destination_computer, authentication_type], lambda x: lower(x)) AS e FROM ue),
+cl AS (SELECT incident_id, source_line AS claim, acting_user || ' reached ' || CASE WHEN source_line % 7 = 0 THEN 'C9999' ELSE destination_computer END || CASE WHEN source_line % 5 = 0 THEN ' over ntlm' ELSE '' END AS text, lead(source_line, 1, source_line) OVER (PARTITION BY incident_id ORDER BY source_line) AS near, source_line % 11 <> 0 AS has, source_line % 13 = 0 AS bad FROM ue),
+nm AS (SELECT *, list_distinct(list_concat(list_transform(list_concat(regexp_extract_all(text, '\\bC\\d+\\b'), regexp_extract_all(text, '\\bU\\d+@DOM\\d+\\b')), lambda x: lower(x)), CASE WHEN regexp_matches(text, '(?i)\\bNTLM\\b') THEN ['ntlm'] ELSE [] END)) AS names FROM cl),
+pk2 AS (SELECT incident_id, list_distinct(list_append(flatten(list(e)), lower(incident_id))) AS "all" FROM fa GROUP BY 1),
+jn AS (SELECT nm.*, "all", list_filter(names, lambda x: NOT list_contains(CASE WHEN has THEN list_append(fa.e, lower(nm.incident_id)) ELSE [lower(nm.incident_id)] END, x)) AS missing FROM nm JOIN fa ON fa.incident_id = nm.incident_id AND fa.source_line = nm.near JOIN pk2 ON pk2.incident_id = nm.incident_id)
+SELECT incident_id, claim, CASE WHEN NOT has OR len(list_filter(missing, lambda x: NOT list_contains("all", x))) > 0 THEN 'unsupported' WHEN len(missing) > 0 OR bad THEN 'partly_supported' ELSE 'supported' END AS verdict, array_to_string(list_sort(missing), ',') AS missing, CAST(CASE WHEN bad THEN 1 ELSE 0 END AS BIGINT) AS broken FROM jn""")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = incident_events(spark, sf_dir)
-    cited = F.lead("source_line").over(Window.partitionBy("incident_id").orderBy("source_line"))
-    claims = e.select("incident_id", F.col("source_line").alias("claim"), F.array(F.when(F.col("source_line") % 7 == 0, "C9999").otherwise(F.col("destination_computer"))).alias("entities"), F.array(F.coalesce(cited, F.col("source_line"))).alias("lines"))
-    return behaviours.claim_verdicts(claims, e.select("incident_id", "source_line", F.array("acting_user", "destination_computer").alias("entities")))
+    e, line = user_events(spark, sf_dir), F.col("source_line")
+    near = F.coalesce(F.lead("source_line").over(Window.partitionBy("incident_id").orderBy("source_line")), line)
+    text = F.concat("acting_user", F.lit(" reached "), F.when(line % 7 == 0, "C9999").otherwise(F.col("destination_computer")), F.when(line % 5 == 0, " over ntlm").otherwise(""))
+    lines = F.array_compact(F.array(F.when(line % 11 != 0, near), F.when(line % 13 == 0, line + 10_000_000)))
+    facts = e.select("incident_id", "source_line", F.array("source_user", "destination_user", "source_computer", "destination_computer", "authentication_type").alias("entities"))
+    always = e.select("incident_id").distinct().select("incident_id", F.lit(None).cast("long").alias("source_line"), F.array("incident_id").alias("entities"))
+    return verdict_rules.claim_verdicts(e.select("incident_id", line.alias("claim"), text.alias("text"), lines.alias("lines")), facts.union(always))
 
 
-@query("replies_candidates", f"WITH {IE}, h AS (SELECT * FROM (VALUES ('failed_logons', 'T1110', 0.9), ('failed_logons', 'T1078', 0.2), ('first_time_host_connection', 'T1078', 0.4)) v(rule, id, score)), o AS (SELECT DISTINCT incident_id, rule FROM rm) SELECT incident_id, id, CAST(max(score) AS DOUBLE) AS score, string_agg(DISTINCT rule, ',' ORDER BY rule) AS behaviours FROM o JOIN h USING (rule) GROUP BY ALL")
+@query("replies_candidates", f"WITH {IE}, h AS (SELECT * FROM (VALUES ('failed_logons', 'T1110', 0.9), ('failed_logons', 'T1078', 0.2), ('logon_from_new_source', 'T1078', 0.4)) v(rule, id, score)), o AS (SELECT DISTINCT incident_id, rule FROM rm) SELECT incident_id, id, CAST(max(score) AS DOUBLE) AS score, string_agg(DISTINCT rule, ',' ORDER BY rule) AS behaviours FROM o JOIN h USING (rule) GROUP BY ALL")
 def _(spark, sf_dir):
-    hits = spark.createDataFrame([("failed_logons", "T1110", 0.9), ("failed_logons", "T1078", 0.2), ("first_time_host_connection", "T1078", 0.4)], "query string, id string, score double")
+    hits = spark.createDataFrame([("failed_logons", "T1110", 0.9), ("failed_logons", "T1078", 0.2), ("logon_from_new_source", "T1078", 0.4)], "query string, id string, score double")
     return behaviours.candidates(behaviours.observed(incident_events(spark, sf_dir)), hits)
 
 
-@query("replies_answer_key_scan", f"WITH {IE} SELECT CAST(0 AS BIGINT) AS columns, count(*) FILTER (regexp_matches(concat_ws(' ', incident_id, acting_user, authentication_type), '(?i)redteam|answer_key')) AS rows FROM ie")
+@query("replies_answer_key_scan", f"WITH {IE} SELECT CAST(1 AS BIGINT) AS columns, count(*) FILTER (source_line % 50 = 0) AS rows FROM ie")
 def _(spark, sf_dir):
-    return behaviours.answer_key_leaks(incident_events(spark, sf_dir).select("incident_id", "acting_user", "authentication_type"), ["redteam", "answer_key"])
+    """Packages with the answer planted in a column's name and in some rows."""
+    told = F.when(F.col("source_line") % 50 == 0, F.concat("acting_user", F.lit(" is on the RedTeam list"))).otherwise(F.col("acting_user"))
+    return behaviours.answer_key_leaks(incident_events(spark, sf_dir).select("incident_id", told.alias("note"), F.lit(0).alias("is_redteam")), ["redteam", "answer_key"])
 
 
 @query("replies_quota_sample", f"WITH {IE}, i AS (SELECT incident_id, any_value(day) AS day, count(*) AS n, md5(incident_id) AS draw, bool_or(authentication_result = 'Fail') AS failed FROM ie GROUP BY 1), a AS (SELECT *, 'failed' AS stratum, row_number() OVER (PARTITION BY day ORDER BY draw, incident_id) AS k FROM i WHERE failed), b AS (SELECT *, 'quiet' AS stratum, row_number() OVER (PARTITION BY day ORDER BY draw, incident_id) AS k FROM i WHERE NOT failed) SELECT * FROM (SELECT incident_id, stratum, n FROM a WHERE k <= 2 ORDER BY draw, incident_id LIMIT 15) UNION ALL SELECT * FROM (SELECT incident_id, stratum, n FROM b WHERE k <= 2 ORDER BY draw, incident_id LIMIT 15)")

@@ -10,7 +10,7 @@ from kestrelog.sources import adapters
 
 from .base import SCORES, query
 from .detect import RECORDS, windowed
-from .review import CITED, IE, incident_events, verdicts
+from .review import CITED, IE, cited, incident_events, user_events, verdicts
 from .units import HOURLY, LABELLED, LONGEST, counts, labelled, scored_events
 
 
@@ -76,16 +76,13 @@ def _(spark, sf_dir):
     return incident_events(spark, sf_dir).select("incident_id", "source_line", "timestamp", F.row_number().over(w).cast("long").alias("position"))
 
 
-@query("evidence_claim_order", f"WITH {CITED}, t AS (SELECT ci.incident_id, technique, min(ie.timestamp) AS first FROM ci LEFT JOIN ie ON ie.incident_id = ci.incident_id AND ie.source_line = ci.source_line GROUP BY ALL) SELECT incident_id, technique, first, row_number() OVER (PARTITION BY incident_id ORDER BY first NULLS LAST, technique) AS position FROM t")
+@query("evidence_claim_order", f"WITH {CITED}, t AS (SELECT ci.incident_id, technique, min(ue.timestamp) AS first FROM ci LEFT JOIN ue ON ue.incident_id = ci.incident_id AND ue.source_line = ci.source_line GROUP BY ALL) SELECT incident_id, technique, first, row_number() OVER (PARTITION BY incident_id ORDER BY first NULLS LAST, technique) AS position, first IS NOT NULL AS timed FROM t")
 def _(spark, sf_dir):
-    from .review import NEEDS
-
-    e = incident_events(spark, sf_dir)
-    needs = spark.createDataFrame(NEEDS, "technique string, rule string, minimum int").select("technique", "rule")
-    cited = behaviours.rule_matches(e).join(F.broadcast(needs), "rule").select("incident_id", "technique", "timestamp")
-    first = cited.groupBy("incident_id", "technique").agg(F.min("timestamp").alias("first"))
+    """Mapped techniques by their earliest cited event; those that cite none of the package come last and are marked."""
+    e = user_events(spark, sf_dir).select("incident_id", "source_line", "timestamp")
+    first = cited(spark, sf_dir).join(e, ["incident_id", "source_line"], "left").groupBy("incident_id", "technique").agg(F.min("timestamp").alias("first"))
     w = Window.partitionBy("incident_id").orderBy(F.asc_nulls_last("first"), "technique")
-    return first.withColumn("position", F.row_number().over(w).cast("long"))
+    return first.withColumns({"position": F.row_number().over(w).cast("long"), "timed": F.col("first").isNotNull()})
 
 
 @query("evidence_citation_summary", f"WITH {IE}, s AS (SELECT acting_user, timestamp, count(*) AS n, min(source_line) AS line FROM (SELECT DISTINCT acting_user, timestamp, source_line FROM ie) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY acting_user ORDER BY timestamp) AS r, count(*) OVER (PARTITION BY acting_user) AS seconds FROM s) SELECT acting_user, string_agg(timestamp || 'x' || n, ' ' ORDER BY r) FILTER (r <= 3) AS shown, greatest(0, max(seconds) - 3) AS more FROM r GROUP BY 1")
