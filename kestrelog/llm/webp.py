@@ -87,7 +87,7 @@ def lookup_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     code = np.where(n > 0, canonical_codes(lengths)[row, symbol].astype(np.int64), 0)
     times = 1 << (widest[row] - n)
     k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    table = np.zeros(int(base[-1]), np.int64)
+    table = np.zeros(int(base[-1]), np.int32)
     table[np.repeat(base[row] + code, times) + (k << np.repeat(n, times))] = np.repeat(n << 12 | symbol, times)
     return table, base[:-1], (1 << widest) - 1
 
@@ -317,7 +317,7 @@ def _together(images: list[Coded]) -> list[np.ndarray]:
         y = blue[b0[who] + (window & bm[who])]
         k = y >> 12
         window >>= k
-        z = alpha[a0[who] + (window & am[who])]
+        z = alpha[a0[who] + (window & am[who])].astype(np.int64)
         pixel = (z & 255) << 24 | (x & 255) << 16 | s << 8 | y & 255
         literal = s < 256
         taken += np.where(literal, n + k + (z >> 12), 0)
