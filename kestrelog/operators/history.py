@@ -65,13 +65,47 @@ def novelty(events: DataFrame) -> DataFrame:
 
 
 def history_features(events: DataFrame, start: int = 1) -> DataFrame:
-    """All raw features of the log: rolling counts of an hour and a day, first-time flags, gap, completeness."""
-    failed = F.when(F.col("authentication_result") == "Fail", 1).otherwise(0)
-    out = rolling_sum(events, ["acting_user"], 3600, F.lit(1), "prior_auth_count_1h")
-    out = rolling_sum(out, ["acting_user"], 3600, failed, "prior_failure_count_1h")
-    out = rolling_distinct(out, ["acting_user"], "destination_computer", 86_400, "prior_unique_destinations_24h")
-    out = rolling_sum(out, ["acting_user", "destination_computer"], 86_400, F.lit(1), "prior_user_destination_count_24h")
-    return novelty(out).withColumns({"history_complete_1h": F.col("timestamp") >= start + 3600, "history_complete_24h": F.col("timestamp") >= start + 86_400})
+    """All raw features of the log: rolling counts of an hour and a day, first-time flags, gap, completeness.
+
+    A user's three rolling features share one union of arrivals and expiries; arrivals carry the
+    lines and what is counted, and only the counts are joined to the events.
+    """
+    failed, fields = F.col("authentication_result") == "Fail", events.columns
+    pair = Window.partitionBy("acting_user", "destination_computer").orderBy(*ORDER)
+    day, hour = 86_400, 3600
+    base = events.withColumns({"__before": F.lag("timestamp").over(pair), "__next": F.lead("timestamp").over(pair), "__f": failed.cast("long"), "is_new_user_destination": F.row_number().over(pair) == 1})
+    base = base.withColumn("__d", F.when(F.col("__before").isNull() | (F.col("__before") < F.col("timestamp") - day), 1).otherwise(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    rest = [c for c in base.columns if c not in ("acting_user", "source_line", "__f", "__d")]
+    nothing = {c: F.lit(None).cast(base.schema[c].dataType) for c in rest}
+    now = base.withColumns({"__at": F.col("timestamp"), "__kind": F.lit(0), "__a": F.lit(1).cast("long")})
+    hour_over = base.withColumns({"__at": F.col("timestamp") + hour, "__kind": F.lit(1), "__a": F.lit(-1).cast("long"), "__f": -F.col("__f"), "__d": zero}).withColumns(nothing)
+    last = F.col("__next").isNull() | (F.col("__next") > F.col("timestamp") + day)
+    day_over = base.where(last).withColumns({"__at": F.col("timestamp") + day, "__kind": F.lit(1), "__a": zero, "__f": zero, "__d": F.lit(-1).cast("long")}).withColumns(nothing)
+    w = Window.partitionBy("acting_user").orderBy("__at", "__kind", "source_line").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"prior_auth_count_1h": "__a", "prior_failure_count_1h": "__f", "prior_unique_destinations_24h": "__d"}
+    out = now.unionByName(hour_over).unionByName(day_over).withColumns({name: F.coalesce(F.sum(c).over(w), zero) for name, c in sums.items()}).where("__kind = 0")
+    out = out.withColumn("seconds_since_previous_auth", seconds_since_previous()).select(*fields, *sums, "is_new_user_destination", "seconds_since_previous_auth")
+    out = rolling_sum(out, ["acting_user", "destination_computer"], day, F.lit(1), "prior_user_destination_count_24h")
+    out = out.withColumns({"is_new_user_source": is_first("acting_user", "source_computer"), "is_new_host_connection": is_first("source_computer", "destination_computer"), "has_user_history": F.col("seconds_since_previous_auth").isNotNull(), "is_machine_account": is_machine(F.col("acting_user"))})
+    return out.withColumns({"history_complete_1h": F.col("timestamp") >= start + hour, "history_complete_24h": F.col("timestamp") >= start + day})
+
+
+def check_sorted(events: DataFrame, stripe: int = 1_000_000) -> DataFrame:
+    """Fails unless lines are distinct and (timestamp, source_line) does not decrease in the order of lines."""
+    from kestrelog.sources.authlog import order_inversions
+
+    if order_inversions(events, stripe).limit(1).count() or events.groupBy("source_line").count().where("count > 1").limit(1).count():
+        raise ValueError("events are not in the order of time and line")
+    return events
+
+
+def join_flags(events: DataFrame, flags: DataFrame, names: list[str]) -> DataFrame:
+    """events with flags (source_line, names) joined back by line; fails if an event has none or several."""
+    out = events.join(flags.select("source_line", F.lit(True).alias("__there"), *names), "source_line", "left")
+    if out.where("__there is null").limit(1).count() or flags.groupBy("source_line").count().where("count > 1").limit(1).count():
+        raise ValueError("flags do not match the events one to one")
+    return out.drop("__there")
 
 
 def user_shard(user: Column, n: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
+
 NUMERIC = ["prior_auth_count_1h", "prior_failure_count_1h", "seconds_since_previous_auth", "prior_unique_destinations_24h", "prior_user_destination_count_24h"]
 BINARY = ["has_user_history", "is_new_user_destination", "is_new_user_source", "is_new_host_connection", "is_machine_account", "history_complete_1h", "history_complete_24h"]
 CATEGORICAL = ["authentication_type", "logon_type", "authentication_orientation", "authentication_result"]
@@ -50,7 +52,7 @@ def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str] = CATEGORICA
     """Adds <column>_id: the vocabulary's id, 0 for unseen, 1 for null or empty values."""
     for c in columns:
         ids = vocabulary.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("id").alias(f"{c}_id"))
-        df = df.join(ids, c, "left").withColumn(f"{c}_id", F.when(F.col(c).isNull() | (F.col(c) == ""), MISSING).otherwise(F.coalesce(f"{c}_id", F.lit(UNSEEN))))
+        df = df.join(tables.checked(ids), c, "left").withColumn(f"{c}_id", F.when(F.col(c).isNull() | (F.col(c) == ""), MISSING).otherwise(F.coalesce(f"{c}_id", F.lit(UNSEEN))))
     return df
 
 

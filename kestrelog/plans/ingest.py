@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
 from kestrelog.functions.accounts import reference
 from kestrelog.functions.clock import hour_start
 from kestrelog.sources import adapters, authlog
@@ -41,9 +42,41 @@ def _(spark, sf_dir):
     return authlog.reconcile(parsed(spark, sf_dir), 1, 16)
 
 
-@query("ingest_order_inversions", f"WITH {AUTH} SELECT source_line, timestamp, previous FROM (SELECT source_line, timestamp, lag(timestamp) OVER (ORDER BY source_line) AS previous FROM auth) WHERE timestamp < previous")
+@query("ingest_order_inversions", f"WITH {AUTH}, x AS (SELECT source_line, CASE WHEN source_line % 500 = 0 THEN greatest(1, timestamp - 900000) ELSE timestamp END AS timestamp FROM auth) SELECT source_line, timestamp, previous FROM (SELECT source_line, timestamp, lag(timestamp) OVER (ORDER BY source_line) AS previous FROM x) WHERE timestamp < previous")
 def _(spark, sf_dir):
-    return authlog.order_inversions(adapters.auth_events(spark, sf_dir))
+    """The log with every 500th line set back in time."""
+    t = F.when(F.col("source_line") % 500 == 0, F.greatest(F.lit(1), F.col("timestamp") - 900_000)).otherwise(F.col("timestamp"))
+    return authlog.order_inversions(adapters.auth_events(spark, sf_dir).withColumn("timestamp", t), 1000)
+
+
+@query("ingest_text_file", f"WITH {LINES}, o AS (SELECT source_line AS line, raw, row_number() OVER (ORDER BY source_line) AS source_line FROM lines) SELECT source_line, raw FROM o")
+def _(spark, sf_dir):
+    """The log written as text and read back with its line numbers."""
+    path = tables.fresh_path(spark, "auth-text")
+    adapters.log_lines(spark, sf_dir).repartitionByRange(4, "source_line").sortWithinPartitions("source_line").select("raw").write.text(path)
+    return authlog.read_lines(spark, path)
+
+
+@query("ingest_line_map", f"WITH {LINES} SELECT source_line * 2 AS source_line, raw FROM lines")
+def _(spark, sf_dir):
+    lines = adapters.log_lines(spark, sf_dir)
+    return authlog.apply_line_map(lines, lines.select("source_line", (F.col("source_line") * 2).alias("mapped")), 1000).select("source_line", "raw")
+
+
+@query("ingest_rejection_file", f"WITH {LINES} SELECT source_line, reason, raw AS raw_record FROM parsed WHERE reason IS NOT NULL")
+def _(spark, sf_dir):
+    path = tables.fresh_path(spark, "rejections")
+    authlog.write_rejections(parsed(spark, sf_dir), path)
+    return authlog.read_rejections(spark, path)
+
+
+@query("ingest_day_parts", f"WITH {AUTH} SELECT dataset_day, count(*) AS rows, min(timestamp) AS first, max(timestamp) AS last FROM auth GROUP BY 1")
+def _(spark, sf_dir):
+    """The log written by day, and its parts' manifest summed by day."""
+    path = tables.fresh_path(spark, "auth-days")
+    authlog.write_days(adapters.auth_events(spark, sf_dir), path)
+    day = F.regexp_extract("part", "dataset_day=([0-9]+)", 1).cast("int").alias("dataset_day")
+    return authlog.manifest(spark, path).groupBy(day).agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @query("ingest_category_counts", "WITH " + AUTH + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value, count(*) AS n FROM auth GROUP BY {c}" for c in CATEGORIES))

@@ -15,12 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as an authentication log; seconds count from 2024-01-01 and do not depend on a time zone."""
-    e = table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long")
-    ts = F.col("ts")
-    t = (F.datediff(F.to_date(ts), F.lit("2024-01-01").cast("date")) * DAY + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts) + 1).cast("long")
-    u = F.col("user_id")
-    named = F.concat(F.lit("U"), u.cast("string"), F.when(u % 10 == 0, "$").otherwise(""), F.lit("@DOM1"))
+    ts, u = F.col("ts"), F.col("user_id")
+    seconds = (F.datediff(F.to_date(ts), F.lit("2024-01-01").cast("date")) * DAY + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts) + 1).cast("long")
+    name = F.concat(F.lit("U"), u.cast("string"), F.when(u % 10 == 0, "$").otherwise(""), F.lit("@DOM1"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long").alias("k"), seconds.alias("t"), name.alias("named"))
+    k, t, named = F.col("k"), F.col("t"), F.col("named")
     pick = lambda col, values: F.element_at(F.array(*map(F.lit, values)), (col + 1).cast("int"))
     return e.select(
         t.alias("timestamp"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
 from kestrelog.functions.accounts import reference
 from kestrelog.functions.clock import day_of
 
@@ -14,31 +15,56 @@ LABEL_COLUMNS = {"is_red_team", "label", "red_team", "is_attack"}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text or gzip lines numbered from 1 (source_line, raw): two passes, counts per partition and offsets, in file order."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(numbered, "source_line long, raw string")
+    """Text or gzip lines numbered from 1 in file order (source_line, raw), files by name.
+
+    Two passes in the JVM: lines per block of a file, then each line's place in its block after
+    the lines of the blocks before. Only a row for each block is put in order.
+    """
+    place = ["file", "block"]
+    text = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = text.groupBy(*place).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = tables.stored(blocks.select(*place, "first", before.alias("before")), "line-offsets")
+    return text.join(tables.checked(offsets), place).select((F.col("id") - F.col("first") + F.col("before") + 1).alias("source_line"), "raw")
 
 
-def apply_line_map(lines: DataFrame, line_map: DataFrame) -> DataFrame:
-    """Replaces line numbers by those of line_map (source_line, mapped), which must be complete, unique and increasing."""
-    w = Window.orderBy("source_line")
-    bad = line_map.withColumn("low", F.lag("mapped").over(w)).where("mapped <= low").limit(1).count()
+def apply_line_map(lines: DataFrame, line_map: DataFrame, stripe: int = 1_000_000) -> DataFrame:
+    """Replaces line numbers by those of line_map (source_line, mapped), which must be complete, unique and increasing.
+
+    The map is checked in stripes of line numbers; the ends of stripes are compared separately.
+    """
+    striped = line_map.withColumn("stripe", F.floor(F.col("source_line") / stripe))
+    inner = striped.withColumn("low", F.lag("mapped").over(Window.partitionBy("stripe").orderBy("source_line"))).where("mapped <= low")
+    ends = striped.groupBy("stripe").agg(F.min("mapped").alias("mapped"), F.max("mapped").alias("last"))
+    edges = ends.withColumn("low", F.lag("last").over(Window.orderBy("stripe"))).where("mapped <= low")  # a row for each stripe
     out = lines.join(line_map, "source_line", "left")
-    if bad or out.where("mapped is null").limit(1).count():
+    if inner.limit(1).count() or edges.limit(1).count() or out.where("mapped is null").limit(1).count():
         raise ValueError("the line map is not strictly increasing or lacks lines")
     return out.drop("source_line").withColumnRenamed("mapped", "source_line")
 
 
+def fields_of(raw: Column) -> Column:
+    """The comma-separated fields of a line; a line with quotes is read by their rules, doubled quotes inside quoted fields included."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = F.transform(parts, lambda p: F.when(p.startswith('"') & p.endswith('"') & (F.length(p) > 1), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+    return F.when(raw.contains('"'), bare).otherwise(F.split(raw, ",", -1))
+
+
 def parse(lines: DataFrame, fields: list[str] = AUTH_FIELDS, prefix: str = "auth.txt") -> DataFrame:
     """(source_line, raw) -> the fields, a reject reason or null, acting user, day and reference.
 
     Reasons in order: field_count, invalid_timestamp (not a whole number, or below 1), empty_field.
+    A line is split once, whatever is asked of the result.
     """
-    x = F.split("raw", ",", -1)
-    t = F.when(F.trim(x[0]).rlike("^[+-]?[0-9]+$"), x[0].try_cast("long"))
-    reason = F.when(F.size(x) != len(fields), "field_count").when(t.isNull() | (t < 1), "invalid_timestamp").when(F.array_contains(x, ""), "empty_field")
-    named = [t.alias("timestamp"), *[F.get(x, F.lit(i)).alias(c) for i, c in enumerate(fields) if i]]
-    out = lines.select("source_line", "raw", *named, reason.alias("reason"))
+
+    def record(x: Column) -> Column:
+        t = F.when(F.trim(x[0]).rlike("^[+-]?[0-9]+$"), x[0].try_cast("long"))
+        reason = F.when(F.size(x) != len(fields), "field_count").when(t.isNull() | (t < 1), "invalid_timestamp").when(F.array_contains(x, ""), "empty_field")
+        return F.struct(t.alias("timestamp"), *[F.get(x, F.lit(i)).alias(c) for i, c in enumerate(fields) if i], reason.alias("reason"))
+
+    # a generator, so that filters on its fields stay above it and do not split the line again
+    found = lines.select("source_line", "raw", F.explode(F.transform(F.array(fields_of(F.col("raw"))), record)).alias("p"))
+    out = found.select("source_line", "raw", "p.*")
     who = "source_user" if "source_user" in fields else "user"
     return out.withColumns({"acting_user": F.col(who), "dataset_day": day_of(F.col("timestamp")), "source_reference": reference(prefix, F.col("source_line"))})
 
@@ -53,8 +79,33 @@ def accepted(parsed: DataFrame, first_day: int | None = None, last_day: int | No
 
 
 def with_duplicate_ordinal(events: DataFrame, fields: list[str] = AUTH_FIELDS) -> DataFrame:
-    """1 for the first of equal rows by source_line, 2 for the next; nothing is dropped."""
-    return events.withColumn("exact_duplicate_ordinal", F.row_number().over(Window.partitionBy(*fields).orderBy("source_line")))
+    """1 for the first of equal rows by source_line, 2 for the next; nothing is dropped.
+
+    Rows are numbered by two hashes of their fields and those of equal hashes by the fields
+    themselves; only line numbers and hashes move.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields])
+    hashed = events.select("source_line", F.md5(text.cast("binary")).alias("h"))
+    repeated = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = hashed.join(repeated, "h").withColumn("o", F.row_number().over(Window.partitionBy("h").orderBy("source_line"))).where("o > 1")
+    return events.join(tables.checked(tables.stored(again.select("source_line", "o"), "duplicates")), "source_line", "left").withColumn("exact_duplicate_ordinal", F.coalesce("o", F.lit(1))).drop("o")
+
+
+def check_order(events: DataFrame) -> DataFrame:
+    """Fails if timestamps go back in the order of lines; else the events."""
+    first = order_inversions(events).orderBy("source_line").limit(1).collect()
+    if first:
+        raise ValueError(f"line {first[0].source_line}: timestamp {first[0].timestamp} after {first[0].previous}")
+    return events
+
+
+def write_rejections(parsed: DataFrame, path: str) -> None:
+    """The rejects as JSON lines (source_line, reason, raw_record)."""
+    rejections(parsed).write.json(path)
+
+
+def read_rejections(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("source_line long, reason string, raw_record string").json(path)
 
 
 def order_inversions(events: DataFrame, stripe: int = 1_000_000) -> DataFrame:
