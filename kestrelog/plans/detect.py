@@ -175,26 +175,6 @@ def _(spark, sf_dir):
     return metrics.confusion(metrics.label_units(channels, labels, ["user", "day"]), F.lit(0.5), ["channel"]).select("channel", "tp", "fp", "fn")
 
 
-@query("graph_supervised_comparison")
-def _(spark, sf_dir):
-    """User-day counts of the graph, logged, fitted on days up to 16 with balanced weights; average precision per model on later days."""
-    e = edge_rows(spark, sf_dir)
-    days = graph.degrees(e, graph.prior_degrees(auth(spark, sf_dir))).withColumn("growth", F.greatest("growth", F.lit(0))).join(graph.bursts(windowed(spark, sf_dir)), ["acting_user", "window_end"]).join(e.groupBy("acting_user", "window_end").agg(F.sum("weight").alias("strength"), F.sum("failures").alias("failed")), ["acting_user", "window_end"])
-    days = days.withColumns({"user": F.col("acting_user"), "day": (F.floor((F.col("window_end") - 2) / 86_400) + 1).cast("int")})
-    columns = ["degree", "growth", "peak_60s", "peak_300s", "peak_destinations_300s", "strength", "failed"]
-    labels = adapters.red_team(spark, sf_dir).select("user", splits.day_of(F.col("timestamp")).alias("day"))
-    rows = metrics.label_units(days.withColumns({c: F.log1p(F.col(c).cast("double")) for c in columns}), labels, ["user", "day"])
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows).withColumns({"y": F.col("label").cast("double"), "weight": F.when(F.col("label"), 20.0).otherwise(1.0)})
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-
-    out = None
-    for name, c in (("logistic", LogisticRegression(maxIter=30)), ("forest", RandomForestClassifier(numTrees=20, maxDepth=4, seed=7)), ("boosted", GBTClassifier(maxIter=5, maxDepth=3, seed=7))):
-        model = c.setLabelCol("y").setWeightCol("weight").fit(rows.where("day <= 16"))
-        part = model.transform(rows.where("day > 16")).select(F.lit(name).alias("model"), "label", vector_to_array("probability")[1].alias("score"))
-        out = part if out is None else out.union(part)
-    return metrics.average_precision(out, ["model"]).withColumn("ap", F.round("ap", 6))
-
-
 @query("graph_collapse_report", f"""WITH {SCORES}{RED_PART}, y AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS hour FROM red), l AS (SELECT hs.*, y.user IS NOT NULL AS label FROM hs LEFT JOIN y USING (user, hour)),
 c AS (SELECT day <= 16 AS early, count(*) FILTER (graph_score >= 0.6 AND label) AS tp, count(*) FILTER (graph_score >= 0.6 AND NOT label) AS fp, count(*) FILTER (graph_score < 0.6 AND label) AS fn FROM l GROUP BY 1), f AS (SELECT *, 2.0 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c),
 d AS (SELECT a.f1 AS f1_before, b.f1 AS f1_after, greatest(0.0, a.f1 - b.f1) AS absolute_loss, CASE WHEN a.f1 = 0 THEN 0.0 ELSE greatest(0.0, a.f1 - b.f1) / a.f1 END AS relative_loss, b.tp + b.fn AS holdout_positives FROM f a, f b WHERE a.early AND NOT b.early)

@@ -394,30 +394,3 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     s = supervised(spark, sf_dir, GBTClassifier(labelCol="y", weightCol="weight", maxIter=10, maxDepth=3, seed=7))
     return s.select("user", "hour", "day", "label", F.round("score", 6).alias("score"))
-
-
-@query("supervised_permutation_importance")
-def _(spark, sf_dir):
-    """The loss of average precision when a count is exchanged between rows, for each count."""
-    c = counts(spark, sf_dir).withColumn("user", F.col("acting_user"))
-    rows = metrics.label_units(c, splits.label_hours(adapters.red_team(spark, sf_dir)), ["user", "hour"]).select("user", "hour", "day", "label", "tie", *hourly.COUNTS)
-    total = sum((F.log1p(x) for x in hourly.COUNTS[1:]), F.log1p(hourly.COUNTS[0]))
-    base = rows.select(F.lit("none").alias("feature"), "label", total.alias("score"))
-    out = base
-    for x in ("failures", "new_hosts", "either"):
-        mine = rows.withColumn("__n", F.row_number().over(Window.partitionBy("day").orderBy("tie")))
-        other = rows.select("day", F.col(x).alias("__x"), F.row_number().over(Window.partitionBy("day").orderBy(F.xxhash64(F.lit(7), "tie"), "tie")).alias("__n"))
-        out = out.union(mine.join(other, ["day", "__n"]).select(F.lit(x).alias("feature"), "label", (total - F.log1p(x) + F.log1p("__x")).alias("score")))
-    return metrics.average_precision(out, ["feature"]).select("feature", F.round("ap", 6).alias("ap"))
-
-
-@query("supervised_noise_stability")
-def _(spark, sf_dir):
-    """Average precision of the scores under seven seeded noises: median, least and largest."""
-    noisy = None
-    rows = labelled(spark, sf_dir).select("label", "score")
-    for seed in range(7):
-        part = rows.withColumns({"score": F.col("score") * (1 + 0.05 * F.randn(seed)), "seed": F.lit(seed)})
-        noisy = part if noisy is None else noisy.union(part)
-    ap = metrics.average_precision(noisy, ["seed"])
-    return ap.agg(F.round(F.percentile("ap", 0.5), 6).alias("median"), F.round(F.min("ap"), 6).alias("least"), F.round(F.max("ap"), 6).alias("largest"))
