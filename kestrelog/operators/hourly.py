@@ -59,8 +59,8 @@ def unit_summary(events: DataFrame) -> DataFrame:
 
 
 def tie_order(seed: int, *columns: str) -> Column:
-    """A fixed order among equal scores."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A fixed order among equal scores: a digest of the seed and the columns."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
 
 
 def compare_scorings(a: DataFrame, b: DataFrame, keys: list[str], k: int, tolerance: float) -> DataFrame:

@@ -72,10 +72,11 @@ def _(spark, sf_dir):
     return sequences.stratified_sample(units(spark, sf_dir), LONGEST, 20, draw).select("acting_user", "hour", "n_events", "kind")
 
 
-@query("sequence_no_activity", f"WITH {AUTH}, who AS (SELECT DISTINCT acting_user FROM auth WHERE dataset_day = 3), q AS (SELECT acting_user, 1 + h * 3600 AS hour FROM who, range(48, 72) AS g(h)) SELECT acting_user, hour, 'no_activity' AS status, CAST(0 AS BIGINT) AS n_events, CAST(NULL AS DOUBLE) AS score FROM q WHERE NOT EXISTS (SELECT 1 FROM auth a WHERE a.acting_user = q.acting_user AND a.hour = q.hour)")
+@query("sequence_no_activity", f"WITH {AUTH}, who AS (SELECT DISTINCT acting_user, dataset_day FROM auth), q AS (SELECT acting_user, 1 + ((dataset_day - 1) * 24 + h) * 3600 AS hour FROM who, range(0, 24) AS g(h)) SELECT acting_user, hour, 'no_activity' AS status, CAST(0 AS BIGINT) AS n_events, CAST(NULL AS DOUBLE) AS score FROM q WHERE NOT EXISTS (SELECT 1 FROM auth a WHERE a.acting_user = q.acting_user AND a.hour = q.hour)")
 def _(spark, sf_dir):
     a = auth(spark, sf_dir)
-    asked = a.where("dataset_day = 3").select("acting_user").distinct().select("acting_user", F.explode(F.transform(F.sequence(F.lit(48), F.lit(71)), lambda h: (h * 3600 + 1).cast("long"))).alias("hour"))
+    start = (F.col("dataset_day").cast("long") - 1) * 86_400 + 1
+    asked = a.select("acting_user", "dataset_day").distinct().select("acting_user", F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: start + h * 3600)).alias("hour"))
     return sequences.no_activity(asked, sequences.user_hours(a))
 
 
@@ -126,11 +127,11 @@ def _(spark, sf_dir):
     return u.select("acting_user", "hour", *[F.round(c, 5).alias(c) for c in ("max_chunk_mean", "max_event", "hour_mean")])
 
 
-@query("score_evidence_chunks", f"""WITH {EVENTS}, r AS (SELECT *, round(error, 6) AS e6 FROM ec), ch AS (SELECT acting_user, hour, chunk, max(e6) AS x FROM r GROUP BY ALL)
-SELECT acting_user, hour, arg_max(chunk, (x, -chunk)) AS worst_chunk FROM ch GROUP BY ALL""")
+@query("score_evidence_chunks", f"""WITH {EVENTS}, r AS (SELECT *, round(error, 6) AS e6 FROM ec), ch AS (SELECT acting_user, hour, chunk, max(e6) AS x, round(avg(e6), 9) AS m FROM r GROUP BY ALL)
+SELECT acting_user, hour, arg_max(chunk, (x, -chunk)) AS worst_chunk, arg_max(chunk, (m, -chunk)) AS best_chunk FROM ch GROUP BY ALL""")
 def _(spark, sf_dir):
     e = scored_events(spark, sf_dir).withColumn("error", F.round("error", 6))
-    return scoring.unit_scores(e).select("acting_user", "hour", "worst_chunk")
+    return scoring.unit_scores(e).select("acting_user", "hour", "worst_chunk", "best_chunk")
 
 
 @query("score_top_events", f"WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY acting_user, hour ORDER BY round(error, 6) DESC, position) AS rank FROM ec) SELECT acting_user, hour, string_agg(source_line, ' ' ORDER BY rank) AS lines FROM r WHERE rank <= 2 GROUP BY ALL")
@@ -139,7 +140,9 @@ def _(spark, sf_dir):
     return t.select("acting_user", "hour", F.concat_ws(" ", F.transform("events", lambda x: x["source_line"].cast("string"))).alias("lines"))
 
 
-@query("score_feature_shares")
+@query("score_feature_shares", f"""WITH {EVENTS}, ch AS (SELECT acting_user, hour, chunk, avg(error) AS m, avg(l1) AS a1, avg(l2) AS a2, avg(l3) AS a3, avg(l4) AS a4 FROM ec GROUP BY ALL), bc AS (SELECT acting_user, hour, arg_max(chunk, (m, -chunk)) AS chunk FROM ch GROUP BY ALL),
+sh AS (SELECT ch.*, a1 + a2 + a3 + a4 AS total FROM ch JOIN bc USING (acting_user, hour, chunk)), lo AS (SELECT acting_user, hour, 'gap' AS feature, CASE WHEN total > 0 THEN a1 / total ELSE 0 END AS share FROM sh UNION ALL SELECT acting_user, hour, 'new_host', CASE WHEN total > 0 THEN a2 / total ELSE 0 END FROM sh UNION ALL SELECT acting_user, hour, 'auth_type', CASE WHEN total > 0 THEN a3 / total ELSE 0 END FROM sh UNION ALL SELECT acting_user, hour, 'logon_after', CASE WHEN total > 0 THEN a4 / total ELSE 0 END FROM sh),
+rk AS (SELECT *, row_number() OVER (PARTITION BY acting_user, hour ORDER BY share DESC, feature) AS rank FROM lo) SELECT acting_user, hour, feature, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 2""")
 def _(spark, sf_dir):
     e = scored_events(spark, sf_dir)
     evidence = scoring.unit_scores(e).select("acting_user", "hour", F.col("best_chunk").alias("chunk"))

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from kestrelog.operators import behaviours, graph, hourly, incidents, metrics, sequences, splits
 from kestrelog.sources import adapters
 
-from .base import SCORES, query
-from .detect import RECORDS, windowed
+from .base import AUTH, SCORES, query
+from .detect import BURSTS, EDGES, RECORDS, windowed
 from .review import CITED, IE, cited, incident_events, user_events, verdicts
-from .units import HOURLY, LABELLED, LONGEST, counts, labelled, scored_events
+from .units import EVENTS, HOURLY, LABELLED, LONGEST, counts, labelled, scored_events
 
 
-@query("graph_counter_enhanced")
+_GRID = "[" + ", ".join(repr(i * metrics.P_TOP / (metrics.KNOTS - 1)) for i in range(metrics.KNOTS)) + "]"
+
+
+@query("graph_counter_enhanced", f"""WITH {EDGES}, {BURSTS}, {SCORES[len(AUTH) + 2:]}, pe AS (SELECT acting_user AS user, CAST((window_end - 2) // 86400 + 1 AS INTEGER) AS day, ln(greatest(CAST(peak_destinations_300s AS DOUBLE), 0) + 1e-12) AS x FROM pk), rf2 AS (SELECT x FROM pe WHERE day <= 16),
+qs AS (SELECT quantile_cont(x, {_GRID}) AS q, (quantile_cont(x, 0.999) - quantile_cont(x, 0.99)) / ln(10.0) AS spread, stddev_pop(x) AS std FROM rf2), sl AS (SELECT CASE WHEN spread > 0 THEN spread ELSE greatest(std, 1e-6) / 10 END AS scale FROM qs), kn AS (SELECT q[i + 1] AS x, max(i) * 0.999 / 1000 AS p FROM range(0, 1001) t(i), qs GROUP BY 1),
+kk AS (SELECT *, lead(x) OVER (ORDER BY x) AS x2, lead(p) OVER (ORDER BY x) AS p2 FROM kn), j AS (SELECT pe.*, kk.x AS kx, kk.p AS kp, x2, p2 FROM pe ASOF LEFT JOIN kk ON pe.x >= kk.x), cl AS (SELECT user, day, CASE WHEN kx IS NULL THEN 0.0 WHEN x2 IS NULL THEN 1 - (1 - kp) / (1 + (x - kx) / (SELECT scale FROM sl)) ELSE kp + (p2 - kp) * (x - kx) / (x2 - kx) END AS calibrated FROM j),
+ds AS (SELECT user, day, max(graph_score) AS graph_score FROM hs GROUP BY ALL) SELECT user, day, round(0.25 * graph_score + 0.75 * calibrated, 6) AS score FROM cl JOIN ds USING (user, day)""")
 def _(spark, sf_dir):
     """0.25 of a user-day's graph score and 0.75 of its calibrated peak of distinct computers."""
     peaks = graph.day_rows(graph.bursts(windowed(spark, sf_dir))).select(F.col("acting_user").alias("user"), "day", F.col("peak_destinations_300s").cast("double").alias("score"))
@@ -36,7 +42,7 @@ def _(spark, sf_dir):
     return metrics.budget_metrics(rows, 38, ["tie"]).select("selected", "hits", "machines")
 
 
-@query("supervised_tie_order")
+@query("supervised_tie_order", f"WITH {HOURLY} SELECT acting_user, hour, day, CAST(row_number() OVER (PARTITION BY day ORDER BY either DESC, md5('42/' || day || '/' || acting_user || '/' || hour)) AS INTEGER) AS rank FROM hc")
 def _(spark, sf_dir):
     """Units of each day in the fixed order that breaks ties."""
     c = counts(spark, sf_dir)
@@ -105,7 +111,7 @@ def _(spark, sf_dir):
     return per.groupBy("combination").agg(F.min("incident_id").alias("example"), F.count("*").alias("incidents"))
 
 
-@query("sequence_export_slices")
+@query("sequence_export_slices", f"WITH {EVENTS}, ch AS (SELECT acting_user, hour, chunk, avg(error) AS m FROM ec GROUP BY ALL), b AS (SELECT acting_user, hour, arg_max(chunk, (m, -chunk)) AS chunk FROM ch GROUP BY ALL) SELECT ec.acting_user, ec.hour, string_agg(source_line, ' ' ORDER BY position) AS lines FROM ec JOIN b ON b.acting_user = ec.acting_user AND b.hour = ec.hour AND b.chunk = ec.chunk GROUP BY ALL")
 def _(spark, sf_dir):
     """The lines of each unit's evidence chunk, by offset and length."""
     from kestrelog.operators import scoring

@@ -6,6 +6,7 @@ made by with_event_time, and keeps state bounded by the watermark where the oper
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kestrelog.sources import authlog
+
 LATENESS = "2 hours"
-ROLLING_SECONDS = 3600
+HOUR, DAY = 3600, 86_400
 
 
 def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -52,47 +55,87 @@ def incidents(alert_hours: DataFrame, gap_seconds: int = 7200, lateness: str = L
     return g.drop("w")
 
 
-def split_late(events: DataFrame, good_path: str, late_path: str, checkpoint: str, lateness_seconds: int = 7200):
-    """Writes each micro-batch's rows, those behind the batch's largest time by more than the bound to a side table."""
+def split_late(events: DataFrame, good_path: str, late_path: str, checkpoint: str, lateness_seconds: int = 7200, raw: bool = False):
+    """Writes each micro-batch's rows: those behind the largest time of this and earlier batches by more than the bound go to a side table, and so do rejects.
+
+    With raw, events are log lines (source_line, raw) and are parsed here; rejected lines keep
+    their reason, late rows have `late`. The largest time is kept beside the side table, a row a batch, so that
+    lateness does not depend on how rows fall into batches and survives a restart.
+    """
+    spark = events.sparkSession
+    marks = f"{late_path}-newest"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        newest = held.agg(F.max("timestamp")).first()[0]
+        held = (authlog.parse(batch).drop("source_reference") if raw else batch).persist()
+        good = held.where("reason is null").drop("reason") if raw else held
+        path = spark._jvm.org.apache.hadoop.fs.Path(marks)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        before = spark.read.parquet(marks).where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0] if there else None
+        own = good.agg(F.max("timestamp")).first()[0]
+        newest = max((x for x in (before, own) if x is not None), default=None)
         if newest is not None:
             late = F.col("timestamp") < newest - lateness_seconds
-            held.where(~late).write.mode("append").parquet(good_path)
-            held.where(late).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(late_path)
+            good.where(~late).write.mode("append").parquet(good_path)
+            aside = good.where(late).withColumn("reason", F.lit("late"))
+            if raw:
+                aside = aside.unionByName(held.where("reason is not null"))
+            aside.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(late_path)
+            spark.createDataFrame([(batch_id, newest)], "batch long, newest long").write.mode("append").parquet(marks)
         held.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _rolling(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Earlier events and failures of the user in the last hour; state holds that hour only."""
+FEATURES = (
+    "acting_user string, source_line long, timestamp long, prior_auth_count_1h long, prior_failure_count_1h long, seconds_since_previous_auth double, prior_unique_destinations_24h long, "
+    "prior_user_destination_count_24h long, has_user_history boolean, is_new_user_destination boolean, is_new_user_source boolean"
+)
+_STATE = "times array<long>, fails array<long>, hosts array<string>, last long, destinations array<string>, sources array<string>"
+
+
+def _history(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A user's features from the events of the last day, the last time, and the computers ever seen.
+
+    Each event enters and leaves the windows once. When a day has passed without an event, the windows are
+    emptied; what was ever seen stays.
+    """
+    times, fails, hosts, last, known, sources = state.get if state.exists else ([], [], [], None, [], [])
     if state.hasTimedOut:
-        state.remove()
+        state.update(([], [], [], last, known, sources))
         return
-    times, fails = state.get if state.exists else ([], [])
-    out = []
+    day = deque(zip(times, fails, hosts))
+    hour = deque(x for x in day if x[0] >= (last or 0) - HOUR)
+    failed, near = sum(f for _, f, _ in hour), Counter(hosts)
+    known, sources, out = set(known), set(sources), []
     for pdf in frames:
-        for t, line, failed in pdf.sort_values(["timestamp", "source_line"])[["timestamp", "source_line", "failed"]].itertuples(index=False):
-            cut = next((i for i, x in enumerate(times) if x >= t - ROLLING_SECONDS), len(times))
-            times, fails = times[cut:], fails[cut:]
-            out.append((key[0], int(line), int(t), len(times), int(sum(fails)), bool(times)))
-            times.append(int(t))
-            fails.append(int(failed))
-    state.update((times, fails))
-    forget = (max(times) - 1 + ROLLING_SECONDS) * 1000
-    state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["acting_user", "source_line", "timestamp", "prior_auth_count_1h", "prior_failure_count_1h", "has_recent"])
-
-
-def rolling_features(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Rolling counts of an hour per user, with state that holds the last hour; users are forgotten an hour of event time after their last event.
-
-    Rows must come in time order per user, as the log is written.
+        for t, line, f, host, source in pdf.sort_values(["timestamp", "source_line"])[["timestamp", "source_line", "failed", "destination_computer", "source_computer"]].itertuples(index=False):
+            while day and day[0][0] < t - DAY:
+                gone = day.popleft()[2]
+                near[gone] -= 1
+                if not near[gone]:
+                    del near[gone]
+            while hour and hour[0][0] < t - HOUR:
+                failed -= hour.popleft()[1]
+            gap = None if last is None else float(t - last)
+            out.append((key[0], int(line), int(t), len(hour), failed, gap, len(near), near.get(host, 0), last is not None, host not in known, source not in sources))
+            event = (int(t), int(f), host)
+            day.append(event)
+            hour.append(event)
+            failed += int(f)
+            near[host] += 1
+            known.add(host)
+            sources.add(source)
+            last = int(t)
+    state.update(([x[0] for x in day], [x[1] for x in day], [x[2] for x in day], last, sorted(known), sorted(sources)))
+    state.setTimeoutTimestamp(max((last - 1 + DAY) * 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+
+
+def history_features(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The per-user features of the batch form on a stream: rolling counts of an hour and a day, gap, first-time flags on every row.
+
+    State holds a user's last day of events and the computers ever seen. Rows must come in time order per user, as the log is written.
     """
-    rows = with_event_time(events).withWatermark("event_time", lateness).select("acting_user", "event_time", "source_line", "timestamp", (F.col("authentication_result") == "Fail").cast("int").alias("failed"))
-    return rows.groupBy("acting_user").applyInPandasWithState(
-        _rolling, "acting_user string, source_line long, timestamp long, prior_auth_count_1h long, prior_failure_count_1h long, has_recent boolean", "times array<long>, fails array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = with_event_time(events).withWatermark("event_time", lateness)
+    rows = rows.select("acting_user", "event_time", "source_line", "timestamp", "destination_computer", "source_computer", (F.col("authentication_result") == "Fail").cast("int").alias("failed"))
+    return rows.groupBy("acting_user").applyInPandasWithState(_history, FEATURES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

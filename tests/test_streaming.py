@@ -57,10 +57,24 @@ def test_sessions_are_incidents(spark, tmp_path):
 
 
 def test_rolling_features(spark, log, tmp_path):
-    got = {r.source_line: (r.prior_auth_count_1h, r.prior_failure_count_1h) for r in once(login.rolling_features(source(spark, log)), tmp_path, "rolling").collect()}
-    e = history.rolling_sum(spark.read.parquet(log), ["acting_user"], 3600, F.lit(1), "n")
-    e = history.rolling_sum(e, ["acting_user"], 3600, F.when(F.col("authentication_result") == "Fail", 1).otherwise(0), "f")
-    assert got == {r.source_line: (r.n, r.f) for r in e.collect()}
+    stream = login.history_features(source(spark, log))
+    columns = [c for c in stream.columns if c != "acting_user"]
+    got = {tuple(r) for r in once(stream, tmp_path, "rolling").select(columns).collect()}
+    assert got == {tuple(r) for r in history.history_features(spark.read.parquet(log)).select(columns).collect()}
+
+
+def test_features_go_on_over_batches(spark, log, tmp_path):
+    e = spark.read.parquet(log)
+    cuts = e.approxQuantile("timestamp", [0.3, 0.7], 0.0)
+    folder = tmp_path / "parts"
+    for i, (low, high) in enumerate(zip([0, *cuts], [*cuts, 10**9])):
+        e.where((F.col("timestamp") > low) & (F.col("timestamp") <= high)).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = login.history_features(login.replay(spark, str(folder), e.schema))
+        q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    columns = [c for c in stream.columns if c != "acting_user"]
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(columns).collect()}
+    assert got == {tuple(r) for r in history.history_features(e).select(columns).collect()}
 
 
 def test_late_rows_go_aside(spark, tmp_path):
@@ -70,3 +84,15 @@ def test_late_rows_go_aside(spark, tmp_path):
     q.awaitTermination()
     assert {r.acting_user for r in spark.read.parquet(str(tmp_path / "late")).collect()} == {"c"}
     assert spark.read.parquet(str(tmp_path / "good")).count() == 2
+    spark.createDataFrame([(90_000, "d"), (95_000, "e")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    login.split_late(login.replay(spark, str(tmp_path / "in"), schema), str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "ck")).awaitTermination()
+    assert {r.acting_user for r in spark.read.parquet(str(tmp_path / "late")).collect()} == {"c", "d"}  # late against the batch before
+
+
+def test_rejects_go_aside_too(spark, tmp_path):
+    adapters.log_lines(spark, SF).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = login.replay(spark, str(tmp_path / "in"), "source_line long, raw string")
+    login.split_late(stream, str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "ck"), 10**9, raw=True).awaitTermination()
+    aside = {r.reason: r.n for r in spark.read.parquet(str(tmp_path / "late")).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    assert set(aside) == {"field_count", "invalid_timestamp", "empty_field"}
+    assert spark.read.parquet(str(tmp_path / "good")).count() + sum(aside.values()) == spark.read.parquet(str(tmp_path / "in")).count()
