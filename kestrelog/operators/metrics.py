@@ -24,7 +24,7 @@ def order_statistics(values: DataFrame, probabilities: list[float], ranges: int
     numbered within their range after the sizes of the ranges before, so no task holds all values.
     """
     bounds = sorted(set(values.stat.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.002)))
-    splits = [-math.inf, *(b for b in bounds if math.isfinite(b)), math.inf]
+    splits = [-math.inf, *([b for b in bounds if math.isfinite(b)] or [0.0]), math.inf]
     each = values.groupBy("x").agg(F.count("*").alias("n"))
     each = Bucketizer(splits=splits, inputCol="x", outputCol="part", handleInvalid="keep").transform(each)
     sizes = each.groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each range
