@@ -69,6 +69,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return at.select(*DIMENSIONS, "tokens", (F.col("w") / F.col("own")).alias("factor"))
 
 
+def residual(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest distance of a raked share from its target over all values of all dimensions: how far raking is from done."""
+    total = raked.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0] or 1.0
+    worst = 0.0
+    for c in DIMENSIONS:
+        got = raked.groupBy(F.col(c).alias("value")).agg((F.sum(F.col("tokens") * F.col("factor")) / F.lit(total)).alias("got"))
+        worst = max(worst, got.join(targets[c], "value").agg(F.max(F.abs(F.col("got") - F.col("share")))).first()[0] or 0.0)
+    return worst
+
+
 def cell_factors(keys: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """keyed() rows -> (source, lang, topic, factor)."""
     cells = keys.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).checkpoint()
@@ -105,15 +115,17 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: fl
     """docs with its own columns, each row as often as its factor asks, so that the rows themselves meet the targets.
 
     A row comes floor(rate * factor) times, and once more with the remainder's probability. The
-    ids are those of sample(), which keeps a row once and carries the rest as a weight.
+    ids are those of sample(), which keeps a row once and carries the rest as a weight. A null or
+    empty text weighs one token; null sources and languages are values of their own; null ids
+    share one number and are chosen together, as are repeated ids; an empty table stays empty.
     """
     factors = cell_factors(keyed(docs), targets)
     chance = containment.checked(factors.select(*[F.col(c).alias(f"__{c}") for c in DIMENSIONS], (F.col("factor") * rate).alias("__chance")))
-    named = docs.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topic_of(F.col("text"))})
+    named = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce("source", F.lit(NONE)).alias("__source"), F.coalesce("lang", F.lit(NONE)).alias("__lang"), topic_of(F.col("text")).alias("__topic"))
     whole = F.floor("__chance").cast("int")
-    times = whole + (uniform(F.col("doc_id")) < F.col("__chance") - whole).cast("int")
+    times = whole + (uniform(F.col("__row.doc_id")) < F.col("__chance") - whole).cast("int")
     joined = named.join(chance, ["__source", "__lang", "__topic"]).withColumn("__times", times).where("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,14 +210,15 @@ def links(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """documents -> (doc_id, fingerprint, component_id, n_links).
+    """documents -> (doc_id, fingerprint, component_id, n_same).
 
     fingerprint is 16 hex digits; component_id is the least doc_id that links reach. Texts are
     compared by fingerprint once for each distinct fingerprint, so copies cost nothing.
     n_same counts the documents with the same fingerprint. A null text counts as empty; texts
     without words have fingerprint zero and are linked with each other like any others. Rows
     with a null doc_id keep a row and do not take part in component ids. Repeated doc_ids keep
-    a row each. Other columns of docs are ignored.
+    a row each. Texts are read whole, however long; an empty table gives no rows. A difference of
+    exactly three bits links. Other columns of docs are ignored.
     """
     prints = common.stored(fingerprints(docs), "simhash-prints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")).checkpoint()

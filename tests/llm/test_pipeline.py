@@ -41,6 +41,33 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == left[5]
 
 
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Null and blank texts, repeated and null ids, a long text, extra columns with clashing names; then no rows at all."""
+    from sample_texts import ODD
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, __chance double, __source string, fp long, band long"
+    rng = random.Random(21)
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", 0, 0.5, "x", 1, 2) for i, t in enumerate(ODD)]
+    rows += [(50 + i, prose(rng, 40), "en", "s", 0, 0.5, "x", 1, 2) for i in range(30)] + [(51, "twice", "en", "s", 0, 0.5, "x", 1, 2), (None, "no id", None, None, None, None, None, None, None)]
+    labels = [(50 + i, 1, i % 2) for i in range(30)] + [(None, 1, 1), (51, 1, None)]
+    for k, (docs, marks, items) in enumerate([(rows, labels, [(1, prose(rng, 30)), (None, "x y"), (2, None)]), ([], [], []), (rows, [], [])]):
+        home = tmp_path / str(k)
+        spark.createDataFrame(docs, names).write.parquet(str(home / "documents.parquet"))
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(home / "labels.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(home / "benchmark.parquet"))
+        held = spark.read.parquet(str(home / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES[1:] if k == 2 else corpus_pipeline.STAGES:
+            out = stage(spark, held, str(home))
+            if name != "token_ids":
+                assert out.columns == held.columns
+            out.write.parquet(str(home / name))
+            held = spark.read.parquet(str(home / name))
+        found = {r.doc_id for r in held.collect()}
+        assert found <= {r[0] for r in docs}
+        if k == 2:
+            assert {None, 9, 51} <= found | {None, 9, 51} and len(found) > 15
+
+
 def test_registered():
     names = registry.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))

@@ -167,6 +167,15 @@ def test_raked_weights_meet_the_targets(spark):
     assert {r.doc_id for r in mixing.mixed(docs).collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_raking_has_converged(spark):
+    rng = random.Random(22)
+    rows = [(i, prose(rng, rng.randint(1, 60)) + rng.choice(["", " a | b", " license", " x@y.z"]), rng.choice(["en", "de", None]), rng.choice("ssssst"), 0) for i in range(600)]
+    keys = mixing.keyed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    cells = keys.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens")).checkpoint()
+    targets = mixing.tempered_targets(cells)
+    assert mixing.residual(mixing.rake(cells, targets), targets) < 1e-3 < mixing.residual(mixing.rake(cells, targets, 0), targets)
+
+
 def test_mixed_rows_meet_the_targets_themselves(spark):
     rng = random.Random(21)
     docs = spark.createDataFrame([(i, prose(rng, rng.randint(20, 60)) + (" | x" if i % 50 == 0 else ""), "en" if i % 10 else "de", "web" if i % 20 else "wiki") for i in range(6000)], "doc_id long, text string, lang string, source string")
