@@ -177,7 +177,7 @@ h AS (SELECT doc_id, template_id, license, phrases, s, x.pos AS pos, x.pos // ha
 z AS (SELECT *, a AS win FROM h UNION ALL SELECT *, a - 1 AS win FROM h WHERE a > 0),
 g AS (SELECT doc_id, template_id, license, phrases, win, count(DISTINCT s) AS shared, min(pos) AS pos, string_agg(DISTINCT ' ' || s || ' ', '|') AS held FROM z GROUP BY ALL)
 SELECT doc_id, template_id, license, count(*) AS windows, CAST(min(pos) AS BIGINT) AS first_word, max(round(shared / n, 6)) AS containment
-FROM g JOIN n USING (template_id) WHERE shared >= ceil(n * 0.8) AND len(list_filter(phrases, x -> NOT contains(held, ' ' || x || ' '))) = 0 GROUP BY ALL
+FROM g JOIN n USING (template_id) WHERE shared >= ceil(n * 0.8) AND len(list_filter(phrases, lambda x: NOT contains(held, ' ' || x || ' '))) = 0 GROUP BY ALL
 """
 
 QUERIES = {"op4_license_scan": op4_license_scan}
