@@ -118,8 +118,8 @@ qn AS (SELECT query, sqrt(sum(q * q)) AS norm FROM qc GROUP BY 1), sco AS (SELEC
 @query("retrieval_tfidf_search", f"WITH {TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM sco WHERE score >= 0.05) SELECT query, doc_id, round(score, 4) AS score FROM r WHERE rank <= 3")
 def _(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    index, idf = behaviours.tfidf(docs, STOP, "doc_id")
     asked = adapters.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    index, idf = behaviours.tfidf(docs, STOP, "doc_id", asked.select(F.explode(behaviours.terms(F.col("text"), STOP)).alias("term")))
     return behaviours.search(index, idf, asked, STOP, 3, 0.05, "doc_id").select("query", "doc_id", F.round("score", 4).alias("score"))
 
 
