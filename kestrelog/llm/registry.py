@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, media, mixing, secrets, simhash, tokencount, tokenids, toxicity
+from . import decontaminate, langid, licenses, media, mixing, runs, secrets, simhash, tokencount, tokenids, toxicity
 
-MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids, media, secrets, mixing]
+MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids, media, secrets, mixing, runs]
 
 
 def queries() -> dict:
