@@ -204,9 +204,14 @@ def planted(doc_id: int | None, n: int) -> np.ndarray:
 
 
 def _joined(words: pa.Array, order: np.ndarray) -> str:
+    """SHA-256 of words joined by one space each."""
     digest = hashlib.sha256()
     for a in range(0, len(order), CHUNK):
-        digest.update(b" " * (a > 0) + b" ".join(words.take(pa.array(order[a : a + CHUNK])).to_pylist()))
+        _, where, letters = (x and np.frombuffer(x, np.uint8) for x in words.take(pa.array(order[a : a + CHUNK])).buffers())
+        sizes = np.diff(where.view(np.int64)[: len(order[a : a + CHUNK]) + 1])
+        text = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+        text[1 + np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = letters[: int(sizes.sum())]
+        digest.update(text[0 if a else 1 :].data)
     return digest.hexdigest()
 
 
