@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, media, mixing, runs, secrets, simhash, tokencount, tokenids, toxicity, turns
+from . import decontaminate, langid, licenses, media, mixing, pages, runs, secrets, simhash, tokencount, tokenids, toxicity, turns
 
-MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids, media, secrets, mixing, runs, turns]
+MODULES = [langid, decontaminate, simhash, licenses, toxicity, tokencount, tokenids, media, secrets, mixing, runs, pages, turns]
 
 
 def queries() -> dict:
