@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 PLAIN, MAIN, ARTICLE, OUTSIDE = range(4)
 
@@ -82,8 +83,8 @@ def lines(page: str) -> list[tuple[str, int]]:
     """
     out: list[tuple[str, int]] = []
     open_: list[tuple[str, int]] = []  # elements, each with the zone of its content
-    zone, held, heading = PLAIN, {}, False
-    at = 0
+    number: Counter[str] = Counter()  # of open elements by name, so that the list is searched only for what is in it
+    zone, held, at = PLAIN, {}, 0
 
     def flush() -> None:
         for z, parts in held.items():
@@ -94,17 +95,18 @@ def lines(page: str) -> list[tuple[str, int]]:
 
     def say(text: str) -> None:
         z = zone
-        if z == ARTICLE and not heading and any(x == "header" for x, _ in open_):
+        if z == ARTICLE and number["header"] and not any(number[x] for x in _HEADINGS):
             z = OUTSIDE  # of an article's own header only the headings are text
         held.setdefault(z, []).append(html.unescape(text) if "&" in text else text)
 
     def pop(k: int) -> None:
-        nonlocal zone, heading
-        if any(x in _BLOCK for x, _ in open_[k:]):
+        nonlocal zone
+        gone = [x for x, _ in open_[k:]]
+        if not _BLOCK.isdisjoint(gone):
             flush()
+        number.subtract(gone)
         del open_[k:]
         zone = open_[-1][1] if open_ else PLAIN
-        heading = any(x in _HEADINGS for x, _ in open_)
 
     while True:
         m = _TOKEN.search(page, at)
@@ -118,9 +120,8 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         name, text = m["name"].lower(), m["attrs"] or m["broken"] or ""
         if m["close"]:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-            if k is not None:
-                pop(k)
+            if number[name] > 0:
+                pop(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
             elif name in _BLOCK:
                 flush()
             continue
@@ -133,13 +134,13 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in _BLOCK:
             flush()
-            for k in range(len(open_) - 1, -1, -1):
+            for k in range(len(open_) - 1, -1, -1) if number["p"] > 0 else ():
                 if open_[k][0] == "p":
                     pop(k)
                 if k >= len(open_) or open_[k][0] in _BLOCK:
                     break
             ended, limits = _ENDS.get(name, ((), ()))
-            for k in range(len(open_) - 1, -1, -1) if ended else ():
+            for k in range(len(open_) - 1, -1, -1) if any(number[x] > 0 for x in ended) else ():
                 if open_[k][0] in ended:
                     pop(k)
                     break
@@ -149,6 +150,6 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         zone = _zone(name, text, zone)
         open_.append((name, zone))
-        heading = heading or name in _HEADINGS
+        number[name] += 1
     flush()
     return out
