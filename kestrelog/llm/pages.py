@@ -4,14 +4,18 @@ Pages of a host are put in order of their paths; each is aligned, line by line,
 neighbour by longest common subsequence, and lines that both hold are deleted. Markup has the last
 word where it speaks: lines of a marked article stay (two articles may share a passage), lines of
 menus, notices and the like go, shared or not. Pages of equal lines are compared once, as one page.
+Pages are parsed twice, for the hashes of their lines and for their text, which moves once and packed.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +26,59 @@ OWN_SHARE = 0.1
 #: How many ways the copies of one page are dealt out where they meet its result.
 SALTS = 16
 
-_LINE = "struct<text: string, zone: int>"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    line = pa.struct([("text", pa.string()), ("zone", pa.int32())])
+def _parsed(batch: pa.RecordBatch, column: int) -> Iterator[list[tuple[str, int]]]:
+    for _, _, raw, offsets in common.text_blocks(batch.column(column), 1 << 22):
+        data, cuts = raw.tobytes(), offsets.tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield blocks.lines(data[a:b].decode("utf-8", "replace"))
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, sizes, digests = [], [], []
+        for lines in _parsed(batch, 1):
+            keys.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines])
+            sizes.append([0 if z == blocks.OUTSIDE else len(t) for t, z in lines])
+            digests.append(hashlib.md5("\n".join(f"{z}{t}" for t, z in lines).encode()).digest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(digests, pa.binary())], ["row", "keys", "sizes", "digest"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of the zone that a page's text is in, packed, and their numbers among all lines."""
     for batch in batches:
-        for first, end, raw, offsets in common.text_blocks(batch.column(2), 1 << 22):
-            data, cuts = raw.tobytes(), offsets.tolist()
-            found = [[{"text": t, "zone": z} for t, z in blocks.lines(data[a:b].decode("utf-8", "replace"))] for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, end - first) for k in (0, 1)] + [pa.array(found, pa.list_(line))], ["page_id", "url", "lines"])
+        zones, numbers, packed, counts = [], [], [], []
+        for lines in _parsed(batch, 3):
+            zone = max((z for _, z in lines if z != blocks.OUTSIDE), default=blocks.OUTSIDE)
+            own = [] if zone == blocks.OUTSIDE else [i for i, (_, z) in enumerate(lines) if z == zone]
+            zones.append(zone)
+            numbers.append(own)
+            packed.append(zlib.compress("\n".join(lines[i][0] for i in own).encode(), 3))
+            counts.append(len(lines))
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(k) for k in range(3)], pa.array(zones, pa.int32()), pa.array(numbers, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(counts, pa.int32())],
+            ["row", "page_id", "url", "zone", "numbers", "packed", "n_lines"],
+        )
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines that are shared with the partner, where the markup has not spoken."""
+    for batch in batches:
+        texts, shared_lines = [], []
+        for zone, numbers, packed, shared in zip(*(batch.column(k) for k in (2, 3, 4, 6))):
+            shared = shared.as_py() or []
+            text = zlib.decompress(packed.as_py()).decode()
+            if zone.as_py() == blocks.PLAIN and any(shared):
+                text = "\n".join(t for i, t in zip(numbers.as_py(), text.split("\n")) if not shared[i])
+            texts.append(text)
+            shared_lines.append(sum(shared))
+        lengths = [len(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (0, 1)], pa.array(texts, pa.string()), pa.array(lengths, pa.int64()), batch.column(7), batch.column(5), pa.array(shared_lines, pa.int32())], _OUT_NAMES)
+
+
+_OUT = "page_id long, url string, text string, n_chars long, partner_id long, n_lines int, n_shared int"
+_OUT_NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,20 +93,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_()))], ["row", "shared"])
 
 
-def in_lines(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> stored rows with a number of their own, host, path, and lines (text, zone)."""
-    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, f"page_id long, url string, lines array<{_LINE}>")
+def keyed(pages: DataFrame) -> DataFrame:
+    """pages with `row`, a digest of (page_id, url, html): rows that are alike in all three are one page."""
+    part = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-"))
+    return pages.select(F.unhex(F.md5(F.concat(*[part(c) for c in ("page_id", "url", "html")]).cast("binary"))).alias("row"), "page_id", "url", "html")
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """keyed() rows -> stored (row, page_id, host, path, digest, keys, sizes): hashes and lengths of a page's lines."""
     address = F.coalesce(F.lower("url"), F.lit(""))
-    parsed = parsed.select(
-        F.monotonically_increasing_id().alias("row"),
+    named = pages.select(
+        "row",
+        "html",
         "page_id",
-        "url",
         F.regexp_extract(address, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1).alias("host"),
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)", 1).alias("path"),
-        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x["zone"].cast("string"), x["text"])), "\n"), 256).alias("digest"),
-        "lines",
     )
-    return common.stored(parsed, "page-lines")
+    found = named.select("row", "html").mapInArrow(_outline, "row binary, keys array<long>, sizes array<int>, digest binary")
+    names = named.select("row", "page_id", "host", "path").distinct()
+    found = found.groupBy("row").agg(*[F.first(c).alias(c) for c in ("keys", "sizes", "digest")])
+    return common.stored(names.join(found, "row"), "page-lines")
 
 
 def _segments(a: str, b: str) -> Column:
@@ -70,15 +123,15 @@ def _segments(a: str, b: str) -> Column:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """Rows of in_lines -> (row, partner, copies, host, digest): the first page of each text and the page nearest to it on its host.
+    """outlines() -> (row, partner, copies, host, digest): the first page of each text and the page nearest to it on its host.
 
     Order over all hosts is by ranges; places follow from the rows of each range, so no host is
     in one task. Of the pages before and after, the one that shares more leading path segments is nearer.
     """
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = pages.where("host <> ''").groupBy("host", "digest").agg(F.min(F.struct("path", "row")).alias("at"), F.count("*").alias("copies")).select("host", "digest", "at.*", "copies")
-    sorted_ = first.repartitionByRange(n, "host", "path", "row").sortWithinPartitions("host", "path", "row")
+    first = pages.where("host <> ''").groupBy("host", "digest").agg(F.min(F.struct("path", "page_id", "row")).alias("at"), F.count("*").alias("copies")).select("host", "digest", "at.path", "at.page_id", "at.row", "copies")
+    sorted_ = first.repartitionByRange(n, "host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
     sorted_ = common.stored(sorted_.withColumn("slot", F.monotonically_increasing_id()), "page-order")
     part = F.shiftright("slot", 33)
     sizes = sorted_.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row per partition
@@ -101,24 +154,21 @@ def page_texts(pages: DataFrame) -> DataFrame:
     (with less than 0.1 of text of their own) share nothing. Null and empty pages have an empty text; pages
     without a host are compared with none; null and repeated ids keep a row each; an empty table gives none.
     """
-    found = in_lines(pages)
-    keys = found.select("row", "page_id", F.transform("lines", lambda x: F.xxhash64(x["text"])).alias("keys"), F.transform("lines", lambda x: F.when(x["zone"] == blocks.OUTSIDE, 0).otherwise(F.length(x["text"])).cast("long")).alias("sizes"))
+    pages = keyed(pages)
+    found = outlines(pages)
     pairs = common.stored(neighbours(found), "page-pairs")
-    theirs = keys.select(F.col("row").alias("partner"), F.col("keys").alias("their_keys"), F.col("sizes").alias("their_sizes"))
-    both = pairs.select("row", "partner").join(keys, "row").join(theirs, "partner")
-    flags = both.select("row", "keys", "sizes", "their_keys", "their_sizes").mapInArrow(_compare, "row long, shared array<boolean>")
-    names = keys.select(F.col("row").alias("partner"), F.col("page_id").alias("partner_id"))
+    theirs = found.select(F.col("row").alias("partner"), F.col("keys").alias("their_keys"), F.col("sizes").alias("their_sizes"))
+    both = pairs.select("row", "partner").join(theirs, "partner").join(found.select("row", "keys", "sizes"), "row")
+    flags = both.select("row", "keys", "sizes", "their_keys", "their_sizes").mapInArrow(_compare, "row binary, shared array<boolean>")
+    names = found.select(F.col("row").alias("partner"), F.col("page_id").alias("partner_id"))
     flags = common.stored(pairs.join(flags, "row").join(names, "partner").select("row", "host", "digest", "copies", "shared", "partner_id"), "page-flags")
     more = flags.where("copies > 1").select("host", "digest", "shared", "partner_id", F.col("row").alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     copies = found.select("row", "host", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
     copies = copies.join(more, ["host", "digest", "salt"]).where("row <> first").select("row", "shared", "partner_id")
     flags = flags.select("row", "shared", "partner_id").union(copies)
-    zones = F.array_max(F.transform(F.filter("lines", lambda x: x["zone"] != blocks.OUTSIDE), lambda x: x["zone"]))
-    own = F.filter("lines", lambda x, i: (x["zone"] == F.col("zone")) & ((x["zone"] != blocks.PLAIN) | F.col("shared").isNull() | ~F.get("shared", i)))
-    out = found.join(flags, "row", "left").withColumn("zone", zones)
-    out = out.withColumn("text", F.coalesce(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), F.lit("")))
-    shared = F.coalesce(F.size(F.filter("shared", lambda x: x)), F.lit(0))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "partner_id", F.size("lines").alias("n_lines"), F.greatest(shared, F.lit(0)).alias("n_shared"))
+    texts = pages.mapInArrow(_texts, "row binary, page_id long, url string, zone int, numbers array<int>, packed binary, n_lines int")
+    out = texts.join(flags, "row", "left")
+    return out.select("page_id", "url", "zone", "numbers", "packed", "n_lines", "shared", "partner_id").mapInArrow(_join, _OUT)
 
 
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
