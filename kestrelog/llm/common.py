@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and one machine does all, as in tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if path is None:
         path = sc.getCheckpointDir()
         if path is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="spark-")
             sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -81,7 +83,17 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         first = end
 
 
+def pieces(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, b, cuts): what lies between offsets in parts [a, b) of a size at most, and the offsets within each part."""
+    for a in range(int(offsets[0]), int(offsets[-1]), size):
+        b = min(a + size, int(offsets[-1]))
+        yield a, b, np.clip(offsets, a, b) - a
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values between successive offsets; empty ranges sum to zero."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of values between successive offsets; empty ranges sum to zero. Long ranges are summed in pieces."""
+    sums = np.zeros((len(offsets) - 1, *values.shape[1:]))
+    for a, b, cuts in pieces(offsets):
+        total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values[a:b], axis=0, dtype=np.float64)])
+        sums += total[cuts[1:]] - total[cuts[:-1]]
+    return sums

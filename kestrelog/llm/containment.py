@@ -49,13 +49,18 @@ def shingles(words: Column, k: int) -> Column:
     return _each(words, k, lambda w, i: F.concat_ws(" ", F.slice(w, i + 1, k)))
 
 
-def item_shingles(items: DataFrame, words) -> DataFrame:
+def short_items(items: DataFrame, words, least_words: int) -> DataFrame:
+    """(item, n_words): what item_shingles leaves out, texts of one to least_words - 1 words."""
+    return items.where("item is not null").select("item", F.size(words(F.col("text"))).cast("long").alias("n_words")).where(F.col("n_words").between(1, least_words - 1))
+
+
+def item_shingles(items: DataFrame, words, least_words: int = 1) -> DataFrame:
     """items (item, text) -> distinct (item, k, s, key, n): n shingles of k words.
 
-    k is five, or the number of words of a shorter item, which then is one shingle. Items
-    without words give no rows. Repeated items count once; the texts of one id are pooled.
+    k is five, or the number of words of a shorter item, which then is one shingle. Texts of
+    fewer than least_words words, or of none, give no rows. Repeated items count once; the texts of one id are pooled.
     """
-    found = items.where("item is not null").select("item", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    found = items.where("item is not null").select("item", words(F.col("text")).alias("w")).where(F.size("w") >= max(1, least_words))
     sized = found.select("item", "w", F.least(F.size("w"), F.lit(SHINGLE_WORDS)).alias("k")).checkpoint()
     parts = None
     for k in range(1, SHINGLE_WORDS + 1):
@@ -98,8 +103,8 @@ def shared_shingles(docs: DataFrame, pairs: DataFrame, parts: DataFrame, lengths
     return out.join(pairs.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi")
 
 
-def prepare(items: DataFrame, words) -> tuple[DataFrame, DataFrame, list[int]]:
+def prepare(items: DataFrame, words, least_words: int = 1) -> tuple[DataFrame, DataFrame, list[int]]:
     """Item shingles and sketch as stored tables, and the shingle lengths that occur (1 to 5)."""
-    parts = common.stored(item_shingles(items, words), "item-shingles")
+    parts = common.stored(item_shingles(items, words, least_words), "item-shingles")
     lengths = sorted(r.k for r in parts.select("k").distinct().collect())
     return parts, common.stored(sketch(parts), "item-sketch"), lengths or [SHINGLE_WORDS]

@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from . import common, containment
 
 THRESHOLD = containment.THRESHOLD
+#: Shorter items are not looked for; left_out() lists them. With 1 every item is, and one of a word marks all documents that use it.
+LEAST_WORDS = 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def left_out(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(item_id, n_words) of the items that are too short to be looked for."""
+    return containment.short_items(benchmark.select(F.col("item_id").alias("item"), "text"), common.words, least_words).withColumnRenamed("item", "item_id")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """documents, benchmark (item_id, text) -> (doc_id, item_id, n_shared, n_item, containment).
 
     A row for each document that holds at least 0.8 of an item's distinct five-word shingles,
-    lower-cased (A-Z) and split at ASCII white space. An item of fewer than five words is one
-    shingle of its own length. Null and blank texts and null ids match nothing; texts of a
+    lower-cased (A-Z) and split at ASCII white space. Items of fewer than least_words words are
+    left out; with least_words below five a shorter item is one shingle of its own length. Null and blank texts and null ids match nothing; texts of a
     repeated doc_id or item_id are pooled; other columns are ignored. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").alias("item"), "text")
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    parts, probes, lengths = containment.prepare(items, common.words)
+    parts, probes, lengths = containment.prepare(items, common.words, least_words)
     pairs = common.stored(containment.candidates(docs, probes, lengths, common.words).select("doc_id", "item").distinct(), "leak-candidates")
     shared = containment.shared_shingles(docs, pairs, parts, lengths, common.words)
     counted = shared.groupBy("doc_id", "item").agg(F.countDistinct("s").alias("n_shared"), F.max("n").alias("n_item"))
@@ -28,9 +35,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * THRESHOLD)).select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_item", share.alias("containment"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item; rows with a null doc_id stay."""
-    leaks = common.stored(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of docs that hold no benchmark item of least_words words or more; rows with a null doc_id stay."""
+    leaks = common.stored(contaminated(docs, benchmark, least_words).select("doc_id").distinct(), "leaks")
     return docs.join(containment.checked(leaks), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -164,7 +164,17 @@ def tables(language: np.ndarray, gram: np.ndarray, n: np.ndarray, m: int) -> Tab
 
 
 def code_lengths(found: Tables, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each text under each language of a group."""
+    """Bits of each text under each language of a group. A long text is read in pieces, each after the three bytes before it."""
+    bits = np.zeros((len(offsets) - 1, found.one.shape[1]))
+    for a, b, cuts in common.pieces(offsets):
+        first = max(0, a - 3)
+        cost = _costs(found, raw[first:b], np.clip(offsets, first, b) - first)
+        bits += common.row_sums(cost[a - first :], cuts)
+    return bits
+
+
+def _costs(found: Tables, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits of each byte under each language, after the bytes of its text that stand before it."""
     a = int(found.symbol.max()) + 1
     s = found.symbol[raw]
     since = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -183,7 +193,7 @@ def code_lengths(found: Tables, raw: np.ndarray, offsets: np.ndarray) -> np.ndar
         string = found.three.find(far * a + near, s)
         short = found.escape[far * a + near] + found.one[near * a + s]
         cost[rare] = paid + np.where(string[:, None] >= 0, found.three_cost[string], short)
-    return common.row_sums(cost, offsets)
+    return cost
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:

@@ -9,12 +9,16 @@ the targets in expectation. Everything is DataFrame operations; cells, not docum
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, containment
 
-ROUNDS = 8
+#: Rounds go on until no share is further from its target than TOLERANCE, ROUNDS at most.
+ROUNDS = 200
+TOLERANCE = 1e-11
 RATE = 1.0
 #: Default targets are the corpus's own shares to this power, evened out: 1 keeps them, 0 makes all equal.
 TEMPER = 0.7
@@ -49,23 +53,34 @@ def tempered_targets(cells: DataFrame, power: float = TEMPER) -> dict[str, DataF
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """cells (source, lang, topic, tokens) -> the same with factor, the raked share over the cell's own share.
 
-    A value without a target keeps its own share of the weight it had. Targets that no cell can
-    meet are scaled with the others.
+    A value without a target keeps its own share of the weight it had. Where the cells can't meet
+    all targets at once the rounds end without agreement: that is an error if strict, else a warning
+    that states the largest distance left (see also residual).
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
     at = cells.withColumn("own", F.col("tokens") / F.lit(total)).withColumn("w", F.col("own"))
     for c in DIMENSIONS:
         shares = targets[c].select(F.col("value").alias(c), F.col("share").alias(f"share_{c}"))
         at = at.join(containment.checked(shares), c, "left")
-    at = at.checkpoint()
+    at, left = at.checkpoint(), float("inf")
     for _ in range(rounds):
         for c in DIMENSIONS:
             held = F.sum("w").over(Window.partitionBy(c))
             at = at.withColumn("w", F.col("w") * F.coalesce(F.col(f"share_{c}") / held, F.lit(1.0)))
         at = at.checkpoint()
+        each = at.select("w", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.col(f"share_{c}").alias("share")) for c in DIMENSIONS])).alias("d"))
+        held = each.where("d.share is not null").groupBy("d").agg(F.sum("w").alias("w"))
+        left = held.agg(F.max(F.abs(F.col("w") - F.col("d.share")))).first()[0] or 0.0
+        if left <= tolerance:
+            break
+    else:
+        if rounds and strict:
+            raise ValueError(f"after {rounds} rounds a share is still {left:.3g} from its target")
+        if rounds:
+            warnings.warn(f"after {rounds} rounds a share is still {left:.3g} from its target", stacklevel=2)
     return at.select(*DIMENSIONS, "tokens", (F.col("w") / F.col("own")).alias("factor"))
 
 
@@ -133,6 +148,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("probability", "weight")})
 
 
+#: More rounds than the tolerance asks for on the given tables.
+SQL_ROUNDS = 20
+
+
 def _sql() -> str:
     parts = [
         f"""k AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
@@ -143,12 +162,12 @@ def _sql() -> str:
     for d in DIMENSIONS:
         parts.append(f"t_{d} AS (SELECT {d}, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) OVER () AS share_{d} FROM c GROUP BY {d})")
     parts.append("w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS own, tokens / sum(tokens) OVER () AS w FROM c " + " ".join(f"JOIN t_{d} USING ({d})" for d in DIMENSIONS) + ")")
-    for i in range(ROUNDS * 3):
+    for i in range(SQL_ROUNDS * 3):
         d = DIMENSIONS[i % 3]
         parts.append(f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (w * share_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM w{i})")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT doc_id, source, lang, topic, k.tokens AS tokens, round(least(1.0, w / own * {RATE}), 6) AS probability, round(w / own * {RATE} / least(1.0, w / own * {RATE}), 6) AS weight
-FROM k JOIN w{ROUNDS * 3} z USING (source, lang, topic)
+FROM k JOIN w{SQL_ROUNDS * 3} z USING (source, lang, topic)
 WHERE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, w / own * {RATE})"""
 
 

@@ -35,9 +35,14 @@ PROVIDERS = [
 ]
 _MARKS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "k_test_", "sk-", "xox", "AIza", "SG.", "npm_", "hf_"]
 _PROVIDER = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(PROVIDERS) + ")", re.ASCII)
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*([^\-]+)")
+# Header lines, then lines of key material (ends of lines may be written as \n) up to the END line; without it one long line at least.
+_PEM = re.compile(
+    r"-----BEGIN (?P<name>(?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?)-----(?:\s|\\[nr])*+(?:[A-Za-z][\w\-]*+: [^\n\\]*+(?:\s|\\[nr])++)*+"
+    r"(?P<body>(?:[A-Za-z0-9+/=]|\s|\\[nr])++(?=-----END (?P=name)-----)|[A-Za-z0-9+/=]{40,}+(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{16,}+)*+)",
+    re.ASCII,
+)
 _JWT = re.compile(r"eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]{8,}", re.ASCII)
-_URL = re.compile(r"://[^\s:/@\"']{1,64}:([^\s/@\"']{3,128})@")
+_URL = re.compile(r"://[^\s:/@\"']++:([^\s/@\"']{3,}+)@")
 _ASSIGNED = re.compile(r"(?:" + "|".join(KEYWORDS) + r")[\w\-]{0,20}[\"']?\s{0,3}[:=]\s{0,3}(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"',;]{6,}))", re.IGNORECASE)
 _BEARER = re.compile(r"bearer\s{1,3}([\w\-.=+/]{8,})", re.IGNORECASE | re.ASCII)
 _RUN = re.compile(r"[A-Za-z0-9_+/=\-]{16,}|(?<=[=:\"'\s])[A-Za-z0-9_+/=\-!@#$%^&*]{8,15}(?=[\"'\s]|$)")
@@ -59,8 +64,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of a text's candidates in order; where two overlap, the more specific kind stays."""
     found: list[tuple[int, int, str]] = []
     low = text.lower()
-    if "private key-----" in low:
-        found += [(*m.span(1), "key block") for m in _PEM.finditer(text)]
+    if "-----BEGIN " in text:
+        found += [(*m.span("body"), "key block") for m in _PEM.finditer(text)]
     if "eyJ" in text:
         found += [(*m.span(), "web token") for m in _JWT.finditer(text)]
     if "://" in text and "@" in text:
@@ -175,13 +180,13 @@ def _numbers(value: str, before: str, after: str, known: Language) -> list[float
     n = max(1, len(value))
     digits, upper, lower = (sum(map(f, value)) for f in (str.isdigit, str.isupper, str.islower))
     pairs = list(zip(value, value[1:]))
-    c = _CLASS[np.frombuffer(value[:4096].encode("utf-8", "replace"), np.uint8)]  # a block of key material tells as much by its first lines
+    c = _CLASS[np.frombuffer(value.encode("utf-8", "replace"), np.uint8)]
     bits = known.bits[c[:-1], c[1:]] if len(c) > 1 else np.zeros(1)
     around = _WORDS.findall((before + " " + after).lower())
     return [
         float(np.log2(n)), digits / n, upper / n, lower / n, 1 - (digits + upper + lower) / n, len(set(value)) / n,
         sum(a.isdigit() != b.isdigit() for a, b in pairs) / n, sum(a.islower() and b.isupper() or a.isupper() and b.islower() for a, b in pairs) / n, sum(a == b for a, b in pairs) / n,
-        float(re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) is not None), float(bits.mean()), float(np.sort(bits)[-(len(bits) // 4 + 1) :].mean()), coverage(value[:4096], known.words),
+        float(re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) is not None), float(bits.mean()), float(np.sort(bits)[-(len(bits) // 4 + 1) :].mean()), coverage(value, known.words),
         float("/" in value[1:-1] or _PATH_BEFORE.search(before) is not None or _PATH_AFTER.search(after) is not None),
         float("@" in value and "." in value or _MAIL_BEFORE.search(before) is not None or _MAIL_AFTER.search(after) is not None),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"') and before != ""), float(re.search(r"[=:]\s{0,3}[\"']?$", before) is not None), float(_BEFORE.search(before) is not None),

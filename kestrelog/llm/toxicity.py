@@ -160,8 +160,11 @@ def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5) -> DataF
     """The rows of docs that score below the threshold, with all their columns; a score of exactly the threshold goes.
 
     Null and empty texts score by the bias alone. Repeated rows and null ids are judged row by
-    row; an empty table stays empty; other columns, whatever their names, are kept.
+    row; an empty table stays empty; other columns, whatever their names, are kept. Without
+    weights, as from no labels, nothing is known to be toxic and every row stays.
     """
+    if weights.isEmpty():
+        return docs
     shared, column = _share(docs.sparkSession, weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
