@@ -136,15 +136,15 @@ def roc_auc(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     return c.groupBy(*keys).agg((wins / F.nullif(F.max("P") * F.max("N"), F.lit(0))).alias("auc"))
 
 
-def best_f1(scored: DataFrame, keys: list[str] = [], epsilon: float = 0.0) -> DataFrame:  # noqa: B006
-    """The threshold with the largest F1, the higher one on ties; epsilon is added to the denominators in the variant of curves."""
+def best_f1(scored: DataFrame, keys: list[str] = [], epsilon: float = 0.0, lowest: bool = False) -> DataFrame:  # noqa: B006
+    """The threshold with the largest F1, the higher one on ties (the lower with `lowest`); epsilon is added to the denominators in the variant of curves."""
     c = cumulative(scored, keys)
     if epsilon:
         p, r = F.col("tp") / (F.col("tp") + F.col("fp") + epsilon), F.col("tp") / (F.col("P") + epsilon)
         f1 = 2 * p * r / (p + r + epsilon)
     else:
         f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))
-    best = F.max(F.struct(f1.alias("f1"), F.col("score").alias("threshold"))).alias("b")
+    best = F.max(F.struct(f1.alias("f1"), (-F.col("score") if lowest else F.col("score")).alias("tie"), F.col("score").alias("threshold"))).alias("b")
     return c.groupBy(*keys).agg(best).select(*keys, "b.f1", "b.threshold")
 
 

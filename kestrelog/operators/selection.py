@@ -9,7 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics, sequences
+from kestrelog.functions import tables
+
+from . import extra_trees, metrics, sequences
 
 TRAIN_DAYS, VALIDATION_DAYS, TEST_DAYS = (8, 12), (13, 16), (17, 30)
 
@@ -73,17 +75,45 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumns({"y": F.col("label").cast("double"), "weight": weight})
 
 
-def compare_classifiers(rows: DataFrame, classifiers: dict, day: str = "day") -> DataFrame:
-    """rows (features, label, day) -> average precision of each classifier on validation and test days, fitted on training days; the best on validation is chosen."""
-    inside = lambda days: F.col(day).between(*days)
-    train, out = balanced(rows.where(inside(TRAIN_DAYS))), None
-    for name, c in classifiers.items():
-        scored = c.setLabelCol("y").setWeightCol("weight").fit(train).transform(rows.where(F.col(day) >= VALIDATION_DAYS[0]))
-        part = scored.select(F.lit(name).alias("model"), F.when(inside(VALIDATION_DAYS), "validation").otherwise("test").alias("part"), "label", vector_to_array("probability")[1].alias("score"))
+def spark_classifier(classifier):
+    """A Spark ML classifier as a candidate: fitted with class-balanced weights on `features`."""
+
+    def fit(train: DataFrame):
+        model = classifier.setLabelCol("y").setWeightCol("weight").fit(balanced(train))
+        return lambda rows: model.transform(rows).select("user", "day", "label", vector_to_array("probability")[1].alias("score"))
+
+    return fit
+
+
+def tree_classifier(columns: list[str], settings: extra_trees.Settings):
+    """Extremely randomised trees over columns as a candidate."""
+
+    def fit(train: DataFrame):
+        trees = extra_trees.grow(train, columns, settings)
+        return lambda rows: rows.select("user", "day", "label").join(extra_trees.scores(rows, ["user", "day"], columns, trees), ["user", "day"])
+
+    return fit
+
+
+def compare_classifiers(rows: DataFrame, candidates: dict) -> DataFrame:
+    """rows (user, day, label, inputs) -> a report of each candidate on validation and test days; the chosen one is marked.
+
+    A candidate is a function from training rows to a scorer. Its threshold is the validation days' best by F1 (the lowest of
+    equals) and is frozen for the test days. Chosen is the best by average precision, then F1 at the threshold, on validation days.
+    """
+    inside = lambda days: F.col("day").between(*days)
+    train, later, out = rows.where(inside(TRAIN_DAYS)), rows.where(F.col("day") >= VALIDATION_DAYS[0]), None
+    for name, fit in candidates.items():
+        part = fit(train)(later).select(F.lit(name).alias("model"), F.when(inside(VALIDATION_DAYS), "validation").otherwise("test").alias("part"), "label", "score")
         out = part if out is None else out.unionByName(part)
-    ap = metrics.average_precision(out, ["model", "part"]).groupBy("model").pivot("part", ["validation", "test"]).agg(F.first("ap"))
-    best = Window.orderBy(F.desc_nulls_last("validation"), "model")  # a row for each model
-    return ap.withColumn("chosen", F.row_number().over(best) == 1)
+    out, keys = tables.stored(out, "candidate-scores"), ["model", "part"]
+    thresholds = metrics.best_f1(out.where("part = 'validation'"), ["model"], lowest=True).select("model", "threshold")
+    report = metrics.confusion(out.join(F.broadcast(thresholds), "model"), F.col("threshold"), [*keys, "threshold"])  # a row for each model
+    report = report.join(metrics.average_precision(out, keys), keys).join(metrics.roc_auc(out, keys), keys)
+    report = report.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "f1")})
+    order = Window.orderBy(F.desc_nulls_last("ap"), F.desc("f1"), "model")  # a row for each model
+    best = report.where("part = 'validation'").withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("model").alias("best"))
+    return report.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("model") == F.col("best")).drop("best")  # one row
 
 
 def fitted(rows: DataFrame, columns: list[str], classifier, last_train_day: int = 16):

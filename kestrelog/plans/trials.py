@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kestrelog.functions import tables
-from kestrelog.operators import graph, history, hourly, incidents, metrics, selection, sequences, splits
+from kestrelog.operators import extra_trees, graph, history, hourly, incidents, metrics, selection, sequences, splits
 from kestrelog.operators import verdicts as verdict_rules
 from kestrelog.sources import adapters, packages
 
@@ -79,11 +79,84 @@ def user_days(spark, sf_dir):
 
 @query("graph_supervised_comparison")
 def _(spark, sf_dir):
-    """Three classifiers on user-days: fitted on days 8 to 12, chosen by average precision on 13 to 16, and their value on later days."""
+    """Four classifiers on user-days: fitted on days 8 to 12, chosen by average precision and F1 on 13 to 16, threshold frozen for later days."""
     labels = adapters.red_team(spark, sf_dir).select("user", splits.day_of(F.col("timestamp")).alias("day"))
     rows = tables.stored(metrics.label_units(user_days(spark, sf_dir), labels, ["user", "day"]), "user-days")
-    found = selection.compare_classifiers(selection.feature_matrix(rows), {"logistic": LogisticRegression(maxIter=30), "forest": RandomForestClassifier(numTrees=20, maxDepth=4, seed=7), "boosted": GBTClassifier(maxIter=5, maxDepth=3, seed=7)})
-    return found.withColumns({c: F.round(c, 6) for c in ("validation", "test")})
+    inputs = [*selection.SCORES, *selection.COUNTS]
+    candidates = {
+        "logistic": selection.spark_classifier(LogisticRegression(maxIter=30)),
+        "forest": selection.spark_classifier(RandomForestClassifier(numTrees=20, maxDepth=4, seed=7)),
+        "boosted": selection.spark_classifier(GBTClassifier(maxIter=5, maxDepth=3, seed=7)),
+        "extra_trees": selection.tree_classifier(inputs, extra_trees.Settings(trees=20, depth=6)),
+    }
+    found = selection.compare_classifiers(selection.feature_matrix(rows), candidates)
+    return found.withColumns({c: F.round(c, 6) for c in ("threshold", "precision", "recall", "f1", "fpr", "ap", "auc")})
+
+
+# ---- extremely randomised trees over the source inputs of user-days ----
+
+TREES, TREE_DEPTH, LEAST = 6, 4, 3
+TREE_INPUTS = ["source_count", "new_source_count", "new_source_auth_count", "max_auth_per_source", "min_source_popularity", "new_host_connection_events"]
+
+
+def tree_days(spark, sf_dir):
+    labels = adapters.red_team(spark, sf_dir).select("user", splits.day_of(F.col("timestamp")).alias("day"))
+    days = selection.source_features(history.novelty(auth(spark, sf_dir))).withColumns({"user": F.col("acting_user"), "day": F.col("dataset_day")})
+    return tables.stored(metrics.label_units(days, labels, ["user", "day"]), "tree-days")
+
+
+def _tree_sql() -> str:
+    """The trees level by level: ranges, cuts, counts of sides and the best cut of each are a query each."""
+    m = len(TREE_INPUTS)
+    u = lambda what, f: f"((CAST('0x' || substr(md5('42/{what}/' || tree || '/' || node || '/{f}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+    pure = lambda n, pos: f"(((w0 * ({n} - {pos})) * (w0 * ({n} - {pos})) + (w1 * ({pos})) * (w1 * ({pos}))) / ((w0 * ({n} - {pos})) + (w1 * ({pos}))))"
+    parts = [
+        SOURCES[len(AUTH):],
+        "lab AS (SELECT DISTINCT user, CAST((timestamp - 1) // 86400 + 1 AS INTEGER) AS day FROM red)",
+        f"td AS (SELECT sg.acting_user, sg.dataset_day, lab.user IS NOT NULL AS label, {', '.join(f'CAST({c} AS DOUBLE) AS x{i}' for i, c in enumerate(TREE_INPUTS))} FROM sg LEFT JOIN lab ON lab.user = sg.acting_user AND lab.day = sg.dataset_day)",
+        "fit AS (SELECT * FROM td WHERE dataset_day BETWEEN 8 AND 12)",
+        "cw AS (SELECT count(*) / (2.0 * greatest(count(*) - count(*) FILTER (label), 1)) AS w0, count(*) / (2.0 * greatest(count(*) FILTER (label), 1)) AS w1 FROM fit)",
+        f"a0 AS MATERIALIZED (SELECT unnest(range(0, {TREES})) AS tree, CAST(1 AS BIGINT) AS node, label, {', '.join(f'x{i}' for i in range(m))} FROM fit)",
+    ]
+    for d in range(TREE_DEPTH):
+        parts += [
+            f"n{d} AS MATERIALIZED (SELECT tree, node, count(*) AS n, count(*) FILTER (label) AS pos, {', '.join(f'min(x{i}) AS lo{i}, max(x{i}) AS hi{i}' for i in range(m))} FROM a{d} GROUP BY ALL)",
+            f"o{d} AS (" + " UNION ALL ".join(f"SELECT tree, node, n, pos, {i} AS f, lo{i} AS lo, hi{i} AS hi, {u('order', i)} AS r, {u('cut', i)} AS v FROM n{d} WHERE pos > 0 AND pos < n AND n >= {2 * LEAST} AND hi{i} > lo{i}" for i in range(m)) + ")",
+            f"k{d} AS MATERIALIZED (SELECT *, CASE WHEN lo + (hi - lo) * v < hi THEN lo + (hi - lo) * v ELSE lo END AS cut FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY r, f) AS place FROM o{d}) WHERE place <= {-(-4 * m // 5)})",
+            f"s{d} AS (" + " UNION ALL ".join(f"SELECT k.tree, k.node, k.n, k.pos, k.f, k.cut, count(*) FILTER (a.x{i} <= k.cut) AS ln, count(*) FILTER (a.x{i} <= k.cut AND a.label) AS lp FROM k{d} k JOIN a{d} a ON a.tree = k.tree AND a.node = k.node WHERE k.f = {i} GROUP BY ALL" for i in range(m)) + ")",
+            f"b{d} AS MATERIALIZED (SELECT tree, node, f, cut FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY round({pure('ln', 'lp')} + {pure('(n - ln)', '(pos - lp)')}, 9) DESC, f) AS place FROM s{d}, cw WHERE ln >= {LEAST} AND n - ln >= {LEAST}) WHERE place = 1)",
+            f"a{d + 1} AS MATERIALIZED (SELECT a.tree, 2 * a.node + CAST(CASE b.f {' '.join(f'WHEN {i} THEN a.x{i}' for i in range(m))} END > b.cut AS INTEGER) AS node, label, {', '.join(f'x{i}' for i in range(m))} FROM a{d} a JOIN b{d} b ON a.tree = b.tree AND a.node = b.node)",
+        ]
+    parts.append(f"n{TREE_DEPTH} AS (SELECT tree, node, count(*) AS n, count(*) FILTER (label) AS pos FROM a{TREE_DEPTH} GROUP BY ALL)")
+    level = lambda d: f"SELECT n{d}.tree, n{d}.node, n, pos, f, cut FROM n{d} LEFT JOIN b{d} ON b{d}.tree = n{d}.tree AND b{d}.node = n{d}.node"
+    parts.append("trees AS MATERIALIZED (" + " UNION ALL ".join([*map(level, range(TREE_DEPTH)), f"SELECT tree, node, n, pos, NULL, NULL FROM n{TREE_DEPTH}"]) + ")")
+    return f"WITH {AUTH}{RED_PART}" + ", ".join(parts)
+
+
+_TREE_SQL = _tree_sql()
+
+
+@query("graph_extra_trees", _TREE_SQL + " SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, n, pos, CAST(f AS INTEGER) AS feature, round(cut, 6) AS cut, round(w1 * pos / (w0 * (n - pos) + w1 * pos), 6) AS value FROM trees, cw")
+def _(spark, sf_dir):
+    """The nodes of trees grown on days 8 to 12."""
+    grown = extra_trees.grow(tree_days(spark, sf_dir).where("day between 8 and 12"), TREE_INPUTS, extra_trees.Settings(TREES, TREE_DEPTH, LEAST))
+    return grown.withColumns({c: F.round(c, 6) for c in ("cut", "value")})
+
+
+def _walk_sql() -> str:
+    m = len(TREE_INPUTS)
+    parts = [f"p0 AS (SELECT acting_user, dataset_day, {', '.join(f'x{i}' for i in range(m))}, unnest(range(0, {TREES})) AS tree, CAST(1 AS BIGINT) AS node FROM td WHERE dataset_day > 12)"]
+    for d in range(TREE_DEPTH):
+        parts.append(f"p{d + 1} AS (SELECT p.* REPLACE (CASE WHEN t.f IS NULL THEN p.node ELSE 2 * p.node + CAST(CASE t.f {' '.join(f'WHEN {i} THEN p.x{i}' for i in range(m))} END > t.cut AS INTEGER) END AS node) FROM p{d} p LEFT JOIN trees t ON t.tree = p.tree AND t.node = p.node AND t.f IS NOT NULL)")
+    return _TREE_SQL + ", " + ", ".join(parts) + f" SELECT acting_user AS user, dataset_day AS day, round(avg(w1 * t.pos / (w0 * (t.n - t.pos) + w1 * t.pos)), 6) AS score FROM p{TREE_DEPTH} p JOIN trees t ON t.tree = p.tree AND t.node = p.node, cw GROUP BY ALL"
+
+
+@query("graph_extra_tree_scores", _walk_sql())
+def _(spark, sf_dir):
+    """Scores of later user-days under the trees."""
+    days = tree_days(spark, sf_dir)
+    grown = extra_trees.grow(days.where("day between 8 and 12"), TREE_INPUTS, extra_trees.Settings(TREES, TREE_DEPTH, LEAST))
+    return extra_trees.scores(days.where("day > 12"), ["user", "day"], TREE_INPUTS, grown).withColumn("score", F.round("score", 6))
 
 
 @query("graph_grid")
