@@ -10,6 +10,7 @@ from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,10 +31,14 @@ def with_event_time(events: DataFrame) -> DataFrame:
 
 
 def hourly_counts(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Events, failures and approximate distinct computers of user-hours; exact distinct counts are not possible on streams."""
-    w = with_event_time(events).withWatermark("event_time", lateness).groupBy(F.window("event_time", "1 hour").alias("w"), "acting_user")
-    g = w.agg(F.count("*").alias("events"), F.count_if(F.col("authentication_result") == "Fail").alias("failures"), F.approx_count_distinct("destination_computer").alias("destinations"))
-    return g.select("acting_user", (F.unix_timestamp("w.start") + 1).alias("hour"), "events", "failures", "destinations")
+    """Events, failures and exact distinct computers of user-hours, in append mode.
+
+    Two aggregates in a row: by user, hour and computer, then, when the watermark closes the hour, by user and hour.
+    """
+    w = with_event_time(events).withWatermark("event_time", lateness).groupBy(F.window("event_time", "1 hour").alias("w"), "acting_user", "destination_computer")
+    each = w.agg(F.count("*").alias("n"), F.count_if(F.col("authentication_result") == "Fail").alias("fails"))
+    g = each.groupBy(F.window(F.window_time("w"), "1 hour").alias("h"), "acting_user").agg(F.sum("n").alias("events"), F.sum("fails").alias("failures"), F.count("destination_computer").alias("destinations"))
+    return g.select("acting_user", (F.unix_timestamp("h.start") + 1).alias("hour"), "events", "failures", "destinations")
 
 
 def first_pairs(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,31 +64,43 @@ def split_late(events: DataFrame, good_path: str, late_path: str, checkpoint: st
     """Writes each micro-batch's rows: those behind the largest time of this and earlier batches by more than the bound go to a side table, and so do rejects.
 
     With raw, events are log lines (source_line, raw) and are parsed here; rejected lines keep
-    their reason, late rows have `late`. The largest time is kept beside the side table, a row a batch, so that
-    lateness does not depend on how rows fall into batches and survives a restart.
+    their reason, late rows have `late`. A batch is a folder `batch=<id>` of each table, which a
+    replay of the batch overwrites, so that rows come once however often a batch is tried; the
+    largest time so far is kept likewise, so that lateness survives a restart. A batch without a good row still keeps its rejects.
     """
-    spark = events.sparkSession
+    write = side_outputs(events.sparkSession, good_path, late_path, lateness_seconds, raw)
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def side_outputs(spark: SparkSession, good_path: str, late_path: str, lateness_seconds: int, raw: bool):
+    """What split_late does with a batch: a function of the batch and its id, the same however often it is called."""
     marks = f"{late_path}-newest"
 
+    def newest_before(batch_id: int) -> int | None:
+        try:
+            held = spark.read.schema("newest long, batch long").parquet(marks)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+        return held.where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = (authlog.parse(batch).drop("source_reference") if raw else batch).persist()
-        good = held.where("reason is null").drop("reason") if raw else held
-        path = spark._jvm.org.apache.hadoop.fs.Path(marks)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        before = spark.read.parquet(marks).where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0] if there else None
-        own = good.agg(F.max("timestamp")).first()[0]
-        newest = max((x for x in (before, own) if x is not None), default=None)
-        if newest is not None:
-            late = F.col("timestamp") < newest - lateness_seconds
-            good.where(~late).write.mode("append").parquet(good_path)
-            aside = good.where(late).withColumn("reason", F.lit("late"))
-            if raw:
-                aside = aside.unionByName(held.where("reason is not null"))
-            aside.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(late_path)
-            spark.createDataFrame([(batch_id, newest)], "batch long, newest long").write.mode("append").parquet(marks)
+        held = (authlog.parse(batch).drop("source_reference") if raw else batch.withColumn("reason", F.lit(None).cast("string"))).persist()
+        good = held.where("reason is null")
+        newest = [x for x in (newest_before(batch_id), good.agg(F.max("timestamp")).first()[0]) if x is not None]
+        late = F.col("timestamp") < max(newest) - lateness_seconds if newest else F.lit(False)
+        late = F.coalesce(late, F.lit(False))
+        tables = (
+            (good.where(~late).drop("reason"), good_path),
+            (held.withColumn("reason", F.coalesce("reason", F.when(late, "late"))).where("reason is not null"), late_path),
+            (spark.createDataFrame([(max(newest, default=None),)], "newest long"), marks),
+        )
+        for df, path in tables:
+            df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         held.unpersist()
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
 
 
 FEATURES = (

@@ -28,10 +28,14 @@ def source(spark, log):
 
 
 def test_hourly_counts(spark, log, tmp_path):
-    got = {(r.acting_user, r.hour): (r.events, r.failures) for r in once(login.hourly_counts(source(spark, log)), tmp_path, "hours", "complete").collect()}
     e = spark.read.parquet(log)
+    folder = str(tmp_path / "closed")
+    e.coalesce(1).write.parquet(folder)
+    last = e.agg(F.max("timestamp")).first()[0]
+    e.limit(1).withColumns({"acting_user": F.lit("closing"), "timestamp": F.lit(last + 10**6).cast("long")}).write.mode("append").parquet(folder)
+    got = {(r.acting_user, r.hour): (r.events, r.failures, r.destinations) for r in once(login.hourly_counts(source(spark, folder)), tmp_path, "hours").collect()}
     h = (F.floor((F.col("timestamp") - 1) / 3600) * 3600 + 1).alias("hour")
-    want = {(r.acting_user, r.hour): (r.n, r.f) for r in e.groupBy("acting_user", h).agg(F.count("*").alias("n"), F.count_if(F.col("authentication_result") == "Fail").alias("f")).collect()}
+    want = {(r.acting_user, r.hour): (r.n, r.f, r.d) for r in e.groupBy("acting_user", h).agg(F.count("*").alias("n"), F.count_if(F.col("authentication_result") == "Fail").alias("f"), F.countDistinct("destination_computer").alias("d")).collect()}
     assert got == want
 
 
@@ -96,3 +100,28 @@ def test_rejects_go_aside_too(spark, tmp_path):
     aside = {r.reason: r.n for r in spark.read.parquet(str(tmp_path / "late")).groupBy("reason").agg(F.count("*").alias("n")).collect()}
     assert set(aside) == {"field_count", "invalid_timestamp", "empty_field"}
     assert spark.read.parquet(str(tmp_path / "good")).count() + sum(aside.values()) == spark.read.parquet(str(tmp_path / "in")).count()
+
+
+def test_rejects_without_a_good_row_are_kept(spark, tmp_path):
+    lines = [(1, "no fields"), (2, "x,a,b,c,d,e,f,g,h")]
+    spark.createDataFrame(lines, "source_line long, raw string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = login.replay(spark, str(tmp_path / "in"), "source_line long, raw string")
+    login.split_late(stream, str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "ck"), raw=True).awaitTermination()
+    assert {(r.source_line, r.reason) for r in spark.read.parquet(str(tmp_path / "late")).collect()} == {(1, "field_count"), (2, "invalid_timestamp")}
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 0
+
+
+def test_a_batch_tried_again_leaves_no_doubles(spark, tmp_path):
+    """Batches are played as after a restart: the second one three times, once broken off after its first table."""
+    schema = "timestamp long, acting_user string"
+    first = spark.createDataFrame([(100_000, "a"), (10, "b")], schema)
+    second = spark.createDataFrame([(200_000, "c"), (150_000, "d"), (199_000, "e")], schema)
+    write = login.side_outputs(spark, str(tmp_path / "good"), str(tmp_path / "late"), 7_200, False)
+    write(first, 0)
+    second.where("acting_user = 'c'").write.parquet(str(tmp_path / "good" / "batch=1"))  # what a failed try left behind
+    for _ in range(3):
+        write(second, 1)
+    assert sorted(r.acting_user for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["a", "c", "e"]
+    assert sorted((r.acting_user, r.batch) for r in spark.read.parquet(str(tmp_path / "late")).collect()) == [("b", 0), ("d", 1)]
+    write(first, 0)  # an earlier batch again: its lateness does not see later batches
+    assert sorted(r.acting_user for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["a", "c", "e"]
