@@ -136,42 +136,10 @@ def anchored_groups(items: DataFrame, seconds: int) -> DataFrame:
 
 
 def clean_description(text: Column) -> Column:
-    """Without citations and link targets, blanks collapsed."""
-    no_cites = F.regexp_replace(text, r"\(Citation: [^)]*\)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(no_cites, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\s+", " "))
-
-
-def terms(text: Column, stop: list[str]) -> Column:
-    """Unigrams and bigrams of lower-cased words of two letters or more, without stop words."""
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(stop))
-    pair = lambda w: F.when(F.size(w) >= 2, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(found), lambda w: F.concat(w, pair(w)))[0]
-
-
-def tfidf(docs: DataFrame, stop: list[str], id_column: str = "id", asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, text, ...) -> (id, term, w) normalised to length one, and (term, idf); sublinear counts, smoothed idf.
-
-    With asked (term), only rows of these terms are given; lengths are those of whole documents all the same.
-    """
-    counted = docs.select(id_column, F.explode(terms(F.col("text"), stop)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("c"))
-    n = docs.count()
-    idf = counted.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
-    raw = counted.join(idf, "term").withColumn("w", (1 + F.log(F.col("c").cast("double"))) * F.col("idf"))
-    norm = raw.groupBy(id_column).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    if asked is not None:
-        asked = tables.checked(tables.stored(asked.select("term").distinct(), "asked-terms"))
-        raw, idf = raw.join(asked, "term", "left_semi"), idf.join(asked, "term", "left_semi")
-    return raw.join(norm, id_column).select(id_column, "term", (F.col("w") / F.col("norm")).alias("w")), idf
-
-
-def search(index: DataFrame, idf: DataFrame, queries: DataFrame, stop: list[str], k: int, least: float, id_column: str = "id") -> DataFrame:
-    """queries (query, text) -> the k best documents each with cosine >= least, ties by id."""
-    counted = queries.select("query", F.explode(terms(F.col("text"), stop)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("c"))
-    raw = counted.join(idf, "term").withColumn("q", (1 + F.log(F.col("c").cast("double"))) * F.col("idf"))
-    unit = raw.join(raw.groupBy("query").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm")), "query").select("query", "term", (F.col("q") / F.col("norm")).alias("q"))
-    scores = index.join(tables.checked(tables.stored(unit, "query-terms")), "term").groupBy("query", id_column).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score")).where(F.col("score") >= least)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), id_column)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Without citations and link targets; runs of blanks and tabs become one blank, ends are trimmed."""
+    no_cites = F.regexp_replace(text, r"\s*\(Citation:[^)]*\)", "")
+    links = F.regexp_replace(no_cites, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return F.regexp_replace(F.regexp_replace(links, r"[ \t]+", " "), r"^\s+|\s+$", "")
 
 
 def candidates(behaviours: DataFrame, hits: DataFrame) -> DataFrame:

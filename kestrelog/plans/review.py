@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
 from kestrelog.functions.accounts import mentioned
-from kestrelog.operators import behaviours, graph, history, incidents, metrics, sequences, splits, timing
+from kestrelog.operators import behaviours, graph, history, incidents, metrics, retrieval, sequences, splits, timing
 from kestrelog.operators import verdicts as verdict_rules
 from kestrelog.sources import adapters
 
@@ -119,11 +120,14 @@ qn AS (SELECT query, sqrt(sum(q * q)) AS norm FROM qc GROUP BY 1), sco AS (SELEC
 def _(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     asked = adapters.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    index, idf = behaviours.tfidf(docs, STOP, "doc_id", asked.select(F.explode(behaviours.terms(F.col("text"), STOP)).alias("term")))
-    return behaviours.search(index, idf, asked, STOP, 3, 0.05, "doc_id").select("query", "doc_id", F.round("score", 4).alias("score"))
+    index = retrieval.build(docs, tables.fresh_path(spark, "document-index"), STOP, "doc_id", "[a-z0-9_]{2,}")
+    return retrieval.search(index, asked, 3, 0.05).select("query", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
-@query("retrieval_clean_descriptions", "SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(text || ' (Citation: X) [page](http://x)', '\\(Citation: [^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\s+', ' ', 'g'))) AS n FROM documents")
+CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\\s*\\(Citation:[^)]*\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("retrieval_clean_descriptions", f"SELECT doc_id, length({CLEAN.format("text || ' (Citation: X) [page](http://x)'")}) AS n FROM documents")
 def _(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.length(behaviours.clean_description(F.concat("text", F.lit(" (Citation: X) [page](http://x)")))).cast("long").alias("n"))
@@ -237,12 +241,6 @@ def _(spark, sf_dir):
     return verdict_rules.claim_verdicts(e.select("incident_id", line.alias("claim"), text.alias("text"), lines.alias("lines")), facts.union(always))
 
 
-@query("replies_candidates", f"WITH {IE}, h AS (SELECT * FROM (VALUES ('failed_logons', 'T1110', 0.9), ('failed_logons', 'T1078', 0.2), ('logon_from_new_source', 'T1078', 0.4)) v(rule, id, score)), o AS (SELECT DISTINCT incident_id, rule FROM rm) SELECT incident_id, id, CAST(max(score) AS DOUBLE) AS score, string_agg(DISTINCT rule, ',' ORDER BY rule) AS behaviours FROM o JOIN h USING (rule) GROUP BY ALL")
-def _(spark, sf_dir):
-    hits = spark.createDataFrame([("failed_logons", "T1110", 0.9), ("failed_logons", "T1078", 0.2), ("logon_from_new_source", "T1078", 0.4)], "query string, id string, score double")
-    return behaviours.candidates(behaviours.observed(incident_events(spark, sf_dir)), hits)
-
-
 @query("replies_answer_key_scan", f"WITH {IE} SELECT CAST(1 AS BIGINT) AS columns, count(*) FILTER (source_line % 50 = 0) AS rows FROM ie")
 def _(spark, sf_dir):
     """Packages with the answer planted in a column's name and in some rows."""

@@ -66,3 +66,43 @@ def hour_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.round((F.col("n") + 3 * F.col("fails")) / (F.col("n") + 3 * F.col("fails") + 4.0), 6)
     graph = F.round((F.col("dests") + F.col("tie") % 7) / (F.col("dests") + F.col("tie") % 7 + 3.0), 6)
     return g.select("user", "hour", day_of(F.col("hour")).alias("day"), seq.alias("seq_score"), graph.alias("graph_score"), is_machine(F.col("user")).alias("is_machine"), "tie")
+
+
+#: Data components of the derived catalogue.
+COMPONENTS = ["Active Directory Credential Request", "Logon Session Creation", "Logon Session Metadata", "User Account Authentication", "File Access", "Network Traffic Flow"]
+
+
+def stix_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as STIX objects, a JSON text each (value): a technique, a detection strategy, an analytic and relations for every document, and shared components.
+
+    Some of each are revoked or deprecated; every fifth analytic names components that logs of logons can't show.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    i = F.col("i")
+    named = lambda kind, n: F.concat(F.lit(f"{kind}--"), n.cast("string"))
+    number = F.concat(F.lit("T"), (1000 + F.floor(i / 1000)).cast("string"), F.lit("."), F.lpad((i % 1000).cast("string"), 3, "0"))
+    ref = lambda source, x, url: F.struct(F.lit(source).alias("source_name"), x.alias("external_id"), F.concat(F.lit(url), x).alias("url"))
+    phase = lambda chain, x: F.struct(F.lit(chain).alias("kill_chain_name"), x.alias("phase_name"))
+    part = lambda n: F.when(i % 5 == 0, 4 + n).otherwise((i + 2 * n) % 6)
+    log = lambda n, name, channel: F.struct(named("x-mitre-data-component", part(n)).alias("x_mitre_data_component_ref"), F.lit(name).alias("name"), F.lit(channel).cast("string").alias("channel"))
+    relation = lambda kind, to, revoked: F.struct(F.lit("relationship").alias("type"), F.lit(kind).alias("relationship_type"), named(f"relationship--{kind}", i).alias("id"), named("x-mitre-detection-strategy", i).alias("source_ref"), named("attack-pattern", to).alias("target_ref"), revoked.alias("revoked"))
+    technique = F.struct(
+        F.lit("attack-pattern").alias("type"),
+        named("attack-pattern", i).alias("id"),
+        F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("name"),
+        F.concat("text", F.lit(" (Citation: X "), i.cast("string"), F.lit(") [page](http://x)")).alias("description"),
+        (i % 17 == 0).alias("revoked"),
+        F.when(i % 19 == 0, True).alias("x_mitre_deprecated"),
+        F.array(ref("other", i.cast("string"), "http://other/"), ref("mitre-attack", number, "http://techniques/")).alias("external_references"),
+        F.array(phase("mitre-attack", F.coalesce("lang", F.lit("none"))), phase("other-chain", F.lit("x")), phase("mitre-attack", F.lit("access"))).alias("kill_chain_phases"),
+        F.array(F.coalesce("source", F.lit("none"))).alias("x_mitre_platforms"),
+        F.lit(True).alias("x_mitre_is_subtechnique"),
+        F.lit("1.0").alias("x_mitre_version"),
+    )
+    strategy = F.struct(F.lit("x-mitre-detection-strategy").alias("type"), named("x-mitre-detection-strategy", i).alias("id"), (i % 13 == 0).alias("revoked"), F.array(named("x-mitre-analytic", i), named("x-mitre-analytic", i + 1)).alias("x_mitre_analytic_refs"))
+    analytic = F.struct(F.lit("x-mitre-analytic").alias("type"), named("x-mitre-analytic", i).alias("id"), (i % 11 == 0).alias("x_mitre_deprecated"), F.array(log(0, "Windows", "Security"), log(1, "Linux", None)).alias("x_mitre_log_source_references"))
+    parts = [technique, strategy, analytic, relation("detects", i, i % 23 == 0), relation("uses", i + 1, F.lit(False))]
+    objects = docs.select(F.explode(F.array(*map(F.to_json, parts))).alias("value"))
+    shared = [(f"x-mitre-data-component--{k}", "x-mitre-data-component", c, None) for k, c in enumerate(COMPONENTS)] + [("x-mitre-collection--1", "x-mitre-collection", "Techniques", "7.1")]
+    shared = spark.createDataFrame(shared, "id string, type string, name string, x_mitre_version string")
+    return objects.union(shared.select(F.to_json(F.struct("*")).alias("value")))

@@ -206,18 +206,3 @@ def test_isolation_forest_finds_the_odd_one(spark):
     rows = spark.createDataFrame([(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)] + [(999, 12.0, -12.0)], "tie long, a double, b double")
     scores = hourly.isolation_scores(rows, hourly.grow_trees(rows, ["a", "b"], 30, 128), ["a", "b"], 128)
     assert scores.orderBy(F.desc("score")).first().tie == 999
-
-
-def test_catalogue(spark):
-    from kestrelog.operators import catalogue
-
-    none = None
-    objects = spark.createDataFrame(
-        [("t1", "technique", "Guess", "x (Citation: y)", "T1", False, ["b", "a"], none, none), ("t2", "technique", "Old", "", "T2", True, [], none, none), ("t3", "technique", "Other", "z", "T3", none, [], none, none),
-         ("s1", "strategy", "s", none, none, none, none, ["a1"], none), ("a1", "analytic", "a", none, none, none, none, none, ["c1", "c2"]), ("c1", "component", "Logon Session Creation", none, none, none, none, none, none), ("c2", "component", "File", none, none, none, none, none, none)],
-        "id string, type string, name string, description string, external_id string, revoked boolean, tactics array<string>, analytics array<string>, components array<string>",
-    )
-    found = catalogue.extract_techniques(objects, spark.createDataFrame([("s1", "t1", "detects")], "source string, target string, kind string"))
-    rows = {r.technique: r for r in found.collect()}
-    assert set(rows) == {"T1", "T3"} and rows["T1"].description == "x" and rows["T1"].tactics == ["a", "b"] and rows["T1"].data_components == ["File", "Logon Session Creation"]
-    assert [r.technique for r in catalogue.observable(found).collect()] == ["T1"]
