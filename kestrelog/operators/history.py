@@ -2,8 +2,10 @@
 
 Events are ordered by (timestamp, source_line); an event of the same second counts as earlier
 only if its line is smaller. Lookbacks keep events at exactly t - W. Rolling counts add each
-event and take it away W seconds later, both as rows of one table, and read off running sums,
-so they cost two sorts whatever the window holds.
+event and take it away W seconds later, both as rows of one table, and read off running sums.
+Time is cut into pieces as long as the longest window: an event counts in its own piece and, as
+what went before, in the next one, so a key's whole history is never in one task, only a piece of it and the piece before.
+What was first is the least (timestamp, source_line) of a pair, an aggregate.
 """
 
 from __future__ import annotations
@@ -11,83 +13,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
 from kestrelog.functions.accounts import is_machine
 
 ORDER = ["timestamp", "source_line"]
 
 
+def _piece(t: Column, seconds: int) -> Column:
+    return F.floor((t - 1) / seconds)
+
+
+def _moves(events: DataFrame, seconds: int, kept: list[str]) -> DataFrame:
+    """Each event as its arrival (__out), its arrival as history of the next piece, and its expiry there.
+
+    __piece, __at and __kind (0 arrival, 1 expiry) place a row. Columns other than `kept` stay with the arrival that counts.
+    """
+    t = F.col("timestamp")
+    move = lambda piece, at, kind, out: F.struct(piece.alias("piece"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(out).alias("out"))
+    own, next_ = _piece(t, seconds), _piece(t, seconds) + 1
+    moved = events.withColumn("__m", F.explode(F.array(move(own, t, 0, True), move(next_, t, 0, False), move(next_, t + seconds, 1, False))))
+    rest = {c: F.when(F.col("__m.out"), F.col(c)) for c in events.columns if c not in kept}
+    return moved.withColumns({**rest, "__piece": F.col("__m.piece"), "__at": F.col("__m.at"), "__kind": F.col("__m.kind"), "__out": F.col("__m.out")}).drop("__m")
+
+
+def _before(*keys: str):
+    return Window.partitionBy(*keys).orderBy("__at", "__kind", "source_line").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def rolling_sum(events: DataFrame, keys: list[str], seconds: int, value: Column, name: str) -> DataFrame:
     """events with name: the sum of value over earlier events of the same keys in the last `seconds`."""
-    fields = events.columns
-    base = events.withColumn("__v", value.cast("long"))
-    now = base.withColumns({"__at": F.col("timestamp"), "__kind": F.lit(0)})
-    gone = base.withColumns({"__at": F.col("timestamp") + seconds, "__kind": F.lit(1), "__v": -F.col("__v")}).withColumns({c: F.lit(None).cast(events.schema[c].dataType) for c in fields if c not in (*keys, "source_line")})
-    w = Window.partitionBy(*keys).orderBy("__at", "__kind", "source_line").rowsBetween(Window.unboundedPreceding, -1)
-    summed = now.unionByName(gone).withColumn(name, F.coalesce(F.sum("__v").over(w), F.lit(0)))
-    return summed.where("__kind = 0").select(*fields, name)
+    moved = _moves(events.withColumn("__v", value.cast("long")), seconds, [*keys, "source_line", "__v"])
+    signed = F.when(F.col("__kind") == 0, F.col("__v")).otherwise(-F.col("__v"))
+    summed = moved.withColumn("__v", signed).withColumn(name, F.coalesce(F.sum("__v").over(_before(*keys, "__piece")), F.lit(0)))
+    return summed.where("__out").select(*events.columns, name)
+
+
+def _changes(moved: DataFrame, keys: list[str], item: str, count: str) -> DataFrame:
+    """moved with `count`, the events of the item that are in the window, and __d: 1 where it enters the window, -1 where the last of it leaves."""
+    step = F.when(F.col("__kind") == 0, 1).otherwise(-1).cast("long")
+    counted = moved.withColumn("__s", step).withColumn(count, F.coalesce(F.sum("__s").over(_before(*keys, "__piece", item)), F.lit(0)))
+    entered, left = (F.col("__kind") == 0) & (F.col(count) == 0), (F.col("__kind") == 1) & (F.col(count) == 1)
+    return counted.withColumn("__d", F.when(entered, 1).when(left, -1).otherwise(0).cast("long")).drop("__s")
 
 
 def rolling_distinct(events: DataFrame, keys: list[str], item: str, seconds: int, name: str) -> DataFrame:
     """events with name: distinct values of item among earlier events of the same keys in the last `seconds`."""
-    fields = events.columns
-    pair = Window.partitionBy(*keys, item).orderBy(*ORDER)
-    marked = events.withColumns({"__before": F.lag("timestamp").over(pair), "__next": F.lead("timestamp").over(pair)})
-    starts = F.when(F.col("__before").isNull() | (F.col("__before") < F.col("timestamp") - seconds), 1).otherwise(0)
-    ends = F.col("__next").isNull() | (F.col("__next") > F.col("timestamp") + seconds)
-    now = marked.withColumns({"__at": F.col("timestamp"), "__kind": F.lit(0), "__v": starts.cast("long")})
-    gone = marked.where(ends).withColumns({"__at": F.col("timestamp") + seconds, "__kind": F.lit(1), "__v": F.lit(-1).cast("long")}).withColumns({c: F.lit(None).cast(events.schema[c].dataType) for c in fields if c not in (*keys, "source_line")})
-    w = Window.partitionBy(*keys).orderBy("__at", "__kind", "source_line").rowsBetween(Window.unboundedPreceding, -1)
-    summed = now.unionByName(gone).withColumn(name, F.coalesce(F.sum("__v").over(w), F.lit(0)))
-    return summed.where("__kind = 0").select(*fields, name)
+    moved = _moves(events, seconds, [*keys, item, "source_line"]).repartition(*keys, "__piece")  # serves both windows
+    summed = _changes(moved, keys, item, "__n").withColumn(name, F.coalesce(F.sum("__d").over(_before(*keys, "__piece")), F.lit(0)))
+    return summed.where("__out").select(*events.columns, name)
+
+
+FIRSTS = {"is_new_user_destination": ("acting_user", "destination_computer"), "is_new_user_source": ("acting_user", "source_computer"), "is_new_host_connection": ("source_computer", "destination_computer")}
+
+
+def firsts(events: DataFrame, pairs: dict[str, tuple[str, str]] = FIRSTS) -> DataFrame:
+    """(source_line, flags): the lines that are the first of some pair of columns, nulls being values; source_line is unique."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.col(a).alias("a"), F.col(b).alias("b")) for k, (a, b) in enumerate(pairs.values())]))
+    least = events.select("timestamp", "source_line", kinds.alias("x")).groupBy("x").agg(F.min(F.struct("timestamp", "source_line"))["source_line"].alias("source_line"))
+    bits = least.groupBy("source_line").agg(F.bit_or("x.bit").alias("bits"))
+    return bits.select("source_line", *[(F.col("bits").bitwiseAND(1 << k) > 0).alias(name) for k, name in enumerate(pairs)])
+
+
+def last_before(events: DataFrame, seconds: int) -> DataFrame:
+    """(acting_user, __piece, __last): the time of a user's last event before each piece that has events. A user has a row for each piece."""
+    each = events.groupBy("acting_user", _piece(F.col("timestamp"), seconds).alias("__piece")).agg(F.max("timestamp").alias("t"))
+    return each.withColumn("__last", F.lag("t").over(Window.partitionBy("acting_user").orderBy("__piece"))).drop("t")
+
+
+def _with_last(rows: DataFrame, events: DataFrame, seconds: int) -> DataFrame:
+    """rows (acting_user, __piece, ...) with __last, users without a name being one user."""
+    before = last_before(events, seconds).where("__last is not null").withColumnsRenamed({"acting_user": "__u", "__piece": "__q"})
+    before = tables.checked(tables.stored(before, "last-before"))
+    return rows.join(before, F.col("acting_user").eqNullSafe(F.col("__u")) & (F.col("__piece") == F.col("__q")), "left").drop("__u", "__q")
 
 
-def is_first(*keys: str) -> Column:
-    """The first event of the keys ever."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) == 1
+def _with_firsts(rows: DataFrame, events: DataFrame) -> DataFrame:
+    flags = tables.checked(tables.stored(firsts(events), "first-lines"))
+    return rows.join(flags, "source_line", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in FIRSTS})
 
 
-def seconds_since_previous() -> Column:
-    w = Window.partitionBy("acting_user").orderBy(*ORDER)
-    return (F.col("timestamp") - F.lag("timestamp").over(w)).cast("double")
+def _gap(latest: Column) -> dict[str, Column]:
+    gap = (F.col("timestamp") - latest).cast("double")
+    return {"seconds_since_previous_auth": gap, "has_user_history": latest.isNotNull(), "is_machine_account": is_machine(F.col("acting_user"))}
 
 
-def novelty(events: DataFrame) -> DataFrame:
+def novelty(events: DataFrame, piece_seconds: int = 86_400) -> DataFrame:
     """The ever-seen flags and per-user gap."""
-    gap = seconds_since_previous()
-    return events.withColumns(
-        {
-            "seconds_since_previous_auth": gap,
-            "is_new_user_destination": is_first("acting_user", "destination_computer"),
-            "is_new_user_source": is_first("acting_user", "source_computer"),
-            "is_new_host_connection": is_first("source_computer", "destination_computer"),
-        }
-    ).withColumns({"has_user_history": F.col("seconds_since_previous_auth").isNotNull(), "is_machine_account": is_machine(F.col("acting_user"))})
+    w = Window.partitionBy("acting_user", "__piece").orderBy(*ORDER)
+    rows = events.withColumn("__piece", _piece(F.col("timestamp"), piece_seconds)).withColumn("__t", F.lag("timestamp").over(w))
+    rows = _with_last(rows, events, piece_seconds)
+    rows = rows.withColumns(_gap(F.coalesce("__t", "__last"))).drop("__piece", "__t", "__last")
+    return _with_firsts(rows, events).select(*events.columns, "seconds_since_previous_auth", *FIRSTS, "has_user_history", "is_machine_account")
 
 
 def history_features(events: DataFrame, start: int = 1) -> DataFrame:
     """All raw features of the log: rolling counts of an hour and a day, first-time flags, gap, completeness.
 
-    A user's three rolling features share one union of arrivals and expiries; arrivals carry the
-    lines and what is counted, and only the counts are joined to the events.
+    Pieces are days. An hour's expiry is in the event's own day or, past midnight, in the next, where alone it then counts.
     """
-    failed, fields = F.col("authentication_result") == "Fail", events.columns
-    pair = Window.partitionBy("acting_user", "destination_computer").orderBy(*ORDER)
-    day, hour = 86_400, 3600
-    base = events.withColumns({"__before": F.lag("timestamp").over(pair), "__next": F.lead("timestamp").over(pair), "__f": failed.cast("long"), "is_new_user_destination": F.row_number().over(pair) == 1})
-    base = base.withColumn("__d", F.when(F.col("__before").isNull() | (F.col("__before") < F.col("timestamp") - day), 1).otherwise(0).cast("long"))
-    zero = F.lit(0).cast("long")
-    rest = [c for c in base.columns if c not in ("acting_user", "source_line", "__f", "__d")]
-    nothing = {c: F.lit(None).cast(base.schema[c].dataType) for c in rest}
-    now = base.withColumns({"__at": F.col("timestamp"), "__kind": F.lit(0), "__a": F.lit(1).cast("long")})
-    hour_over = base.withColumns({"__at": F.col("timestamp") + hour, "__kind": F.lit(1), "__a": F.lit(-1).cast("long"), "__f": -F.col("__f"), "__d": zero}).withColumns(nothing)
-    last = F.col("__next").isNull() | (F.col("__next") > F.col("timestamp") + day)
-    day_over = base.where(last).withColumns({"__at": F.col("timestamp") + day, "__kind": F.lit(1), "__a": zero, "__f": zero, "__d": F.lit(-1).cast("long")}).withColumns(nothing)
-    w = Window.partitionBy("acting_user").orderBy("__at", "__kind", "source_line").rowsBetween(Window.unboundedPreceding, -1)
-    sums = {"prior_auth_count_1h": "__a", "prior_failure_count_1h": "__f", "prior_unique_destinations_24h": "__d"}
-    out = now.unionByName(hour_over).unionByName(day_over).withColumns({name: F.coalesce(F.sum(c).over(w), zero) for name, c in sums.items()}).where("__kind = 0")
-    out = out.withColumn("seconds_since_previous_auth", seconds_since_previous()).select(*fields, *sums, "is_new_user_destination", "seconds_since_previous_auth")
-    out = rolling_sum(out, ["acting_user", "destination_computer"], day, F.lit(1), "prior_user_destination_count_24h")
-    out = out.withColumns({"is_new_user_source": is_first("acting_user", "source_computer"), "is_new_host_connection": is_first("source_computer", "destination_computer"), "has_user_history": F.col("seconds_since_previous_auth").isNotNull(), "is_machine_account": is_machine(F.col("acting_user"))})
+    day, hour, names = 86_400, 3600, events.columns
+    base = events.withColumn("__f", (F.col("authentication_result") == "Fail").cast("long"))
+    kept = ["acting_user", "destination_computer", "source_line", "__f"]
+    moved = _moves(base, day, kept).repartition("acting_user", "__piece")  # serves both windows
+    moved = _changes(moved, ["acting_user"], "destination_computer", "prior_user_destination_count_24h")
+    # arrivals bring their hour's expiry along, where it falls into the same piece; history that ends before the piece does not count
+    goes = (F.col("__kind") == 0) & (_piece(F.col("__at") + hour, day) == F.col("__piece"))
+    here = _piece(F.col("__at") + hour, day) >= F.col("__piece")
+    counts = F.struct(F.col("__at").alias("at"), F.col("__kind").alias("kind"), F.when((F.col("__kind") == 0) & here, 1).otherwise(0).cast("long").alias("a"), F.col("__d").alias("d"), F.col("__out").alias("out"))
+    over = F.struct((F.col("__at") + hour).alias("at"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("a"), F.lit(0).cast("long").alias("d"), F.lit(False).alias("out"))
+    moved = moved.withColumn("__m", F.explode(F.when(goes, F.array(counts, over)).otherwise(F.array(counts))))
+    rest = {c: F.when(F.col("__m.out"), F.col(c)) for c in (*names, "prior_user_destination_count_24h") if c not in kept}
+    moved = moved.withColumns({**rest, "__at": F.col("__m.at"), "__kind": F.col("__m.kind"), "__a": F.col("__m.a"), "__d": F.col("__m.d"), "__out": F.col("__m.out")}).drop("__m")
+    before = _before("acting_user", "__piece")
+    sums = {"prior_auth_count_1h": F.col("__a"), "prior_failure_count_1h": F.col("__a") * F.coalesce("__f", F.lit(0)), "prior_unique_destinations_24h": F.col("__d")}
+    summed = moved.withColumns({name: F.coalesce(F.sum(v).over(before), F.lit(0)) for name, v in sums.items()} | {"__t": F.max(F.when(F.col("__kind") == 0, F.col("__at"))).over(before)})
+    out = _with_last(summed.where("__out"), events, day)
+    out = _with_firsts(out.withColumns(_gap(F.coalesce("__t", "__last"))), events)
+    out = out.select(*names, *sums, "is_new_user_destination", "seconds_since_previous_auth", "prior_user_destination_count_24h", "is_new_user_source", "is_new_host_connection", "has_user_history", "is_machine_account")
     return out.withColumns({"history_complete_1h": F.col("timestamp") >= start + hour, "history_complete_24h": F.col("timestamp") >= start + day})
 
 

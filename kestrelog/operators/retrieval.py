@@ -19,15 +19,14 @@ from kestrelog.functions import tables
 
 #: English words without a topic of their own (fixed values).
 ENGLISH = (
-    "a about above across after afterwards again against all almost alone along already also although always am among amongst an and another any anyhow anyone anything anyway anywhere are around as at "
-    "be became because become becomes becoming been before beforehand behind being below beside besides between beyond both but by can cannot could done down due during each either else elsewhere enough etc "
-    "even ever every everyone everything everywhere except few for former formerly from further had has have he hence her here hereafter hereby herein hers herself him himself his how however i if in indeed "
-    "into is it its itself last latter least less made many may me meanwhile might mine more moreover most mostly much must my myself namely neither never nevertheless next no nobody none nor not nothing now "
-    "nowhere of off often on once one only onto or other others otherwise our ours ourselves out over own per perhaps rather same seem seemed seeming seems several she should since so some somehow someone something"
+    "a about above across after again against all almost alone along already also although always am among an and another any anyone anything anyway are around as at " "be because become been before behind being below beside besides between beyond both but by can cannot could done down due during each either else enough "
+    "even ever every everyone everything except few for former from further had has have he her here him his how however i if in "
+    "into is it its last least less made many may me might more most mostly much must my neither never next no nor not nothing now "
+    "of off often on once one only or other others our out over own per perhaps rather same seem seems several she should since so some someone something "
 ).split()
 ENGLISH += (
-    "sometime sometimes somewhere still such than that the their them themselves then thence there thereafter thereby therefore therein these they this those though through throughout thus to together too "
-    "toward towards under until up upon us very via was we well were what whatever when whence whenever where whereas whereby wherever whether which while who whoever whole whom whose why will with within without would yet you your yours yourself yourselves"
+    "sometimes still such than that the their them then there therefore these they this those though through to together too "
+    "toward towards under until up upon us very via was we well were what whatever when where whether which while who whom why will with within without would yet you your "
 ).split()
 WORD = r"[\p{L}\p{N}_]{2,}"
 NAME_WEIGHT = 3
