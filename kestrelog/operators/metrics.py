@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
+
 KNOTS = 1001
 P_TOP = 0.999
 MIN_REFERENCES = 100
@@ -37,10 +40,9 @@ def order_statistics(values: DataFrame, probabilities: list[float], ranges: int
     offsets = F.create_map(*[F.lit(x) for part, n in before.items() for x in (float(part), n)])
     inside = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = each.withColumn("to", F.sum("n").over(inside) + offsets[F.col("part")])
-    places = F.array(*[F.lit(int(w)) for w in wanted])
-    held = {part: [w for w in wanted if before[part] <= w < before[part] + n] for part, n in sizes}
-    busy = [part for part, ws in held.items() if ws]
-    hit = ended.where(F.col("part").isin(busy)).withColumn("at", F.explode(F.filter(places, lambda w: (w < F.col("to")) & (w >= F.col("to") - F.col("n")))))
+    places = [(float(part), int(w)) for part, n in sizes for w in wanted[bisect_left(wanted, before[part]) : bisect_left(wanted, before[part] + n)]]
+    places = values.sparkSession.createDataFrame(places, "part double, at long")  # two rows a probability
+    hit = ended.join(F.broadcast(places), "part").where((F.col("at") < F.col("to")) & (F.col("at") >= F.col("to") - F.col("n")))
     value = {r["at"]: r["x"] for r in hit.select("at", "x").collect()}  # two values a probability
     out = []
     for p in probabilities:
@@ -105,18 +107,20 @@ def confusion(scored: DataFrame, threshold: Column, keys: list[str] = []) -> Dat
     return g.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "fpr": ratio(fp, fp + tn)})
 
 
-def cumulative(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def cumulative(scored: DataFrame, keys: list[str] = [], ranges: int = 256) -> DataFrame:  # noqa: B006
     """Per distinct score, from the highest: own and running positives (tp) and negatives (fp), and totals.
 
-    Scores are aggregated first; ranges of scores are summed apart and joined by the sums of
-    the ranges above, so no task holds all scores.
+    Scores are counted by value and stored; ranges that a quantile sketch makes about equal are
+    summed apart and joined by the sums of the ranges above, so no task holds all scores however
+    close together they lie. Null and NaN scores are left out.
     """
-    by = scored.where("score is not null").groupBy(*keys, "score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    size = F.floor(F.log2(F.abs("score") + 1e-12) * 8) + 1000  # positive: log2 of the least is -40
-    ranged = by.withColumn("__r", F.when(F.col("score") < 0, -size).otherwise(size))  # by sign and size, so that ranges do not overlap
+    by = scored.where("score is not null and not isnan(score)").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    by = tables.stored(by, "score-counts")
+    bounds = sorted({b for b in by.stat.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if math.isfinite(b)})
+    ranged = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol="score", outputCol="__r").transform(by)
     inner = Window.partitionBy(*keys, "__r").orderBy(F.desc("score"))
     totals = ranged.groupBy(*keys, "__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"), F.max("score").alias("__m"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1)  # a few hundred ranges a key
+    above = Window.partitionBy(*keys).orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     everything = Window.partitionBy(*keys)
     offsets = totals.withColumns({"__op": F.coalesce(F.sum("__p").over(above), F.lit(0)), "__on": F.coalesce(F.sum("__n").over(above), F.lit(0)), "P": F.sum("__p").over(everything), "N": F.sum("__n").over(everything)}).drop("__p", "__n", "__m")
     run = ranged.withColumns({"tp": F.sum("pos").over(inner), "fp": F.sum("neg").over(inner)}).join(offsets, [*keys, "__r"])
@@ -125,36 +129,48 @@ def cumulative(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B
 
 def average_precision(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Step-wise average precision; equal scores are one step."""
-    c = cumulative(scored, keys)
-    return c.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.nullif(F.max("P"), F.lit(0))).alias("ap"))
+    return cumulative(scored, keys).groupBy(*keys).agg(_ap().alias("ap"))
 
 
-def roc_auc(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """The area under the ROC curve; equal scores count half."""
-    c = cumulative(scored, keys)
-    wins = F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + F.col("neg") / 2))
-    return c.groupBy(*keys).agg((wins / F.nullif(F.max("P") * F.max("N"), F.lit(0))).alias("auc"))
+def _ap() -> Column:
+    return F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.nullif(F.max("P"), F.lit(0))
 
 
-def best_f1(scored: DataFrame, keys: list[str] = [], epsilon: float = 0.0, lowest: bool = False) -> DataFrame:  # noqa: B006
-    """The threshold with the largest F1, the higher one on ties (the lower with `lowest`); epsilon is added to the denominators in the variant of curves."""
-    c = cumulative(scored, keys)
+def _auc() -> Column:
+    return F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + F.col("neg") / 2)) / F.nullif(F.max("P") * F.max("N"), F.lit(0))
+
+
+def _best(epsilon: float = 0.0, lowest: bool = False) -> Column:
     if epsilon:
         p, r = F.col("tp") / (F.col("tp") + F.col("fp") + epsilon), F.col("tp") / (F.col("P") + epsilon)
         f1 = 2 * p * r / (p + r + epsilon)
     else:
         f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))
-    best = F.max(F.struct(f1.alias("f1"), (-F.col("score") if lowest else F.col("score")).alias("tie"), F.col("score").alias("threshold"))).alias("b")
-    return c.groupBy(*keys).agg(best).select(*keys, "b.f1", "b.threshold")
+    return F.max(F.struct(f1.alias("f1"), (-F.col("score") if lowest else F.col("score")).alias("tie"), F.col("score").alias("threshold")))
+
+
+def ranking(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Average precision, area under the ROC curve and the best F1 with its threshold, of one count of the scores."""
+    return cumulative(scored, keys).groupBy(*keys).agg(_ap().alias("ap"), _auc().alias("auc"), _best().alias("b")).select(*keys, "ap", "auc", "b.f1", "b.threshold")
+
+
+def roc_auc(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """The area under the ROC curve; equal scores count half."""
+    return cumulative(scored, keys).groupBy(*keys).agg(_auc().alias("auc"))
+
+
+def best_f1(scored: DataFrame, keys: list[str] = [], epsilon: float = 0.0, lowest: bool = False) -> DataFrame:  # noqa: B006
+    """The threshold with the largest F1, the higher one on ties (the lower with `lowest`); epsilon is added to the denominators in the variant of curves."""
+    return cumulative(scored, keys).groupBy(*keys).agg(_best(epsilon, lowest).alias("b")).select(*keys, "b.f1", "b.threshold")
 
 
 def evaluation_summary(scored: DataFrame, positives: DataFrame, keys: list[str]) -> DataFrame:
     """One row: coverage of positive units, prevalence, AP, lift, AUC, best F1, recall at it counting unscored positives."""
-    labelled = label_units(scored, positives, keys)
+    labelled = tables.stored(label_units(scored, positives, keys), "labelled-units")
     counts = labelled.agg(F.count("*").alias("units"), F.count_if("label").alias("scored_positives"))
     one = F.lit(True)
-    row = counts.join(positives.select(*keys).distinct().agg(F.count("*").alias("positives")), one).join(average_precision(labelled), one).join(roc_auc(labelled), one)
-    best = best_f1(labelled)
+    row = counts.join(positives.select(*keys).distinct().agg(F.count("*").alias("positives")), one)
+    best = tables.stored(ranking(labelled), "ranking")
     hits = labelled.join(F.broadcast(best), F.col("score") >= F.col("threshold")).agg(F.count_if("label").alias("hits"))
     row = row.join(best, one).join(hits, one)  # every side is one row
     share = F.col("scored_positives") / F.col("units")

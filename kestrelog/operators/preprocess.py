@@ -13,6 +13,8 @@ CATEGORICAL = ["authentication_type", "logon_type", "authentication_orientation"
 BARRED = {"timestamp", "source_line", "dataset_day", "acting_user", "source_user", "destination_user", "source_computer", "destination_computer"}
 UNSEEN, MISSING, FIRST_ID = 0, 1, 2
 PLACEHOLDER = 0.0
+#: Values of all vocabularies together up to which they are looked up in a map.
+MAPPED = 1_000
 
 
 def check_inputs(columns: list[str]) -> list[str]:
@@ -49,7 +51,15 @@ def binary_inputs(df: DataFrame, columns: list[str] = BINARY) -> DataFrame:
 
 
 def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
-    """Adds <column>_id: the vocabulary's id, 0 for unseen, 1 for null or empty values."""
+    """Adds <column>_id: the vocabulary's id, 0 for unseen, 1 for null or empty values.
+
+    A vocabulary of at most MAPPED values becomes a map in the plan; a larger one is joined, column by column.
+    """
+    small = vocabulary.where(F.col("feature").isin(columns)).limit(MAPPED + 1).collect()
+    if len(small) <= MAPPED:
+        ids = {c: [F.lit(x) for r in small if r.feature == c for x in (r.value, r.id)] for c in columns}
+        found = {c: F.create_map(*ids[c])[F.col(c)] if ids[c] else F.lit(None).cast("int") for c in columns}
+        return df.withColumns({f"{c}_id": F.when(F.col(c).isNull() | (F.col(c) == ""), MISSING).otherwise(F.coalesce(found[c], F.lit(UNSEEN))) for c in columns})
     for c in columns:
         ids = vocabulary.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("id").alias(f"{c}_id"))
         df = df.join(tables.checked(ids), c, "left").withColumn(f"{c}_id", F.when(F.col(c).isNull() | (F.col(c) == ""), MISSING).otherwise(F.coalesce(f"{c}_id", F.lit(UNSEEN))))

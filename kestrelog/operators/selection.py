@@ -109,7 +109,7 @@ def compare_classifiers(rows: DataFrame, candidates: dict) -> DataFrame:
     out, keys = tables.stored(out, "candidate-scores"), ["model", "part"]
     thresholds = metrics.best_f1(out.where("part = 'validation'"), ["model"], lowest=True).select("model", "threshold")
     report = metrics.confusion(out.join(F.broadcast(thresholds), "model"), F.col("threshold"), [*keys, "threshold"])  # a row for each model
-    report = report.join(metrics.average_precision(out, keys), keys).join(metrics.roc_auc(out, keys), keys)
+    report = report.join(metrics.ranking(out, keys).select(*keys, "ap", "auc"), keys)
     report = report.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "f1")})
     order = Window.orderBy(F.desc_nulls_last("ap"), F.desc("f1"), "model")  # a row for each model
     best = report.where("part = 'validation'").withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("model").alias("best"))

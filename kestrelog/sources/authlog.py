@@ -85,7 +85,7 @@ def with_duplicate_ordinal(events: DataFrame, fields: list[str] = AUTH_FIELDS) -
     themselves; only line numbers and hashes move.
     """
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields])
-    hashed = events.select("source_line", F.md5(text.cast("binary")).alias("h"))
+    hashed = tables.stored(events.select("source_line", F.md5(text.cast("binary")).alias("h")), "line-hashes")
     repeated = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     again = hashed.join(repeated, "h").withColumn("o", F.row_number().over(Window.partitionBy("h").orderBy("source_line"))).where("o > 1")
     return events.join(tables.checked(tables.stored(again.select("source_line", "o"), "duplicates")), "source_line", "left").withColumn("exact_duplicate_ordinal", F.coalesce("o", F.lit(1))).drop("o")
