@@ -120,6 +120,8 @@ def _ftrl(settings: Settings):
                 n[x] = ni + g * g
         w = weights(z, n, penalty)
         at = np.flatnonzero(w)
+        del rows, z, n
+        common.give_back()
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["bucket", "weight"])
 
     return run
@@ -169,7 +171,7 @@ def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, bias = _dense(shared.value)
-        for batch in batches:
+        for batch in common.slices(batches):
             yield batch.filter(pa.array(_scores(batch.column(column), dense, bias) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
