@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelog.functions import tables
+from kestrelog.functions import spans, tables
 
 REFERENCES = 20
 RULE_EVENTS, PACKAGE_EVENTS = 40, 60
@@ -117,19 +117,49 @@ def histogram(events: DataFrame, incidents: DataFrame, width: int) -> DataFrame:
     return bins.join(n, ["incident_id", "bin"], "left").select("incident_id", "bin", (F.col("start") + F.col("bin") * width).alias("from"), F.least(F.col("start") + (F.col("bin") + 1) * width, F.col("end")).alias("to"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
-def anchored_groups(items: DataFrame, seconds: int) -> DataFrame:
-    """(id, times array sorted) -> groups, arrays of times: an item joins while within `seconds` of the group's first item.
+def next_after(points: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """points (keys, t), distinct -> with `next`: the least t of the same keys that is more than `seconds` later, or null.
 
-    One pass over the array: the anchors are folded first (a number each), then every anchor takes
-    the slice of times up to the next.
+    Time is cut into bins of that width. What is sought lies in the next bin, or is the first point of a
+    later one; so a window sees the points of one bin, and another a row for each bin.
     """
-    zero = F.array().cast("array<struct<at:int,t:bigint>>")
-    placed = F.transform("times", lambda t, i: F.struct(i.alias("at"), t.cast("long").alias("t")))
-    start = F.struct(zero.alias("anchors"), F.lit(None).cast("long").alias("last"))
-    step = lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] > seconds), F.struct(F.array_append(acc["anchors"], x).alias("anchors"), x["t"].alias("last"))).otherwise(acc)
-    anchors = F.aggregate(placed, start, step, lambda acc: F.transform(acc["anchors"], lambda a: a["at"]))
-    ends = lambda a, i: F.coalesce(F.get(a, i + 1), F.size("times"))
-    return items.withColumn("__a", anchors).withColumn("groups", F.transform("__a", lambda at, i: F.slice("times", at + 1, ends(F.col("__a"), i) - at))).drop("__a")
+    bin_ = F.floor((F.col("t") - 1) / seconds)
+    points = points.withColumn("__bin", bin_)
+    order = Window.partitionBy(*keys).orderBy("__bin")
+    ahead = {f"__{what}{k}": F.lead(what, k).over(order) for k in (1, 2) for what in ("__bin", "first")}
+    bins = points.groupBy(*keys, "__bin").agg(F.min("t").alias("first")).withColumns(ahead)
+    asked = points.select(*keys, (F.col("t") + seconds).alias("__x"), (F.col("__bin") + 1).alias("__in"), F.lit(True).alias("__asks"))
+    there = points.select(*keys, F.col("t").alias("__x"), F.col("__bin").alias("__in"), F.lit(False).alias("__asks"))
+    later = Window.partitionBy(*keys, "__in").orderBy(F.desc("__x"), F.desc("__asks")).rowsBetween(Window.unboundedPreceding, -1)
+    near = asked.union(there).withColumn("near", F.min(F.when(~F.col("__asks"), F.col("__x"))).over(later)).where("__asks")
+    near = near.select(*keys, (F.col("__x") - seconds).alias("t"), (F.col("__in") - 1).alias("__bin"), "near")
+    far = F.when(F.col("____bin1") == F.col("__bin") + 1, F.col("__first2")).otherwise(F.col("__first1"))
+    return near.join(bins, [*keys, "__bin"]).select(*keys, "t", F.coalesce("near", far).alias("next"))
+
+
+def anchors(points: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """points (keys, t) -> the first times of groups: the least t, and from each the next that is more than `seconds` later.
+
+    Links are followed by pointer doubling: each round joins what was reached with links of twice the length.
+    """
+    points = tables.stored(points.select(*keys, "t").distinct(), "anchor-points")
+    links = tables.stored(next_after(points, keys, seconds).where("next is not null"), "anchor-links")
+    reached = tables.stored(points.groupBy(*keys).agg(F.min("t").alias("t")), "anchors")
+    while True:
+        new = tables.stored(reached.join(links, [*keys, "t"]).select(*keys, F.col("next").alias("t")), "anchors")
+        if new.isEmpty():
+            return reached
+        reached = reached.union(new)
+        further = links.select(*keys, F.col("t").alias("next"), F.col("next").alias("__then"))
+        links = tables.stored(links.join(further, [*keys, "next"]).select(*keys, "t", F.col("__then").alias("next")), "anchor-links")
+
+
+def anchored_groups(items: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """items (keys, t) -> (keys, anchor, last, n): an item joins a group while within `seconds` of its first item. Rows without a time are left out."""
+    items = items.select(*keys, "t").where("t is not null")
+    first = anchors(items, keys, seconds).select(*keys, F.col("t").alias("start"), (F.col("t") + seconds + 1).alias("end"))
+    met = spans.points_within(first, items, keys, seconds, "t")
+    return met.groupBy(*keys, F.col("start").alias("anchor")).agg(F.max("t").alias("last"), F.count("*").alias("n"))
 
 
 # ---- text retrieval ----

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
@@ -110,23 +112,39 @@ def _draw(seed: int, column: str) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.col(column)).cast("binary"))
 
 
+def next_prime(n: int) -> int:
+    """The least prime that is n or more and 2 mod 3."""
+    n = max(n, 2)
+    while n % 3 != 2 or any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def negative_sample(edge_rows: DataFrame, per_user: int, seed: int = 7) -> DataFrame:
     """Pairs without an edge, per window: for each user per_user computers, or all that it has no edge with if they are fewer.
 
-    A window's computers are put in a seeded order, and each user walks it from a place of its
-    own. Of degree + per_user places at most degree are edges, so that many suffice, and no more
-    pairs than edges and wanted ones together are looked at.
+    A window's computers are numbered in a seeded order. Each user of a window goes through the numbers in an
+    order of its own, step x being number b (a x + c)^3 + d mod p, with a, b, c and d that follow from seed, user and
+    window: a keyed permutation, since third powers are one where p mod 3 is 2. p is the least such prime of size or
+    more, a few steps away. Of p - size + degree + per_user steps at most degree are edges and p - size no numbers, so
+    that many suffice.
     """
     keys = ["window_end", "acting_user"]
     computers = edge_rows.select("window_end", "destination_computer").distinct()
     order = Window.partitionBy("window_end").orderBy(_draw(seed, "destination_computer"), "destination_computer")
     numbered = computers.withColumn("n", F.row_number().over(order).cast("long") - 1)
-    size = numbered.groupBy("window_end").agg(F.count("*").alias("size"))
-    users = edge_rows.groupBy(*keys).agg(F.count("*").alias("degree")).join(size, "window_end")
-    start = F.conv(F.substring(_draw(seed, "acting_user"), 1, 8), 16, 10).cast("long") % F.col("size")
-    last = F.least(F.col("size"), F.col("degree") + per_user) - 1
-    walked = users.select(*keys, "size", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
-    met = walked.select(*keys, "step", ((F.col("start") + F.col("step")) % F.col("size")).alias("n")).join(numbered, ["window_end", "n"])
+    sizes = numbered.groupBy("window_end").agg(F.count("*").alias("size")).collect()  # a row for each window
+    sizes = edge_rows.sparkSession.createDataFrame([(r.window_end, r["size"], next_prime(r["size"])) for r in sizes], f"window_end {edge_rows.schema['window_end'].dataType.simpleString()}, size long, p long")
+    users = edge_rows.groupBy(*keys).agg(F.count("*").alias("degree")).join(F.broadcast(sizes), "window_end")
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("window_end").cast("string"), "acting_user").cast("binary"))
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    last = F.least(F.col("p"), F.col("p") - F.col("size") + F.col("degree") + per_user) - 1
+    p = F.col("p")
+    factor = lambda at: F.when(p > 2, number(at) % (p - 1) + 1).otherwise(1)
+    walked = users.select(*keys, "p", factor(1).alias("a"), factor(9).alias("b"), (number(17) % p).alias("c"), (number(25) % p).alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
+    walked = walked.withColumn("y", (F.col("a") * F.col("step") + F.col("c")) % p)
+    place = (F.col("b") * (F.col("y") * F.col("y") % p * F.col("y") % p) + F.col("d")) % p
+    met = walked.select(*keys, "step", place.alias("n")).join(numbered, ["window_end", "n"])
     free = met.join(edge_rows.select("window_end", *EDGE), ["window_end", *EDGE], "left_anti")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("step"))
     return free.withColumn("place", place).where(F.col("place") <= per_user).select("window_end", *EDGE)

@@ -5,19 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import spans, tables
 from kestrelog.functions.accounts import clean_user
 
 GAP = 7200
+#: Width of the bins by which intervals are joined.
+BIN = 86_400
 BUDGET = 38
 
 
-def daily_queue(scored: DataFrame, budget: int = BUDGET, tie: str = "tie") -> DataFrame:
-    """The top `budget` of each day (user, hour, day, score): rank, cut-off score, tied, id, percentile within the day."""
+def top_of_day(scored: DataFrame, budget: int = BUDGET, tie: str = "tie", parts: int = 64) -> DataFrame:
+    """The best `budget` rows of each day with their rank. Each part of a day keeps its own best first, so that a day's window sees parts x budget rows."""
+    dealt = scored.withColumn("__part", F.pmod(F.xxhash64(tie), F.lit(parts)))
+    for keys in (["day", "__part"], ["day"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), tie)
+        dealt = dealt.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget)
+    return dealt.drop("__part")
+
+
+def day_percentile(top: DataFrame, scored: DataFrame, column: str, name: str) -> DataFrame:
+    """top with name: the share of the day's rows in scored whose column is at or below the row's own; null values count nowhere.
+
+    top has a bounded number of rows a day: their values cut the day into as many ranges, rows are counted by
+    range, and shares are running sums over ranges.
+    """
+    cuts = tables.checked(tables.stored(top.groupBy("day").agg(F.sort_array(F.collect_set(column)).alias("__cuts")), "day-cuts"))
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(column)))
+    counted = scored.where(F.col(column).isNotNull()).join(cuts, "day").groupBy("day", below.alias("__range")).agg(F.count("*").alias("__n"))
     day = Window.partitionBy("day")
-    order = day.orderBy(F.desc("score"), tie)
-    pct = F.cume_dist().over(day.orderBy("score"))
-    top = scored.withColumns({"rank": F.row_number().over(order), "percentile": pct}).where(F.col("rank") <= budget)
-    cut = F.min("score").over(day)
+    share = F.sum("__n").over(day.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__n").over(day)  # a row for each range
+    shares = counted.withColumn(name, share).join(cuts, "day").select("day", F.get("__cuts", F.col("__range")).alias(column), name).where(F.col(column).isNotNull())
+    return top.join(tables.checked(tables.stored(shares, "day-shares")), ["day", column], "left")
+
+
+def daily_queue(scored: DataFrame, budget: int = BUDGET, tie: str = "tie", percentiles: dict[str, str] = {"score": "percentile"}) -> DataFrame:  # noqa: B006
+    """The top `budget` of each day (user, hour, day, score): rank, cut-off score, tied, id, percentiles of the named columns within the day."""
+    fields = scored.columns
+    scored = tables.stored(scored, "scored-hours")
+    top = tables.stored(top_of_day(scored, budget, tie), "top-hours")
+    cut = F.min("score").over(Window.partitionBy("day"))
+    for column, name in percentiles.items():
+        top = day_percentile(top, scored, column, name)
+    top = top.select(*fields, "rank", *percentiles.values())
     return top.withColumns({"cutoff": cut, "tied": F.col("score") == cut, "alert_id": F.format_string("ALR-D%02d-%02d", "day", "rank")})
 
 
@@ -51,29 +80,49 @@ def build(alerts: DataFrame, split: str, gap: int = GAP) -> DataFrame:
     }).drop("c", "s", "g")
 
 
-def apply_signatures(incidents: DataFrame, events: DataFrame, signatures: DataFrame) -> DataFrame:
-    """incidents (incident_id, user, priority) with events (incident_id, destination_computer): a matching signature makes them CRITICAL.
+def apply_signatures(incidents: DataFrame, events: DataFrame, signatures: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """incidents (incident_id, user, priority) with events (incident_id, source_computer, destination_computer): a matching signature makes them CRITICAL.
 
-    signatures: (kind, user, computer): user, node, or pair.
+    signatures (kind, user, source, computer): user, node, pair of user and computer, or triple of user, source and computer. predicate,
+    a condition on the columns of incidents, is a rule of its own. The kinds that matched are named.
     """
-    each = events.join(incidents.select("incident_id", "user"), "incident_id").select("incident_id", "user", F.col("destination_computer").alias("computer")).distinct()
-    s = signatures.select("kind", F.col("user").alias("su"), F.col("computer").alias("sc"))
-    hits = None
-    for kind, on in (("user", ["user"]), ("node", ["computer"]), ("pair", ["user", "computer"])):
-        part = s.where(F.col("kind") == kind).select("kind", *[F.col({"user": "su", "computer": "sc"}[c]).alias(c) for c in on])
-        found = each.join(F.broadcast(part), on).select("incident_id", "kind")
-        hits = found if hits is None else hits.union(found)
+    each = events.join(incidents.select("incident_id", "user"), "incident_id").select("incident_id", "user", F.col("source_computer").alias("source"), F.col("destination_computer").alias("computer")).distinct()
+    each, hits = tables.stored(each, "incident-computers"), incidents.where(predicate if predicate is not None else F.lit(False)).select("incident_id", F.lit("rule").alias("kind"))
+    for kind, on in (("user", ["user"]), ("node", ["computer"]), ("pair", ["user", "computer"]), ("triple", ["user", "source", "computer"])):
+        part = tables.checked(signatures.where(F.col("kind") == kind).select("kind", *on).distinct())
+        hits = hits.union(each.join(part, on).select("incident_id", "kind"))
     named = hits.groupBy("incident_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("signatures"))
     return incidents.join(named, "incident_id", "left").withColumn("priority", F.when(F.col("signatures").isNotNull(), "CRITICAL").otherwise(F.col("priority")))
 
 
 def alert_events(alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Events behind each alert (user, hour, day); days prune partitions of events."""
+    """Events behind each alert (user, hour, day); days prune partitions of events. A user's hour is the key, so no user's history meets in one task."""
     keyed = events.withColumn("hour", (F.floor((F.col("timestamp") - 1) / 3600) * 3600 + 1).cast("long"))
     a = alerts.select("alert_id", F.col("user").alias("acting_user"), "hour", F.col("day").alias("dataset_day"))
     return keyed.join(a, ["acting_user", "hour", "dataset_day"])
 
 
+def incident_events(incidents: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of each incident's user within its span [start, end), joined by bins of time."""
+    spans_ = incidents.select("incident_id", F.col("user").alias("acting_user"), "start", "end")
+    return spans.points_within(spans_, events, ["acting_user"], BIN)
+
+
+def alert_count_check(alerts: DataFrame, events: DataFrame, count: str = "auth_count") -> DataFrame:
+    """(alert_id, scored, found, agrees): the scored number of events of each alert against those found behind it."""
+    found = alert_events(alerts.select("alert_id", "user", "hour", "day"), events).groupBy("alert_id").agg(F.count("*").alias("found"))
+    both = alerts.select("alert_id", F.col(count).cast("long").alias("scored")).join(found, "alert_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.withColumn("agrees", F.col("scored") == F.col("found"))
+
+
+def require_counts(alerts: DataFrame, events: DataFrame, count: str = "auth_count") -> DataFrame:
+    """The events behind alerts; fails if an alert's number of events is not the scored one."""
+    wrong = alert_count_check(alerts, events, count).where("not agrees").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0].alert_id}: {wrong[0].found} events found, {wrong[0].scored} scored")
+    return alert_events(alerts, events)
+
+
 def records(queue: DataFrame, events: DataFrame, split: str, gap: int = GAP) -> DataFrame:
     """Incident records of a daily queue: alert ids and hours, HIGH if any hour is above its day's cut-off, references in time order."""
     grouped = group_hours(queue, gap)
@@ -87,7 +136,8 @@ def records(queue: DataFrame, events: DataFrame, split: str, gap: int = GAP) ->
 
 def triage(incidents: DataFrame, label_hours: DataFrame) -> DataFrame:
     """One row: incidents that overlap a labelled hour of their user, hours reviewed, label hours met, compression of alerts."""
-    joined = incidents.join(label_hours.select("user", F.col("hour").alias("lh")), "user", "left").withColumn("meets", F.col("lh").isNotNull() & (F.col("lh") < F.col("end")) & (F.col("lh") + 3600 > F.col("start")))
+    labels = label_hours.select("user", F.col("hour").alias("lh"), F.col("hour").alias("their_start"), (F.col("hour") + 3600).alias("their_end"))
+    joined = spans.overlapping(incidents, labels, ["user"], BIN, "left").withColumn("meets", F.col("lh").isNotNull())
     per = joined.groupBy("incident_id").agg(F.max("meets").alias("meets"), F.first("alert_hours").alias("alert_hours"), F.countDistinct(F.when(F.col("meets"), F.col("lh"))).alias("met"))
     return per.agg(F.count("*").alias("incidents"), F.count_if("meets").alias("true_incidents"), F.sum("alert_hours").alias("alerts"), F.sum("met").alias("label_hours_met"), (1 - F.count("*") / F.sum("alert_hours")).alias("compression"))
 

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
 from kestrelog.operators import fusion, graph, incidents, metrics, splits
 from kestrelog.sources import adapters
 
@@ -95,7 +96,9 @@ def _(spark, sf_dir):
 
 
 @query("graph_negative_sample", f"""WITH {EDGES}, dc AS (SELECT DISTINCT window_end, destination_computer FROM ed), nu AS (SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY md5('7' || destination_computer), destination_computer) - 1 AS n, count(*) OVER (PARTITION BY window_end) AS size FROM dc),
-us AS (SELECT DISTINCT window_end, acting_user FROM ed), wk AS (SELECT us.window_end, acting_user, nu.destination_computer, (n - CAST('0x' || substr(md5('7' || acting_user), 1, 8) AS BIGINT) % size + size) % size AS step FROM us JOIN nu ON nu.window_end = us.window_end),
+sz AS (SELECT DISTINCT window_end, size FROM nu), pr AS (SELECT window_end, size, (SELECT min(c) FROM range(2, 4000) g(c) WHERE c >= size AND c % 3 = 2 AND NOT EXISTS (SELECT 1 FROM range(2, 64) h(d) WHERE d < c AND c % d = 0)) AS p FROM sz),
+us AS (SELECT DISTINCT window_end, acting_user, md5('7/' || window_end || '/' || acting_user) AS m FROM ed), st AS (SELECT us.window_end, acting_user, p, CASE WHEN p > 2 THEN CAST('0x' || substr(m, 1, 8) AS BIGINT) % (p - 1) + 1 ELSE 1 END AS a, CASE WHEN p > 2 THEN CAST('0x' || substr(m, 9, 8) AS BIGINT) % (p - 1) + 1 ELSE 1 END AS b, CAST('0x' || substr(m, 17, 8) AS BIGINT) % p AS c, CAST('0x' || substr(m, 25, 8) AS BIGINT) % p AS d, unnest(range(0, p)) AS step FROM us JOIN pr ON pr.window_end = us.window_end),
+wk AS (SELECT st.window_end, acting_user, nu.destination_computer, step FROM st JOIN nu ON nu.window_end = st.window_end AND nu.n = (b * (((a * step + c) % p) * ((a * step + c) % p) % p * ((a * step + c) % p) % p) + d) % p),
 no AS (SELECT wk.* FROM wk ANTI JOIN ed ON ed.window_end = wk.window_end AND ed.acting_user = wk.acting_user AND ed.destination_computer = wk.destination_computer)
 SELECT window_end, acting_user, destination_computer FROM (SELECT *, row_number() OVER (PARTITION BY window_end, acting_user ORDER BY step) AS r FROM no) WHERE r <= 2""")
 def _(spark, sf_dir):
@@ -291,8 +294,25 @@ _CLEAN = "replace(replace(user, '@', '_'), '$', '')"
 
 
 def queue(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    return incidents.daily_queue(c.select(F.col("acting_user").alias("user"), "hour", "day", (F.col("either").cast("double") + F.col("failures")).alias("score"), "tie"))
+    return incidents.daily_queue(hour_scores(spark, sf_dir))
+
+
+def hour_scores(spark, sf_dir, *more: str):
+    return counts(spark, sf_dir).select(F.col("acting_user").alias("user"), "hour", "day", (F.col("either").cast("double") + F.col("failures")).alias("score"), "tie", *more)
+
+
+@query("alerts_percentiles", f"WITH {QUEUE}, pc AS (SELECT user, hour, cume_dist() OVER (PARTITION BY day ORDER BY events) AS events_percentile FROM (SELECT acting_user AS user, hour, day, events FROM hc)) SELECT q.user, q.hour, q.day, CAST(rank AS INTEGER) AS rank, round(percentile, 6) AS percentile, round(events_percentile, 6) AS events_percentile FROM q JOIN pc ON pc.user = q.user AND pc.hour = q.hour")
+def _(spark, sf_dir):
+    """Percentiles of the ranking score and of another score of the same hours within the day."""
+    found = incidents.daily_queue(hour_scores(spark, sf_dir, "events"), percentiles={"score": "percentile", "events": "events_percentile"})
+    return found.select("user", "hour", "day", "rank", *[F.round(c, 6).alias(c) for c in ("percentile", "events_percentile")])
+
+
+@query("alerts_event_counts", f"WITH {QUEUE}, n AS (SELECT alert_id, count(*) AS found FROM q JOIN auth a ON a.acting_user = q.user AND a.hour = q.hour GROUP BY 1), sc2 AS (SELECT alert_id, hc.events + CASE WHEN q.hour % 7 = 0 THEN 1 ELSE 0 END AS scored FROM q JOIN hc ON hc.acting_user = q.user AND hc.hour = q.hour) SELECT alert_id, scored, found, scored = found AS agrees FROM sc2 JOIN n USING (alert_id)")
+def _(spark, sf_dir):
+    """Events behind alerts against the counts they were scored with; some counts are planted one too high."""
+    scored = hour_scores(spark, sf_dir, "events").withColumn("events", F.col("events") + F.when(F.col("hour") % 7 == 0, 1).otherwise(0))
+    return incidents.alert_count_check(incidents.daily_queue(scored), auth(spark, sf_dir), "events")
 
 
 @query("alerts_daily_queue", f"WITH {QUEUE} SELECT user, hour, day, score, CAST(rank AS INTEGER) AS rank, round(percentile, 6) AS percentile, cutoff, tied, alert_id FROM q")
@@ -336,12 +356,14 @@ def _(spark, sf_dir):
     return built(spark, sf_dir).select("incident_id", "user", "start", "end", "day", "alert_hours", "duration_hours", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"), "max_seq", "max_graph", "concordance", "priority")
 
 
-@query("incidents_signatures", f"WITH {INC}, ev2 AS (SELECT DISTINCT incident_id, inc.user, a.destination_computer FROM inc JOIN auth a ON a.acting_user = inc.user AND a.timestamp >= inc.start AND a.timestamp < inc.\"end\"), si AS (SELECT incident_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS signatures FROM (SELECT incident_id, 'user' AS kind FROM ev2 WHERE user = 'U3@DOM1' UNION ALL SELECT incident_id, 'node' FROM ev2 WHERE destination_computer = 'C104' UNION ALL SELECT incident_id, 'pair' FROM ev2 WHERE user = 'U5@DOM1' AND destination_computer = 'C110') GROUP BY 1) SELECT incident_id, signatures, CASE WHEN signatures IS NOT NULL THEN 'CRITICAL' ELSE priority END AS priority FROM inc LEFT JOIN si USING (incident_id)")
+@query("incidents_signatures", f"WITH {INC}, ev2 AS (SELECT DISTINCT incident_id, inc.user, a.source_computer, a.destination_computer FROM inc JOIN auth a ON a.acting_user = inc.user AND a.timestamp >= inc.start AND a.timestamp < inc.\"end\"), si AS (SELECT incident_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS signatures FROM (SELECT incident_id, 'user' AS kind FROM ev2 WHERE user = 'U3@DOM1' UNION ALL SELECT incident_id, 'node' FROM ev2 WHERE destination_computer = 'C104' UNION ALL SELECT incident_id, 'pair' FROM ev2 WHERE user = 'U5@DOM1' AND destination_computer = 'C110' UNION ALL SELECT incident_id, 'triple' FROM ev2 WHERE user = 'U8@DOM1' AND source_computer = 'C9' AND destination_computer = 'C101' UNION ALL SELECT incident_id, 'rule' FROM inc WHERE duration_hours >= 6) GROUP BY 1) SELECT incident_id, signatures, CASE WHEN signatures IS NOT NULL THEN 'CRITICAL' ELSE priority END AS priority FROM inc LEFT JOIN si USING (incident_id)")
 def _(spark, sf_dir):
     inc = built(spark, sf_dir)
-    events = auth(spark, sf_dir).withColumnRenamed("acting_user", "user").join(inc.select("incident_id", "user", "start", "end"), "user").where("timestamp >= start and timestamp < end").select("incident_id", "destination_computer")
-    signatures = spark.createDataFrame([("user", "U3@DOM1", None), ("node", None, "C104"), ("pair", "U5@DOM1", "C110")], "kind string, user string, computer string")
-    return incidents.apply_signatures(inc, events, signatures).select("incident_id", "signatures", "priority")
+    inc = tables.stored(inc, "incidents")
+    events = incidents.incident_events(inc, auth(spark, sf_dir)).select("incident_id", "source_computer", "destination_computer")
+    rows = [("user", "U3@DOM1", None, None), ("node", None, None, "C104"), ("pair", "U5@DOM1", None, "C110"), ("triple", "U8@DOM1", "C9", "C101")]
+    signatures = spark.createDataFrame(rows, "kind string, user string, source string, computer string")
+    return incidents.apply_signatures(inc, events, signatures, F.col("duration_hours") >= 6).select("incident_id", "signatures", "priority")
 
 
 @query("incidents_triage", f"WITH {INC}{RED_PART}, lh AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS lh FROM red), p AS (SELECT incident_id, any_value(alert_hours) AS ah, count(DISTINCT lh) FILTER (lh < \"end\" AND lh + 3600 > start) AS met FROM inc LEFT JOIN lh USING (user) GROUP BY 1) SELECT count(*) AS incidents, count(*) FILTER (met > 0) AS true_incidents, CAST(sum(ah) AS BIGINT) AS alerts, CAST(sum(met) AS BIGINT) AS label_hours_met, round(1 - count(*) / sum(ah), 6) AS compression FROM p")

@@ -102,8 +102,8 @@ def _(spark, sf_dir):
 @query("evidence_anchored_groups", f"""WITH RECURSIVE {AUTH}, an AS (SELECT acting_user, min(timestamp) AS a, 1 AS g FROM auth GROUP BY acting_user UNION ALL SELECT an.acting_user, (SELECT min(timestamp) FROM auth x WHERE x.acting_user = an.acting_user AND x.timestamp > an.a + 86400), g + 1 FROM an WHERE a IS NOT NULL)
 SELECT an.acting_user, CAST(max(g) FILTER (a IS NOT NULL) AS BIGINT) AS n_groups, (SELECT max(timestamp) FROM auth x WHERE x.acting_user = an.acting_user AND x.timestamp <= min(an.a) + 86400) AS first_group_end FROM an GROUP BY an.acting_user""")
 def _(spark, sf_dir):
-    times = adapters.auth_events(spark, sf_dir).groupBy("acting_user").agg(F.sort_array(F.collect_list("timestamp")).alias("times"))
-    return behaviours.anchored_groups(times, 86_400).select("acting_user", F.size("groups").cast("long").alias("n_groups"), F.element_at(F.element_at("groups", 1), -1).alias("first_group_end"))
+    times = adapters.auth_events(spark, sf_dir).select("acting_user", F.col("timestamp").alias("t"))
+    return behaviours.anchored_groups(times, ["acting_user"], 86_400).groupBy("acting_user").agg(F.count("*").alias("n_groups"), F.min_by("last", "anchor").alias("first_group_end"))
 
 
 # ---- text ----

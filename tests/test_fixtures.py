@@ -179,8 +179,8 @@ def test_rules_timing_and_texts(spark):
     assert tuple(lead(10000, 20000)) == ("sequence", 10000) and tuple(lead(25000, 10000)) == ("graph", 15000) and tuple(lead(5, 5)) == ("simultaneous", 0) and lead(None, 5)[0] == "graph_only"
     t = spark.range(1).select(clock.clock_text(F.lit(93662)), accounts.reference_line(F.lit("auth.txt:12")), accounts.reference_line(F.lit("auth.txt:0")), accounts.is_machine(F.lit("U1$@D")), behaviours.clean_description(F.lit("A [b](http://c)  d (Citation: x)"))).first()
     assert tuple(t) == ("Day 2 02:01:01", 12, None, True, "A b d")
-    groups = behaviours.anchored_groups(spark.createDataFrame([(1, [0, 5, 10, 11, 30])], "id int, times array<long>"), 10).first().groups
-    assert groups == [[0, 5, 10], [11], [30]]
+    groups = behaviours.anchored_groups(spark.createDataFrame([(1, t) for t in (20, 25, 30, 31, 50)], "id int, t long"), ["id"], 10).orderBy("anchor").collect()
+    assert [(r.anchor, r["last"], r.n) for r in groups] == [(20, 30, 3), (31, 31, 1), (50, 50, 1)]
 
 
 def test_preprocessing(spark):

@@ -9,7 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kestrelog.operators import behaviours, fusion, graph, history, metrics, selection, verdicts
+from kestrelog.functions import spans
+from kestrelog.operators import behaviours, fusion, graph, history, incidents, metrics, selection, verdicts
 from kestrelog.sources import authlog, packages
 
 
@@ -208,13 +209,52 @@ def test_collapse_and_success_rules(spark):
 
 def test_anchored_groups(spark):
     rng = random.Random(5)
-    rows = [(i, sorted(rng.randrange(500) for _ in range(rng.randint(0, 40)))) for i in range(40)]
-    got = {r.id: [list(g) for g in r.groups] for r in behaviours.anchored_groups(spark.createDataFrame(rows, "id long, times array<long>"), 30).collect()}
-    for i, times in rows:
-        want: list = []
-        for t in times:
-            if want and t - want[-1][0] <= 30:
-                want[-1].append(t)
-            else:
-                want.append([t])
-        assert got[i] == want
+    rows = {i: sorted(rng.randrange(1, rng.choice([60, 500, 20_000])) for _ in range(rng.randint(0, 40))) for i in range(40)}
+    rows[99] = list(range(1, 4_000, 3))  # a long chain
+    for seconds in (30, 1):
+        got: dict = {}
+        for r in behaviours.anchored_groups(spark.createDataFrame([(i, t) for i, x in rows.items() for t in x], "id long, t long"), ["id"], seconds).collect():
+            got.setdefault(r.id, []).append((r.anchor, r["last"], r.n))
+        for i, times in rows.items():
+            want: list = []
+            for t in times:
+                if want and t - want[-1][0] <= seconds:
+                    want[-1].append(t)
+                else:
+                    want.append([t])
+            assert sorted(got.get(i, [])) == [(w[0], w[-1], len(w)) for w in want]
+
+
+def test_interval_joins_meet_each_pair_once(spark):
+    rng = random.Random(6)
+    span = lambda: (a := rng.randrange(1, 300), a + rng.randrange(0, 120))
+    a = [(i, rng.choice("xy"), *span()) for i in range(60)]
+    b = [(i, rng.choice("xy"), *span()) for i in range(60)]
+    left, right = spark.createDataFrame(a, "i int, k string, start long, end long"), spark.createDataFrame(b, "j int, k string, their_start long, their_end long")
+    for width in (1, 7, 50, 1_000):
+        got = sorted((r.i, r.j) for r in spans.overlapping(left, right, ["k"], width).collect())
+        assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
+        points = right.select("j", "k", F.col("their_start").alias("timestamp"))
+        got = sorted((r.i, r.j) for r in spans.points_within(left, points, ["k"], width).collect())
+        assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[2] < x[3])
+
+
+def test_negatives_of_two_users_are_independent(spark):
+    """Users with few edges among many computers: two users' negatives have about k * k / computers in common."""
+    rng = random.Random(8)
+    users, computers, k = 120, 259, 20
+    edges = {(1, f"U{u}", f"C{c}") for u in range(users) for c in rng.sample(range(computers), 3)} | {(1, f"U{c % users}", f"C{c}") for c in range(computers)}
+    got: dict = {}
+    for r in graph.negative_sample(spark.createDataFrame(sorted(edges), "window_end int, acting_user string, destination_computer string"), k).collect():
+        got.setdefault(r.acting_user, set()).add(r.destination_computer)
+    assert {len(x) for x in got.values()} == {k} and len(got) == users
+    common = [len(got[a] & got[b]) for a in got for b in got if a < b]
+    assert abs(sum(common) / len(common) - k * k / computers) < 0.15 and max(common) < 12
+
+
+def test_alert_counts_are_required(spark):
+    alerts = spark.createDataFrame([("A1", "U1", 1, 1, 2)], "alert_id string, user string, hour long, day int, auth_count long")
+    events = spark.createDataFrame([(5, "U1", 1, 1), (3600, "U1", 1, 2), (3601, "U1", 1, 3)], "timestamp long, acting_user string, dataset_day int, source_line long")
+    assert {r.source_line for r in incidents.require_counts(alerts, events).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        incidents.require_counts(alerts.withColumn("auth_count", F.lit(3)), events)
