@@ -11,6 +11,8 @@ from kestrelog.functions.clock import day_of
 
 AUTH_FIELDS = ["timestamp", "source_user", "destination_user", "source_computer", "destination_computer", "authentication_type", "logon_type", "authentication_orientation", "authentication_result"]
 LABEL_FIELDS = ["timestamp", "user", "source_computer", "destination_computer"]
+#: Lines of a day that go to one file, and lines that a lookup by filter takes.
+STRIPE, LOOKUP = 5_000_000, 1_000
 LABEL_COLUMNS = {"is_red_team", "label", "red_team", "is_attack"}
 
 
@@ -146,8 +148,18 @@ def compare_days(events: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def write_days(events: DataFrame, path: str) -> None:
-    """Parquet with zstd, a folder for each day, sorted by line so that lookups can skip row groups."""
-    events.repartition("dataset_day", F.floor(F.col("source_line") / 5_000_000)).sortWithinPartitions("dataset_day", "source_line").write.partitionBy("dataset_day").option("compression", "zstd").parquet(path)
+    """Parquet with zstd, a folder for each day, sorted by line, with a Bloom filter on it: a lookup skips files and row groups without its lines."""
+    ordered = events.repartition("dataset_day", F.floor(F.col("source_line") / STRIPE)).sortWithinPartitions("dataset_day", "source_line")
+    # the filter's size follows from a file's lines, up to 8 MB
+    bloom = {"parquet.bloom.filter.enabled#source_line": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 23)}
+    ordered.write.partitionBy("dataset_day").options(compression="zstd", **bloom).parquet(path)
+
+
+def lookup_lines(spark: SparkSession, path: str, lines: list[int]) -> DataFrame:
+    """Events of a written log by their lines, LOOKUP at most, as a filter that the scan applies to statistics and Bloom filters before it reads rows."""
+    if len(lines) > LOOKUP:
+        raise ValueError(f"more than {LOOKUP} lines are a join, not a lookup")
+    return spark.read.parquet(path).where(F.col("source_line").isin(lines))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

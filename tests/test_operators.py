@@ -258,3 +258,29 @@ def test_alert_counts_are_required(spark):
     assert {r.source_line for r in incidents.require_counts(alerts, events).collect()} == {1, 2}
     with pytest.raises(ValueError):
         incidents.require_counts(alerts.withColumn("auth_count", F.lit(3)), events)
+
+
+def test_lookups_skip_what_has_no_line(spark, tmp_path):
+    """Days of scattered lines: a Bloom filter on lines is written, the scan gets the filter, and few rows are read."""
+    rows = [(d * 86_400 - 5, d, (i * 7919 + d * 13) % 1_000_003) for d in range(1, 9) for i in range(2_000)]
+    log = spark.createDataFrame(rows, "timestamp long, dataset_day int, source_line long")
+    authlog.write_days(log, str(tmp_path / "days"))
+    wanted = [rows[5][2], rows[9_000][2], 999_999_999]
+    found = authlog.lookup_lines(spark, str(tmp_path / "days"), wanted)
+    assert sorted(r.source_line for r in found.collect()) == sorted(r[2] for r in rows if r[2] in wanted)
+    plan = found._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "PushedFilters: [In(source_line" in text
+
+    def rows_read(bloom: bool) -> int:
+        """Rows that the scan hands on when statistics may not help."""
+        off = {f"parquet.filter.{x}.enabled": "false" for x in ("stats", "dictionary", "columnindex", "record-level")}
+        read = spark.read.options(**off, **{"parquet.filter.bloom.enabled": str(bloom).lower()}).parquet(str(tmp_path / "days"))
+        looked = read.where(F.col("source_line").isin(wanted[:2])).select("source_line", "timestamp")
+        looked.collect()
+        leaves = looked._jdf.queryExecution().executedPlan().collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_read(False) == len(rows) and rows_read(True) <= len(rows) // 2
+    with pytest.raises(ValueError):
+        authlog.lookup_lines(spark, "", list(range(2_000)))
