@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -90,18 +91,19 @@ def test_guards(spark):
 
 
 def test_graph_window(spark):
-    rows = [(90000, "U1", "C1", "Success", 1), (90100, "U1", "C1", "Fail", 2), (91000, "U1", "C2", "Success", 3), (92000, "U2", "C2", "Success", 4), (200000, "FUTURE", "C9", "Success", 5), (500, "U1", "C1", "Success", 0)]
-    e = spark.createDataFrame(rows, "timestamp long, acting_user string, destination_computer string, authentication_result string, source_line long")
-    w = graph.assign_windows(e)
-    got = {(r.acting_user, r.destination_computer): r for r in graph.edges(w).where("window_end = 172801").collect()}
-    assert len(got) == 3
-    r = got["U1", "C1"]
-    assert (r.successes, r.failures, r.weight, r.lines, r.is_new) == (1, 1, 1.25, [1, 2], False)
-    assert got["U1", "C2"].is_new
-    p = graph.bursts(w).where("window_end = 172801 and acting_user = 'U1'").first()
-    assert (p.peak_60s, p.peak_300s, p.peak_destinations_300s) == (1, 2, 1)
-    d = graph.prior_degrees(e).where("window_end = 172801 and acting_user = 'U1'").first()
-    assert d.prior_degree == 1
+    """Window (100,000 - 86,400, 100,001]: a pair known from before, a new one, a burst of three in a minute, an event after the end."""
+    known = [(7_000, "A", "K", "Success", 1)]
+    inside = [(20_000 + 25 * i, "A", "K", "Fail" if i == 1 else "Success", 10 + i) for i in range(3)] + [(20_200, "A", "N", "Fail", 20), (60_000, "B", "K", "Success", 30)]
+    after = [(100_001, "A", "Z", "Success", 40)]
+    e = spark.createDataFrame(known + inside + after, "timestamp long, acting_user string, destination_computer string, authentication_result string, source_line long")
+    w = e.where("timestamp > 13600 and timestamp <= 100000").withColumn("window_end", F.lit(100_001).cast("long"))
+    seen = e.groupBy("acting_user", "destination_computer").agg(F.min("timestamp").alias("first"))
+    got = {(r.acting_user, r.destination_computer): (r.successes, r.failures, r.weight, r.lines) for r in graph.edges(w).collect()}
+    assert got == {("A", "K"): (2, 1, 2.25, [10, 11, 12]), ("A", "N"): (0, 1, 0.25, [20]), ("B", "K"): (1, 0, 1.0, [30])} and seen.count() == 4
+    whole = {(r.acting_user, r.destination_computer): r.is_new for r in graph.edges(graph.assign_windows(e)).where("window_end = 86401").collect()}
+    assert whole == {("A", "K"): True, ("A", "N"): True, ("B", "K"): True}
+    p = graph.bursts(w).where("acting_user = 'A'").first()
+    assert (p.peak_60s, p.peak_300s, p.peak_destinations_300s) == (3, 4, 2)
 
 
 def aligned(spark, rows):
@@ -109,17 +111,23 @@ def aligned(spark, rows):
 
 
 def test_temporal_fusion(spark):
-    def run(rows):
-        f = fusion.fuse(aligned(spark, rows), "weighted", 0.5)
-        return fusion.temporal(f, weight=0.10, alert=0.90).orderBy("hour").collect()
-
-    a = run([(86401, 0.95, True, 0.5, False), (90001, 0.5, False, 0.5, False), (93601, 0.5, False, 0.95, True)])
-    assert a[0].boost == 0 and a[0].lead is None
-    assert a[2].boost == pytest.approx(0.1 * 2.718281828459045 ** (-7200 / 21600)) and (a[2].lead, a[2].lead_seconds, a[2].base) == ("sequence", 7200, 0.725)
-    assert run([(86401, 0.95, True, 0.5, False), (180001, 0.5, False, 0.95, True)])[1].boost == 0
-    s = run([(86401, 0.95, True, 0.95, True)])[0]
-    assert (s.boost, s.lead, s.lead_seconds) == (pytest.approx(0.10), "simultaneous", 0)
-    assert run([(86401, 0.999, True, 0.999, True)])[0].fused == 0.9999
+    """A lead of the graph over the sequence by four hours; too old a lead; both at once; a lead of the other side; the cap."""
+    def run(rows, **more):
+        f = fusion.fuse(aligned(spark, rows), "weighted", 0.25)
+        return fusion.temporal(f, weight=0.2, alert=0.8, **more).orderBy("hour").collect()
+
+    quiet, h = (0.4, False, 0.2, False), 3_600
+    a = run([(h, 0.4, False, 0.9, True), (3 * h, *quiet), (5 * h, 0.8, True, 0.2, False)])
+    assert [r.boost for r in a[:2]] == [0, 0] and a[1].lead is None
+    assert (a[2].lead, a[2].lead_seconds) == ("graph", 4 * h) and a[2].base == pytest.approx(0.25 * 0.8 + 0.75 * 0.2)
+    assert a[2].boost == pytest.approx(0.2 * math.exp(-4 * h / 21_600)) and a[2].fused == pytest.approx(a[2].base + a[2].boost)
+    old = run([(h, 0.4, False, 0.9, True), (h + 86_400 + h, 0.8, True, 0.2, False)])
+    assert old[1].boost == 0 and old[1].lead is None
+    both = run([(7 * h, 0.85, True, 0.95, True)])[0]
+    assert (both.lead, both.lead_seconds, both.boost) == ("simultaneous", 0, pytest.approx(0.2))
+    other = run([(h, 0.9, True, 0.1, False), (2 * h, 0.1, False, 0.9, True)])[1]
+    assert (other.lead, other.lead_seconds) == ("sequence", h)
+    assert run([(h, 1.0, True, 1.0, True)])[0].fused == 0.9999
 
 
 def test_alignment_is_causal_and_goes_stale(spark):
@@ -130,26 +138,54 @@ def test_alignment_is_causal_and_goes_stale(spark):
 
 
 def test_metrics_by_hand(spark):
-    rows = spark.createDataFrame(list(zip([0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3], [bool(x) for x in (1, 0, 1, 0, 0, 1, 0, 0)])), "score double, label boolean")
+    """Six scores: at 0.6 three alerts, all but one positive right; then four units of which one positive was never scored."""
+    rows = spark.createDataFrame([(0.99, True), (0.75, False), (0.6, True), (0.55, False), (0.2, False), (0.1, False)], "score double, label boolean")
     best = metrics.best_f1(rows).first()
-    assert best.threshold == 0.8 and best.f1 == pytest.approx(2 / 3)
-    c = metrics.confusion(rows, F.lit(0.8)).first()
-    assert (c.tp, c.fp, c.fn, c.tn, c.fpr) == (2, 1, 1, 4, 0.2)
-    scored = spark.createDataFrame([("A", 0.9), ("B", 0.2), ("C", 0.7), ("D", 0.1)], "unit string, score double")
-    s = metrics.evaluation_summary(scored, spark.createDataFrame([("A",), ("Z",)], "unit string"), ["unit"]).first()
-    assert (s.coverage, s.ap, s.auc, s.lift, s.recall_with_unscored) == (0.5, 1.0, 1.0, 4.0, 0.5)
-    tied = spark.createDataFrame([(0.5, True), (0.5, False)], "score double, label boolean")
-    assert metrics.roc_auc(tied).first().auc == 0.5 and metrics.average_precision(tied).first().ap == 0.5
+    assert best.threshold == 0.6 and best.f1 == pytest.approx(0.8)
+    c = metrics.confusion(rows, F.lit(0.6)).first()
+    assert (c.tp, c.fp, c.fn, c.tn, c.fpr, c.recall) == (2, 1, 0, 3, 0.25, 1.0)
+    assert metrics.average_precision(rows).first().ap == pytest.approx((1 + 2 / 3) / 2) and metrics.roc_auc(rows).first().auc == 7 / 8
+    scored = spark.createDataFrame([("p", 0.3), ("q", 0.8), ("r", 0.1), ("s", 0.05), ("t", 0.02)], "unit string, score double")
+    s = metrics.evaluation_summary(scored, spark.createDataFrame([("q",), ("r",), ("nowhere",)], "unit string"), ["unit"]).first()
+    assert (s.coverage, s.ap, s.prevalence, s.recall_with_unscored) == (pytest.approx(2 / 3), pytest.approx((1 + 2 / 3) / 2), 0.4, pytest.approx(2 / 3))
+    tied = spark.createDataFrame([(0.7, True), (0.7, True), (0.7, False), (0.1, False)], "score double, label boolean")
+    assert metrics.roc_auc(tied).first().auc == 0.75 and metrics.average_precision(tied).first().ap == pytest.approx(2 / 3)
+    equal = spark.createDataFrame([(0.9, True), (0.5, False), (0.3, True), (0.2, False), (0.1, False)], "score double, label boolean")  # 0.9 gives 2/3, 0.3 gives 0.8
+    assert metrics.best_f1(equal).first().threshold == 0.3
+    two = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, False), (0.6, True)], "score double, label boolean")  # both 0.9 and 0.6 give 2/3
+    assert metrics.best_f1(two).first().threshold == 0.9 and metrics.best_f1(two, lowest=True).first().threshold == 0.6
+    odd = two.union(spark.createDataFrame([(float("nan"), True), (None, True)], "score double, label boolean"))
+    assert metrics.average_precision(odd).first().ap == metrics.average_precision(two).first().ap
+
+
+def test_scores_close_together_are_cut_into_ranges(spark):
+    """Forty thousand scores within [0.92, 1) meet in many ranges, none of which holds more than a few hundredths."""
+    rng = random.Random(9)
+    rows = [(0.92 + 0.08 * rng.random(), rng.random() < 0.1) for _ in range(40_000)]
+    df = spark.createDataFrame(rows, "score double, label boolean")
+    c = metrics.cumulative(df)
+    plan = c._jdf.queryExecution().toString()
+    assert "bucketizer" in plan.lower() or "UDF" in plan
+    sizes = metrics.Bucketizer(splits=[-math.inf, *sorted(set(df.stat.approxQuantile("score", [i / 256 for i in range(1, 256)], 1 / 1024))), math.inf], inputCol="score", outputCol="r").transform(df).groupBy("r").count().agg(F.max("count")).first()[0]
+    assert sizes < 1_000
+    ordered = sorted(rows, reverse=True)
+    tp, ap, total = 0, 0.0, sum(y for _, y in rows)
+    for i, (_, y) in enumerate(ordered, 1):
+        tp += y
+        ap += tp / i / total if y else 0
+    assert metrics.average_precision(df).first().ap == pytest.approx(ap)
 
 
 def test_calibrator(spark):
-    values = [0.2] * 500 + [0.3 + 1.7 * i / 499 for i in range(500)]
+    """Three quarters of the references are equal, the rest spread over two decades: below the step 0, on it its upper end, then rising, a tail that never ends."""
+    values = [0.05] * 900 + [10 ** (-1 + 2 * (i + 0.5) / 300) for i in range(300)]
     knots = metrics.fit_calibrator(spark.createDataFrame([(v,) for v in values], "score double"))
-    asked = spark.createDataFrame([(0.1,), (0.2,), (0.5,), (1.9,), (5.0,), (None,)], "score double")
+    asked = spark.createDataFrame([(0.01,), (0.05,), (1.0,), (7.0,), (10.0,), (1e3,), (1e9,), (None,)], "score double")
     got = [r.calibrated for r in metrics.calibrate(asked, knots).collect()]
-    assert got[0] == 0 and got[1] == pytest.approx(0.5, abs=0.002) and got[1] < got[2] < got[3] < got[4] < 1 and got[5] is None
+    assert got[0] == 0 and got[1] == pytest.approx(0.75, abs=0.002) and got[2] == pytest.approx(0.875, abs=0.002)
+    assert got[2] < got[3] < got[4] < got[5] < got[6] < 1 and got[7] is None
     with pytest.raises(ValueError):
-        metrics.fit_calibrator(spark.createDataFrame([(1.0,)], "score double"))
+        metrics.fit_calibrator(spark.createDataFrame([(float(i),) for i in range(99)], "score double"))
 
 
 def test_daily_queue_and_incidents(spark):
