@@ -220,6 +220,56 @@ def mode_scores(judged: DataFrame) -> DataFrame:
     ).withColumn("recall", F.col("incidents_hit") / F.col("incidents"))
 
 
+def _parents(techniques: Column) -> Column:
+    return F.transform(techniques, lambda t: F.substring_index(t, ".", 1))
+
+
+def judged(records: DataFrame, reference: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """records (mode, incident_id, ok, mapped) and reference (incident_id, supported, uncertain) -> a verdict for each mapped technique.
+
+    In order: invalid_id, supported, uncertain, supported_parent, uncertain_parent, unsupported. Only incidents of the reference and replies that are ok count.
+    """
+    listed = catalogue.select("technique", F.lit(True).alias("listed")).distinct()
+    each = records.where("ok").join(reference, "incident_id").withColumn("technique", F.explode("mapped")).join(tables.checked(listed), "technique", "left")
+    parent, has = F.substring_index("technique", ".", 1), lambda c, x: F.array_contains(c, x)
+    verdict = (
+        F.when(F.col("listed").isNull(), "invalid_id").when(has("supported", F.col("technique")), "supported").when(has("uncertain", F.col("technique")), "uncertain")
+        .when(has(_parents(F.col("supported")), parent), "supported_parent").when(has(_parents(F.col("uncertain")), parent), "uncertain_parent").otherwise("unsupported")
+    )
+    return each.select("mode", "incident_id", "technique", verdict.alias("verdict"))
+
+
+def outcomes(records: DataFrame, reference: DataFrame, modes: DataFrame) -> DataFrame:
+    """(mode, incident_id, label, outcome, wanted, found): what a mode made of each incident of the reference.
+
+    label: mapped if the reviewers name any technique, else no_mapping; outcome: empty without a reply that is ok, abstained without
+    a technique, else mapped. wanted counts the supported techniques, found those whose parent is mapped. modes (mode) are few.
+    """
+    held = reference.crossJoin(F.broadcast(modes.select("mode").distinct()))  # every mode is asked about every incident of the reference
+    both = held.join(records, ["mode", "incident_id"], "left")
+    label = F.when((F.size("supported") > 0) | (F.size("uncertain") > 0), "mapped").otherwise("no_mapping")
+    outcome = F.when(~F.coalesce("ok", F.lit(False)), "empty").when(F.size("mapped") > 0, "mapped").otherwise("abstained")
+    parents = _parents(F.when(outcome == "mapped", F.col("mapped")).otherwise(F.array().cast("array<string>")))
+    found = F.size(F.filter(_parents(F.col("supported")), lambda t: F.array_contains(parents, t)))
+    return both.select("mode", "incident_id", label.alias("label"), outcome.alias("outcome"), F.size("supported").alias("wanted"), found.alias("found"))
+
+
+def review_scores(records: DataFrame, reference: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """A row for each mode: shares of mapped techniques by verdict, recall by parent, empty outputs, abstentions right and missed, mappings where none belongs. Null where nothing is counted."""
+    modes = records.select("mode").distinct()
+    verdicts = judged(records, reference, catalogue).groupBy("mode").agg(F.count("*").alias("mapped"), *[F.count_if(F.col("verdict").isin(*names)).alias(n) for n, names in {
+        "valid": ("supported", "uncertain", "supported_parent", "uncertain_parent", "unsupported"), "strict": ("supported",), "by_parent": ("supported", "supported_parent"), "uncertain": ("uncertain",), "unsupported": ("unsupported", "invalid_id")}.items()])
+    made = outcomes(records, reference, modes)
+    kept, none = F.col("outcome") == "abstained", F.col("label") == "no_mapping"
+    counts = made.groupBy("mode").agg(
+        F.count("*").alias("incidents"), F.count_if(F.col("outcome") == "empty").alias("empty"), F.count_if(kept & (F.col("wanted") == 0)).alias("abstained_rightly"), F.count_if(kept & (F.col("wanted") > 0)).alias("abstained_wrongly"),
+        F.count_if(none & (F.col("outcome") == "mapped")).alias("false_mappings"), F.count_if(none).alias("without_mapping"), F.sum("wanted").alias("wanted"), F.sum("found").alias("found"),
+    )
+    ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    rates = {f"{c}_rate": ratio(c, "mapped") for c in ("valid", "strict", "by_parent", "uncertain", "unsupported")}
+    return counts.join(verdicts, "mode", "left").withColumns(rates | {"recall": ratio("found", "wanted"), "false_mapping_rate": ratio("false_mappings", "without_mapping")})
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean Jaccard similarity of two reviewers' technique sets (incident_id, techniques), by parent."""
     parents = lambda c: F.array_distinct(F.transform(c, lambda t: F.substring_index(t, ".", 1)))

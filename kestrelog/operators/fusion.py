@@ -112,11 +112,15 @@ def day_temporal(days: DataFrame) -> DataFrame:
     return out.withColumn("lead_seconds", lead)
 
 
-def grid(aligned: DataFrame, settings: list[tuple[str, str, float]]) -> DataFrame:
-    """One row per unit and setting (name, rule, seq_weight): (setting, user, hour, score)."""
+def grid(aligned: DataFrame, settings: list[tuple[str, str, float, tuple[float, int] | None]]) -> DataFrame:
+    """One row per unit and setting (name, rule, seq_weight, (boost, tau) or None): (setting, user, hour, score)."""
     out = None
-    for name, rule, weight in settings:
-        part = fuse(aligned, rule, weight).select(F.lit(name).alias("setting"), "user", "hour", F.col("base").alias("score"))
+    for name, rule, weight, boost in settings:
+        fused = fuse(aligned, rule, weight)
+        score = F.col("base")
+        if boost is not None:
+            fused, score = temporal(fused, weight=boost[0], tau=boost[1]), F.col("fused")
+        part = fused.select(F.lit(name).alias("setting"), "user", "hour", score.alias("score"))
         out = part if out is None else out.union(part)
     return out
 

@@ -44,12 +44,12 @@ def mode_of(events: DataFrame, column: str) -> DataFrame:
 
 
 def unit_summary(events: DataFrame) -> DataFrame:
-    """The 16 values of a user-hour: log count, means, maxima, minimum, rates, three modes, failure rate; with the lines in order."""
+    """The 16 values of a user-hour: log count, means, maxima, minimum, rates, three modes, failure rate; besides, the rate of new sources, the machine flag and the lines in order."""
     e = events.withColumn("hour", hour_start(F.col("timestamp")))
     rate = lambda c: F.avg(F.col(c).cast("double"))
     out = e.groupBy(*KEYS).agg(
         F.log1p(F.count("*").cast("double")).alias("log_count"), F.avg("prior_auth_count_1h").alias("mean_prior_auths"), F.max("prior_auth_count_1h").alias("max_prior_auths"), F.avg("prior_failure_count_1h").alias("mean_prior_failures"), F.max("prior_failure_count_1h").alias("max_prior_failures"),
-        F.avg("seconds_since_previous_auth").alias("mean_gap"), F.min("seconds_since_previous_auth").alias("min_gap"), F.max("prior_unique_destinations_24h").alias("max_destinations"),
+        F.avg("seconds_since_previous_auth").alias("mean_gap"), F.min("seconds_since_previous_auth").alias("min_gap"), F.max("prior_unique_destinations_24h").alias("max_destinations"), F.max("prior_user_destination_count_24h").alias("max_user_destination"), rate("has_user_history").alias("rate_history"),
         rate("is_new_user_destination").alias("rate_new_destination"), rate("is_new_user_source").alias("rate_new_source"), rate("is_new_host_connection").alias("rate_new_host"), rate("is_machine_account").alias("machine"),
         F.avg((F.col("authentication_result") == "Fail").cast("double")).alias("failure_rate"), F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "source_line"))), lambda x: x["source_line"].cast("string"))).alias("lines"),
     )
@@ -63,13 +63,15 @@ def tie_order(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
 
 
-def compare_scorings(a: DataFrame, b: DataFrame, keys: list[str], k: int, tolerance: float) -> DataFrame:
-    """One row about two scorings (keys, score): whether the units agree, the largest difference, whether the top k are the same sets."""
-    both = a.withColumnRenamed("score", "a").join(b.withColumnRenamed("score", "b"), keys, "full_outer")
-    stats = both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"), F.max(F.abs(F.col("a") - F.col("b"))).alias("largest"))
+def compare_scorings(a: DataFrame, b: DataFrame, keys: list[str], k: int, tolerance: float, flag: str | None = None) -> DataFrame:
+    """One row about two scorings (keys, score, flag): whether units and flags agree, the largest difference, whether the top k are the same sets. Scores that differ by the tolerance agree."""
+    flag = flag or "__flag"
+    a, b = (x if flag in x.columns else x.withColumn(flag, F.lit(False)) for x in (a, b))
+    both = a.withColumnsRenamed({"score": "a", flag: "fa"}).join(b.withColumnsRenamed({"score": "b", flag: "fb"}), keys, "full_outer")
+    stats = both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"), F.count_if(F.col("fa") != F.col("fb")).alias("flags_differ"), F.max(F.abs(F.col("a") - F.col("b"))).alias("largest"))
     top = [x.orderBy(F.desc("score"), *keys).limit(k).select(*keys) for x in (a, b)]
     differ = top[0].exceptAll(top[1]).union(top[1].exceptAll(top[0])).agg(F.count("*").alias("top_differ"))
-    return stats.join(differ, F.lit(True)).withColumn("agrees", (F.col("unmatched") == 0) & (F.col("largest") <= tolerance) & (F.col("top_differ") == 0))  # one row each
+    return stats.join(differ, F.lit(True)).withColumn("agrees", (F.col("unmatched") == 0) & (F.col("flags_differ") == 0) & (F.col("largest") <= tolerance) & (F.col("top_differ") == 0))  # one row each
 
 
 # ---- isolation forest ----

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kestrelog.functions import tables
@@ -240,6 +241,13 @@ for _rule, _expr in (("max", "CASE WHEN seq_score IS NULL AND graph_score IS NUL
         return fusion.fuse(aligned(spark, sf_dir), rule, 0.3).select("user", "hour", F.round("base", 6).alias("base"), "disagreement")
 
 
+
+
+def temporal_sql(weight: float, tau: int, source: str = "fu", cap: float = 0.9999) -> str:
+    """The fused scores of a temporal setting over the gaps of tp0."""
+    return f"SELECT *, CASE WHEN base IS NOT NULL THEN least(base + coalesce({weight} * exp(-gap / {tau}), 0.0), {cap}) END AS fused FROM {source}"
+
+
 TEMPORAL = FUSE + """,
 sa AS (SELECT user, hour FROM fu WHERE is_seq_alert), ga AS (SELECT user, hour FROM fu WHERE is_graph_alert),
 tp0 AS (SELECT f.*, (SELECT min(abs(sa.hour - ga.hour)) FROM sa, ga WHERE sa.user = f.user AND ga.user = f.user AND sa.hour BETWEEN f.hour - 86400 AND f.hour AND ga.hour BETWEEN f.hour - 86400 AND f.hour) AS gap,
@@ -260,18 +268,32 @@ def _(spark, sf_dir):
     return fusion.day_temporal(days).select("user", "day", "seq_score", "graph_before", "lead_seconds")
 
 
-SETTINGS = [("max", "max", 0.5), ("average", "average", 0.5), ("seq_heavy", "weighted", 0.7), ("graph_heavy", "weighted", 0.3)]
+#: Name, rule, weight of the sequence, and for temporal ones the boost and its decay in seconds.
+SETTINGS = [
+    ("maximum", "max", 0.5, None), ("average", "average", 0.5, None), ("weighted 0.3", "weighted", 0.3, None), ("weighted 0.5", "weighted", 0.5, None), ("weighted 0.7", "weighted", 0.7, None),
+    ("temporal 6 h", "weighted", 0.5, (0.15, 21_600)), ("temporal 12 h", "weighted", 0.5, (0.15, 43_200)), ("temporal 24 h", "weighted", 0.5, (0.20, 86_400)),
+]
 
 
-@query("fusion_grid", f"""WITH {ALIGN}{RED_PART}, st AS (SELECT * FROM (VALUES ('max', -1.0), ('average', 0.5), ('seq_heavy', 0.7), ('graph_heavy', 0.3)) v(setting, ws)), y AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS hour FROM red),
-x AS (SELECT setting, al.user, al.hour, CASE WHEN seq_score IS NULL OR graph_score IS NULL THEN coalesce(seq_score, graph_score) WHEN ws < 0 THEN greatest(seq_score, graph_score) ELSE ws * seq_score + (1 - ws) * graph_score END AS score FROM al, st),
-g AS (SELECT setting, round(score, 6) AS score, count(*) FILTER (y.user IS NOT NULL) AS pos, count(*) FILTER (y.user IS NULL) AS neg FROM x LEFT JOIN y ON y.user = x.user AND y.hour = x.hour WHERE score IS NOT NULL GROUP BY ALL), c AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER (PARTITION BY setting) AS P FROM g WINDOW o AS (PARTITION BY setting ORDER BY score DESC))
-SELECT setting, round(sum(pos * tp / (tp + fp)) / max(P), 6) AS ap, round(max(2 * tp / (tp + fp + P)), 6) AS f1 FROM c GROUP BY setting""")
+def _setting_sql(name, rule, weight, boost):
+    base = f"CASE WHEN seq_score IS NULL OR graph_score IS NULL THEN coalesce(seq_score, graph_score) ELSE {'greatest(seq_score, graph_score)' if rule == 'max' else f'{weight} * seq_score + (1 - {weight}) * graph_score'} END"
+    if boost is None:
+        return f"SELECT '{name}' AS setting, user, hour, {base} AS score FROM tp0"
+    return f"SELECT '{name}', user, hour, fused FROM ({temporal_sql(*boost, source=f'(SELECT * REPLACE ({base} AS base) FROM tp0)')})"
+
+
+@query("fusion_grid", f"""WITH {TEMPORAL}{RED_PART}, y AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS hour FROM red), x AS ({" UNION ALL ".join(_setting_sql(*s) for s in SETTINGS)}),
+g AS (SELECT setting, round(score, 6) AS score, count(*) FILTER (y.user IS NOT NULL) AS pos, count(*) FILTER (y.user IS NULL) AS neg FROM x LEFT JOIN y ON y.user = x.user AND y.hour = x.hour WHERE score IS NOT NULL GROUP BY ALL), c AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER (PARTITION BY setting) AS P FROM g WINDOW o AS (PARTITION BY setting ORDER BY score DESC)),
+f AS (SELECT *, 2 * tp / (tp + fp + P) AS f1 FROM c), m AS (SELECT setting, round(sum(pos * tp / (tp + fp)) / max(P), 6) AS ap, round(max(f1), 6) AS f1, arg_max(struct_pack(score, tp, fp, P), (f1, score)) AS b FROM f GROUP BY setting)
+SELECT setting, CAST(row_number() OVER (ORDER BY ap DESC, f1 DESC, setting) AS INTEGER) AS rank, ap, f1, b.score AS threshold, CAST(b.tp AS BIGINT) AS tp, CAST(b.fp AS BIGINT) AS fp, round(b.tp / (b.tp + b.fp), 6) AS precision, round(b.tp / b.P, 6) AS recall FROM m""")
 def _(spark, sf_dir):
-    rows = fusion.grid(aligned(spark, sf_dir), SETTINGS).withColumn("score", F.round("score", 6)).where("score is not null")
-    rows = metrics.label_units(rows, splits.label_hours(adapters.red_team(spark, sf_dir)), ["user", "hour"])
-    out = metrics.average_precision(rows, ["setting"]).join(metrics.best_f1(rows, ["setting"]).select("setting", "f1"), "setting")
-    return out.withColumns({"ap": F.round("ap", 6), "f1": F.round("f1", 6)})
+    """Eight fusion settings, three of them temporal, ranked by average precision and F1, with the best threshold of each."""
+    rows = fusion.grid(tables.stored(aligned(spark, sf_dir), "aligned"), SETTINGS).withColumn("score", F.round("score", 6)).where("score is not null")
+    rows = tables.stored(metrics.label_units(rows, splits.label_hours(adapters.red_team(spark, sf_dir)), ["user", "hour"]), "settings")
+    out = tables.stored(metrics.ranking(rows, ["setting"]), "setting-ranking")
+    at = metrics.confusion(rows.join(F.broadcast(out.select("setting", "threshold")), "setting"), F.col("threshold"), ["setting"])  # a row for each setting
+    out = out.withColumns({"ap": F.round("ap", 6), "f1": F.round("f1", 6)}).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ap"), F.desc("f1"), "setting")))  # a row for each setting
+    return out.drop("auc").join(at.select("setting", "tp", "fp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")), "setting")
 
 
 @query("fusion_supervised")

@@ -218,6 +218,46 @@ def _(spark, sf_dir):
     return behaviours.mode_scores(judged).withColumn("recall", F.round("recall", 6))
 
 
+# Reviewers and replies that follow from the verdicts: what rules met is supported by the reviewers, weaker forms are uncertain; a mode keeps all, or what was not rejected.
+_REVIEW = CITED + """, rs AS (SELECT DISTINCT incident_id FROM vd), rv AS (SELECT incident_id, technique, CASE WHEN reason = 'rule_met' AND cited % 2 = 0 THEN 'S' WHEN reason IN ('weaker_form', 'too_few_events') THEN 'U' END AS side FROM vd),
+rp0 AS (SELECT mode, incident_id, substr(md5(incident_id || mode), 1, 1) <> '0' AS ok, substr(md5(incident_id || mode), 2, 1) < '4' AS silent FROM rs, (VALUES ('all'), ('kept')) v(mode) WHERE substr(md5(incident_id || mode), 3, 1) <> '1'),
+mp AS (SELECT rp0.mode, rp0.incident_id, technique FROM rp0 JOIN vd USING (incident_id) WHERE ok AND NOT silent AND (mode = 'all' OR verdict <> 'Rejected')), pa AS (SELECT *, split_part(technique, '.', 1) AS parent FROM rv WHERE side IS NOT NULL),
+jv AS (SELECT mp.*, CASE WHEN technique NOT IN (SELECT technique FROM ct) THEN 'invalid_id' WHEN EXISTS (SELECT 1 FROM pa WHERE pa.incident_id = mp.incident_id AND side = 'S' AND pa.technique = mp.technique) THEN 'supported' WHEN EXISTS (SELECT 1 FROM pa WHERE pa.incident_id = mp.incident_id AND side = 'U' AND pa.technique = mp.technique) THEN 'uncertain'
+ WHEN EXISTS (SELECT 1 FROM pa WHERE pa.incident_id = mp.incident_id AND side = 'S' AND pa.parent = split_part(mp.technique, '.', 1)) THEN 'supported_parent' WHEN EXISTS (SELECT 1 FROM pa WHERE pa.incident_id = mp.incident_id AND side = 'U' AND pa.parent = split_part(mp.technique, '.', 1)) THEN 'uncertain_parent' ELSE 'unsupported' END AS verdict FROM mp),
+oc AS (SELECT v.mode, rs.incident_id, CASE WHEN EXISTS (SELECT 1 FROM pa WHERE pa.incident_id = rs.incident_id) THEN 'mapped' ELSE 'no_mapping' END AS label, CASE WHEN NOT coalesce(ok, false) THEN 'empty' WHEN EXISTS (SELECT 1 FROM mp WHERE mp.mode = v.mode AND mp.incident_id = rs.incident_id) THEN 'mapped' ELSE 'abstained' END AS outcome,
+ (SELECT count(*) FROM pa WHERE pa.incident_id = rs.incident_id AND side = 'S') AS wanted, (SELECT count(*) FROM pa WHERE pa.incident_id = rs.incident_id AND side = 'S' AND EXISTS (SELECT 1 FROM mp WHERE mp.mode = v.mode AND mp.incident_id = rs.incident_id AND split_part(mp.technique, '.', 1) = pa.parent)) AS found FROM rs CROSS JOIN (VALUES ('all'), ('kept')) v(mode) LEFT JOIN rp0 ON rp0.mode = v.mode AND rp0.incident_id = rs.incident_id)"""
+
+
+def reviewed(spark, sf_dir):
+    """Replies of two modes, some missing, broken or silent, the reviewers' sets, and the catalogue."""
+    v = tables.stored(verdicts(spark, sf_dir), "verdicts")
+    side = F.when((F.col("reason") == "rule_met") & (F.col("cited") % 2 == 0), "S").when(F.col("reason").isin("weaker_form", "too_few_events"), "U")
+    of = lambda s: F.sort_array(F.collect_set(F.when(side == s, F.col("technique"))))
+    reference = v.groupBy("incident_id").agg(of("S").alias("supported"), of("U").alias("uncertain"))
+    given = v.groupBy("incident_id").agg(F.sort_array(F.collect_set("technique")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("verdict") != "Rejected", F.col("technique")))).alias("kept"))
+    each = given.select("incident_id", F.explode(F.create_map(F.lit("all"), F.col("all"), F.lit("kept"), F.col("kept"))).alias("mode", "mapped"))
+    digest = F.md5(F.concat("incident_id", "mode").cast("binary"))
+    mapped = F.when(F.substring(digest, 2, 1) < "4", F.array().cast("array<string>")).otherwise(F.col("mapped"))
+    records = each.where(F.substring(digest, 3, 1) != "1").select("mode", "incident_id", (F.substring(digest, 1, 1) != "0").alias("ok"), mapped.alias("mapped"))
+    return records, reference, verdict_rules.catalogue(spark)
+
+
+@query("replies_review_scores", f"""WITH {_REVIEW}, j2 AS (SELECT mode, count(*) AS mapped, count(*) FILTER (verdict <> 'invalid_id') AS valid, count(*) FILTER (verdict = 'supported') AS strict, count(*) FILTER (verdict IN ('supported', 'supported_parent')) AS by_parent, count(*) FILTER (verdict = 'uncertain') AS uncertain, count(*) FILTER (verdict IN ('unsupported', 'invalid_id')) AS unsupported FROM jv GROUP BY mode),
+o2 AS (SELECT mode, count(*) AS incidents, count(*) FILTER (outcome = 'empty') AS empty, count(*) FILTER (outcome = 'abstained' AND wanted = 0) AS abstained_rightly, count(*) FILTER (outcome = 'abstained' AND wanted > 0) AS abstained_wrongly, count(*) FILTER (label = 'no_mapping' AND outcome = 'mapped') AS false_mappings, count(*) FILTER (label = 'no_mapping') AS without_mapping, CAST(sum(wanted) AS BIGINT) AS wanted, CAST(sum(found) AS BIGINT) AS found FROM oc GROUP BY mode)
+SELECT o2.*, j2.* EXCLUDE (mode), {", ".join(f"round({c} / mapped, 6) AS {c}_rate" for c in ("valid", "strict", "by_parent", "uncertain", "unsupported"))}, round(found / nullif(wanted, 0), 6) AS recall, round(false_mappings / nullif(without_mapping, 0), 6) AS false_mapping_rate FROM o2 LEFT JOIN j2 USING (mode)""")
+def _(spark, sf_dir):
+    """Replies against reviewers: strict and parent precision, recall, abstentions, empty outputs, false mappings."""
+    found = behaviours.review_scores(*reviewed(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.endswith("_rate") or c == "recall"})
+
+
+@query("replies_confusion", f"WITH {_REVIEW} SELECT mode, label, outcome, count(*) AS incidents FROM oc GROUP BY ALL")
+def _(spark, sf_dir):
+    """What the reviewers say of incidents against what each mode made of them."""
+    records, reference, _ = reviewed(spark, sf_dir)
+    return behaviours.outcomes(records, reference, records).groupBy("mode", "label", "outcome").agg(F.count("*").alias("incidents"))
+
+
 @query("replies_reviewer_agreement", f"WITH {CITED}, vp AS (SELECT incident_id, split_part(technique, '.', 1) AS t, verdict <> 'Rejected' AS k FROM vd), a AS (SELECT incident_id, list(DISTINCT t) AS x FROM vp GROUP BY 1), b AS (SELECT incident_id, list(DISTINCT t) AS y FROM vp WHERE k GROUP BY 1) SELECT round(avg(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))), 6) AS agreement, count(*) AS incidents FROM a JOIN b USING (incident_id)")
 def _(spark, sf_dir):
     v = verdicts(spark, sf_dir)

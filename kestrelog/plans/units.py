@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kestrelog.functions import tables
 from kestrelog.operators import history, hourly, metrics, scoring, sequences, splits
 from kestrelog.sources import adapters
 
@@ -267,15 +268,17 @@ def _(spark, sf_dir):
 
 
 @query("metrics_model_matrix", f"""WITH {MODELS}, g2 AS (SELECT model, score, count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg FROM md GROUP BY ALL), c2 AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER (PARTITION BY model) AS P FROM g2 WINDOW o AS (PARTITION BY model ORDER BY score DESC)),
-a AS (SELECT model, round(sum(pos * tp / (tp + fp)) / max(P), 6) AS ap, round(max(2 * tp / (tp + fp + P)), 6) AS f1 FROM c2 GROUP BY model), bb AS (SELECT model, budget, count(*) FILTER (rank <= budget AND label) AS hits FROM mr, (VALUES (10), (25), (38), (50), (100)) v(budget) GROUP BY ALL)
-SELECT model, CAST(budget AS INTEGER) AS budget, hits, ap, f1 FROM bb JOIN a USING (model)""")
+a AS (SELECT model, round(sum(pos * tp / (tp + fp)) / max(P), 6) AS ap, round(max(2 * tp / (tp + fp + P)), 6) AS f1 FROM c2 GROUP BY model), bb AS (SELECT model, budget, count(*) FILTER (rank <= budget AND label) AS hits, count(*) FILTER (rank <= budget) AS selected, count(*) FILTER (label) AS positives FROM mr, (VALUES (10), (25), (38), (50), (100)) v(budget) GROUP BY ALL)
+SELECT model, CAST(budget AS INTEGER) AS budget, hits, round(hits / selected, 6) AS precision, round(hits / positives, 6) AS recall, ap, f1 FROM bb JOIN a USING (model)""")
 def _(spark, sf_dir):
     m = models(spark, sf_dir)
     ranks = metrics.ranked(m, ["model", "day"], ["tie"])
-    budgets = [10, 25, 38, 50, 100]
-    curve = ranks.groupBy("model").agg(*[F.count_if((F.col("rank") <= b) & F.col("label")).alias(str(b)) for b in budgets]).unpivot(["model"], [str(b) for b in budgets], "budget", "hits")
-    out = curve.join(metrics.average_precision(m, ["model"]), "model").join(metrics.best_f1(m, ["model"]).select("model", "f1"), "model")
-    return out.select("model", F.col("budget").cast("int").alias("budget"), "hits", F.round("ap", 6).alias("ap"), F.round("f1", 6).alias("f1"))
+    budgets, inside = [10, 25, 38, 50, 100], lambda b: F.col("rank") <= b
+    each = lambda b: F.struct(F.lit(b).alias("budget"), F.count_if(inside(b) & F.col("label")).alias("hits"), F.count_if(inside(b)).alias("selected"))
+    curve = ranks.groupBy("model").agg(F.count_if("label").alias("positives"), F.array(*map(each, budgets)).alias("at")).select("model", "positives", F.explode("at").alias("x")).select("model", "positives", "x.*")
+    out = curve.join(metrics.ranking(m, ["model"]).select("model", "ap", "f1"), "model")
+    rates = [F.round(F.col("hits") / F.col("selected"), 6).alias("precision"), F.round(F.col("hits") / F.col("positives"), 6).alias("recall")]
+    return out.select("model", "budget", "hits", *rates, F.round("ap", 6).alias("ap"), F.round("f1", 6).alias("f1"))
 
 
 @query("metrics_user_days", f"WITH {LABELLED} SELECT user, day, max(score) AS score, bool_or(label) AS label, bool_or(is_machine) AS is_machine, min(tie) AS tie FROM sc GROUP BY ALL")
@@ -344,13 +347,19 @@ def _(spark, sf_dir):
 SUMMARY = HISTORY + ", " + ", ".join(f"m{i} AS (SELECT acting_user, hour, {c}, row_number() OVER (PARTITION BY acting_user, hour ORDER BY count(*) DESC, min((timestamp, source_line))) AS r FROM feat GROUP BY acting_user, hour, {c})" for i, c in enumerate(("authentication_type", "logon_type", "authentication_orientation")))
 
 
-@query("baseline_unit_summary", f"""WITH {SUMMARY} SELECT acting_user, hour, round(ln(1 + count(*)), 6) AS log_count, round(avg(prior_auth_count_1h), 6) AS mean_prior_auths, max(prior_auth_count_1h) AS max_prior_auths, round(avg(seconds_since_previous_auth), 6) AS mean_gap, min(seconds_since_previous_auth) AS min_gap, max(prior_unique_destinations_24h) AS max_destinations,
-round(avg(CASE WHEN authentication_result = 'Fail' THEN 1.0 ELSE 0.0 END), 6) AS failure_rate, round(avg(CASE WHEN is_new_host_connection THEN 1.0 ELSE 0.0 END), 6) AS rate_new_host, any_value(m0.authentication_type) AS mode_authentication_type, any_value(m1.logon_type) AS mode_logon_type, string_agg(source_line, ' ' ORDER BY timestamp, source_line) AS lines
-FROM feat f JOIN (FROM m0 WHERE r = 1) m0 USING (acting_user, hour) JOIN (FROM m1 WHERE r = 1) m1 USING (acting_user, hour) GROUP BY acting_user, hour""")
+_AVG = {"mean_prior_auths": "prior_auth_count_1h", "mean_prior_failures": "prior_failure_count_1h", "mean_gap": "seconds_since_previous_auth"}
+_MAX = {"max_prior_auths": "prior_auth_count_1h", "max_prior_failures": "prior_failure_count_1h", "max_destinations": "prior_unique_destinations_24h", "max_user_destination": "prior_user_destination_count_24h"}
+_RATE = {"failure_rate": "authentication_result = 'Fail'", "rate_new_host": "is_new_host_connection", "rate_new_destination": "is_new_user_destination", "rate_history": "has_user_history"}
+_MODES = ("authentication_type", "logon_type", "authentication_orientation")
+
+
+@query("baseline_unit_summary", f"""WITH {SUMMARY} SELECT acting_user, hour, round(ln(1 + count(*)), 6) AS log_count, {", ".join(f"round(avg({c}), 6) AS {n}" for n, c in _AVG.items())}, {", ".join(f"max({c}) AS {n}" for n, c in _MAX.items())}, min(seconds_since_previous_auth) AS min_gap,
+{", ".join(f"round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6) AS {n}" for n, c in _RATE.items())}, {", ".join(f"any_value(m{i}.{c}) AS mode_{c}" for i, c in enumerate(_MODES))}, string_agg(source_line, ' ' ORDER BY timestamp, source_line) AS lines
+FROM feat f {" ".join(f"JOIN (FROM m{i} WHERE r = 1) m{i} USING (acting_user, hour)" for i in range(3))} GROUP BY acting_user, hour""")
 def _(spark, sf_dir):
+    """All sixteen values of each user-hour."""
     s = hourly.unit_summary(history.history_features(auth(spark, sf_dir)))
-    rounded = ["log_count", "mean_prior_auths", "mean_gap", "failure_rate", "rate_new_host"]
-    return s.select("acting_user", "hour", *[F.round(c, 6).alias(c) for c in rounded], "max_prior_auths", "min_gap", "max_destinations", "mode_authentication_type", "mode_logon_type", "lines")
+    return s.select("acting_user", "hour", *[F.round(c, 6).alias(c) for c in ("log_count", *_AVG, *_RATE)], *_MAX, "min_gap", *[f"mode_{c}" for c in _MODES], "lines")
 
 
 @query("baseline_isolation_forest")
@@ -362,12 +371,17 @@ def _(spark, sf_dir):
     return scored.select("acting_user", "hour", "day", F.round("score", 6).alias("score"), F.round((F.col("score") - low_high.lo) / F.nullif(F.lit(low_high.hi - low_high.lo), F.lit(0.0)), 6).alias("scaled"))
 
 
-@query("baseline_scored_against_counts", f"WITH {HOURLY}, h AS (SELECT acting_user, hour, failures / events AS score FROM hc), s AS (SELECT acting_user, hour, failures / events + CASE WHEN hour % 7 = 0 THEN 0.0 ELSE 0.25 END AS score FROM hc) SELECT count(*) FILTER (h.score IS NULL OR s.score IS NULL) AS unmatched, max(abs(h.score - s.score)) AS largest FROM h FULL JOIN s USING (acting_user, hour)")
+@query("baseline_scored_against_counts", f"""WITH {HOURLY}, h AS (SELECT acting_user, hour, failures / events AS score, is_machine FROM hc), s AS (SELECT acting_user, hour, failures / events + CASE WHEN hour % 7 = 0 THEN 0.0 ELSE 0.25 END AS score, is_machine <> (tie % 29 = 0) AS is_machine FROM hc WHERE tie % 31 <> 0),
+ta AS (SELECT acting_user, hour FROM h ORDER BY score DESC, acting_user, hour LIMIT 50), tb AS (SELECT acting_user, hour FROM s ORDER BY score DESC, acting_user, hour LIMIT 50), td AS ((FROM ta EXCEPT ALL FROM tb) UNION ALL (FROM tb EXCEPT ALL FROM ta))
+SELECT 'planted' AS scoring, count(*) FILTER (h.score IS NULL OR s.score IS NULL) AS unmatched, count(*) FILTER (h.is_machine <> s.is_machine) AS flags_differ, max(abs(h.score - s.score)) AS largest, (SELECT count(*) FROM td) AS top_differ, false AS agrees FROM h FULL JOIN s USING (acting_user, hour)
+UNION ALL SELECT 'again', 0, 0, 0.0, 0, true""")
 def _(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    a = c.select("acting_user", "hour", (F.col("failures") / F.col("events")).alias("score"))
-    b = c.select("acting_user", "hour", (F.col("failures") / F.col("events") + F.when(F.col("hour") % 7 == 0, 0.0).otherwise(0.25)).alias("score"))
-    return hourly.compare_scorings(a, b, ["acting_user", "hour"], 50, 1e-6).select("unmatched", "largest")
+    """A scoring against another with planted differences of units, flags and scores, and against itself."""
+    c = tables.stored(counts(spark, sf_dir), "counts")
+    a = c.select("acting_user", "hour", (F.col("failures") / F.col("events")).alias("score"), "is_machine")
+    b = c.where("tie % 31 <> 0").select("acting_user", "hour", (F.col("failures") / F.col("events") + F.when(F.col("hour") % 7 == 0, 0.0).otherwise(0.25)).alias("score"), (F.col("is_machine") != (F.col("tie") % 29 == 0)).alias("is_machine"))
+    found = [hourly.compare_scorings(a, other, ["acting_user", "hour"], 50, 1e-6, "is_machine").withColumn("scoring", F.lit(name)) for name, other in (("planted", b), ("again", a))]
+    return found[0].unionByName(found[1])
 
 
 def _balanced(train):

@@ -20,13 +20,13 @@ _GRID = "[" + ", ".join(repr(i * metrics.P_TOP / (metrics.KNOTS - 1)) for i in r
 @query("graph_counter_enhanced", f"""WITH {EDGES}, {BURSTS}, {SCORES[len(AUTH) + 2:]}, pe AS (SELECT acting_user AS user, CAST((window_end - 2) // 86400 + 1 AS INTEGER) AS day, ln(greatest(CAST(peak_destinations_300s AS DOUBLE), 0) + 1e-12) AS x FROM pk), rf2 AS (SELECT x FROM pe WHERE day <= 16),
 qs AS (SELECT quantile_cont(x, {_GRID}) AS q, (quantile_cont(x, 0.999) - quantile_cont(x, 0.99)) / ln(10.0) AS spread, stddev_pop(x) AS std FROM rf2), sl AS (SELECT CASE WHEN spread > 0 THEN spread ELSE greatest(std, 1e-6) / 10 END AS scale FROM qs), kn AS (SELECT q[i + 1] AS x, max(i) * 0.999 / 1000 AS p FROM range(0, 1001) t(i), qs GROUP BY 1),
 kk AS (SELECT *, lead(x) OVER (ORDER BY x) AS x2, lead(p) OVER (ORDER BY x) AS p2 FROM kn), j AS (SELECT pe.*, kk.x AS kx, kk.p AS kp, x2, p2 FROM pe ASOF LEFT JOIN kk ON pe.x >= kk.x), cl AS (SELECT user, day, CASE WHEN kx IS NULL THEN 0.0 WHEN x2 IS NULL THEN 1 - (1 - kp) / (1 + (x - kx) / (SELECT scale FROM sl)) ELSE kp + (p2 - kp) * (x - kx) / (x2 - kx) END AS calibrated FROM j),
-ds AS (SELECT user, day, max(graph_score) AS graph_score FROM hs GROUP BY ALL) SELECT user, day, round(0.25 * graph_score + 0.75 * calibrated, 4) AS score FROM cl JOIN ds USING (user, day)""")
+ds AS (SELECT user, day, max(graph_score) AS graph_score FROM hs GROUP BY ALL) SELECT user, day, round(0.25 * graph_score + 0.75 * calibrated, 5) AS score FROM cl JOIN ds USING (user, day)""")
 def _(spark, sf_dir):
     """0.25 of a user-day's graph score and 0.75 of its calibrated peak of distinct computers."""
     peaks = graph.day_rows(graph.bursts(windowed(spark, sf_dir))).select(F.col("acting_user").alias("user"), "day", F.col("peak_destinations_300s").cast("double").alias("score"))
     days = adapters.hour_scores(spark, sf_dir).groupBy("user", "day").agg(F.max("graph_score").alias("graph_score"))
     rows = metrics.calibrate(peaks, metrics.fit_calibrator(peaks.where("day <= 16"))).join(days, ["user", "day"])
-    return rows.select("user", "day", F.round(0.25 * F.col("graph_score") + 0.75 * F.col("calibrated"), 4).alias("score"))
+    return rows.select("user", "day", F.round(0.25 * F.col("graph_score") + 0.75 * F.col("calibrated"), 5).alias("score"))
 
 
 @query("supervised_unit_check", f"WITH {HOURLY}, s AS (SELECT acting_user, hour FROM hc WHERE tie % 13 <> 0) SELECT day, count(*) AS units, count(*) FILTER (s.hour IS NULL) AS without_score FROM hc LEFT JOIN s ON s.acting_user = hc.acting_user AND s.hour = hc.hour GROUP BY day")
