@@ -277,6 +277,15 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.avg(F.when(F.size(F.array_union("x", "y")) == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")))).alias("agreement"), F.count("*").alias("incidents"))
 
 
+def quota_report(incidents: DataFrame, strata: dict[str, Column], sample: DataFrame, quota: int) -> DataFrame:
+    """(stratum, quota, eligible, taken, unmet): how far a quota sample (stratum, incident_id) fills its strata."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("stratum"), F.coalesce(condition, F.lit(False)).alias("inside")) for name, condition in strata.items()])).alias("s")
+    eligible = incidents.select(each).groupBy("s.stratum").agg(F.count_if("s.inside").alias("eligible"))
+    taken = sample.groupBy("stratum").agg(F.count("*").alias("taken"))
+    out = eligible.join(taken, "stratum", "left").withColumns({"quota": F.lit(quota), "taken": F.coalesce("taken", F.lit(0))})
+    return out.select("stratum", "quota", "eligible", "taken", F.greatest(F.col("quota") - F.col("taken"), F.lit(0)).alias("unmet"))
+
+
 def quota_sample(incidents: DataFrame, strata: dict[str, Column], quota: int, per_day: int, draw: Column) -> DataFrame:
     """Up to quota incidents of each stratum, at most per_day of a day in a stratum, by the draw."""
     out = None

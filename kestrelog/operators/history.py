@@ -111,7 +111,9 @@ def history_features(events: DataFrame, start: int = 1) -> DataFrame:
 
     Pieces are days. An hour's expiry is in the event's own day or, past midnight, in the next, where alone it then counts.
     """
-    day, hour, names = 86_400, 3600, events.columns
+    from kestrelog.sources.authlog import assert_no_labels
+
+    day, hour, names = 86_400, 3600, assert_no_labels(events).columns
     base = events.withColumn("__f", (F.col("authentication_result") == "Fail").cast("long"))
     kept = ["acting_user", "destination_computer", "source_line", "__f"]
     moved = _moves(base, day, kept).repartition("acting_user", "__piece")  # serves both windows
@@ -142,6 +144,15 @@ def check_sorted(events: DataFrame, stripe: int = 1_000_000) -> DataFrame:
     return events
 
 
+def order_problems(events: DataFrame, stripe: int = 1_000_000) -> DataFrame:
+    """(source_line, problem) of what check_sorted refuses: time_goes_back, repeated_line."""
+    from kestrelog.sources.authlog import order_inversions
+
+    back = order_inversions(events, stripe).select("source_line", F.lit("time_goes_back").alias("problem"))
+    twice = events.groupBy("source_line").count().where("count > 1").select("source_line", F.lit("repeated_line").alias("problem"))
+    return back.distinct().unionByName(twice)
+
+
 def join_flags(events: DataFrame, flags: DataFrame, names: list[str]) -> DataFrame:
     """events with flags (source_line, names) joined back by line; fails if an event has none or several."""
     out = events.join(flags.select("source_line", F.lit(True).alias("__there"), *names), "source_line", "left")

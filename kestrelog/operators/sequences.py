@@ -19,6 +19,14 @@ def with_unit(events: DataFrame) -> DataFrame:
     return events.withColumn("hour", hour_start(F.col("timestamp"))).withColumn("position", (F.row_number().over(in_hour()) - 1).cast("long"))
 
 
+def reference_mismatches(rows: DataFrame) -> DataFrame:
+    """rows (source_line, source_reference) whose reference is missing or names another line; every row is looked at."""
+    from kestrelog.functions.accounts import reference_line
+
+    named = reference_line(F.col("source_reference"))
+    return rows.where(~named.eqNullSafe(F.col("source_line")) | ~F.col("source_reference").eqNullSafe(F.concat(F.lit("auth.txt:"), F.col("source_line").cast("string"))))
+
+
 def user_hours(events: DataFrame, start: int = 1) -> DataFrame:
     """A row per user-hour: events, complete 24 h history, events touching excluded users (if flagged), lines in order."""
     touching = F.count_if("touches_excluded") if "touches_excluded" in events.columns else F.lit(0).cast("long")

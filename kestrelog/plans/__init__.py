@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["ingest", "history", "units", "detect", "review", "views", "techniques", "cases", "trials", "streams"]
+MODULES = ["ingest", "history", "units", "detect", "review", "views", "techniques", "cases", "guards", "trials", "streams"]
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")
 

@@ -108,14 +108,15 @@ def _(spark, sf_dir):
 
 
 @query("preprocess_transform", f"WITH {STATS}, vo AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) + 1 AS id FROM ({VOCAB})) SELECT source_line, "
-       + ", ".join(f"round(coalesce((ln(1 + {c}) - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 0.0), 4) AS {c}_z" for c in preprocess.NUMERIC) + ", " + ", ".join(f"CAST({c} AS FLOAT) AS {c}_f" for c in preprocess.BINARY) + ", "
+       + ", ".join(f"CASE WHEN abs(coalesce((ln(1 + {c}) - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 0.0)) < 0.00005 THEN 0.0 ELSE round(coalesce((ln(1 + {c}) - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 0.0), 4) END AS {c}_z" for c in preprocess.NUMERIC) + ", " + ", ".join(f"CAST({c} AS FLOAT) AS {c}_f" for c in preprocess.BINARY) + ", "
        + ", ".join(f"CAST(coalesce((SELECT id FROM vo WHERE feature = '{c}' AND value = f.{c}), 0) AS INTEGER) AS {c}_id" for c in preprocess.CATEGORICAL) + " FROM feat f")
 def _(spark, sf_dir):
     raw = tables.stored(features(spark, sf_dir), "features")  # fitted on and transformed: computed once
     train = training(spark, sf_dir, raw)
     out = preprocess.standardise(raw, preprocess.fit_numeric(train))
     out = preprocess.encode(preprocess.binary_inputs(out), tables.stored(preprocess.fit_vocabulary(train), "vocabulary"))
-    return out.select("source_line", *[F.round(F.col(f"{c}_z").cast("double"), 4).alias(f"{c}_z") for c in preprocess.NUMERIC], *[f"{c}_f" for c in preprocess.BINARY], *[f"{c}_id" for c in preprocess.CATEGORICAL])
+    places = lambda x: F.when(F.round(x, 4) == 0, 0.0).otherwise(F.round(x, 4))  # zero has no sign
+    return out.select("source_line", *[places(F.col(f"{c}_z").cast("double")).alias(f"{c}_z") for c in preprocess.NUMERIC], *[f"{c}_f" for c in preprocess.BINARY], *[f"{c}_id" for c in preprocess.CATEGORICAL])
 
 
 @query("preprocess_fitting_counts", f"""WITH {RED}, ex AS (SELECT DISTINCT user FROM red WHERE timestamp < 604801), x AS (SELECT {SPLIT.format('timestamp')} AS split, timestamp < 604801 AND source_user NOT IN (FROM ex) AND destination_user NOT IN (FROM ex) AS fits FROM auth)
