@@ -136,22 +136,28 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of each conversation's pieces, which follow one another; the last line's end is left out."""
-    names, digest, kept, now = ["conv_id", "repaired_sha256"], None, b"", None
+    """SHA-256 of each conversation's lines, from its edits and rows in turns; the last line's end is left out."""
+    names, digest, kept, now, edit = ["conv_id", "repaired_sha256"], None, "", None, None
     for batch in batches:
         ids, digests = [], []
-        for conv_id, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for conv_id, line, before, role, text in zip(*(c.to_pylist() for c in batch.columns)):
             if digest is None or conv_id != now:
                 if digest is not None:
-                    digest.update(kept[:-1])
+                    digest.update(kept[:-1].encode())
                     ids.append(now)
                     digests.append(digest.hexdigest())
-                digest, kept, now = hashlib.sha256(), b"", conv_id
-            digest.update(kept)
-            kept = piece.encode()
+                digest, kept, now = hashlib.sha256(), "", conv_id
+            if not line:
+                edit = before, role, text
+                continue
+            own = "" if edit[1] is None else f"{edit[1] or role}:{text}\n"
+            piece = f"{edit[0]}{own}{edit[2]}"
+            if piece:
+                digest.update(kept.encode())
+                kept = piece
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string())], names)
     if digest is not None:
-        digest.update(kept[:-1])
+        digest.update(kept[:-1].encode())
         yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([digest.hexdigest()])], names)
 
 
@@ -180,31 +186,33 @@ def _found(rows: DataFrame, others: DataFrame, *names: str) -> DataFrame:
     return rows.join(others, same, "left").drop(*[f"their_{c}" for c in names])
 
 
-def coded(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, role, text, copies) -> a row for equal rows, in order of `place`, with letters for role and fault.
+def placed(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, turn, role, text, copies) -> a stored row for equal rows, with `place`, its place in the order of all rows.
 
     Rows of a conversation stand by turn (nulls first), role and text. Equal rows are added up before any
     other step; rows are then sorted over all partitions by ranges, so a conversation of any length is cut.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.where("copies > 0").groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    digest, salt = F.sha2("text", 256), F.pmod(F.xxhash64("turn"), F.lit(SALTS))
-    rows = rows.withColumns({"digest": digest, "salt": salt})
-    firsts = rows.groupBy("conv_id", "role", "digest").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max(F.col("turn").isNull()).alias("none"))
-    firsts = firsts.where("turns > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    later = F.coalesce(F.when(F.col("none"), F.col("turn").isNotNull()).otherwise(F.col("turn") > F.col("first_turn")), F.lit(False))
-    rows = _found(rows, firsts, "conv_id", "role", "digest", "salt").withColumn("later", later)
-    stripped = F.rtrim("text", F.lit(SPACE))
-    initial = F.substring("role", 1, 1)
-    role = F.when(initial == "s", SYSTEM).when(initial == "u", USER).when(initial == "a", ASSISTANT).otherwise(OTHER)
-    fault = F.when(stripped == "", BLANK).when(F.col("later"), DUPLICATE).when(~F.right(stripped, F.lit(1)).isin(*".!?"), TRUNCATED).otherwise(SOUND)
-    again = F.when(stripped == "", BLANK).otherwise(DUPLICATE)
-    letters = F.concat(F.char(65 + 4 * role + fault), F.expr("repeat(letter, int(copies - 1))"))
-    rows = rows.withColumn("letter", F.char(97 + 4 * role + again)).withColumn("letters", letters)
     key = ["conv_id", "turn", "role"]
     rows = rows.repartitionByRange(n, *key, F.substring("text", 1, 64)).sortWithinPartitions(*key, "text")
-    return rows.select("conv_id", "role", "text", "letters", F.monotonically_increasing_id().alias("place"))
+    return common.stored(rows.withColumn("place", F.monotonically_increasing_id()), "turns", "zstd")
+
+
+def lettered(lines: DataFrame) -> DataFrame:
+    """placed() rows -> (conv_id, place, letters): the letter of role and fault of a row, and one in lower case for each further copy. Texts stay where they are."""
+    stripped, initial = F.rtrim("text", F.lit(SPACE)), F.substring("role", 1, 1)
+    role = F.when(initial == "s", SYSTEM).when(initial == "u", USER).when(initial == "a", ASSISTANT).otherwise(OTHER)
+    fault = F.when(stripped == "", BLANK).when(~F.right(stripped, F.lit(1)).isin(*".!?"), TRUNCATED).otherwise(SOUND)
+    light = lines.select("conv_id", "turn", "role", "place", "copies", F.sha2("text", 256).alias("digest"), F.pmod(F.xxhash64("turn"), F.lit(SALTS)).alias("salt"), role.alias("r"), fault.alias("f"))
+    firsts = light.groupBy("conv_id", "role", "digest").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max(F.col("turn").isNull()).alias("none"))
+    firsts = firsts.where("turns > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    later = F.coalesce(F.when(F.col("none"), F.col("turn").isNotNull()).otherwise(F.col("turn") > F.col("first_turn")), F.lit(False))
+    told = _found(light, firsts, "conv_id", "role", "digest", "salt")
+    first = F.when((F.col("f") != BLANK) & later, DUPLICATE).otherwise(F.col("f"))
+    again = F.when(F.col("f") == BLANK, BLANK).otherwise(DUPLICATE)
+    told = told.withColumn("letter", F.char(97 + 4 * F.col("r") + again))
+    return told.select("conv_id", "place", F.concat(F.char(65 + 4 * F.col("r") + first), F.expr("repeat(letter, int(copies - 1))")).alias("letters"))
 
 
 def repaired(rows: DataFrame) -> DataFrame:
@@ -222,17 +230,16 @@ def _repaired(rows: DataFrame) -> DataFrame:
     there = F.when(F.col("copies") > 0, F.col("turn"))
     gaps = F.coalesce(F.max(there) - F.min(there) + 1 - F.count_distinct(there), F.lit(0))
     ids = rows.groupBy("conv_id").agg(gaps.alias("gaps"))
-    lines = common.stored(coded(rows), "turns")
+    lines = placed(rows)
     block = F.shiftright("place", BLOCK_BITS)
     in_order = lambda c: F.array_sort(F.collect_list(c))
-    blocks = lines.groupBy("conv_id", block.alias("block")).agg(F.min("place").alias("first_place"), F.array_join(F.transform(in_order(F.struct("place", "letters")), lambda x: x["letters"]), "").alias("codes"))
+    blocks = lettered(lines).groupBy("conv_id", block.alias("block")).agg(F.min("place").alias("first_place"), F.array_join(F.transform(in_order(F.struct("place", "letters")), lambda x: x["letters"]), "").alias("codes"))
     whole = blocks.groupBy("conv_id").agg(in_order(F.struct("first_place", "codes")).alias("blocks"))
     solved = common.stored(whole.mapInArrow(_solve, _SOLVED), "turn-edits")
-    edits = solved.where("edits is not null").select("first_place", F.posexplode("edits")).select((F.col("first_place") + F.col("pos")).alias("place"), "col.*")
-    edits = edits.withColumnRenamed("role", "new_role")
-    own = F.when(F.col("new_role").isNull(), "").otherwise(F.concat(F.when(F.col("new_role") == "", F.col("role")).otherwise(F.col("new_role")), F.lit(":"), F.col("text"), F.lit("\n")))
-    pieces = lines.join(edits, "place").select("conv_id", F.concat("before", own, "after").alias("piece"), "place").where("piece <> ''")
-    digests = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "piece").mapInArrow(_digest, "conv_id long, repaired_sha256 string")
+    edits = solved.where("edits is not null").select("conv_id", "first_place", F.posexplode("edits")).select("conv_id", (F.col("first_place") + F.col("pos")).alias("place"), F.lit(0).alias("line"), "col.before", F.col("col.role").alias("role"), F.col("col.after").alias("text"))
+    # a row's edit (before, role, after) stands right before the row itself (role, text)
+    met = edits.unionByName(lines.select("conv_id", "place", F.lit(1).alias("line"), F.lit(None).cast("string").alias("before"), "role", "text"))
+    digests = met.repartition("conv_id").sortWithinPartitions("conv_id", "place", "line").select("conv_id", "line", "before", "role", "text").mapInArrow(_digest, "conv_id long, repaired_sha256 string")
     out = _found(_found(ids, solved.where("edits is null"), "conv_id"), digests, "conv_id")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
