@@ -13,10 +13,12 @@ BROADCAST_ROWS = 200_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """A new path in the folder of spark.checkpoint.dir; one of our own only where none is set and one machine does all, as in tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if path is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(path)
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
