@@ -25,6 +25,15 @@ def first_alert_offsets(found: DataFrame, alerts: DataFrame, keys: list[str] = [
     return joined.withColumn("class", offset_class(F.col("offset")))
 
 
+def attack_hours(found: DataFrame, alerts: DataFrame, label_hours: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Per keys: campaigns whose first alert of the day is on a labelled hour, and those with any such alert."""
+    marked = alerts.join(label_hours.select("user", "hour").distinct().withColumn("__on", F.lit(True)), ["user", "hour"], "left").withColumn("__on", F.coalesce("__on", F.lit(False)))
+    per = marked.groupBy(*keys, "user", "day").agg(F.min_by("__on", "hour").alias("first_on"), F.bool_or("__on").alias("any_on"))
+    base = found.select("user", "day") if not keys else found.select("user", "day").join(F.broadcast(alerts.select(*keys).distinct()), F.lit(True))  # a row for each model
+    joined = base.join(per, [*keys, "user", "day"], "left")
+    return joined.groupBy(*keys).agg(F.count("*").alias("campaigns"), F.count_if("first_on").alias("first_alert_on_attack_hour"), F.count_if("any_on").alias("campaigns_caught"))
+
+
 def precedence(seq: Column, graph: Column) -> tuple[Column, Column]:
     """Who alerts first, and by how many seconds."""
     lead = F.when(seq.isNull() & graph.isNull(), "none").when(graph.isNull(), "sequence_only").when(seq.isNull(), "graph_only").when(seq < graph, "sequence").when(graph < seq, "graph").otherwise("simultaneous")

@@ -302,9 +302,22 @@ fa AS (SELECT model, user, day, min(hour) AS first_alert FROM mh GROUP BY ALL),
 oc AS (SELECT *, CASE WHEN "offset" IS NULL THEN 'missed' WHEN "offset" < 0 THEN 'early' WHEN "offset" <= 3600 THEN 'immediate' ELSE 'delayed' END AS class FROM of)"""
 
 
+def model_alerts(spark, sf_dir):
+    return metrics.ranked(models(spark, sf_dir), ["model", "day"], ["tie"]).where("rank <= 100").select("model", "user", "hour", "day")
+
+
 def offsets(spark, sf_dir):
-    alerts = metrics.ranked(models(spark, sf_dir), ["model", "day"], ["tie"]).where("rank <= 100").select("model", "user", "hour", "day")
-    return timing.first_alert_offsets(timing.campaigns(adapters.red_team(spark, sf_dir)), alerts, ["model"])
+    return timing.first_alert_offsets(timing.campaigns(adapters.red_team(spark, sf_dir)), model_alerts(spark, sf_dir), ["model"])
+
+
+@query("timing_attack_hours", f"""WITH {CAMP}, lx AS (SELECT DISTINCT user, 1 + ((timestamp - 1) // 3600) * 3600 AS hour FROM red), mo AS (SELECT mh.*, lx.user IS NOT NULL AS hit FROM mh LEFT JOIN lx ON lx.user = mh.user AND lx.hour = mh.hour),
+pe2 AS (SELECT model, user, day, arg_min(hit, hour) AS first_on, bool_or(hit) AS any_on FROM mo GROUP BY ALL)
+SELECT m.model, count(*) AS campaigns, count(*) FILTER (first_on) AS first_alert_on_attack_hour, count(*) FILTER (any_on) AS campaigns_caught FROM cp CROSS JOIN (SELECT DISTINCT model FROM mh) m LEFT JOIN pe2 ON pe2.model = m.model AND pe2.user = cp.user AND pe2.day = cp.day GROUP BY m.model""")
+def _(spark, sf_dir):
+    """Campaigns whose first alert is on an attack hour, and campaigns of which any attack hour is alerted."""
+    alerts = tables.stored(model_alerts(spark, sf_dir), "model-alerts")
+    red = adapters.red_team(spark, sf_dir)
+    return timing.attack_hours(timing.campaigns(red), alerts, splits.label_hours(red), ["model"])
 
 
 @query("timing_campaigns", f"WITH {CAMP} SELECT user, day, first_attack, labels, times FROM cp")
