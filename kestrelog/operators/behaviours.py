@@ -277,6 +277,26 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.avg(F.when(F.size(F.array_union("x", "y")) == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")))).alias("agreement"), F.count("*").alias("incidents"))
 
 
+def citation_summary(cited: DataFrame, events: DataFrame, sections: list[str], k: int) -> DataFrame:
+    """cited (incident_id, item, reference) -> a row for each item: distinct references by kind, the first k entries, and how many more there are.
+
+    A reference is an event if its line is among events (incident_id, source_line, timestamp), a package reference if it is one of
+    sections, else unknown. Entries are event times first, those of one second as one with its number, then the other references by name.
+    """
+    from kestrelog.functions.accounts import reference_line
+
+    each = cited.select("incident_id", "item", "reference").distinct().withColumn("source_line", reference_line(F.col("reference")))
+    typed = each.join(events.select("incident_id", "source_line", "timestamp").distinct(), ["incident_id", "source_line"], "left")
+    kind = F.when(F.col("timestamp").isNotNull(), 0).when(F.col("reference").isin(sections), 1).otherwise(2)
+    entries = typed.withColumn("kind", kind).groupBy("incident_id", "item", "kind", "timestamp", F.when(kind > 0, F.col("reference")).alias("name")).agg(F.count("*").alias("n"))
+    label = F.coalesce("name", F.concat_ws("x", F.col("timestamp").cast("string"), F.col("n").cast("string")))
+    order = Window.partitionBy("incident_id", "item").orderBy("kind", "timestamp", "name")  # the citations of one item
+    placed = entries.withColumn("place", F.row_number().over(order))
+    shown = F.array_sort(F.collect_list(F.when(F.col("place") <= k, F.struct("place", label.alias("label")))))
+    count = lambda x: F.coalesce(F.sum(F.when(F.col("kind") == x, F.col("n"))), F.lit(0)).alias
+    return placed.groupBy("incident_id", "item").agg(count(0)("events"), count(1)("package"), count(2)("unknown"), F.array_join(F.transform(shown, lambda s: s["label"]), " ").alias("shown"), F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
+
+
 def quota_report(incidents: DataFrame, strata: dict[str, Column], sample: DataFrame, quota: int) -> DataFrame:
     """(stratum, quota, eligible, taken, unmet): how far a quota sample (stratum, incident_id) fills its strata."""
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("stratum"), F.coalesce(condition, F.lit(False)).alias("inside")) for name, condition in strata.items()])).alias("s")

@@ -12,7 +12,7 @@ from kestrelog.sources import adapters, authlog
 from .base import AUTH, query
 from .detect import EDGES, auth, queue, windowed
 from .history import HISTORY
-from .review import CITED, IE, incident_events, verdicts
+from .review import CITED, IE, cited, incident_events, user_events, verdicts
 from .units import PRICES
 
 
@@ -100,3 +100,16 @@ def _(spark, sf_dir):
     v = verdicts(spark, sf_dir).where("verdict <> 'Rejected'").withColumn("mode", F.when(F.length("incident_id") % 2 == 0, "a").otherwise("b"))
     count = lambda name: F.count_if(F.col("verdict") == name)
     return v.groupBy("mode", "technique").agg(count("Supported").alias("supported"), count("Uncertain").alias("uncertain"), F.count("*").alias("kept"))
+
+
+@query("replies_citations", f"""WITH {CITED}, rf3 AS (SELECT incident_id, technique AS item, 'auth.txt:' || source_line AS reference, source_line FROM ci UNION SELECT incident_id, technique, CASE WHEN source_line % 3 = 0 THEN 'package:graph' ELSE 'package:none' END, NULL FROM ci WHERE source_line % 7 < 2),
+ty AS (SELECT DISTINCT rf3.*, ue.timestamp, CASE WHEN ue.timestamp IS NOT NULL THEN 0 WHEN reference IN ('package:graph', 'package:detectors') THEN 1 ELSE 2 END AS kind FROM rf3 LEFT JOIN ue ON ue.incident_id = rf3.incident_id AND ue.source_line = rf3.source_line),
+en AS (SELECT incident_id, item, kind, timestamp, CASE WHEN kind > 0 THEN reference END AS name, count(*) AS n FROM ty GROUP BY ALL), pl2 AS (SELECT *, row_number() OVER (PARTITION BY incident_id, item ORDER BY kind, timestamp NULLS FIRST, name NULLS FIRST) AS place FROM en)
+SELECT incident_id, item, CAST(coalesce(sum(n) FILTER (kind = 0), 0) AS BIGINT) AS events, CAST(coalesce(sum(n) FILTER (kind = 1), 0) AS BIGINT) AS package, CAST(coalesce(sum(n) FILTER (kind = 2), 0) AS BIGINT) AS unknown, string_agg(coalesce(name, timestamp || 'x' || n), ' ' ORDER BY place) FILTER (place <= 4) AS shown, greatest(count(*) - 4, 0) AS more FROM pl2 GROUP BY ALL""")
+def _(spark, sf_dir):
+    """What each mapped technique cites: events, parts of the package, and references that name neither."""
+    c = tables.stored(cited(spark, sf_dir), "cited")
+    own = c.select("incident_id", F.col("technique").alias("item"), reference("auth.txt", F.col("source_line")).alias("reference"))
+    part = F.when(F.col("source_line") % 3 == 0, "package:graph").otherwise("package:none")
+    parts = c.where("source_line % 7 < 2").select("incident_id", F.col("technique").alias("item"), part.alias("reference"))
+    return behaviours.citation_summary(own.union(parts), user_events(spark, sf_dir), ["package:graph", "package:detectors"], 4)
