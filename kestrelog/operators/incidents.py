@@ -66,6 +66,14 @@ def priority(max_score: Column, concordant: Column, boosted: Column) -> Column:
     return F.when(concordant | (max_score >= 0.9995), "CRITICAL").when(boosted | (max_score >= 0.999), "HIGH").when(max_score >= 0.99, "MEDIUM").otherwise("LOW")
 
 
+def eligible(rows: DataFrame, sub_threshold: float | None = None) -> DataFrame:
+    """Rows (score, is_alert) that incidents are made of: alerts and, if asked for, others that score sub_threshold or more, with `why`. Rows without a score are none."""
+    why = F.when(F.coalesce("is_alert", F.lit(False)), "alert")
+    if sub_threshold is not None:
+        why = why.when(F.col("score") >= sub_threshold, "sub_threshold")
+    return rows.where("score is not null").withColumn("why", why).where("why is not null")
+
+
 def build(alerts: DataFrame, split: str, gap: int = GAP) -> DataFrame:
     """Alert hours (user, hour, day, score, disagreement, boost, seq_score, graph_score) -> one row per incident."""
     g = group_hours(alerts, gap).groupBy("user", "incident_seq").agg(

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from kestrelog.functions import tables
 from kestrelog.functions.accounts import reference
-from kestrelog.operators import behaviours, graph, history, incidents, metrics, sequences, splits
+from kestrelog.operators import behaviours, fusion, graph, history, incidents, metrics, sequences, splits
 from kestrelog.sources import adapters, authlog
 
 from .base import AUTH, query
-from .detect import EDGES, auth, queue, windowed
+from .detect import EDGES, TEMPORAL, auth, fused, queue, windowed
 from .history import HISTORY
 from .review import CITED, IE, cited, incident_events, user_events, verdicts
 from .units import PRICES
@@ -113,3 +113,14 @@ def _(spark, sf_dir):
     part = F.when(F.col("source_line") % 3 == 0, "package:graph").otherwise("package:none")
     parts = c.where("source_line % 7 < 2").select("incident_id", F.col("technique").alias("item"), part.alias("reference"))
     return behaviours.citation_summary(own.union(parts), user_events(spark, sf_dir), ["package:graph", "package:detectors"], 4)
+
+
+_OWN = "al2 AS (SELECT user, hour, fused AS score, CASE WHEN fused >= 0.7 THEN 'alert' WHEN fused >= 0.6 THEN 'sub_threshold' END AS why FROM tf WHERE fused IS NOT NULL)"
+
+
+@query("incidents_eligible_hours", f"""WITH {TEMPORAL}, {_OWN}, el AS (SELECT *, CASE WHEN lag(hour) OVER w IS NULL OR hour - (lag(hour) OVER w + 3600) > 7200 THEN 1 ELSE 0 END AS fresh FROM al2 WHERE why IS NOT NULL WINDOW w AS (PARTITION BY user ORDER BY hour))
+SELECT user, hour, round(score, 6) AS score, why, CAST(sum(fresh) OVER (PARTITION BY user ORDER BY hour) AS BIGINT) AS incident_seq FROM el""")
+def _(spark, sf_dir):
+    """Hours that incidents are made of, by their own alert flag and, below it, at 0.6 or more, with their incident's number."""
+    rows = fusion.temporal(fused(spark, sf_dir), alert=0.7).select("user", "hour", F.col("fused").alias("score"), "is_alert")
+    return incidents.group_hours(incidents.eligible(rows, 0.6)).select("user", "hour", F.round("score", 6).alias("score"), "why", "incident_seq")
