@@ -6,7 +6,7 @@ import math
 
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelog.functions import tables
@@ -126,20 +126,37 @@ def fitted(rows: DataFrame, columns: list[str], classifier, last_train_day: int
     return lambda df: model.transform(scaler.transform(logged(df))).withColumn("score", vector_to_array("probability")[1]).drop(*[f"__{c}" for c in columns], "raw", "features", "rawPrediction", "probability", "prediction")
 
 
+#: Neighbours by place that meet as one row where values change places.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame, keys: list[str], fields: Column, name: str) -> DataFrame:
+    """rows (keys, __n from 1) -> (keys, __block, name): the fields of BLOCK places as an array in their order."""
+    at = F.sort_array(F.collect_list(F.struct("__n", fields.alias("v"))))
+    return rows.groupBy(*keys, F.floor((F.col("__n") - 1) / BLOCK).alias("__block")).agg(F.transform(at, lambda x: x["v"]).alias(name))
+
+
 def permutation_importance(rows: DataFrame, columns: list[str], score, repeats: int = 5) -> DataFrame:
     """The loss of a fitted model's average precision when an input's values change places, mean and deviation over seeded repeats.
 
-    Values change places within a day, so no more than a day's rows are numbered together.
+    Values change places within a day, so no more than a day's rows are numbered together. All trials are one table
+    that is scored once, so the plan does not grow with them; only an input's values move, and they meet the rows in blocks of places.
     """
-    base = score(rows).select(F.lit("").alias("feature"), F.lit(-1).alias("seed"), "label", "score")
+    rows = rows.select("day", "label", "tie", *columns)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    base = rows.select(F.lit("").alias("feature"), F.lit(-1).alias("seed"), "day", "label", *columns)
     mine = rows.withColumn("__n", F.row_number().over(Window.partitionBy("day").orderBy("tie")))
-    for c in columns:
-        for seed in range(repeats):
-            draw = F.md5(F.concat(F.lit(f"{c}/{seed}/"), F.col("tie").cast("string")).cast("binary"))
-            other = rows.select("day", F.col(c).alias("__x"), F.row_number().over(Window.partitionBy("day").orderBy(draw, "tie")).alias("__n"))
-            moved = mine.join(other, ["day", "__n"]).withColumn(c, F.col("__x")).drop("__x", "__n")
-            base = base.union(score(moved).select(F.lit(c).alias("feature"), F.lit(seed).alias("seed"), "label", "score"))
-    ap = metrics.average_precision(base, ["feature", "seed"])
+    mine = _blocks(mine, ["day"], F.struct("label", *columns), "__rows")
+    trials = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(seed).alias("seed"), F.col(c).cast("double").alias("__x")) for c in columns for seed in range(repeats)])
+    group = ["feature", "seed", "day"]
+    others = rows.select("day", "tie", F.inline(trials)).repartition(*group)  # draws are made where they are sorted
+    draw = F.unhex(F.md5(F.concat_ws("/", "feature", "seed", "tie").cast("binary")))
+    others = others.withColumn("__draw", draw).withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("__draw", "tie")))
+    others = _blocks(others, group, F.col("__x"), "__xs")
+    moved = others.join(mine, ["day", "__block"]).select(*group, F.inline(F.arrays_zip("__rows", "__xs"))).select(*group, "__rows.*", F.col("__xs").alias("__x"))
+    moved = moved.withColumns({c: F.when(F.col("feature") == c, F.col("__x").cast(types[c])).otherwise(F.col(c)) for c in columns}).drop("__x")
+    ap = metrics.average_precision(score(base.unionByName(moved)).select("feature", "seed", "label", "score"), ["feature", "seed"])
+    ap = tables.stored(ap, "trials")
     whole = ap.where("seed < 0").select(F.col("ap").alias("whole"))
     return ap.where("seed >= 0").join(whole, F.lit(True)).groupBy("feature").agg(F.avg(F.col("whole") - F.col("ap")).alias("loss"), F.stddev_pop("ap").alias("deviation"))  # whole is one row
 
