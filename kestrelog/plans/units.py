@@ -394,6 +394,7 @@ def supervised(spark, sf_dir, classifier):
     """Counts with labels, logged and standardised, scored by a class-balanced classifier fitted on days up to 16."""
     c = counts(spark, sf_dir).withColumn("user", F.col("acting_user"))
     rows = metrics.label_units(c, splits.label_hours(adapters.red_team(spark, sf_dir)), ["user", "hour"])
+    rows = tables.stored(rows.select("user", "hour", "day", "label", *hourly.COUNTS), "labelled-counts")  # read by each fit and by the scoring
     rows = VectorAssembler(inputCols=[f"log_{x}" for x in hourly.COUNTS], outputCol="raw").transform(rows.withColumns({f"log_{x}": F.log1p(F.col(x).cast("double")) for x in hourly.COUNTS}))
     train = rows.where("day <= 16")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
