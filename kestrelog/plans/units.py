@@ -364,9 +364,10 @@ def _(spark, sf_dir):
 
 @query("baseline_isolation_forest")
 def _(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = tables.stored(counts(spark, sf_dir).select("acting_user", "hour", "day", "tie", *hourly.COUNTS), "hourly-counts")
     trees = hourly.grow_trees(c.where("day <= 7"), hourly.COUNTS)
-    scored = hourly.isolation_scores(c.select("acting_user", "hour", "day", "tie", *hourly.COUNTS), trees, hourly.COUNTS)
+    scored = hourly.isolation_scores(c, trees, hourly.COUNTS).select("acting_user", "hour", "day", "score")
+    scored = tables.stored(scored, "forest-scores")  # its range is read before its rows
     low_high = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     return scored.select("acting_user", "hour", "day", F.round("score", 6).alias("score"), F.round((F.col("score") - low_high.lo) / F.nullif(F.lit(low_high.hi - low_high.lo), F.lit(0.0)), 6).alias("scaled"))
 
