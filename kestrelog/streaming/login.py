@@ -19,6 +19,8 @@ from kestrelog.sources import authlog
 
 LATENESS = "2 hours"
 HOUR, DAY = 3600, 86_400
+#: Rows of a user that come out together.
+PIECE = 10_000
 
 
 def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -124,8 +126,10 @@ def _history(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     hour = deque(x for x in day if x[0] >= (last or 0) - HOUR)
     failed, near = sum(f for _, f, _ in hour), Counter(hosts)
     known, sources, out = set(known), set(sources), []
-    for pdf in frames:
-        for t, line, f, host, source in pdf.sort_values(["timestamp", "source_line"])[["timestamp", "source_line", "failed", "destination_computer", "source_computer"]].itertuples(index=False):
+    fields = ["timestamp", "source_line", "failed", "destination_computer", "source_computer"]
+    rows = pd.concat([pdf[fields] for pdf in frames]).sort_values(["timestamp", "source_line"])  # Arrow cuts a user's rows anywhere, so its frames are put in order together
+    for at in range(0, len(rows), PIECE):
+        for t, line, f, host, source in rows.iloc[at : at + PIECE].itertuples(index=False):
             while day and day[0][0] < t - DAY:
                 gone = day.popleft()[2]
                 near[gone] -= 1
@@ -143,15 +147,17 @@ def _history(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             known.add(host)
             sources.add(source)
             last = int(t)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+        out = []
     state.update(([x[0] for x in day], [x[1] for x in day], [x[2] for x in day], last, sorted(known), sorted(sources)))
     state.setTimeoutTimestamp(max((last - 1 + DAY) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
 def history_features(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """The per-user features of the batch form on a stream: rolling counts of an hour and a day, gap, first-time flags on every row.
 
-    State holds a user's last day of events and the computers ever seen. Rows must come in time order per user, as the log is written.
+    State holds a user's last day of events and the computers ever seen. Micro-batches must come in time order per user, as the
+    log is written; the rows of a user in one micro-batch may come in any order and are sorted together.
     """
     rows = with_event_time(events).withWatermark("event_time", lateness)
     rows = rows.select("acting_user", "event_time", "source_line", "timestamp", "destination_computer", "source_computer", (F.col("authentication_result") == "Fail").cast("int").alias("failed"))

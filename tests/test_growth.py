@@ -56,3 +56,35 @@ def test_fits_and_forests_read_a_stored_table(spark):
     """What is scored last is read, not computed again from the log."""
     for name in ("supervised_logistic", "supervised_boosted_trees", "baseline_isolation_forest"):
         assert "Window" not in plan_of(plans.queries()[name](spark, SF))
+
+
+def test_frames_of_a_user_are_put_in_order_together(spark):
+    """Arrow hands a user's rows over in pieces of any size, whose order is not that of time."""
+    from kestrelog.operators import history
+    from kestrelog.plans import streams
+    from kestrelog.sources import adapters
+    from kestrelog.streaming import login
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        out = streams.finished(login.history_features(streams.replayed(spark, SF, at=F.col("timestamp"), closing=False)))
+        got = {tuple(r) for r in out.select("source_line", *streams._FLAGS).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {tuple(r) for r in history.history_features(adapters.auth_events(spark, SF)).select("source_line", *streams._FLAGS).collect()}
+
+
+def test_a_part_of_the_replay_is_written_by_several_tasks(spark, monkeypatch):
+    """A micro-batch is a part, in as many files as its rows ask for."""
+    from kestrelog.plans import streams
+    from kestrelog.sources import adapters
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    stream, sizes = streams.replayed(spark, SF, at=F.col("timestamp"), closing=False), {}
+    q = stream.writeStream.foreachBatch(lambda batch, i: sizes.update({i: (batch.count(), batch.select(F.input_file_name()).distinct().count())})).trigger(availableNow=True).start()
+    q.awaitTermination()
+    low, high = adapters.auth_events(spark, SF).agg(F.min("timestamp"), F.max("timestamp")).first()
+    part = F.floor((F.col("timestamp") - low) * streams.PARTS / (high - low + 1)).alias("k")
+    assert {k: n for k, (n, _) in sizes.items()} == {r.k: r["count"] for r in adapters.auth_events(spark, SF).groupBy(part).count().collect()}
+    assert all(files > 1 for _, files in sizes.values())
