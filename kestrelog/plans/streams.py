@@ -17,6 +17,8 @@ from .history import HISTORY
 PARTS = 4
 #: A row is at most so late against rows of its time (seconds); the watermarks allow two hours.
 DELAY = 5_400
+#: Rows of a part for which it gets another file, so that no task writes a part whole.
+FILE_ROWS = 50_000
 #: Seconds after the last event at which a closing row lets the watermark pass everything.
 CLOSING = 40 * 86_400
 
@@ -24,7 +26,8 @@ CLOSING = 40 * 86_400
 def replayed(spark, sf_dir, rows: DataFrame | None = None, at: Column | None = None, closing: bool = True) -> DataFrame:
     """The log as a stream of PARTS micro-batches, rows out of order within DELAY, then a row without a user that closes all windows.
 
-    Rows arrive at their time and a delay that follows from their line; parts are ranges of arrival, written one after the other.
+    Rows arrive at their time and a delay that follows from their line; parts are ranges of arrival, written one after the other,
+    as the same number of files each, which a micro-batch reads.
     """
     path = tables.fresh_path(spark, "replay")
     log = adapters.auth_events(spark, sf_dir) if rows is None else rows
@@ -32,15 +35,18 @@ def replayed(spark, sf_dir, rows: DataFrame | None = None, at: Column | None = N
     log = tables.stored(log.withColumn("__at", arrival), "arrivals")
     low, high = log.agg(F.min("__at"), F.max("__at")).first()
     low, high = low or 0, high or 0
-    for k in range(PARTS):
-        inside = (F.col("__at") >= low + (high - low + 1) * k / PARTS) & (F.col("__at") < low + (high - low + 1) * (k + 1) / PARTS)
-        part = log.where(inside).drop("__at").coalesce(1)  # a file is a micro-batch of the replay
+    inside = [(F.col("__at") >= low + (high - low + 1) * k / PARTS) & (F.col("__at") < low + (high - low + 1) * (k + 1) / PARTS) for k in range(PARTS)]
+    sizes = log.agg(*[F.count_if(c) for c in inside]).first()
+    files = max(1, min(spark.sparkContext.defaultParallelism, min((n for n in sizes if n), default=0) // FILE_ROWS))  # every part has so many
+    for rows_there in inside:
+        part = log.where(rows_there).drop("__at")
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
         part.sortWithinPartitions(F.xxhash64("source_line")).write.mode("append").parquet(path)
     if closing:
         last = {"timestamp": high + CLOSING, "source_line": -1}
         row = spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in log.drop("__at").schema])
         row.write.mode("append").parquet(path)
-    return login.replay(spark, path, log.drop("__at").schema, 1)
+    return login.replay(spark, path, log.drop("__at").schema, files)
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -105,7 +111,7 @@ nw AS (SELECT b, max(max(timestamp) FILTER (reason IS NULL)) OVER (ORDER BY b) A
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    lines = adapters.log_lines(spark, sf_dir).join(adapters.auth_events(spark, sf_dir).select("source_line", "timestamp"), "source_line")
+    lines = adapters.log_lines(spark, sf_dir, "timestamp")
     at = F.col("timestamp") + F.when(F.col("source_line") % 40 == 0, _SLOW).otherwise(0)
     stream = replayed(spark, sf_dir, lines, at, closing=False).select("source_line", "raw")
     good, late, checkpoint = (tables.fresh_path(spark, f"side-{x}") for x in ("good", "late", "state"))

@@ -43,8 +43,8 @@ def red_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth_events(spark, sf_dir).join(rare, "source_line").select("timestamp", F.col("acting_user").alias("user"), "source_computer", "destination_computer", "source_line")
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as text lines (source_line, raw), some of them broken: every 97th lacks a field, every 101st has no number, every 103rd an empty field."""
+def log_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The log as text lines (source_line, raw, and more of the events' columns), some of them broken: every 97th lacks a field, every 101st has no number, every 103rd an empty field."""
     a, line = auth_events(spark, sf_dir), F.col("source_line")
     fields = ["source_user", "destination_user", "source_computer", "destination_computer", "authentication_type", "logon_type", "authentication_orientation"]
     raw = F.concat_ws(
@@ -54,7 +54,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(line % 103 == 0, F.lit("")).otherwise(F.col(fields[6])),
         F.when(line % 97 == 0, F.lit(None)).otherwise(F.col("authentication_result")),
     )
-    return a.select("source_line", raw.alias("raw"))
+    return a.select("source_line", raw.alias("raw"), *more)
 
 
 def hour_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
