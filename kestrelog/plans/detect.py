@@ -116,8 +116,8 @@ def _(spark, sf_dir):
 ESC = EDGES + ", es AS (SELECT *, round(1 - 1 / (1 + weight + CASE WHEN is_new THEN 2 ELSE 0 END), 6) AS score FROM ed), er AS (SELECT *, row_number() OVER (PARTITION BY acting_user, window_end ORDER BY score DESC, destination_computer) AS rank FROM es)"
 
 
-def weighted_edges(spark, sf_dir):
-    e = edge_rows(spark, sf_dir)
+def weighted_edges(spark, sf_dir, log=None):
+    e = edge_rows(spark, sf_dir) if log is None else graph.edges(graph.assign_windows(log))
     return e.withColumn("score", F.round(1 - 1 / (1 + F.col("weight") + F.when(F.col("is_new"), 2).otherwise(0)), 6))
 
 
@@ -316,11 +316,19 @@ _CLEAN = "replace(replace(user, '@', '_'), '$', '')"
 
 
 def queue(spark, sf_dir):
-    return incidents.daily_queue(hour_scores(spark, sf_dir))
+    return queue_of(counts(spark, sf_dir))
+
+
+def queue_of(hours, *more: str):
+    return incidents.daily_queue(scores_of(hours, *more))
 
 
 def hour_scores(spark, sf_dir, *more: str):
-    return counts(spark, sf_dir).select(F.col("acting_user").alias("user"), "hour", "day", (F.col("either").cast("double") + F.col("failures")).alias("score"), "tie", *more)
+    return scores_of(counts(spark, sf_dir), *more)
+
+
+def scores_of(hours, *more: str):
+    return hours.select(F.col("acting_user").alias("user"), "hour", "day", (F.col("either").cast("double") + F.col("failures")).alias("score"), "tie", *more)
 
 
 @query("alerts_percentiles", f"WITH {QUEUE}, pc AS (SELECT user, hour, cume_dist() OVER (PARTITION BY day ORDER BY events) AS events_percentile FROM (SELECT acting_user AS user, hour, day, events FROM hc)) SELECT q.user, q.hour, q.day, CAST(rank AS INTEGER) AS rank, round(percentile, 6) AS percentile, round(events_percentile, 6) AS events_percentile FROM q JOIN pc ON pc.user = q.user AND pc.hour = q.hour")

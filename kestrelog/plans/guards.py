@@ -10,9 +10,9 @@ from kestrelog.operators import behaviours, fusion, graph, history, incidents, m
 from kestrelog.sources import adapters, authlog
 
 from .base import AUTH, query
-from .detect import EDGES, TEMPORAL, auth, fused, queue, windowed
+from .detect import EDGES, TEMPORAL, auth, fused, windowed
 from .history import HISTORY
-from .review import CITED, IE, cited, incident_events, user_events, verdicts
+from .review import CITED, IE, cited, incident_events, queue_and_events, user_events, verdicts
 from .units import PRICES
 
 
@@ -78,10 +78,10 @@ def _(spark, sf_dir):
 SELECT 'priority' AS kind, priority AS name, n FROM pq UNION ALL SELECT 'behaviour', rule, count(*) FROM b GROUP BY rule UNION ALL SELECT 'behaviour', 'none', count(*) FROM (SELECT DISTINCT incident_id FROM ie WHERE incident_id NOT IN (SELECT incident_id FROM b)) HAVING count(*) > 0""")
 def _(spark, sf_dir):
     """Incidents by priority and by behaviour, those without any counted too."""
-    events = tables.stored(incident_events(spark, sf_dir), "incident-events")
+    q, events = queue_and_events(spark, sf_dir)
     fired = behaviours.rule_matches(events).select("incident_id", "rule").distinct()
     named = events.select("incident_id").distinct().join(fired, "incident_id", "left").groupBy(F.coalesce("rule", F.lit("none")).alias("name")).agg(F.count("*").alias("n"))
-    ranked = incidents.records(queue(spark, sf_dir), auth(spark, sf_dir), "validation").groupBy(F.col("priority").alias("name")).agg(F.count("*").alias("n"))
+    ranked = incidents.records(q, auth(spark, sf_dir), "validation").groupBy(F.col("priority").alias("name")).agg(F.count("*").alias("n"))
     return ranked.select(F.lit("priority").alias("kind"), "name", "n").union(named.select(F.lit("behaviour").alias("kind"), "name", "n"))
 
 
@@ -108,11 +108,12 @@ en AS (SELECT incident_id, item, kind, timestamp, CASE WHEN kind > 0 THEN refere
 SELECT incident_id, item, CAST(coalesce(sum(n) FILTER (kind = 0), 0) AS BIGINT) AS events, CAST(coalesce(sum(n) FILTER (kind = 1), 0) AS BIGINT) AS package, CAST(coalesce(sum(n) FILTER (kind = 2), 0) AS BIGINT) AS unknown, string_agg(coalesce(name, timestamp || 'x' || n), ' ' ORDER BY place) FILTER (place <= 4) AS shown, greatest(count(*) - 4, 0) AS more FROM pl2 GROUP BY ALL""")
 def _(spark, sf_dir):
     """What each mapped technique cites: events, parts of the package, and references that name neither."""
-    c = tables.stored(cited(spark, sf_dir), "cited")
+    events = user_events(spark, sf_dir)
+    c = tables.stored(cited(events), "cited")
     own = c.select("incident_id", F.col("technique").alias("item"), reference("auth.txt", F.col("source_line")).alias("reference"))
     part = F.when(F.col("source_line") % 3 == 0, "package:graph").otherwise("package:none")
     parts = c.where("source_line % 7 < 2").select("incident_id", F.col("technique").alias("item"), part.alias("reference"))
-    return behaviours.citation_summary(own.union(parts), user_events(spark, sf_dir), ["package:graph", "package:detectors"], 4)
+    return behaviours.citation_summary(own.union(parts), events, ["package:graph", "package:detectors"], 4)
 
 
 _OWN = "al2 AS (SELECT user, hour, fused AS score, CASE WHEN fused >= 0.7 THEN 'alert' WHEN fused >= 0.6 THEN 'sub_threshold' END AS why FROM tf WHERE fused IS NOT NULL)"

@@ -314,6 +314,7 @@ def _(spark, sf_dir):
 
 @query("replies_linked_techniques", f"WITH {CITED}, gr AS (SELECT incident_id, day AS \"group\", list(source_line) AS lines FROM ue GROUP BY ALL), te AS (SELECT incident_id, technique, list(source_line) AS cited FROM ci GROUP BY ALL), m AS (SELECT incident_id, \"group\", string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM gr JOIN te USING (incident_id) WHERE list_has_any(lines, cited) GROUP BY ALL) SELECT incident_id, \"group\", coalesce(techniques, '') AS techniques FROM gr LEFT JOIN m USING (incident_id, \"group\")")
 def _(spark, sf_dir):
-    groups = user_events(spark, sf_dir).groupBy("incident_id", F.col("day").alias("group")).agg(F.collect_list("source_line").alias("lines"))
-    mapped = cited(spark, sf_dir).groupBy("incident_id", "technique").agg(F.collect_list("source_line").alias("lines"))
+    e = user_events(spark, sf_dir)
+    groups = e.groupBy("incident_id", F.col("day").alias("group")).agg(F.collect_list("source_line").alias("lines"))
+    mapped = cited(e).groupBy("incident_id", "technique").agg(F.collect_list("source_line").alias("lines"))
     return verdict_rules.link_techniques(groups, mapped)

@@ -85,8 +85,9 @@ def _(spark, sf_dir):
 @query("evidence_claim_order", f"WITH {CITED}, t AS (SELECT ci.incident_id, technique, min(ue.timestamp) AS first FROM ci LEFT JOIN ue ON ue.incident_id = ci.incident_id AND ue.source_line = ci.source_line GROUP BY ALL) SELECT incident_id, technique, first, row_number() OVER (PARTITION BY incident_id ORDER BY first NULLS LAST, technique) AS position, first IS NOT NULL AS timed FROM t")
 def _(spark, sf_dir):
     """Mapped techniques by their earliest cited event; those that cite none of the package come last and are marked."""
-    e = user_events(spark, sf_dir).select("incident_id", "source_line", "timestamp")
-    first = cited(spark, sf_dir).join(e, ["incident_id", "source_line"], "left").groupBy("incident_id", "technique").agg(F.min("timestamp").alias("first"))
+    events = user_events(spark, sf_dir)
+    e = events.select("incident_id", "source_line", "timestamp")
+    first = cited(events).join(e, ["incident_id", "source_line"], "left").groupBy("incident_id", "technique").agg(F.min("timestamp").alias("first"))
     w = Window.partitionBy("incident_id").orderBy(F.asc_nulls_last("first"), "technique")
     return first.withColumns({"position": F.row_number().over(w).cast("long"), "timed": F.col("first").isNotNull()})
 

@@ -105,3 +105,28 @@ def test_search_index_holds_the_terms_asked_for_and_finds_the_same(spark, tmp_pa
     assert hits[0] == hits[1] and hits[0]
     rounded = lambda v: {(r.term, r.docs, round(r.idf, 9), round(r.most, 9)) for r in v.collect()}
     assert rounded(retrieval.vocabulary(docs, retrieval.ENGLISH)) == rounded(whole.vocabulary)
+
+
+def test_flags_of_the_log_are_found_once(spark, monkeypatch):
+    """The queue, its events and what is cited of them come from one pass over the log."""
+    from kestrelog.operators import history
+
+    calls, plain = [], history.novelty
+    monkeypatch.setattr(history, "novelty", lambda events, *more: calls.append(1) or plain(events, *more))
+    for name in ("replies_linked_techniques", "alerts_headline", "evidence_claim_order"):
+        calls.clear()
+        plans.queries()[name](spark, SF)
+        assert len(calls) == 1
+
+
+def test_records_gather_the_log_of_the_queues_users(spark, monkeypatch):
+    """Lines of hours are gathered for users of the queue, not for everybody."""
+    from kestrelog.operators import sequences
+    from kestrelog.plans import cases, detect
+
+    q, seen, plain = detect.queue(spark, SF).where("user < 'U5'"), [], sequences.user_hours
+    monkeypatch.setattr(sequences, "user_hours", lambda events: seen.append(events) or plain(events))
+    full = detect.queue_of(detect.counts(spark, SF), *cases.records.COUNTS).where("user < 'U5'")
+    cases.nested(spark, SF, full)
+    users = {r.user for r in q.select("user").distinct().collect()}
+    assert users and {r[0] for r in seen[0].select("acting_user").distinct().collect()} == users
