@@ -13,7 +13,7 @@ from .base import query
 from .detect import _CLEAN, EDGES, auth, hour_scores, weighted_edges
 from .detect import RECORDS as _RECORDS
 from .history import RED_PART
-from .review import IE, incident_events
+from .review import IE, queue_and_events
 
 THRESHOLD = 0.75
 _EDGES_PART = EDGES[EDGES.index("w AS ("):]
@@ -26,13 +26,18 @@ ih AS (SELECT ig.*, format('INC-VALIDATION-D{{:02d}}-{{}}-{{:03d}}', f.day, {_CL
 ds AS (SELECT DISTINCT incident_id, user, day FROM ih), gx AS (SELECT ds.incident_id, gd.* FROM ds JOIN gd ON gd.user = ds.user AND gd.day = ds.day)"""
 
 
-def nested(spark, sf_dir) -> DataFrame:
-    """Records of the daily queue with graph context, labels and the first events of each hour as its chunk."""
-    queue = incidents.daily_queue(hour_scores(spark, sf_dir, *records.COUNTS))
-    days = records.graph_days(weighted_edges(spark, sf_dir), THRESHOLD)
+def nested(spark, sf_dir, queue: DataFrame | None = None) -> DataFrame:
+    """Records of the daily queue with graph context, labels and the first events of each hour as its chunk.
+
+    Edges and hours are those of a user alone, so only the log of the queue's users is gathered.
+    """
+    queue = tables.stored(incidents.daily_queue(hour_scores(spark, sf_dir, *records.COUNTS)), "queue") if queue is None else queue
+    users = tables.checked(queue.select(F.col("user").alias("acting_user")).distinct())
+    log = tables.stored(auth(spark, sf_dir).join(users, "acting_user", "left_semi"), "queue-users")
+    days = records.graph_days(weighted_edges(spark, sf_dir, log), THRESHOLD)
     labels = splits.label_hours(adapters.red_team(spark, sf_dir))
-    units = sequences.user_hours(auth(spark, sf_dir)).select(F.col("acting_user").alias("user"), "hour", F.slice("lines", 1, 2).alias("lines"))
-    return tables.stored(records.incident_records(queue, auth(spark, sf_dir), days, labels, "validation", units), "incident-records")
+    units = sequences.user_hours(log).select(F.col("acting_user").alias("user"), "hour", F.slice("lines", 1, 2).alias("lines"))
+    return tables.stored(records.incident_records(queue, log, days, labels, "validation", units), "incident-records")
 
 
 _COUNTS = ", ".join(f"hc.{c}" for c in records.COUNTS)
@@ -72,7 +77,7 @@ bh AS (SELECT incident_id, string_agg(rule || '=' || n, ' ' ORDER BY rule) AS be
 SELECT incident_id, events, failures, sources, destinations, first, last, best_rank, max_score, max_percentile, alert_hours, tied_hours, graph_score, graph_alert, new_edges, coalesce(behaviours, '') AS behaviours FROM h LEFT JOIN g USING (incident_id) LEFT JOIN fa USING (incident_id) LEFT JOIN bh USING (incident_id)""")
 def _(spark, sf_dir):
     """The sections of investigation packages: facts, detectors, graph and behaviours."""
-    events = incident_events(spark, sf_dir)
-    found = records.packages(nested(spark, sf_dir), events, behaviours.observed(events).select("incident_id", "rule", "events"))
+    q, events = queue_and_events(spark, sf_dir, *records.COUNTS)
+    found = records.packages(nested(spark, sf_dir, q), events, behaviours.observed(events).select("incident_id", "rule", "events"))
     fired = F.array_join(F.transform("behaviours", lambda b: F.concat_ws("=", b["rule"], b["events"].cast("string"))), " ")
     return found.select("incident_id", "facts.*", "detectors.*", F.col("graph.max_score").alias("graph_score"), F.col("graph.any_alert").alias("graph_alert"), F.col("graph.new_edges").alias("new_edges"), fired.alias("behaviours")).withColumn("max_percentile", F.round("max_percentile", 6))
