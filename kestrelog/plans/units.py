@@ -98,6 +98,7 @@ ec AS (SELECT *, (cnt + {LONGEST - 1}) // {LONGEST} AS k, CASE WHEN position < (
 
 def scored_events(spark, sf_dir):
     e = sequences.with_unit(history.novelty(auth(spark, sf_dir)).withColumnRenamed("seconds_since_previous_auth", "gap"))
+    e = tables.stored(e, "unit-events")  # read by each statistic and by the losses
     scored = scoring.event_error(scoring.losses(e, scoring.fit(e.where(splits.split_of(F.col("timestamp")) == "train"))))
     n = F.count("*").over(Window.partitionBy(*sequences.UNIT))
     return scored.withColumn("chunk", sequences.chunk_of(F.col("position"), n, LONGEST))
@@ -145,7 +146,7 @@ def _(spark, sf_dir):
 sh AS (SELECT ch.*, a1 + a2 + a3 + a4 AS total FROM ch JOIN bc USING (acting_user, hour, chunk)), lo AS (SELECT acting_user, hour, 'gap' AS feature, CASE WHEN total > 0 THEN a1 / total ELSE 0 END AS share FROM sh UNION ALL SELECT acting_user, hour, 'new_host', CASE WHEN total > 0 THEN a2 / total ELSE 0 END FROM sh UNION ALL SELECT acting_user, hour, 'auth_type', CASE WHEN total > 0 THEN a3 / total ELSE 0 END FROM sh UNION ALL SELECT acting_user, hour, 'logon_after', CASE WHEN total > 0 THEN a4 / total ELSE 0 END FROM sh),
 rk AS (SELECT *, row_number() OVER (PARTITION BY acting_user, hour ORDER BY share DESC, feature) AS rank FROM lo) SELECT acting_user, hour, feature, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 2""")
 def _(spark, sf_dir):
-    e = scored_events(spark, sf_dir)
+    e = tables.stored(scored_events(spark, sf_dir).select(*sequences.UNIT, "chunk", "position", "error", "losses"), "scored-events")
     evidence = scoring.unit_scores(e).select("acting_user", "hour", F.col("best_chunk").alias("chunk"))
     return scoring.feature_shares(scoring.chunk_errors(e), evidence, 2).withColumn("share", F.round("share", 6))
 

@@ -130,3 +130,8 @@ def test_records_gather_the_log_of_the_queues_users(spark, monkeypatch):
     cases.nested(spark, SF, full)
     users = {r.user for r in q.select("user").distinct().collect()}
     assert users and {r[0] for r in seen[0].select("acting_user").distinct().collect()} == users
+
+
+def test_feature_shares_read_stored_scores(spark):
+    """Chunks and their evidence come from events that were scored once."""
+    assert "is_new_host_connection" not in plan_of(plans.queries()["score_feature_shares"](spark, SF))
