@@ -75,3 +75,58 @@ def test_no_window_holds_a_users_history(spark, rows):
     hot = spark.createDataFrame([(r[0], r[1], "U", r[3], r[4], r[5]) for r in rows], SCHEMA)
     parts = hot.groupBy(F.floor((F.col("timestamp") - 1) / 86_400)).count()
     assert parts.count() > 2
+
+
+class _CountedState:
+    """One list, value or map state of a key in memory; calls are counted."""
+
+    def __init__(self, calls):
+        self.calls, self.items = calls, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "appendList":
+                self.items += args[0]
+            elif name == "put":
+                self.items = list(args[0])
+            elif name in ("update", "updateValue"):
+                self.items = [args[0]]
+            elif name == "clear":
+                self.items = []
+            elif name == "containsKey":
+                return False
+            elif name == "get":  # a list's elements, or a value
+                return (self.items[0] if self.items else None) if self.single else iter(self.items)
+
+        return call
+
+
+class _CountedHandle:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def _state(self, single):
+        state = _CountedState(self.calls)
+        state.single = single
+        return state
+
+    getListState = lambda self, *_: self._state(False)
+    getMapState = getListState
+    getValueState = lambda self, *_: self._state(True)
+    registerTimer = deleteTimer = lambda self, at: self.calls.append("timer")
+
+
+def test_state_is_asked_a_few_times_for_many_rows():
+    """A call to the state store costs far more than a row, so their number must not follow that of rows, users or computers."""
+    import pandas as pd
+
+    for kind, more in ((stateful._Links, []), (stateful._Users, ["is_new_host_connection"])):
+        calls, out = [], 0
+        processor = kind(None)
+        processor.init(_CountedHandle(calls))
+        rows = [(i, 90_000 + i % 7_000, i % 2, f"U{i % 500}", f"C{i % 40}", f"C{i}", *[True for _ in more]) for i in range(3_000)]
+        list(processor.handleInputRows((1,), iter([pd.DataFrame(rows, columns=[*stateful._IN, *more])]), None))
+        timers = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
+        out = sum(len(x) for x in processor.handleExpiredTimer((1,), timers, None))
+        assert out == 3_000 and len(calls) < 30
