@@ -235,6 +235,7 @@ def _encode(name: str):
         at = np.flatnonzero(total)
         tally = np.stack([at, total[at]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([tally], pa.binary())], names)
+        common.give_back()
 
     return run
 
@@ -302,6 +303,7 @@ def _blocks(dtype: str, shared):
                 row = [part, block, start, n, numbers[first:last].tobytes(), int(missing[first:last].sum()), lengths.tobytes(), control, data]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in BLOCKS.split(", ")])
                 block, start = block + 1, start + n
+        common.give_back()
 
     return run
 

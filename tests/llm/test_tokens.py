@@ -99,3 +99,14 @@ def test_token_counts_with_a_hot_text_and_many_misses(spark, tmp_path, monkeypat
     tokencount.token_counts(few, str(tmp_path / "b")).count()
     monkeypatch.setattr(tokencount, "MISSES", 0)  # misses go by a shuffle
     assert sorted(tuple(r) for r in tokencount.token_counts(docs, str(tmp_path / "b")).collect()) == want
+
+
+def test_workers_give_memory_back_after_each_task(monkeypatch):
+    """A worker lives on beside later stages, so what a task freed must not stay with it."""
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(tokenids.common, "give_back", lambda: calls.append(1))
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a few words", None]})
+    found = list(tokenids._encode(tokenids.TOKENIZER)(iter([docs])))
+    assert [b.num_rows for b in found] == [2, 1] and len(calls) == 1
