@@ -21,7 +21,7 @@ ALIGN = 64
 #: A row of pixels holds 64 bytes, four samples a pixel; an image has at most so many rows.
 ROW_PIXELS, ROWS = ALIGN // 4, 128
 #: Bytes of media that are decoded together.
-MEDIA_BYTES = 1 << 21
+MEDIA_BYTES = 1 << 22
 
 
 def padded(raw: bytes) -> bytes:

@@ -278,6 +278,14 @@ _EXTRA_BASE = np.where(_PREFIX < 4, _PREFIX + 1, ((2 + (_PREFIX & 1)) << _EXTRA_
 _NEAR_X, _NEAR_Y = (np.array([0, *(d[k] for d in DISTANCES)]) for k in (0, 1))
 
 
+def _stacked(rows: list[np.ndarray], n: int) -> np.ndarray:
+    """Rows of up to n lengths as one array, filled up with zeros."""
+    out = np.zeros((len(rows), n), np.uint8)
+    for to, row in zip(out, rows):
+        to[: len(row)] = row
+    return out
+
+
 def _together(images: list[Coded]) -> list[np.ndarray]:
     """The pixels of images with one group of codes each, all decoded pixel by pixel at once."""
     totals = np.array([x.width * x.height for x in images])
@@ -293,7 +301,7 @@ def _together(images: list[Coded]) -> list[np.ndarray]:
     pos = 8 * begins[:-1] + np.array([x.at for x in images])
     span = 280 + max(1 << x.cache_bits if x.cache_bits else 0 for x in images)
     (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, d0, dm) = (
-        lookup_tables(np.stack([np.pad(x.groups[0][k], (0, n - len(x.groups[0][k]))) for x in images])) for k, n in enumerate((span, 256, 256, 256, 40))
+        lookup_tables(_stacked([x.groups[0][k] for x in images], n)) for k, n in enumerate((span, 256, 256, 256, 40))
     )
     width = np.array([x.width for x in images])
     out = np.zeros(int(totals.sum()), np.int64)
@@ -323,9 +331,10 @@ def _together(images: list[Coded]) -> list[np.ndarray]:
         taken += np.where(literal, n + k + (z >> 12), 0)
         if not literal.all():
             lanes = np.arange(m) if isinstance(who, slice) else who
-            hit = np.flatnonzero(s >= 280)
+            rest = np.flatnonzero(~literal)
+            cached = s[rest] >= 280
+            hit, refs = rest[cached], rest[~cached]
             pixel[hit] = cache[c0[lanes[hit]] + s[hit] - 280]
-            refs = np.flatnonzero((s >= 256) & (s < 280))
             if len(refs):
                 q = p[refs] + taken[refs]
                 window = windows[q >> 3] >> (q & 7)

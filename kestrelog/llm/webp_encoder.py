@@ -9,6 +9,7 @@ for all images of a call together; only trees and code lengths are built image b
 from __future__ import annotations
 
 import struct
+from operator import sub
 
 import numpy as np
 
@@ -18,6 +19,8 @@ from .webp import CODE_LENGTH_ORDER, CROSS_COLOR, DISTANCES, PALETTE, PREDICTOR,
 LIMIT, MATCH, HITS = 11, 3, 24
 #: Mean difference of neighbouring samples up to which predictors are tried.
 SMOOTH = 20
+#: Seven bits of numbers up to 127, highest first.
+_SEVEN = [f"{k:07b}" for k in range(128)]
 
 
 def _tree(counts: list[int]) -> list[int]:
@@ -99,48 +102,53 @@ def _put_code(bits: Bits, lengths: np.ndarray) -> None:
         bits.put(int(used[1]), 8)
         return
     cut = int(used[-1]) + 1
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(lengths[:cut])) + 1])
-    tokens: list[tuple[int, int, int]] = []  # symbol, extra, bits of extra
+    starts = [0, *(np.flatnonzero(lengths[1:cut] != lengths[: cut - 1]) + 1).tolist()]
+    symbols: list[int] = []
+    extras: list[str] = []  # the extra bits of each
     previous = 8
-    for v, n in zip(lengths[starts].tolist(), np.diff(starts, append=cut).tolist()):
+    for v, n in zip(lengths[starts].tolist(), map(sub, [*starts[1:], cut], starts)):
         if v == 0:
             while n >= 11:
                 k = min(n, 138)
-                tokens.append((18, k - 11, 7))
+                symbols.append(18)
+                extras.append(_SEVEN[k - 11])
                 n -= k
             if n >= 3:
-                tokens.append((17, n - 3, 3))
+                symbols.append(17)
+                extras.append(_SEVEN[n - 3][4:])
                 n = 0
         else:
             if v != previous:
-                tokens.append((v, 0, 0))
+                symbols.append(v)
+                extras.append("")
                 previous, n = v, n - 1
             while n >= 3:
                 k = min(n, 6)
-                tokens.append((16, k - 3, 2))
+                symbols.append(16)
+                extras.append(_SEVEN[k - 3][5:])
                 n -= k
-        for _ in range(n):
-            tokens.append((v, 0, 0))
-    counts = [0] * 19
-    for s, _, _ in tokens:
-        counts[s] += 1
+        if n:
+            symbols += [v] * n
+            extras += [""] * n
+    held = bytes(symbols)
+    counts = [held.count(s) for s in range(19)]
     own = _short_lengths(counts)
     codes = short_codes(own)
-    sizes = own if sum(map(bool, own)) > 1 else [0] * 19
+    alone = sum(map(bool, own)) == 1
+    spelt = [f"{c:0{n}b}" if n and not alone else "" for c, n in zip(codes, own)]
     size = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]) + 1)
     acc, n = size - 4 << 1, 5
     for s in CODE_LENGTH_ORDER[:size]:
         acc |= own[s] << n
         n += 3
-    width = max(0, len(tokens) - 2)
+    width = max(0, len(symbols) - 2)
     need = max(1, (width.bit_length() + 1) // 2)
     acc |= (1 | need - 1 << 1 | width << 4) << n
     n += 4 + 2 * need
-    tokens += tokens[:1] * (2 - len(tokens))  # at least two lengths are read
-    for s, extra, more in tokens:
-        acc |= (codes[s] | extra << sizes[s]) << n
-        n += sizes[s] + more
-    bits.put(acc, n)
+    if len(symbols) == 1:  # at least two lengths are read
+        symbols, extras = symbols * 2, extras * 2
+    body = "".join([extra + spelt[s] for s, extra in zip(reversed(symbols), reversed(extras))])  # the last one's bits are the highest
+    bits.put(acc | int(body or "0", 2) << n, n + len(body))
 
 
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

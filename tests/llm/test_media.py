@@ -110,3 +110,16 @@ def test_media_query_on_odd_rows(spark, odd_docs, no_docs):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
     assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id in (0, 1)}) == 1  # equal texts, equal values
     assert media.media_features(no_docs).count() == 0
+
+
+def test_code_lengths_are_written_as_they_are_read():
+    """Codes of one, two and many symbols, with short and long runs of equal lengths and of zeros."""
+    rng = np.random.default_rng(12)
+    for n in (40, 256, 280, 280 + 1024):
+        for used in (0, 1, 2, 3, 20, n // 2, n):
+            counts = np.zeros(n, np.int64)
+            counts[rng.choice(n, used, replace=False)] = rng.geometric(0.02, used)
+            lengths, bits = webp_encoder.code_lengths(counts), webp_encoder.Bits()
+            webp_encoder._put_code(bits, lengths)
+            held = webp.Bits(bits.value.to_bytes(bits.n // 8 + 1, "little"))
+            assert (webp._read_lengths(held, n) == lengths).all() and held.at == bits.n
