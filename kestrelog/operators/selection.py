@@ -35,9 +35,17 @@ def monitor_samples(chunks: DataFrame, cap: int, train: int, monitor: int, draw)
 
 
 def source_features(events: DataFrame) -> DataFrame:
-    """Per user and day: sources, those new to the user and their events, the busiest source, how many users a source has that day, sources known before, first host links and destinations."""
-    keys = ["acting_user", "dataset_day"]
-    per = events.groupBy(*keys, "source_computer").agg(F.count("*").alias("n"), F.bool_or("is_new_user_source").alias("fresh"), F.count_if("is_new_host_connection").alias("hosts"))
+    """Per user and day: sources, those new to the user and their events, the busiest source, how many users a source has that day, sources known before, first host links and destinations.
+
+    What is new follows from the least (timestamp, source_line) of the pairs, so events need no flags and none is moved by line.
+    """
+    keys, at = ["acting_user", "dataset_day"], ("timestamp", "source_line")
+    per = events.groupBy(*keys, "source_computer").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("first"))
+    pair = Window.partitionBy("acting_user", "source_computer")  # a row for each day
+    per = per.withColumn("fresh", F.col("first") == F.min("first").over(pair)).drop("first")
+    links = events.groupBy("source_computer", "destination_computer").agg(F.min(F.struct(*at, *keys)).alias("first"))
+    links = links.groupBy("first.acting_user", "first.dataset_day", "source_computer").agg(F.count("*").alias("hosts"))
+    per = per.join(links, [*keys, "source_computer"], "left").withColumn("hosts", F.coalesce("hosts", F.lit(0)))
     popular = per.groupBy("dataset_day", "source_computer").agg(F.count("*").alias("users"))
     g = per.join(popular, ["dataset_day", "source_computer"]).groupBy(*keys).agg(
         F.count("*").alias("source_count"), F.count_if("fresh").alias("new_source_count"), F.coalesce(F.sum(F.when(F.col("fresh"), F.col("n"))), F.lit(0)).alias("new_source_auth_count"), F.max("n").alias("max_auth_per_source"),
@@ -60,10 +68,8 @@ def feature_matrix(days: DataFrame) -> DataFrame:
     logged = {f"x_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in COUNTS} | {f"x_{c}": F.col(c).cast("double") for c in SCORES}
     out = days.withColumns(logged)
     names = [f"x_{c}" for c in (*SCORES, *COUNTS)]
-    bad = F.lit(False)
-    for c in names:
-        bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == math.inf)
-    if out.where(bad).limit(1).count():
+    zero = sum((F.col(c) * 0.0 for c in names), F.lit(0.0))  # null or NaN if a value is not finite
+    if out.where(zero.isNull() | F.isnan(zero)).limit(1).count():
         raise ValueError("features must be finite")
     return VectorAssembler(inputCols=names, outputCol="features").transform(out).drop(*names)
 
@@ -90,7 +96,7 @@ def tree_classifier(columns: list[str], settings: extra_trees.Settings):
 
     def fit(train: DataFrame):
         trees = extra_trees.grow(train, columns, settings)
-        return lambda rows: rows.select("user", "day", "label").join(extra_trees.scores(rows, ["user", "day"], columns, trees), ["user", "day"])
+        return lambda rows: extra_trees.scores(rows, ["user", "day", "label"], columns, trees)
 
     return fit
 
@@ -107,9 +113,10 @@ def compare_classifiers(rows: DataFrame, candidates: dict) -> DataFrame:
         part = fit(train)(later).select(F.lit(name).alias("model"), F.when(inside(VALIDATION_DAYS), "validation").otherwise("test").alias("part"), "label", "score")
         out = part if out is None else out.unionByName(part)
     out, keys = tables.stored(out, "candidate-scores"), ["model", "part"]
-    thresholds = metrics.best_f1(out.where("part = 'validation'"), ["model"], lowest=True).select("model", "threshold")
+    ranked = tables.stored(metrics.ranking(out, keys, lowest=True), "ranking")
+    thresholds = ranked.where("part = 'validation'").select("model", "threshold")
     report = metrics.confusion(out.join(F.broadcast(thresholds), "model"), F.col("threshold"), [*keys, "threshold"])  # a row for each model
-    report = report.join(metrics.ranking(out, keys).select(*keys, "ap", "auc"), keys)
+    report = report.join(F.broadcast(ranked.select(*keys, "ap", "auc")), keys)
     report = report.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "f1")})
     order = Window.orderBy(F.desc_nulls_last("ap"), F.desc("f1"), "model")  # a row for each model
     best = report.where("part = 'validation'").withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("model").alias("best"))

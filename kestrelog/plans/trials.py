@@ -7,12 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kestrelog.functions import tables
-from kestrelog.operators import extra_trees, graph, history, hourly, incidents, metrics, selection, sequences, splits
+from kestrelog.operators import extra_trees, graph, hourly, incidents, metrics, selection, sequences, splits
 from kestrelog.operators import verdicts as verdict_rules
 from kestrelog.sources import adapters, packages
 
 from .base import AUTH, query
-from .detect import RECORDS, auth, queue, weighted_edges, windowed
+from .detect import RECORDS, auth, queue, weighted_edges
 from .history import HISTORY, RED_PART
 from .review import CITED, cited, user_events, verdicts
 from .units import CHUNKS, EX, HOURLY, LONGEST, MODELS, UNITS, counts, models, units
@@ -62,19 +62,20 @@ pop AS (SELECT dataset_day, source_computer, count(*) AS users FROM us GROUP BY
 
 @query("graph_source_features", f"WITH {SOURCES} SELECT sg.*, CAST(coalesce(sum(new_source_count) OVER (PARTITION BY acting_user ORDER BY dataset_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_source_degree, destination_count FROM sg JOIN dn USING (acting_user, dataset_day)")
 def _(spark, sf_dir):
-    return selection.source_features(history.novelty(auth(spark, sf_dir))).withColumn("mean_source_popularity", F.round("mean_source_popularity", 6))
+    return selection.source_features(auth(spark, sf_dir)).withColumn("mean_source_popularity", F.round("mean_source_popularity", 6))
 
 
 def user_days(spark, sf_dir):
     """The 19 inputs of user-days, stored, since several fits read them."""
-    e, keys = tables.stored(weighted_edges(spark, sf_dir), "edges"), ["acting_user", "window_end"]
+    log, keys = tables.stored(auth(spark, sf_dir).select("timestamp", "source_line", "acting_user", "source_computer", "destination_computer", "authentication_result", "dataset_day"), "log"), ["acting_user", "window_end"]
+    e = tables.stored(weighted_edges(spark, sf_dir, log).drop("lines"), "edges")  # lines are not put in order then
     scores = graph.user_scores(e).select(*keys, F.col("max_score").alias("baseline_score"))
-    peaks = graph.bursts(windowed(spark, sf_dir))
-    degrees = graph.degrees(e, graph.prior_degrees(auth(spark, sf_dir))).select(*keys, F.col("degree").alias("current_degree"), "prior_degree", F.col("growth").alias("degree_growth"))
+    peaks = tables.stored(graph.bursts(graph.assign_windows(log)), "peaks")
+    degrees = graph.degrees(e, graph.prior_degrees(log)).select(*keys, F.col("degree").alias("current_degree"), "prior_degree", F.col("growth").alias("degree_growth"))
     edges = e.groupBy(*keys).agg(F.count("*").alias("n_edges"), F.count_if("is_new").alias("new_edge_count"))
     burst = metrics.calibrate(peaks.withColumn("score", F.col("peak_destinations_300s").cast("double")), metrics.fit_calibrator(peaks.select(F.col("peak_destinations_300s").cast("double").alias("score"))), name="burst_score").drop("score")
     days = scores.join(burst, keys).join(degrees, keys).join(edges, keys).withColumn("dataset_day", (F.floor((F.col("window_end") - 2) / 86_400) + 1).cast("int"))
-    return days.join(selection.source_features(history.novelty(auth(spark, sf_dir))), ["acting_user", "dataset_day"]).withColumns({"user": F.col("acting_user"), "day": F.col("dataset_day")})
+    return days.join(selection.source_features(log), ["acting_user", "dataset_day"]).withColumns({"user": F.col("acting_user"), "day": F.col("dataset_day")})
 
 
 @query("graph_supervised_comparison")
@@ -101,7 +102,7 @@ TREE_INPUTS = ["source_count", "new_source_count", "new_source_auth_count", "max
 
 def tree_days(spark, sf_dir):
     labels = adapters.red_team(spark, sf_dir).select("user", splits.day_of(F.col("timestamp")).alias("day"))
-    days = selection.source_features(history.novelty(auth(spark, sf_dir))).withColumns({"user": F.col("acting_user"), "day": F.col("dataset_day")})
+    days = selection.source_features(auth(spark, sf_dir)).withColumns({"user": F.col("acting_user"), "day": F.col("dataset_day")})
     return tables.stored(metrics.label_units(days, labels, ["user", "day"]), "tree-days")
 
 

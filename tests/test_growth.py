@@ -132,6 +132,75 @@ def test_records_gather_the_log_of_the_queues_users(spark, monkeypatch):
     assert users and {r[0] for r in seen[0].select("acting_user").distinct().collect()} == users
 
 
+def test_trees_do_not_copy_rows(spark, monkeypatch):
+    """Rows are stored once, whatever the number of trees; all else that growing stores is a row for each node at most."""
+    from kestrelog.functions import tables
+    from kestrelog.operators import extra_trees
+
+    rng, sizes, plain = random.Random(5), [], tables.stored
+    rows = [(rng.random(), float(rng.randrange(6)), rng.random() < 0.4) for _ in range(3_000)]
+    df = spark.createDataFrame(rows, "a double, b double, label boolean")
+
+    def stored(x, name):
+        out = plain(x, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "stored", stored)
+    trees = extra_trees.grow(df, ["a", "b"], extra_trees.Settings(trees=6, depth=3))
+    assert sorted(sizes)[-1] == 3_000 and sorted(sizes)[-2] <= 6 * 2**4 and trees.where("node = 1 and n = 3000").count() == 6
+    plan = plan_of(extra_trees.scores(df.withColumn("k", F.lit(1)), ["k"], ["a", "b"], trees))
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_a_row_without_a_value_ends_where_it_is_asked_for(spark):
+    """Such a row counts at the nodes before, and has no score where no tree takes it to a leaf; NaN goes right."""
+    from kestrelog.operators import extra_trees
+
+    rows = [(k, float(k % 10), k % 10 > 5) for k in range(100)] + [(100, None, True), (101, float("nan"), True)]
+    df = spark.createDataFrame(rows, "k int, a double, label boolean")
+    trees = extra_trees.grow(df, ["a"], extra_trees.Settings(trees=3, depth=4, share=1.0))
+    count = {(r.tree, r.node): (r.n, r.feature) for r in trees.collect()}
+    assert all(count[t, 1][0] == 102 for t in range(3))
+    assert all(count[t, 2][0] + count[t, 3][0] == 101 for t in range(3) if count[t, 1][1] is not None)
+    score = {r.k: r.score for r in extra_trees.scores(df, ["k"], ["a"], trees).collect()}
+    assert len(score) == 102 and score[100] is None and score[101] is not None
+
+
+def test_source_features_follow_from_first_pairs(spark):
+    """The log without flags gives what the flags of events give; several events of a second, and a source that is lost and comes back."""
+    from kestrelog.operators import history
+
+    rng = random.Random(9)
+    rows = [(t := 1 + rng.randrange(4) * 86_400 + rng.randrange(3), line, f"U{rng.randrange(4)}", f"C{rng.randrange(3)}", f"D{rng.randrange(5)}", 1 + (t - 1) // 86_400) for line in range(1, 200)]
+    log = spark.createDataFrame(rows, "timestamp long, source_line long, acting_user string, source_computer string, destination_computer string, dataset_day int")
+    got = {(r.acting_user, r.dataset_day): (r.new_source_count, r.new_source_auth_count, r.new_host_connection_events) for r in selection.source_features(log).collect()}
+    want: dict = {}
+    flagged = history.novelty(log).collect()
+    fresh = {(r.acting_user, r.dataset_day, r.source_computer) for r in flagged if r.is_new_user_source}
+    for r in flagged:
+        day = want.setdefault((r.acting_user, r.dataset_day), [set(), 0, 0])
+        if (r.acting_user, r.dataset_day, r.source_computer) in fresh:
+            day[0].add(r.source_computer)
+            day[1] += 1
+        day[2] += r.is_new_host_connection
+    assert got == {k: (len(a), b, c) for k, (a, b, c) in want.items()}
+
+
+def test_a_calibrator_computes_its_references_once(spark):
+    from kestrelog.operators import metrics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    metrics.fit_calibrator(spark.range(500).selectExpr("cast(id as double) as score").mapInArrow(count, "score double"))
+    assert seen.value == 500
+
+
 def test_feature_shares_read_stored_scores(spark):
     """Chunks and their evidence come from events that were scored once."""
     assert "is_new_host_connection" not in plan_of(plans.queries()["score_feature_shares"](spark, SF))
