@@ -150,15 +150,30 @@ def negative_sample(edge_rows: DataFrame, per_user: int, seed: int = 7) -> DataF
     return free.withColumn("place", place).where(F.col("place") <= per_user).select("window_end", *EDGE)
 
 
-def edge_anomaly(train: DataFrame, scored: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:
-    """scored edges with score = sigmoid(-u.c / sqrt(rank)) from implicit ALS factors of the training edges; nodes without factors count as zero."""
+def edge_weights(windowed: DataFrame) -> DataFrame:
+    """(window_end, user, computer, weight) alone: one aggregate with a map-side part."""
+    n = F.when(F.col("authentication_result") == "Success", SUCCESS_WEIGHT).when(F.col("authentication_result").isNotNull(), FAILURE_WEIGHT).otherwise(0.0)
+    return windowed.where(F.col("acting_user").isNotNull() & F.col("destination_computer").isNotNull()).groupBy("window_end", *EDGE).agg(F.sum(n).alias("weight"))
+
+
+def indexed(train: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Tables of edges with u and c, the numbers of users and computers of the training edges."""
     users = StringIndexer(inputCol="acting_user", outputCol="u", handleInvalid="keep").fit(train)
     computers = StringIndexer(inputCol="destination_computer", outputCol="c", handleInvalid="keep").fit(train)
-    index = lambda df: computers.transform(users.transform(df)).withColumns({"u": F.col("u").cast("int"), "c": F.col("c").cast("int")})
-    model = ALS(userCol="u", itemCol="c", ratingCol="weight", implicitPrefs=True, rank=rank, maxIter=5, seed=seed).fit(index(train))
+    return [computers.transform(users.transform(df)).withColumns({"u": F.col("u").cast("int"), "c": F.col("c").cast("int")}) for df in tables]
+
+
+def edge_anomaly(train: DataFrame, scored: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:
+    """scored edges with score = sigmoid(-u.c / sqrt(rank)) from implicit ALS factors of the training edges; nodes without factors count as zero."""
+    return indexed_anomaly(*indexed(train, train, scored), rank, seed)
+
+
+def indexed_anomaly(train: DataFrame, scored: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:
+    """edge_anomaly of edges that carry u and c, so that several ranks share the numbers."""
+    model = ALS(userCol="u", itemCol="c", ratingCol="weight", implicitPrefs=True, rank=rank, maxIter=5, seed=seed).fit(train)
     uf = model.userFactors.select(F.col("id").alias("u"), F.col("features").alias("zu"))
     cf = model.itemFactors.select(F.col("id").alias("c"), F.col("features").alias("zc"))
-    joined = index(scored).join(uf, "u", "left").join(cf, "c", "left")
+    joined = scored.join(uf, "u", "left").join(cf, "c", "left")
     dot = F.coalesce(F.aggregate(F.zip_with("zu", "zc", lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
     return joined.withColumn("score", 1 / (1 + F.exp(dot / F.sqrt(F.lit(float(rank)))))).drop("u", "c", "zu", "zc")
 

@@ -164,17 +164,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Trials of window, factors and aggregation by average precision on days 8 to 16, the best marked; edges of days 2 to 7 are fitted on."""
     out = None
-    labels = adapters.red_team(spark, sf_dir)
+    labels = tables.stored(adapters.red_team(spark, sf_dir).select("timestamp", "user"), "labels")
+    log = tables.stored(auth(spark, sf_dir).select("timestamp", "acting_user", "destination_computer", "authentication_result"), "log")
+    fitted = f"window_end <= {7 * 86_400 + 1}"
     for width in (43_200, 86_400):
-        w = graph.assign_windows(auth(spark, sf_dir), width, 43_200 if width == 43_200 else 86_400)
-        e = tables.stored(graph.edges(w, width).drop("lines"), "grid-edges")
+        w = graph.assign_windows(log, width, 43_200 if width == 43_200 else 86_400)
+        # windows after the last held one have no part in the trials; edges are numbered once for both ranks
+        e = tables.stored(graph.edge_weights(w.where(f"window_end <= {16 * 86_400 + 1}")), "grid-weights")
+        e = tables.stored(*graph.indexed(e.where(fitted), e), "grid-edges")
         positives = labels.select("user", graph.label_cutoff(F.col("timestamp"), width).alias("window_end"))
         for rank in (4, 8):
-            scored = tables.stored(graph.user_scores(graph.edge_anomaly(e.where(f"window_end <= {7 * 86_400 + 1}"), e, rank)), "grid-scores")
-            held = scored.where(f"window_end > {7 * 86_400 + 1} and window_end <= {16 * 86_400 + 1}").withColumn("user", F.col("acting_user"))
+            scored = graph.user_scores(graph.indexed_anomaly(e.where(fitted), e.where(f"not {fitted}"), rank))
+            scored = scored.select(F.col("acting_user").alias("user"), "window_end", "max_score", "top_mean")
+            part = tables.stored(metrics.label_units(scored, positives, ["user", "window_end"]), "grid-scores")
             for aggregation in ("max_score", "top_mean"):
-                part = metrics.label_units(held.withColumn("score", F.col(aggregation)), positives, ["user", "window_end"])
-                row = part.select(F.lit(width).alias("window"), F.lit(rank).alias("factors"), F.lit(aggregation).alias("aggregation"), "label", "score")
+                row = part.select(F.lit(width).alias("window"), F.lit(rank).alias("factors"), F.lit(aggregation).alias("aggregation"), "label", F.col(aggregation).alias("score"))
                 out = row if out is None else out.union(row)
     keys = ["window", "factors", "aggregation"]
     ap = metrics.average_precision(out, keys)

@@ -201,6 +201,28 @@ def test_a_calibrator_computes_its_references_once(spark):
     assert seen.value == 500
 
 
+def test_grid_reads_labels_and_numbers_edges_once(spark, monkeypatch):
+    """Eight trials read one table of labels; edges are numbered for each window, not for each rank, and have no lines."""
+    from kestrelog.functions import tables
+    from kestrelog.operators import graph
+    from kestrelog.sources import adapters
+
+    calls, plain, keep = [], adapters.red_team, tables.stored
+    monkeypatch.setattr(adapters, "red_team", lambda *a: calls.append("labels") or plain(*a))
+    monkeypatch.setattr(tables, "stored", lambda df, name: calls.append(name) or keep(df, name))
+    number = graph.StringIndexer
+    monkeypatch.setattr(graph, "StringIndexer", lambda **k: calls.append("indexer") or number(**k))
+    found = plans.queries()["graph_grid"](spark, SF)
+    assert calls.count("indexer") == 4 and calls.count("grid-scores") == 4
+    assert calls.count("labels") == 2  # asked for and stored once
+    assert found.count() == 8
+    e = adapters.auth_events(spark, SF)
+    for width in (43_200, 86_400):
+        w = graph.assign_windows(e, width, width)
+        pick = lambda df: {(r.window_end, r.acting_user, r.destination_computer, r.weight) for r in df.select("window_end", *graph.EDGE, "weight").collect()}
+        assert pick(graph.edge_weights(w)) == pick(graph.edges(w, width))
+
+
 def test_feature_shares_read_stored_scores(spark):
     """Chunks and their evidence come from events that were scored once."""
     assert "is_new_host_connection" not in plan_of(plans.queries()["score_feature_shares"](spark, SF))
