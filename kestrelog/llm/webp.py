@@ -2,15 +2,15 @@
 
 It reads prefix codes (simple and normal, with meta prefix groups), back-references, the colour
 cache, and the predictor, cross-colour, subtract-green and palette transforms. Many images are
-decoded together: every step decodes the next pixel of each of them through lookup tables, so
-that numpy works on whole columns of images. Images with meta prefix groups are decoded one by
+decoded together: every step reads the next code length or decodes the next pixel of each of them
+through lookup tables, so that numpy works on whole columns of images. Images with meta prefix groups are decoded one by
 one. Pixels are (height, width, 4) arrays of R, G, B, A.
 """
 
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -52,9 +52,14 @@ for _k in range(16):
     _REVERSED |= (np.arange(1 << 16) >> _k & 1) << (15 - _k)
 
 
+def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what is not 0 or false; np.nonzero of a flat array is much faster."""
+    return np.divmod(np.flatnonzero(x), x.shape[1])
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """(codes, symbols) lengths -> the bits of each symbol, first bit lowest; 0 for those without a length."""
-    row, symbol = np.nonzero(lengths)
+    row, symbol = cells(lengths > 0)
     n = lengths[row, symbol].astype(np.int64)
     counts = np.bincount(row * 16 + n, minlength=len(lengths) * 16).reshape(-1, 16)
     first = np.zeros_like(counts)
@@ -82,7 +87,7 @@ def lookup_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
         raise ValueError("a prefix code that is not complete")
     widest = np.where(used == 1, 0, lengths.max(1)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(1 << widest)])
-    row, symbol = np.nonzero(lengths)
+    row, symbol = cells(lengths > 0)
     n = np.where(used[row] == 1, 0, lengths[row, symbol]).astype(np.int64)
     code = np.where(n > 0, canonical_codes(lengths)[row, symbol].astype(np.int64), 0)
     times = 1 << (widest[row] - n)
@@ -204,7 +209,8 @@ class Coded:
     at: int
 
 
-def _coded(bits: Bits, width: int, height: int, main: bool) -> Coded:
+def _coded(bits: Bits, width: int, height: int, main: bool, later: bool = False) -> Coded:
+    """Reads an image's head; with later, a single group of codes is left to _codes_together."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -215,6 +221,8 @@ def _coded(bits: Bits, width: int, height: int, main: bool) -> Coded:
         meta = (_image(bits, across, (height + (1 << block) - 1) >> block) >> 8 & 0xFFFF).reshape(-1, across)
         groups = int(meta.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
+    if later and meta is None:
+        return Coded(width, height, cache_bits, [], None, block, bits.data, bits.at)
     codes = [[_read_lengths(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     return Coded(width, height, cache_bits, codes, meta, block, bits.data, bits.at)
 
@@ -278,31 +286,109 @@ _EXTRA_BASE = np.where(_PREFIX < 4, _PREFIX + 1, ((2 + (_PREFIX & 1)) << _EXTRA_
 _NEAR_X, _NEAR_Y = (np.array([0, *(d[k] for d in DISTANCES)]) for k in (0, 1))
 
 
-def _stacked(rows: list[np.ndarray], n: int) -> np.ndarray:
-    """Rows of up to n lengths as one array, filled up with zeros."""
-    out = np.zeros((len(rows), n), np.uint8)
-    for to, row in zip(out, rows):
-        to[: len(row)] = row
-    return out
+#: Of the symbols of a code of code lengths: extra bits and least repeats.
+_MORE = np.array([0] * 16 + [2, 3, 7])
+_LEAST = np.array([1] * 16 + [3, 3, 11])
 
 
-def _together(images: list[Coded]) -> list[np.ndarray]:
-    """The pixels of images with one group of codes each, all decoded pixel by pixel at once."""
-    totals = np.array([x.width * x.height for x in images])
-    order = np.argsort(-totals, kind="stable")
-    images, totals = [images[i] for i in order], totals[order]
+def _windows(images: list[Coded], spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64 bits from each byte on of all images' data and spare bytes, and where the data of each begin and end."""
     data = [x.data for x in images]
     begins = np.cumsum([0, *map(len, data)])
-    raw = np.frombuffer(b"".join(data) + bytes(8 * int(totals[0]) + 64), np.uint8)  # damaged images may read on a little
-    windows = np.empty(len(raw) - 15, np.int64)  # the 64 bits from each byte on
+    raw = np.frombuffer(b"".join(data) + bytes(spare + 64), np.uint8)
+    windows = np.empty(len(raw) - 15, np.int64)
     for k in range(8):
         part = windows[k::8]
         part[:] = raw[k : k + 8 * len(part)].view("<i8")
+    return windows, begins
+
+
+def _lengths_together(windows: np.ndarray, pos: np.ndarray, alphabets: np.ndarray) -> np.ndarray:
+    """_read_lengths for many codes at once, each from its pos on, which is moved behind it; (codes, symbols) lengths."""
+    bits_at = lambda at: windows[at >> 3] >> (at & 7)
+    steps = np.zeros((len(pos), int(alphabets.max()) + 1), np.uint8)  # from one length to the next
+    window = bits_at(pos)
+    i = np.flatnonzero(window & 1)
+    if len(i):
+        held = window[i]
+        two, wide = held >> 1 & 1, held >> 2 & 1
+        n = np.where(wide, 11, 4)
+        first, second = held >> 3 & np.where(wide, 255, 1), held >> n & 255
+        if (np.maximum(first, second * two) >= alphabets[i]).any():
+            raise ValueError("a symbol out of the alphabet")
+        steps[i, first] = 1
+        steps[i[two > 0], second[two > 0]] = 1
+        pos[i] += n + 8 * two
+    live = np.flatnonzero(~window & 1)
+    lengths = steps.copy()
+    if not len(live):
+        return lengths[:, :-1]
+    steps[:] = 0
+    size = 4 + (window[live] >> 1 & 15)
+    held = bits_at(pos[live] + 5)
+    own = np.zeros((len(live), 19), np.uint8)
+    for k, s in enumerate(CODE_LENGTH_ORDER):
+        own[:, s] = np.where(k < size, held >> 3 * k & 7, 0)
+    table, base, mask = lookup_tables(own)
+    at = pos[live] + 5 + 3 * size
+    held = bits_at(at)
+    n = 2 + 2 * (held >> 1 & 7)
+    some = held & 1 == 1
+    most = alphabets[live]
+    left = np.where(some, 2 + (held >> 4 & ((1 << n) - 1)), most)
+    at += np.where(some, 4 + n, 1)
+    normal, filled = live, np.zeros(len(live), np.int64)
+    previous, written = np.full(len(live), 8), np.zeros(len(live), np.int64)
+    while len(live):
+        window = bits_at(at)
+        entry = table[base + (window & mask)]
+        n, s = entry >> 12, entry & 4095
+        more = _MORE[s]
+        times = _LEAST[s] + (window >> n & ((1 << more) - 1))
+        at += n + more
+        plain = s < 16
+        value = np.where(plain, s, np.where(s == 16, previous, 0))
+        previous = np.where(plain & (s > 0), s, previous)
+        steps[live, filled] = value - written & 255
+        written = value
+        filled += times
+        left -= 1
+        going = (filled < most) & (left > 0)
+        if not going.all():
+            done = ~going
+            if (filled > most).any():
+                raise ValueError("too many code lengths")
+            steps[live[done], filled[done]] = -written[done] & 255
+            pos[live[done]] = at[done]
+            live, at, base, mask, previous, written, filled, left, most = (x[going] for x in (live, at, base, mask, previous, written, filled, left, most))
+    lengths[normal] = np.cumsum(steps[normal], 1, dtype=np.uint8)
+    return lengths[:, :-1]
+
+
+def _codes_together(images: list[Coded]) -> list[np.ndarray]:
+    """Reads the codes of images with one group of them: lengths by kind of code, (images, symbols) each. Images' at is moved behind them."""
+    cache_bits = np.array([x.cache_bits for x in images])
+    # codes of damaged images may go on behind their data
+    windows, begins = _windows(images, 1 << 15)
+    pos = 8 * begins[:-1] + np.array([x.at for x in images])
+    out = []
+    for n in (280 + np.where(cache_bits > 0, 1 << cache_bits, 0), *(np.full(len(images), k) for k in (256, 256, 256, 40))):
+        out.append(_lengths_together(windows, pos, n))
+        if (pos > 8 * begins[1:]).any():
+            raise ValueError("the image ends early")
+    for image, at in zip(images, (pos - 8 * begins[:-1]).tolist()):
+        image.at = at
+    return out
+
+
+def _together(images: list[Coded], lengths: list[np.ndarray]) -> list[np.ndarray]:
+    """The pixels of images with one group of codes each, by kind of code, all decoded pixel by pixel at once."""
+    totals = np.array([x.width * x.height for x in images])
+    order = np.argsort(-totals, kind="stable")
+    images, totals = [images[i] for i in order], totals[order]
+    windows, begins = _windows(images, 8 * int(totals[0]))  # damaged images may read on a little
     pos = 8 * begins[:-1] + np.array([x.at for x in images])
-    span = 280 + max(1 << x.cache_bits if x.cache_bits else 0 for x in images)
-    (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, d0, dm) = (
-        lookup_tables(_stacked([x.groups[0][k] for x in images], n)) for k, n in enumerate((span, 256, 256, 256, 40))
-    )
+    (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, d0, dm) = (lookup_tables(x[order]) for x in lengths)
     width = np.array([x.width for x in images])
     out = np.zeros(int(totals.sum()), np.int64)
     at = np.cumsum(totals) - totals
@@ -456,11 +542,21 @@ class Parsed:
     height: int
     transforms: list[tuple]
     image: Coded
-    features: set[str] = field(default_factory=set)
+
+    @property
+    def features(self) -> set[str]:
+        """The parts of the format that it uses."""
+        groups = self.image.groups
+        found = {("predictor", "cross-colour", "subtract-green", "palette")[t[0]] for t in self.transforms}
+        found |= {"cache"} if self.image.cache_bits else set()
+        found |= {"groups"} if self.image.meta is not None else set()
+        found |= {"matches"} if any(group[0][256:280].any() for group in groups) else set()
+        found |= {"prefix codes"} if any(len(np.unique(x[x > 0])) > 1 for group in groups for x in group) else set()
+        return found
 
 
-def parsed(data: bytes) -> Parsed:
-    """Reads a chunk up to the pixels of its main image."""
+def parsed(data: bytes, later: bool = False) -> Parsed:
+    """Reads a chunk up to the pixels of its main image; with later, up to its codes if it has one group of them."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless image")
@@ -485,13 +581,7 @@ def parsed(data: bytes) -> Parsed:
             width = (width + (1 << packed) - 1) >> packed
         else:
             transforms.append((kind, width, 0, None))
-    image = _coded(bits, width, height, True)
-    features = {("predictor", "cross-colour", "subtract-green", "palette")[t[0]] for t in transforms}
-    features |= {"cache"} if image.cache_bits else set()
-    features |= {"groups"} if image.meta is not None else set()
-    features |= {"matches"} if any(group[0][256:280].any() for group in image.groups) else set()
-    features |= {"prefix codes"} if any(len(np.unique(x[x > 0])) > 1 for group in image.groups for x in group) else set()
-    return Parsed(height, transforms, image, features)
+    return Parsed(height, transforms, _coded(bits, width, height, True, later))
 
 
 def _restored(head: Parsed, argb: np.ndarray) -> np.ndarray:
@@ -518,19 +608,20 @@ def _restored(head: Parsed, argb: np.ndarray) -> np.ndarray:
     return pixels
 
 
-def _longest(image: Coded) -> int:
-    """Bits that a literal may take."""
-    return sum(int(x.max()) for x in image.groups[0][:4])
-
-
 def decode_many(chunks: list[bytes]) -> list[np.ndarray]:
     """The data of VP8L chunks -> their pixels."""
-    heads = [parsed(x) for x in chunks]
+    heads = [parsed(x, later=True) for x in chunks]
     pixels: list = [None] * len(heads)
-    alike = [i for i, h in enumerate(heads) if h.image.meta is None and _longest(h.image) <= 56]
-    if alike:
-        for i, argb in zip(alike, _together([heads[i].image for i in alike])):
-            pixels[i] = argb
+    single = [i for i, h in enumerate(heads) if h.image.meta is None]
+    if single:
+        lengths = _codes_together([heads[i].image for i in single])
+        short = sum(x.max(1).astype(np.int64) for x in lengths[:4]) <= 56  # bits that a literal may take
+        for k in np.flatnonzero(~short).tolist():
+            heads[single[k]].image.groups = [[x[k] for x in lengths]]
+        alike = [single[k] for k in np.flatnonzero(short).tolist()]
+        if alike:
+            for i, argb in zip(alike, _together([heads[i].image for i in alike], [x[short] for x in lengths])):
+                pixels[i] = argb
     for i, h in enumerate(heads):
         if pixels[i] is None:
             pixels[i] = _one_by_one(Bits(h.image.data), h.image)

@@ -3,24 +3,24 @@
 Each image gets the transforms that its estimated entropy favours (predictor, cross-colour,
 subtract-green or palette, or none), back-references to earlier pixels, a colour cache where it pays
 and a prefix code for each channel. Matches, cache hits, codes and bits are worked out
-for all images of a call together; only trees and code lengths are built image by image.
+for all images of a call together, trees and code lengths too; only transforms are image by image.
 """
 
 from __future__ import annotations
 
 import struct
-from operator import sub
 
 import numpy as np
 
-from .webp import CODE_LENGTH_ORDER, CROSS_COLOR, DISTANCES, PALETTE, PREDICTOR, SUBTRACT_GREEN, canonical_codes, color_delta, hash_of, short_codes
+from .webp import CODE_LENGTH_ORDER, CROSS_COLOR, DISTANCES, PALETTE, PREDICTOR, SUBTRACT_GREEN, canonical_codes, cells, color_delta, hash_of
 
 #: Longest prefix code, least pixels of a match and cache hits that make a colour cache worth its codes.
 LIMIT, MATCH, HITS = 11, 3, 24
 #: Mean difference of neighbouring samples up to which predictors are tried.
 SMOOTH = 20
-#: Seven bits of numbers up to 127, highest first.
-_SEVEN = [f"{k:07b}" for k in range(128)]
+_ORDER = np.array(CODE_LENGTH_ORDER)
+#: More than any count of symbols.
+_NONE = 1 << 60
 
 
 def _tree(counts: list[int]) -> list[int]:
@@ -61,18 +61,64 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return out
 
 
-def _short_lengths(counts: list[int], limit: int = 7) -> list[int]:
-    """code_lengths for few symbols."""
-    out = [0] * len(counts)
-    used = sorted((n, s) for s, n in enumerate(counts) if n)
-    if len(used) == 1:
-        out[used[0][1]] = 1
-        return out
-    least, total = 1, sum(counts)
-    while (depth := _tree([max(n, least) for n, _ in used]))[0] > limit:
-        least = max(2 * least, total >> (limit + 2))
-    for d, (_, s) in zip(depth, used):
-        out[s] = d
+def _trees(counts: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """_tree for all columns of counts at once; column i has used[i] counts, two or more, and used descends."""
+    most, n = counts.shape
+    leaves = np.concatenate([counts, np.full((1, n), _NONE)]).reshape(-1)
+    inner = np.full((most, n), _NONE)
+    inners = inner.reshape(-1)
+    leaf_parent, parent = np.zeros((most + 1) * n, np.int32), np.zeros(most * n, np.int32)
+    column = np.arange(n)
+    leaf, node = column.copy(), column.copy()  # places of the next leaf and inner node of each
+    active = np.searchsorted(-used, -np.arange(1, most), side="left")
+    for t, m in enumerate(active.tolist()):
+        total = 0
+        for _ in (0, 1):
+            i, j = leaf[:m], node[:m]
+            x, y = leaves[i], inners[j]
+            first = x <= y
+            total = total + np.minimum(x, y)
+            leaf_parent[i[first]] = t
+            parent[j[~first]] = t
+            leaf[:m] += n * first
+            node[:m] += n * ~first
+        inner[t, :m] = total
+    depth, parent = np.zeros(most * n, np.int32), parent.reshape(most, n)
+    for t in range(most - 3, -1, -1):
+        m = int(active[t + 1])  # those for which node t is not the root
+        depth[t * n : t * n + m] = depth[parent[t, :m] * n + column[:m]] + 1
+    return depth[leaf_parent[: most * n].reshape(most, n) * n + column] + 1
+
+
+def many_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """code_lengths of each row of counts."""
+    out = np.zeros(counts.shape, np.uint8)
+    row, symbol = cells(counts > 0)
+    used = np.bincount(row, minlength=len(counts))
+    out[used == 0, 0] = 1
+    out[row[used[row] == 1], symbol[used[row] == 1]] = 1
+    several = used[row] > 1
+    row, symbol = row[several], symbol[several]
+    n = counts[row, symbol].astype(np.int64)
+    by = np.lexsort((n, -used[row] * len(counts) + row))  # rows of many symbols first, the rarest symbol of each first
+    row, symbol, n = row[by], symbol[by], n[by]
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(np.append(begin, len(row)))
+    column = np.repeat(np.arange(len(begin)), size)
+    place = np.arange(len(row)) - begin[column]
+    total = np.add.reduceat(n, begin) if len(begin) else n
+    least = np.ones(len(begin), np.int64)
+    left = np.arange(len(begin))  # codes that are still too long
+    while len(left):
+        held = np.full((int(size[left[0]]), len(left)), _NONE)
+        now = np.full(len(begin), -1)
+        now[left] = np.arange(len(left))
+        mine = np.flatnonzero(now[column] >= 0)
+        held[place[mine], now[column[mine]]] = np.maximum(n[mine], least[column[mine]])
+        depth = _trees(held, size[left])
+        out[row[mine], symbol[mine]] = depth[place[mine], now[column[mine]]]
+        left = left[depth[0] > limit]
+        least[left] = np.maximum(2 * least[left], total[left] >> (limit + 2))
     return out
 
 
@@ -87,68 +133,87 @@ class Bits:
         self.n += n
 
 
-def _put_code(bits: Bits, lengths: np.ndarray) -> None:
-    """Writes code lengths: a simple code for a symbol alone, else run-length coded under a code of their own."""
-    used = np.flatnonzero(lengths)
-    if len(used) == 1 and used[0] < 256:
-        wide = int(used[0] > 1)
-        bits.put(1 | wide << 2, 3)
-        bits.put(int(used[0]), 8 if wide else 1)
-        return
-    if len(used) == 2 and used[1] < 256:
-        wide = int(used[0] > 1)
-        bits.put(1 | 2 | wide << 2, 3)
-        bits.put(int(used[0]), 8 if wide else 1)
-        bits.put(int(used[1]), 8)
-        return
-    cut = int(used[-1]) + 1
-    starts = [0, *(np.flatnonzero(lengths[1:cut] != lengths[: cut - 1]) + 1).tolist()]
-    symbols: list[int] = []
-    extras: list[str] = []  # the extra bits of each
-    previous = 8
-    for v, n in zip(lengths[starts].tolist(), map(sub, [*starts[1:], cut], starts)):
-        if v == 0:
-            while n >= 11:
-                k = min(n, 138)
-                symbols.append(18)
-                extras.append(_SEVEN[k - 11])
-                n -= k
-            if n >= 3:
-                symbols.append(17)
-                extras.append(_SEVEN[n - 3][4:])
-                n = 0
-        else:
-            if v != previous:
-                symbols.append(v)
-                extras.append("")
-                previous, n = v, n - 1
-            while n >= 3:
-                k = min(n, 6)
-                symbols.append(16)
-                extras.append(_SEVEN[k - 3][5:])
-                n -= k
-        if n:
-            symbols += [v] * n
-            extras += [""] * n
-    held = bytes(symbols)
-    counts = [held.count(s) for s in range(19)]
-    own = _short_lengths(counts)
-    codes = short_codes(own)
-    alone = sum(map(bool, own)) == 1
-    spelt = [f"{c:0{n}b}" if n and not alone else "" for c, n in zip(codes, own)]
-    size = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]) + 1)
-    acc, n = size - 4 << 1, 5
-    for s in CODE_LENGTH_ORDER[:size]:
-        acc |= own[s] << n
-        n += 3
-    width = max(0, len(symbols) - 2)
-    need = max(1, (width.bit_length() + 1) // 2)
-    acc |= (1 | need - 1 << 1 | width << 4) << n
-    n += 4 + 2 * need
-    if len(symbols) == 1:  # at least two lengths are read
-        symbols, extras = symbols * 2, extras * 2
-    body = "".join([extra + spelt[s] for s, extra in zip(reversed(symbols), reversed(extras))])  # the last one's bits are the highest
-    bits.put(acc | int(body or "0", 2) << n, n + len(body))
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, symbols) lengths -> the runs of equal lengths up to each code's last symbol: code, length, size."""
+    cut = lengths.shape[1] - np.argmax(lengths[:, ::-1] > 0, 1)
+    begins = np.ones(lengths.shape, bool)
+    begins[:, 1:] = (lengths[:, 1:] != lengths[:, :-1]) & (np.arange(1, lengths.shape[1]) < cut[:, None])
+    row, at = cells(begins)
+    end = np.append(at[1:], 0)
+    last = np.append(row[1:] != row[:-1], True)
+    return row, lengths[row, at].astype(np.int64), np.where(last, cut[row], end) - at
+
+
+def _code_numbers(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of some kinds of codes, (images, symbols) each -> the numbers that state them, kind after kind
+    for each image in turn: image, number, bits.
+
+    One or two symbols below 256 make a simple code; others are run-length coded under a code of their own.
+    """
+    kinds = len(tables)
+    codes = len(tables[0]) * kinds
+    parts = []  # of each kind: code, place, number, bits
+    runs = []
+    for k, x in enumerate(tables):
+        used = (x > 0).sum(1)
+        low = np.argmax(x > 0, 1)
+        high = x.shape[1] - 1 - np.argmax(x[:, ::-1] > 0, 1)
+        simple = (used <= 2) & (high < 256)
+        i = np.flatnonzero(simple)
+        two, wide = used[i] == 2, low[i] > 1
+        size = np.where(wide, 8, 1)
+        number = 1 | two << 1 | wide << 2 | low[i] << 3 | np.where(two, high[i], 0) << (3 + size)
+        parts.append((i * kinds + k, np.zeros(len(i), np.int64), number, 3 + size + 8 * two))
+        i = np.flatnonzero(~simple)
+        if len(i):
+            row, v, n = _runs(x[i])
+            runs.append((i[row] * kinds + k, v, n))
+    if runs:
+        code, v, n = (np.concatenate(c) for c in zip(*runs))
+        by = np.argsort(code, kind="stable")
+        code, v, n = code[by], v[by], n[by]
+        # a length other than the last one above 0 is written out, then come repeats
+        some = np.flatnonzero(v)
+        before = np.full(len(v), 8)
+        before[some[1:]] = np.where(code[some[1:]] == code[some[:-1]], v[some[:-1]], 8)
+        lead = ((v > 0) & (v != before)).astype(np.int64)
+        most = np.where(v > 0, 6, 138)
+        full, rest = np.divmod(n - lead, most)
+        count = lead + full + np.where(rest >= 3, 1, rest)
+        run = np.repeat(np.arange(len(v)), count)
+        place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        whole = (place >= lead[run]) & (place < (lead + full)[run])
+        repeats = whole | (place >= lead[run]) & (rest[run] >= 3)
+        size, v = np.where(whole, most[run], rest[run]), v[run]
+        symbol = np.where(repeats, np.where(v > 0, 16, np.where(size >= 11, 18, 17)), v)
+        extra = np.where(repeats, size - np.where(symbol == 18, 11, 3), 0)
+        code = code[run]
+        # the code of these symbols
+        owner = np.flatnonzero(np.bincount(code, minlength=codes))
+        mine = np.searchsorted(owner, code)
+        own = many_lengths(np.bincount(mine * 19 + symbol, minlength=len(owner) * 19).reshape(-1, 19), 7)
+        bits = np.where(((own > 0).sum(1) == 1)[:, None], 0, own)[mine, symbol].astype(np.int64)
+        number = canonical_codes(own)[mine, symbol].astype(np.int64) | extra << bits
+        ordered = own[:, _ORDER].astype(np.int64)
+        size = np.maximum(4, 19 - np.argmax(ordered[:, ::-1] > 0, 1))
+        for k, (a, b) in enumerate(((0, 9), (9, 19))):  # 19 lengths of 3 bits in two numbers
+            head = (ordered[:, a:b] << 3 * np.arange(b - a)).sum(1)
+            taken = 3 * (np.clip(size, a, b) - a)
+            parts.append((owner, np.full(len(owner), k), head << 5 | size - 4 << 1 if k == 0 else head, taken + 5 if k == 0 else taken))
+        width = np.bincount(mine) - 2
+        need = np.maximum(1, np.frexp(width.astype(np.float64))[1] + 1 >> 1)
+        parts.append((owner, np.full(len(owner), 2), 1 | need - 1 << 1 | width << 4, 4 + 2 * need))
+        parts.append((code, np.full(len(code), 3), number, bits + np.array([0] * 16 + [2, 3, 7])[symbol]))
+    code, place, number, bits = (np.concatenate(c) for c in zip(*parts))
+    by = np.argsort(code * 4 + place, kind="stable")
+    return code[by] // kinds, number[by], bits[by]
+
+
+def _put_code(bits: Bits, *lengths: np.ndarray) -> None:
+    """Writes the lengths of one or more codes."""
+    _, numbers, sizes = _code_numbers([x[None] for x in lengths])
+    for v, n in zip(numbers.tolist(), sizes.tolist()):
+        bits.put(v, n)
 
 
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,8 +304,7 @@ def _put_literals(bits: Bits, samples: np.ndarray) -> None:
     """An image (n, 4) without back-references or colour cache."""
     bits.put(0, 1)
     lengths = [code_lengths(np.bincount(samples[:, k], minlength=a)) for k, a in ((1, 280), (0, 256), (2, 256), (3, 256))]
-    for x in (*lengths, code_lengths(np.zeros(40, np.int64))):
-        _put_code(bits, x)
+    _put_code(bits, *lengths, code_lengths(np.zeros(40, np.int64)))
     tables = [(canonical_codes(x[None])[0].tolist(), x.tolist() if (x > 0).sum() > 1 else [0] * len(x)) for x in lengths]
     for row in samples.tolist():
         for (codes, sizes), v in zip(tables, (row[1], row[0], row[2], row[3])):
@@ -406,7 +470,7 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
     counts += [np.bincount(who * 256 + samples[lit, k], minlength=n * 256).reshape(n, 256) for k in (0, 2, 3)]
     counts.append(np.bincount(owner[m] * 40 + far_symbol, minlength=n * 40).reshape(n, 40))
     tables = []
-    lengths = [np.stack([code_lengths(row) for row in c]) for c in counts]
+    lengths = [many_lengths(c) for c in counts]
     for x in lengths:
         alone = (x > 0).sum(1) == 1
         tables.append((canonical_codes(x).reshape(-1), np.where(alone[:, None], 0, x).reshape(-1).astype(np.int64)))
@@ -414,8 +478,6 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
         b = int(cache_bits[i])
         bits.put(1 | b << 1 if b else 0, 5 if b else 1)
         bits.put(0, 1)  # one group of codes
-        for x, a in zip(lengths, (280 + (1 << b) if b else 280, 256, 256, 256, 40)):
-            _put_code(bits, x[i, :a])
     # bits: every token is up to four numbers
     value = np.zeros((len(token), 4), np.uint64)
     taken = np.zeros((len(token), 4), np.int64)
@@ -432,6 +494,11 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
     for k in (1, 2, 3):
         whole = whole | value[:, k] << used.astype(np.uint64)
         used += taken[:, k]
+    # codes and tokens one after the other
+    of, number, size = _code_numbers(lengths)
+    by = np.argsort(np.concatenate([of, owner]), kind="stable")
+    owner = np.concatenate([of, owner])[by]
+    whole, used = np.concatenate([number.astype(np.uint64), whole])[by], np.concatenate([size, used])[by]
     body = np.bincount(owner, used, n).astype(np.int64)
     before = 40 + np.array([h.n for h in heads])
     bytes_of = (before + body + 7) >> 3

@@ -123,3 +123,40 @@ def test_code_lengths_are_written_as_they_are_read():
             webp_encoder._put_code(bits, lengths)
             held = webp.Bits(bits.value.to_bytes(bits.n // 8 + 1, "little"))
             assert (webp._read_lengths(held, n) == lengths).all() and held.at == bits.n
+
+
+def test_codes_are_built_and_read_for_all_images_together(monkeypatch):
+    rng = random.Random(5)
+    payloads = [media.padded(prose(rng, n).encode()) for n in range(20, 400, 5)]
+
+    def refuse(*_):
+        raise AssertionError("a code of one image alone")
+
+    monkeypatch.setattr(webp_encoder, "code_lengths", refuse)
+    monkeypatch.setattr(webp, "_read_lengths", refuse)
+    assert [x.tobytes() for x in media.from_media(media.to_media(payloads))] == payloads
+
+
+def test_many_codes_are_those_of_one_at_a_time():
+    """Codes without, with one and with many symbols, even and very uneven counts, of alphabets of several sizes."""
+    rng = np.random.default_rng(13)
+    counts = np.zeros((60, 300), np.int64)
+    for k, row in enumerate(counts):
+        used = int(rng.choice([0, 1, 2, 3, 12, 30, 150, 280]))
+        size = int(rng.choice([280, 300]))
+        values = 2 ** np.arange(used) if used <= 30 and k % 2 else rng.geometric(0.02, used)
+        row[rng.choice(size, used, replace=False)] = rng.permutation(values)
+    counts[0, 290] = 7
+    for limit in (9, 11):
+        lengths = webp_encoder.many_lengths(counts, limit)
+        assert (lengths == np.stack([webp_encoder.code_lengths(row, limit) for row in counts])).all()
+        alphabets = np.where(lengths[:, 280:].any(1), 300, 280)
+        written = [webp_encoder.Bits() for _ in lengths]
+        for k, (bits, row) in enumerate(zip(written, lengths)):
+            bits.put(0, k % 7)
+            webp_encoder._put_code(bits, row)
+        images = [webp.Coded(1, 1, 0, [], None, 0, b.value.to_bytes(b.n // 8 + 1, "little"), k % 7) for k, b in enumerate(written)]
+        windows, begins = webp._windows(images, 1 << 15)
+        pos = 8 * begins[:-1] + np.array([x.at for x in images])
+        assert (webp._lengths_together(windows, pos, alphabets) == lengths).all()
+        assert (pos - 8 * begins[:-1]).tolist() == [b.n for b in written]
