@@ -38,10 +38,11 @@ def replayed(spark, sf_dir, rows: DataFrame | None = None, at: Column | None = N
     inside = [(F.col("__at") >= low + (high - low + 1) * k / PARTS) & (F.col("__at") < low + (high - low + 1) * (k + 1) / PARTS) for k in range(PARTS)]
     sizes = log.agg(*[F.count_if(c) for c in inside]).first()
     files = max(1, min(spark.sparkContext.defaultParallelism, min((n for n in sizes if n), default=0) // FILE_ROWS))  # every part has so many
-    for rows_there in inside:
+    for rows_there, n in zip(inside, sizes):
         part = log.where(rows_there).drop("__at")
-        part = part.coalesce(1) if files == 1 else part.repartition(files)
-        part.sortWithinPartitions(F.xxhash64("source_line")).write.mode("append").parquet(path)
+        part = part.coalesce(1) if files == 1 or not n else part.repartition(files)
+        for _ in range(1 if n else files):  # a part without rows is written as one file at a time
+            part.sortWithinPartitions(F.xxhash64("source_line")).write.mode("append").parquet(path)
     if closing:
         last = {"timestamp": high + CLOSING, "source_line": -1}
         row = spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in log.drop("__at").schema])

@@ -19,6 +19,8 @@ from kestrelog.sources import authlog
 
 LATENESS = "2 hours"
 HOUR, DAY = 3600, 86_400
+#: Event time of the dataset's first second in histories: a watermark begins at 0, and rows at it or before it count as late.
+START = DAY
 #: Rows of a user that come out together.
 PIECE = 10_000
 
@@ -28,8 +30,8 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def with_event_time(events: DataFrame) -> DataFrame:
-    return events.withColumn("event_time", F.timestamp_seconds(F.col("timestamp") - 1))
+def with_event_time(events: DataFrame, start: int = 0) -> DataFrame:
+    return events.withColumn("event_time", F.timestamp_seconds(F.col("timestamp") - 1 + start))
 
 
 def hourly_counts(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -150,7 +152,7 @@ def _history(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
         out = []
     state.update(([x[0] for x in day], [x[1] for x in day], [x[2] for x in day], last, sorted(known), sorted(sources)))
-    state.setTimeoutTimestamp(max((last - 1 + DAY) * 1000, state.getCurrentWatermarkMs() + 1))
+    state.setTimeoutTimestamp(max((last - 1 + START + DAY) * 1000, state.getCurrentWatermarkMs() + 1))
 
 
 def history_features(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -159,6 +161,6 @@ def history_features(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     State holds a user's last day of events and the computers ever seen. Micro-batches must come in time order per user, as the
     log is written; the rows of a user in one micro-batch may come in any order and are sorted together.
     """
-    rows = with_event_time(events).withWatermark("event_time", lateness)
+    rows = with_event_time(events, START).withWatermark("event_time", lateness)
     rows = rows.select("acting_user", "event_time", "source_line", "timestamp", "destination_computer", "source_computer", (F.col("authentication_result") == "Fail").cast("int").alias("failed"))
     return rows.groupBy("acting_user").applyInPandasWithState(_history, FEATURES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrelog.operators import graph, history, incidents
+from kestrelog.plans import streams
 from kestrelog.sources import adapters
 from kestrelog.streaming import login
 
@@ -125,3 +126,29 @@ def test_a_batch_tried_again_leaves_no_doubles(spark, tmp_path):
     assert sorted((r.acting_user, r.batch) for r in spark.read.parquet(str(tmp_path / "late")).collect()) == [("b", 0), ("d", 1)]
     write(first, 0)  # an earlier batch again: its lateness does not see later batches
     assert sorted(r.acting_user for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["a", "c", "e"]
+
+
+def test_rows_of_the_first_second_have_features(spark, log, tmp_path):
+    """Second 1 is no later than the watermark with which a stream begins."""
+    e = spark.read.parquet(log)
+    first = e.agg(F.min("timestamp")).first()[0]
+    folder = str(tmp_path / "from-one")
+    e.withColumn("timestamp", F.col("timestamp") - first + 1).coalesce(1).write.parquet(folder)
+    stream = login.history_features(source(spark, folder))
+    columns = [c for c in stream.columns if c != "acting_user"]
+    got = {tuple(r) for r in once(stream, tmp_path, "from_one").select(columns).collect()}
+    assert got == {tuple(r) for r in history.history_features(spark.read.parquet(folder)).select(columns).collect()}
+
+
+def test_a_part_without_rows_keeps_the_others_apart(spark, log, monkeypatch):
+    """Parts two and three of the replay are empty; the micro-batches of the others hold no rows of each other."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    e = spark.read.parquet(log)
+    middle = e.approxQuantile("timestamp", [0.5], 0.0)[0]
+    gap = e.withColumn("timestamp", F.col("timestamp") + F.when(F.col("timestamp") > middle, 10**8).otherwise(0))
+    sizes = []
+    stream = streams.replayed(spark, SF, gap, F.col("timestamp"), closing=False)
+    q = stream.writeStream.foreachBatch(lambda batch, _: sizes.append((batch.count(), batch.where("timestamp > 5e7").count()))).trigger(availableNow=True).start()
+    q.awaitTermination()
+    n, late = gap.count(), gap.where("timestamp > 5e7").count()
+    assert sizes == [(n - late, 0), (0, 0), (0, 0), (late, late)]
