@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .login import DAY, HOUR, LATENESS, PIECE, with_event_time
+from .login import DAY, HOUR, LATENESS, PIECE, START, with_event_time
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Groups of pairs and of users; a stream keeps the number for life, since its state is kept by group.
@@ -40,6 +40,11 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _wakes(timestamp: int) -> int:
+    """The timer of a row (ms): the last instant before its event time, since a timer fires when the watermark is past it and the next operator drops rows at the watermark a batch later."""
+    return (timestamp - 1 + START) * 1000 - 1
+
+
 class _Rows:
     """List state whose elements are rows of one schema together, as Arrow streams."""
 
@@ -91,13 +96,14 @@ class _Ordered(StatefulProcessor):
         came = [list(pdf[self.names].astype(object).itertuples(index=False, name=None)) for pdf in rows]
         at = self.names.index("timestamp")
         self.waiting.append(came)
-        earliest = min(r[at] for part in came for r in part) * 1000
+        earliest = min(r[at] for part in came for r in part)
         held = self.timer.get()
-        if held is None or earliest < held[0]:
+        if held is None or _wakes(earliest) < held[0]:
             self._wake(earliest, held)
         return iter([])
 
-    def _wake(self, at: int, held: tuple | None = None) -> None:
+    def _wake(self, earliest: int, held: tuple | None = None) -> None:
+        at = _wakes(earliest)
         if held is not None:
             self.handle.deleteTimer(held[0])
         self.handle.registerTimer(at)
@@ -106,11 +112,11 @@ class _Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, at, line = timerValues.getCurrentWatermarkInMs(), self.names.index("timestamp"), self.names.index("source_line")
         rows = self.waiting.get()
-        due = sorted((r for r in rows if (r[at] - 1) * 1000 <= now), key=lambda r: (r[at], r[line]))
-        left = [r for r in rows if (r[at] - 1) * 1000 > now]
+        due = sorted((r for r in rows if _wakes(r[at]) < now), key=lambda r: (r[at], r[line]))
+        left = [r for r in rows if _wakes(r[at]) >= now]
         self.waiting.put(left)
         if left:
-            self._wake(min(r[at] for r in left) * 1000)
+            self._wake(min(r[at] for r in left))
         else:
             self.timer.clear()
         out = self.released(due, now) if due else []
@@ -150,7 +156,7 @@ class _Links(_Ordered):
         return out
 
     def framed(self, out: pd.DataFrame) -> pd.DataFrame:
-        out.insert(0, "event_time", pd.to_datetime(out["timestamp"] - 1, unit="s"))
+        out.insert(0, "event_time", pd.to_datetime(out["timestamp"] - 1 + START, unit="s"))
         return out
 
 
@@ -175,7 +181,7 @@ class _Users(_Ordered):
             days[user], last[user] = self._user(user, list(own), days[user], last.get(user), known, new, out)
         self.known.append([new])
         self.last.put(list(last.items()))
-        since = now // 1000 - DAY  # what comes later is later than the watermark
+        since = now // 1000 - START - DAY  # what comes later is later than the watermark
         self.day.put([(user, *event) for user, events in days.items() for event in events if event[0] >= since])
         return out
 
@@ -219,7 +225,7 @@ def history_features(events: DataFrame, lateness: str = LATENESS, forget_seconds
     A release reads its group's state whole, so groups should be more where users and pairs are very many.
     """
     forget = None if forget_seconds is None else forget_seconds * 1000
-    rows = with_event_time(events).withWatermark("event_time", lateness).where("timestamp is not null")
+    rows = with_event_time(events, START).withWatermark("event_time", lateness).where("timestamp is not null")
     name = lambda c: F.coalesce(c, F.lit("")).alias(c)
     failed = F.coalesce(F.col("authentication_result") == "Fail", F.lit(False)).cast("int").alias("failed")
     rows = rows.select("event_time", "source_line", "timestamp", failed, *map(name, _IN[3:]))

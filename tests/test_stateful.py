@@ -130,3 +130,15 @@ def test_state_is_asked_a_few_times_for_many_rows():
         timers = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
         out = sum(len(x) for x in processor.handleExpiredTimer((1,), timers, None))
         assert out == 3_000 and len(calls) < 30
+
+
+def test_rows_at_the_first_second_and_at_the_watermark_are_kept(spark, tmp_path):
+    """Second 1 is no later than a new stream's watermark; the only row of its groups stands at the watermark that the first micro-batch leaves."""
+    rows = [(1, 1, "U1", "C1", "C2", "Fail"), (1, 2, "U1", "C1", "C3", "Success"), (20_000 - 7_200, 3, "U7", "C7", "C8", "Success"), (20_000 - 7_201, 4, "U8", "C8", "C9", "Success"), (20_000, 5, "U1", "C1", "C2", "Success")]
+    later = [(40_000, 6, "U1", "C1", "C2", "Success"), (10**6, 7, "end", "end", "end", "Success")]
+    for i, part in enumerate((rows, later[:1], later[1:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run(spark, tmp_path / "in", tmp_path)
+    want = history.history_features(spark.createDataFrame(rows + later[:1], SCHEMA)).select(COLUMNS).collect()
+    out = spark.read.parquet(str(tmp_path / "out")).where("acting_user <> 'end'").select(COLUMNS).collect()
+    assert sorted(map(str, out)) == sorted(map(str, want))
