@@ -8,7 +8,9 @@ from collections import Counter
 
 import pytest
 
-from kestrelog.operators import catalogue, retrieval
+from pyspark.sql import functions as F
+
+from kestrelog.operators import catalogue, packed, retrieval
 
 
 def objects():
@@ -104,3 +106,46 @@ def test_search_equals_scoring_everything(spark, tmp_path):
             assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got[q], want[q]))
     plan = again.postings.where("term in ('w1', 'w2')")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan
+
+
+def test_norms_of_packs_of_any_size_equal_plain_ones(spark, monkeypatch):
+    """Packs of a few terms or documents, sums given out early, ids of either type, texts without terms."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(0, 50)))) for i in range(120)] + [(500, None), (501, "the"), (502, "")]
+    counts = {i: slow_terms(t or "", set(retrieval.ENGLISH)) for i, t in docs}
+    seen = Counter(t for c in counts.values() for t in c)
+    want = {i: math.sqrt(sum(((1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + seen[t])) + 1)) ** 2 for t, n in c.items())) for i, c in counts.items() if c}
+    given = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    for sizes in ((2 << 20, 1 << 16, 4 << 20), (60, 4, 10)):
+        for name, size in zip(("PACK_TERMS", "PACK_DOCS", "HELD"), sizes):
+            monkeypatch.setattr(packed, name, size)
+        for id_ in ("id", "concat('x', id)"):
+            got = {int(str(r.id).lstrip("x")): r.norm for r in retrieval.norms(given.selectExpr(f"{id_} as id", "text"), len(docs), retrieval.ENGLISH).collect()}
+            assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in want)
+    assert retrieval.norms(given.where("false"), 0, []).count() == 0
+
+
+def _moved(spark, df):
+    """Bytes that the shuffles of a query write."""
+    spark.sparkContext.setJobGroup("moved", "")
+    df.write.format("noop").mode("overwrite").save()
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("moved") for s in tracker.getJobInfo(job).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s) is not None)
+
+
+def test_a_term_moves_in_less_than_twelve_bytes(spark):
+    """Rare terms are the worst case: each is in one document and can't share its hashes with another."""
+    n = 100_000
+    docs = spark.range(200, numPartitions=2).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n // 400)), lambda k: F.concat(F.lit("w"), F.xxhash64("id", k).cast("string"))), " ").alias("text"))
+    assert _moved(spark, retrieval.norms(docs, 200, [])) < 12 * n
+
+
+def test_postings_move_by_document_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two{i % 7} three{i % 3}") for i in range(50)], "id long, text string")
+    asked = spark.createDataFrame([(1, "one two3"), (2, "three1 two2")], "query long, text string")
+    found = retrieval.search(retrieval.build(docs, str(tmp_path / "ix"), [], asked=asked), asked, 3, 0.01)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(id#", plan) and not re.search(r"hashpartitioning\(query#\w+, id#", plan)
+    assert found.count() == 6
