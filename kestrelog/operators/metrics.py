@@ -107,14 +107,15 @@ def confusion(scored: DataFrame, threshold: Column, keys: list[str] = []) -> Dat
     return g.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "fpr": ratio(fp, fp + tn)})
 
 
-def cumulative(scored: DataFrame, keys: list[str] = [], ranges: int = 256) -> DataFrame:  # noqa: B006
+def cumulative(scored: DataFrame, keys: list[str] = [], ranges: int = 256, times: str | None = None) -> DataFrame:  # noqa: B006
     """Per distinct score, from the highest: own and running positives (tp) and negatives (fp), and totals.
 
     Scores are counted by value and stored; ranges that a quantile sketch makes about equal are
     summed apart and joined by the sums of the ranges above, so no task holds all scores however
-    close together they lie. Null and NaN scores are left out.
+    close together they lie. Null and NaN scores are left out. With times, a row stands for so many.
     """
-    by = scored.where("score is not null and not isnan(score)").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    number = lambda c: F.count_if(c) if times is None else F.coalesce(F.sum(F.when(c, F.col(times))), F.lit(0))
+    by = scored.where("score is not null and not isnan(score)").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(number(F.col("label")).alias("pos"), number(~F.col("label")).alias("neg"))
     by = tables.stored(by, "score-counts")
     bounds = sorted({b for b in by.stat.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if math.isfinite(b)})
     ranged = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol="score", outputCol="__r").transform(by)
@@ -127,9 +128,9 @@ def cumulative(scored: DataFrame, keys: list[str] = [], ranges: int = 256) -> Da
     return run.withColumns({"tp": F.col("tp") + F.col("__op"), "fp": F.col("fp") + F.col("__on")}).drop("__r", "__op", "__on")
 
 
-def average_precision(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Step-wise average precision; equal scores are one step."""
-    return cumulative(scored, keys).groupBy(*keys).agg(_ap().alias("ap"))
+def average_precision(scored: DataFrame, keys: list[str] = [], times: str | None = None) -> DataFrame:  # noqa: B006
+    """Step-wise average precision; equal scores are one step. With times, a row stands for so many."""
+    return cumulative(scored, keys, times=times).groupBy(*keys).agg(_ap().alias("ap"))
 
 
 def _ap() -> Column:

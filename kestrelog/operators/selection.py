@@ -148,10 +148,11 @@ def permutation_importance(rows: DataFrame, columns: list[str], score, repeats:
 
     Values change places within a day, so no more than a day's rows are numbered together. All trials are one table
     that is scored once, so the plan does not grow with them; only an input's values move, and they meet the rows in blocks of places.
+    Rows of a trial with the same label and inputs are counted and scored as one, so score sees these columns alone.
     """
     rows = rows.select("day", "label", "tie", *columns)
     types = {f.name: f.dataType for f in rows.schema.fields}
-    base = rows.select(F.lit("").alias("feature"), F.lit(-1).alias("seed"), "day", "label", *columns)
+    base = rows.select(F.lit("").alias("feature"), F.lit(-1).alias("seed"), "label", *columns)
     mine = rows.withColumn("__n", F.row_number().over(Window.partitionBy("day").orderBy("tie")))
     mine = _blocks(mine, ["day"], F.struct("label", *columns), "__rows")
     trials = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(seed).alias("seed"), F.col(c).cast("double").alias("__x")) for c in columns for seed in range(repeats)])
@@ -161,8 +162,9 @@ def permutation_importance(rows: DataFrame, columns: list[str], score, repeats:
     others = others.withColumn("__draw", draw).withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("__draw", "tie")))
     others = _blocks(others, group, F.col("__x"), "__xs")
     moved = others.join(mine, ["day", "__block"]).select(*group, F.inline(F.arrays_zip("__rows", "__xs"))).select(*group, "__rows.*", F.col("__xs").alias("__x"))
-    moved = moved.withColumns({c: F.when(F.col("feature") == c, F.col("__x").cast(types[c])).otherwise(F.col(c)) for c in columns}).drop("__x")
-    ap = metrics.average_precision(score(base.unionByName(moved)).select("feature", "seed", "label", "score"), ["feature", "seed"])
+    moved = moved.withColumns({c: F.when(F.col("feature") == c, F.col("__x").cast(types[c])).otherwise(F.col(c)) for c in columns}).drop("__x", "day")
+    alike = base.unionByName(moved).groupBy("feature", "seed", "label", *columns).agg(F.count("*").alias("times"))
+    ap = metrics.average_precision(score(alike).select("feature", "seed", "label", "score", "times"), ["feature", "seed"], "times")
     ap = tables.stored(ap, "trials")
     whole = ap.where("seed < 0").select(F.col("ap").alias("whole"))
     return ap.where("seed >= 0").join(whole, F.lit(True)).groupBy("feature").agg(F.avg(F.col("whole") - F.col("ap")).alias("loss"), F.stddev_pop("ap").alias("deviation"))  # whole is one row

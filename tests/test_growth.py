@@ -52,6 +52,20 @@ def test_permutation_scores_all_trials_at_once(spark):
         assert abs(got[name].loss - sum(losses) / 2) < 1e-9
 
 
+def test_equal_rows_of_a_trial_are_scored_once(spark):
+    """Scoring costs far more than counting: 4 inputs' values of 2,000 rows make 4 kinds of rows and 2 labels in each of 5 trials."""
+    df = spark.createDataFrame([(1 + t % 2, t, t % 3 == 0, t % 2, t // 2 % 2) for t in range(2_000)], "day int, tie long, label boolean, a long, b long")
+    seen = []
+
+    def score(x):
+        seen.append(x.count())
+        return x.withColumn("score", F.col("a") * 10.0 + F.col("b"))
+
+    assert selection.permutation_importance(df, ["a", "b"], score, 2).count() == 2
+    assert seen[0] <= 4 * 2 * 5
+
+
+
 def test_fits_and_forests_read_a_stored_table(spark):
     """What is scored last is read, not computed again from the log."""
     for name in ("supervised_logistic", "supervised_boosted_trees", "baseline_isolation_forest"):
