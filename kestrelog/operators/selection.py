@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -143,6 +146,36 @@ def _blocks(rows: DataFrame, keys: list[str], fields: Column, name: str) -> Data
     return rows.groupBy(*keys, F.floor((F.col("__n") - 1) / BLOCK).alias("__block")).agg(F.transform(at, lambda x: x["v"]).alias(name))
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(day, trial, __x), those of a trial's day in their order -> (day, trial, __block, __xs): the values of BLOCK places together."""
+
+    def out(days: pa.Array, trials: pa.Array, values: pa.Array, blocks: list[tuple[int, int, int]]) -> pa.RecordBatch:  # blocks: from, to, number; one after the other
+        first = pa.array([b[0] for b in blocks], pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array([b[0] for b in blocks] + [blocks[-1][1]], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([days.take(first), trials.take(first), pa.array([b[2] for b in blocks], pa.int64()), lists], ["day", "trial", "__block", "__xs"])
+
+    held, last, number = None, None, 0  # rows of a block that is not full, its day and trial, its number
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [pa.concat_arrays([h, c]) for h, c in zip(held, batch.columns)] if held else batch.columns
+        day, trial = (c.to_numpy() for c in columns[:2])
+        starts = np.flatnonzero(np.concatenate([[True], (day[1:] != day[:-1]) | (trial[1:] != trial[:-1])])).tolist()
+        blocks, n = [], len(day)
+        for a, b in zip(starts, [*starts[1:], n]):
+            if (day[a], trial[a]) != last:
+                last, number = (day[a], trial[a]), 0
+            whole = b if b < n else a + (b - a) // BLOCK * BLOCK
+            for k in range(a, whole, BLOCK):
+                blocks.append((k, min(k + BLOCK, whole), number))
+                number += 1
+        held = [c.slice(whole) for c in columns]
+        if blocks:
+            yield out(*columns, blocks)
+    if held and len(held[0]):
+        yield out(*held, [(0, len(held[0]), number)])
+
+
 def permutation_importance(rows: DataFrame, columns: list[str], score, repeats: int = 5) -> DataFrame:
     """The loss of a fitted model's average precision when an input's values change places, mean and deviation over seeded repeats.
 
@@ -152,19 +185,24 @@ def permutation_importance(rows: DataFrame, columns: list[str], score, repeats:
     """
     rows = rows.select("day", "label", "tie", *columns)
     types = {f.name: f.dataType for f in rows.schema.fields}
-    base = rows.select(F.lit("").alias("feature"), F.lit(-1).alias("seed"), "label", *columns)
+    trials = [(c, seed) for c in columns for seed in range(repeats)]
+    base = rows.select(F.lit(-1).alias("trial"), "label", *columns)
     mine = rows.withColumn("__n", F.row_number().over(Window.partitionBy("day").orderBy("tie")))
     mine = _blocks(mine, ["day"], F.struct("label", *columns), "__rows")
-    trials = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(seed).alias("seed"), F.col(c).cast("double").alias("__x")) for c in columns for seed in range(repeats)])
-    group = ["feature", "seed", "day"]
-    others = rows.select("day", "tie", F.inline(trials)).repartition(*group)  # draws are made where they are sorted
-    draw = F.unhex(F.md5(F.concat_ws("/", "feature", "seed", "tie").cast("binary")))
-    others = others.withColumn("__draw", draw).withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("__draw", "tie")))
-    others = _blocks(others, group, F.col("__x"), "__xs")
-    moved = others.join(mine, ["day", "__block"]).select(*group, F.inline(F.arrays_zip("__rows", "__xs"))).select(*group, "__rows.*", F.col("__xs").alias("__x"))
-    moved = moved.withColumns({c: F.when(F.col("feature") == c, F.col("__x").cast(types[c])).otherwise(F.col(c)) for c in columns}).drop("__x", "day")
-    alike = base.unionByName(moved).groupBy("feature", "seed", "label", *columns).agg(F.count("*").alias("times"))
-    ap = metrics.average_precision(score(alike).select("feature", "seed", "label", "score", "times"), ["feature", "seed"], "times")
+    each = F.array(*[F.struct(F.lit(k).alias("trial"), F.lit(f"{c}/{seed}").alias("__named"), F.col(c).cast("double").alias("__x")) for k, (c, seed) in enumerate(trials)])
+    others = rows.where("day is not null").select("day", "tie", F.inline(each)).repartition("trial", "day")  # draws are made where they are sorted
+    others = others.withColumn("__draw", F.md5(F.concat_ws("/", "__named", "tie").cast("binary")))
+    # one number that tells most rows apart: the trial's day and how the draw begins
+    key = F.shiftleft(F.col("day").cast("long") * len(trials) + F.col("trial"), 32) + F.conv(F.substring("__draw", 1, 8), 16, 10).cast("long")
+    others = others.withColumn("__key", key).sortWithinPartitions("__key", "__draw", "tie").select("day", "trial", "__x")
+    others = others.mapInArrow(_placed, f"day {rows.schema['day'].dataType.simpleString()}, trial int, __block long, __xs array<double>")
+    moved = others.join(mine, ["day", "__block"]).select("trial", F.inline(F.arrays_zip("__rows", "__xs"))).select("trial", "__rows.*", F.col("__xs").alias("__x"))
+    own = lambda k: F.col("trial").between(k * repeats, (k + 1) * repeats - 1)
+    moved = moved.withColumns({c: F.when(own(k), F.col("__x").cast(types[c])).otherwise(F.col(c)) for k, c in enumerate(columns)}).drop("__x")
+    alike = base.unionByName(moved).groupBy("trial", "label", *columns).agg(F.count("*").alias("times"))
+    ap = metrics.average_precision(score(alike).select("trial", "label", "score", "times"), ["trial"], "times")
+    named = F.get(F.array(*map(F.lit, columns)), F.floor(F.col("trial") / repeats).cast("int"))
+    ap = ap.select(named.alias("feature"), F.col("trial").alias("seed"), "ap")
     ap = tables.stored(ap, "trials")
     whole = ap.where("seed < 0").select(F.col("ap").alias("whole"))
     return ap.where("seed >= 0").join(whole, F.lit(True)).groupBy("feature").agg(F.avg(F.col("whole") - F.col("ap")).alias("loss"), F.stddev_pop("ap").alias("deviation"))  # whole is one row
